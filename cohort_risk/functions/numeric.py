@@ -17,6 +17,14 @@ def round_half_even(col: Column, digits: int) -> Column:
     return F.bround(col, digits)
 
 
+def avg_round(col: Column, digits: int) -> Column:
+    """Average rounded half-even to ``digits``. The mean is first fixed to 9
+    decimals so that summation-order noise (which differs between engines and
+    between partitionings) cannot flip a tie like 3.085 either way; the
+    half-even step is then exact decimal arithmetic."""
+    return F.bround(F.avg(col).cast("decimal(38,9)"), digits).cast("double")
+
+
 def clip(col: Column, lo: float | None, hi: float | None) -> Column:
     """``Series.clip``: NULL stays NULL."""
     out = col
@@ -29,11 +37,3 @@ def clip(col: Column, lo: float | None, hi: float | None) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False))).cast("bigint")
-
-
-def pearson_from_moments(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson r from raw moments; NULL for a constant column."""
-    cov = sxy / n - (sx / n) * (sy / n)
-    vx = sxx / n - (sx / n) * (sx / n)
-    vy = syy / n - (sy / n) * (sy / n)
-    return F.try_divide(cov, F.sqrt(vx * vy))

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions import rules as R
-from ..functions.numeric import count_if, pct
+from ..functions.numeric import avg_round, count_if, pct
 
 DIMENSIONS = ["branch", "year", "section"]
 
@@ -40,7 +40,7 @@ def risk_level_slice(df: DataFrame, level: str) -> DataFrame:
     return sel.agg(
         F.lit(level).alias("risk_category"),
         F.count(F.lit(1)).cast("bigint").alias("n_students"),
-        F.bround(F.coalesce(F.avg("risk_probability"), F.lit(0.0)), 6).alias("avg_risk_pct"),
+        F.coalesce(avg_round(F.col("risk_probability"), 6), F.lit(0.0)).alias("avg_risk_pct"),
     )
 
 
@@ -65,8 +65,8 @@ def _kpi_aggs() -> list[Column]:
         n.cast("bigint").alias("total_students"),
         high.alias("high_risk_count"),
         F.bround(pct(high, n), 6).alias("high_risk_pct"),
-        F.bround(F.avg("gpa"), 6).alias("avg_gpa"),
-        F.bround(F.avg("attendance_rate"), 6).alias("avg_attendance"),
+        avg_round(F.col("gpa"), 6).alias("avg_gpa"),
+        avg_round(F.col("attendance_rate"), 6).alias("avg_attendance"),
     ]
 
 
@@ -107,11 +107,11 @@ def factor_frequency(df: DataFrame) -> DataFrame:
 def _group_aggs(with_attendance: bool = True) -> list[Column]:
     n = F.count(F.lit(1))
     high = count_if(F.col("risk_category") == "High Risk")
-    aggs = [n.cast("bigint").alias("total_students"), F.bround(F.avg("gpa"), 2).alias("avg_gpa")]
+    aggs = [n.cast("bigint").alias("total_students"), avg_round(F.col("gpa"), 2).alias("avg_gpa")]
     if with_attendance:
-        aggs.append(F.bround(F.avg("attendance_rate"), 2).alias("avg_attendance"))
+        aggs.append(avg_round(F.col("attendance_rate"), 2).alias("avg_attendance"))
     aggs += [
-        F.bround(F.avg("risk_probability"), 2).alias("avg_risk_pct"),
+        avg_round(F.col("risk_probability"), 2).alias("avg_risk_pct"),
         high.alias("high_risk_count"),
         F.bround(pct(high, n), 1).alias("high_risk_pct"),
     ]
@@ -161,9 +161,9 @@ def risk_grouping_sets(df: DataFrame) -> DataFrame:
     ).agg(
         (F.grouping("branch") * 4 + F.grouping("year") * 2 + F.grouping("section")).cast("int").alias("set_id"),
         n.cast("bigint").alias("total_students"),
-        F.bround(F.avg("gpa"), 2).alias("avg_gpa"),
-        F.bround(F.avg("attendance_rate"), 2).alias("avg_attendance"),
-        F.bround(F.avg("risk_probability"), 2).alias("avg_risk_pct"),
+        avg_round(F.col("gpa"), 2).alias("avg_gpa"),
+        avg_round(F.col("attendance_rate"), 2).alias("avg_attendance"),
+        avg_round(F.col("risk_probability"), 2).alias("avg_risk_pct"),
         high.alias("high_risk_count"),
         F.bround(pct(high, n), 1).alias("high_risk_pct"),
     )
@@ -183,8 +183,8 @@ def high_risk_by_branch(df: DataFrame) -> DataFrame:
         .groupBy("branch")
         .agg(
             F.count(F.lit(1)).cast("bigint").alias("high_risk_students"),
-            F.bround(F.avg("risk_probability"), 2).alias("avg_risk_pct"),
-            F.bround(F.avg("gpa"), 2).alias("avg_gpa"),
+            avg_round(F.col("risk_probability"), 2).alias("avg_risk_pct"),
+            avg_round(F.col("gpa"), 2).alias("avg_gpa"),
         )
         .orderBy(F.desc("high_risk_students"), "branch")
     )
@@ -196,9 +196,9 @@ def branch_comparison(df: DataFrame) -> DataFrame:
         df.filter(F.col("branch").isNotNull())
         .groupBy("branch")
         .agg(
-            F.bround(F.avg("gpa"), 2).alias("avg_gpa"),
-            F.bround(F.avg("attendance_rate"), 2).alias("avg_attendance"),
-            F.bround(F.avg("risk_probability"), 2).alias("avg_risk_pct"),
+            avg_round(F.col("gpa"), 2).alias("avg_gpa"),
+            avg_round(F.col("attendance_rate"), 2).alias("avg_attendance"),
+            avg_round(F.col("risk_probability"), 2).alias("avg_risk_pct"),
             F.count("student_id").cast("bigint").alias("student_count"),
         )
     )

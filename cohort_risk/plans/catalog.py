@@ -5,7 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
+from ..functions import rules as R
 from ..operators import aggregates as A
+from ..operators import decisions as D
+from ..operators import evaluation as EV
+from ..operators import interventions as I
+from ..operators import quality as Q
+from ..operators import ranking as K
+from ..sources import fixtures as FX
 from . import views as V
 from .registry import register
 
@@ -18,8 +26,8 @@ def _w(*views: str) -> str:
 
 _GROUP_SQL = """
 SELECT {keys}, CAST(count(*) AS BIGINT) AS total_students,
-  round_even(avg(gpa), 2) AS avg_gpa,{att}
-  round_even(avg(risk_probability), 2) AS avg_risk_pct,
+  CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa,{att}
+  CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct,
   CAST(count_if(risk_category = 'High Risk') AS BIGINT) AS high_risk_count,
   round_even(count_if(risk_category = 'High Risk') / count(*) * 100, 1) AS high_risk_pct
 FROM scored WHERE {notnull}
@@ -30,7 +38,7 @@ GROUP BY {keys}
 def _group_sql(keys: list[str], with_att: bool = True) -> str:
     return _w("scored") + _GROUP_SQL.format(
         keys=", ".join(keys),
-        att="\n  round_even(avg(attendance_rate), 2) AS avg_attendance," if with_att else "",
+        att="\n  CAST(round_even(CAST(avg(attendance_rate) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_attendance," if with_att else "",
         notnull=" AND ".join(f"{k} IS NOT NULL" for k in keys),
     )
 
@@ -38,3 +46,1002 @@ def _group_sql(keys: list[str], with_att: bool = True) -> str:
 @register("branch_risk_stats", _group_sql(["branch"]))
 def q_branch_risk_stats(spark, sf_dir):
     return A.branch_risk_stats(V.scored(spark, sf_dir))
+
+
+@register("year_risk_stats", _group_sql(["year"]))
+def q_year_risk_stats(spark, sf_dir):
+    return A.year_risk_stats(V.scored(spark, sf_dir))
+
+
+@register("section_risk_stats", _group_sql(["section"]))
+def q_section_risk_stats(spark, sf_dir):
+    return A.section_risk_stats(V.scored(spark, sf_dir))
+
+
+@register("combined_risk_stats", _group_sql(["branch", "year", "section"], with_att=False))
+def q_combined_risk_stats(spark, sf_dir):
+    return A.combined_risk_stats(V.scored(spark, sf_dir))
+
+
+@register(
+    "risk_grouping_sets",
+    _w("scored")
+    + """
+SELECT * FROM (
+  SELECT branch, year, section,
+    CAST(grouping(branch) * 4 + grouping(year) * 2 + grouping(section) AS INTEGER) AS set_id,
+    CAST(count(*) AS BIGINT) AS total_students,
+    CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa,
+    CAST(round_even(CAST(avg(attendance_rate) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_attendance,
+    CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct,
+    CAST(count_if(risk_category = 'High Risk') AS BIGINT) AS high_risk_count,
+    round_even(count_if(risk_category = 'High Risk') / count(*) * 100, 1) AS high_risk_pct
+  FROM scored
+  GROUP BY GROUPING SETS ((branch), (year), (section), (branch, year, section))
+) WHERE (set_id <> 3 OR branch IS NOT NULL) AND (set_id <> 5 OR year IS NOT NULL)
+    AND (set_id <> 6 OR section IS NOT NULL)
+    AND (set_id <> 0 OR (branch IS NOT NULL AND year IS NOT NULL AND section IS NOT NULL))
+""",
+)
+def q_risk_grouping_sets(spark, sf_dir):
+    return A.risk_grouping_sets(V.scored(spark, sf_dir))
+
+
+_KPI_SQL = """
+SELECT CAST(count(*) AS BIGINT) AS total_students,
+  CAST(count_if(risk_category = 'High Risk') AS BIGINT) AS high_risk_count,
+  round_even(count_if(risk_category = 'High Risk') / count(*) * 100, 6) AS high_risk_pct,
+  CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 6) AS DOUBLE) AS avg_gpa,
+  CAST(round_even(CAST(avg(attendance_rate) AS DECIMAL(38,9)), 6) AS DOUBLE) AS avg_attendance
+FROM scored
+"""
+
+
+@register("kpi_overview", _w("scored") + _KPI_SQL)
+def q_kpi_overview(spark, sf_dir):
+    return A.kpi_overview(V.scored(spark, sf_dir))
+
+
+SLICE = {"branch": "Electronics", "year": "2nd Year", "section": None}
+
+
+@register("kpi_slice", _w("scored") + _KPI_SQL + " WHERE branch = 'Electronics' AND year = '2nd Year'")
+def q_kpi_slice(spark, sf_dir):
+    return A.kpi_slice(V.scored(spark, sf_dir), **SLICE)
+
+
+@register(
+    "risk_distribution",
+    _w("scored")
+    + """
+SELECT risk_category, CAST(count(*) AS BIGINT) AS n_students,
+  round_even(count(*) / sum(count(*)) OVER () * 100, 6) AS pct
+FROM scored GROUP BY risk_category
+""",
+)
+def q_risk_distribution(spark, sf_dir):
+    return A.risk_distribution(V.scored(spark, sf_dir))
+
+
+_FACTOR_UNION = """
+  SELECT student_id, branch, 'Low GPA' AS factor FROM scored WHERE gpa < 2.5
+  UNION ALL SELECT student_id, branch, 'Poor Attendance' FROM scored WHERE attendance_rate < 0.7
+  UNION ALL SELECT student_id, branch, 'Incomplete Assignments' FROM scored WHERE assignment_completion < 0.6
+  UNION ALL SELECT student_id, branch, 'Low Quiz Performance' FROM scored WHERE quiz_scores < 60
+  UNION ALL SELECT student_id, branch, 'Low Participation' FROM scored WHERE participation_score < 50
+"""
+
+
+@register(
+    "factor_frequency",
+    _w("scored") + f"SELECT factor, CAST(count(*) AS BIGINT) AS n_students FROM ({_FACTOR_UNION}) GROUP BY factor",
+)
+def q_factor_frequency(spark, sf_dir):
+    return A.factor_frequency(V.scored(spark, sf_dir))
+
+
+@register(
+    "high_risk_by_branch",
+    _w("scored")
+    + """
+SELECT branch, CAST(count(*) AS BIGINT) AS high_risk_students,
+  CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct, CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa
+FROM scored WHERE risk_category = 'High Risk' AND branch IS NOT NULL GROUP BY branch
+""",
+)
+def q_high_risk_by_branch(spark, sf_dir):
+    return A.high_risk_by_branch(V.scored(spark, sf_dir))
+
+
+@register(
+    "branch_comparison",
+    _w("scored")
+    + """
+SELECT branch, CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa, CAST(round_even(CAST(avg(attendance_rate) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_attendance,
+  CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct, CAST(count(student_id) AS BIGINT) AS student_count
+FROM scored WHERE branch IS NOT NULL GROUP BY branch
+""",
+)
+def q_branch_comparison(spark, sf_dir):
+    return A.branch_comparison(V.scored(spark, sf_dir))
+
+
+@register(
+    "factor_by_branch",
+    _w("scored")
+    + """
+SELECT b.branch,
+  CAST(count_if(f.factor = 'Low GPA') AS BIGINT) AS low_gpa,
+  CAST(count_if(f.factor = 'Poor Attendance') AS BIGINT) AS poor_attendance,
+  CAST(count_if(f.factor = 'Incomplete Assignments') AS BIGINT) AS incomplete_assignments,
+  CAST(count_if(f.factor = 'Low Quiz Performance') AS BIGINT) AS low_quiz_performance,
+  CAST(count_if(f.factor = 'Low Participation') AS BIGINT) AS low_participation
+FROM (SELECT DISTINCT branch FROM scored WHERE branch IS NOT NULL) b
+LEFT JOIN ("""
+    + _FACTOR_UNION
+    + """) f ON f.branch = b.branch
+GROUP BY b.branch
+""",
+)
+def q_factor_by_branch(spark, sf_dir):
+    return A.factor_by_branch(V.scored(spark, sf_dir))
+
+
+@register(
+    "histograms",
+    _w("scored")
+    + """
+SELECT metric, bin, CAST(count(*) AS BIGINT) AS n_students, round_even(bin * w, 6) AS bin_start FROM (
+  SELECT 'gpa' AS metric, CAST(least(15, floor(gpa / 0.25e0)) AS INTEGER) AS bin, 0.25e0 AS w FROM scored WHERE gpa IS NOT NULL
+  UNION ALL SELECT 'attendance_rate', CAST(least(19, floor(attendance_rate / 0.05e0)) AS INTEGER), 0.05e0 FROM scored WHERE attendance_rate IS NOT NULL
+  UNION ALL SELECT 'assignment_completion', CAST(least(19, floor(assignment_completion / 0.05e0)) AS INTEGER), 0.05e0 FROM scored WHERE assignment_completion IS NOT NULL
+  UNION ALL SELECT 'quiz_scores', CAST(least(19, floor(quiz_scores / 5.0e0)) AS INTEGER), 5.0e0 FROM scored WHERE quiz_scores IS NOT NULL
+) GROUP BY metric, bin, w
+""",
+)
+def q_histograms(spark, sf_dir):
+    return A.histograms(V.scored(spark, sf_dir))
+
+
+@register(
+    "box_summary",
+    _w("scored")
+    + """
+SELECT risk_category, metric, CAST(count(*) AS BIGINT) AS n,
+  round_even(quantile_cont(value, 0.0), 6) AS min, round_even(quantile_cont(value, 0.25), 6) AS q1,
+  round_even(quantile_cont(value, 0.5), 6) AS median, round_even(quantile_cont(value, 0.75), 6) AS q3,
+  round_even(quantile_cont(value, 1.0), 6) AS max
+FROM (
+  SELECT coalesce(risk_category, 'Unknown') AS risk_category, 'gpa' AS metric, gpa AS value FROM scored
+  UNION ALL SELECT coalesce(risk_category, 'Unknown'), 'attendance_rate', attendance_rate FROM scored
+  UNION ALL SELECT coalesce(risk_category, 'Unknown'), 'assignment_completion', assignment_completion FROM scored
+  UNION ALL SELECT coalesce(risk_category, 'Unknown'), 'quiz_scores', quiz_scores FROM scored
+) WHERE value IS NOT NULL GROUP BY risk_category, metric
+""",
+)
+def q_box_summary(spark, sf_dir):
+    return A.box_summary(V.scored(spark, sf_dir))
+
+
+_ENGAGEMENT_SQL = "(lms_activity / 20 * 0.4e0 + office_hours_visits / 10 * 0.3e0 + study_group_participation * 0.3e0)"
+
+
+@register(
+    "intervention_metrics",
+    _w("scored")
+    + f"""
+SELECT CAST(count(*) AS BIGINT) AS total_students,
+  CAST(count_if(risk_category = 'High Risk') AS BIGINT) AS high_risk,
+  CAST(count_if(risk_category = 'Medium Risk') AS BIGINT) AS medium_risk,
+  CAST(count_if(risk_category = 'Low Risk') AS BIGINT) AS low_risk,
+  CAST(count_if(gpa < 2.5) AS BIGINT) AS tutoring,
+  CAST(count_if(attendance_rate < 0.7) AS BIGINT) AS attendance_support,
+  CAST(count_if(assignment_completion < 0.6) AS BIGINT) AS assignment_help,
+  CAST(count_if({_ENGAGEMENT_SQL} < 0.3) AS BIGINT) AS engagement_boost,
+  round_even(count_if(risk_category = 'High Risk') / count(*) * 100, 6) AS high_risk_pct,
+  round_even(count_if(risk_category = 'Medium Risk') / count(*) * 100, 6) AS medium_risk_pct,
+  round_even(count_if(risk_category = 'Low Risk') / count(*) * 100, 6) AS low_risk_pct
+FROM scored
+""",
+)
+def q_intervention_metrics(spark, sf_dir):
+    return A.intervention_metrics(R.with_risk_indicators(V.scored(spark, sf_dir)))
+
+
+@register(
+    "slice_students",
+    _w("scored")
+    + """
+SELECT student_id, name, branch, year, section, risk_category, gpa FROM scored
+WHERE branch = 'Computer Science' AND year = '3rd Year' AND section = 'B'
+""",
+)
+def q_slice_students(spark, sf_dir):
+    df = A.slice_students(V.scored(spark, sf_dir), "Computer Science", "3rd Year", "B")
+    return df.select("student_id", "name", "branch", "year", "section", "risk_category", "gpa")
+
+
+@register(
+    "risk_level_slice",
+    _w("scored")
+    + """
+SELECT 'High Risk' AS risk_category, CAST(count(*) AS BIGINT) AS n_students,
+  coalesce(CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 6) AS DOUBLE), 0.0) AS avg_risk_pct
+FROM scored WHERE risk_category = 'High Risk'
+""",
+)
+def q_risk_level_slice(spark, sf_dir):
+    return A.risk_level_slice(V.scored(spark, sf_dir), "High Risk")
+
+
+@register(
+    "filter_values",
+    _w("scored")
+    + """
+SELECT DISTINCT 'branch' AS dimension, branch AS value FROM scored WHERE branch IS NOT NULL
+UNION ALL SELECT DISTINCT 'year', year FROM scored WHERE year IS NOT NULL
+UNION ALL SELECT DISTINCT 'section', section FROM scored WHERE section IS NOT NULL
+""",
+)
+def q_filter_values(spark, sf_dir):
+    return A.filter_values(V.scored(spark, sf_dir))
+
+
+# -------------------------------------------------------------- validation ----
+
+_RANGE_CNT = """
+  CAST(count_if(NOT coalesce(gpa BETWEEN 0 AND 4, false)) AS BIGINT) AS gpa_violations,
+  CAST(count_if(NOT coalesce(attendance_rate BETWEEN 0 AND 1, false)) AS BIGINT) AS attendance_rate_violations,
+  CAST(count_if(NOT coalesce(assignment_completion BETWEEN 0 AND 1, false)) AS BIGINT) AS assignment_completion_violations,
+  CAST(count_if(NOT coalesce(quiz_scores BETWEEN 0 AND 100, false)) AS BIGINT) AS quiz_scores_violations
+"""
+
+
+@register("range_violations", _w("students") + f"SELECT CAST(count(*) AS BIGINT) AS n_rows, {_RANGE_CNT} FROM students")
+def q_range_violations(spark, sf_dir):
+    return Q.range_violations(V.students(spark, sf_dir))
+
+
+_ROW_MSGS = """list_filter([
+    CASE WHEN NOT coalesce(gpa BETWEEN 0 AND 4, false) THEN 'GPA values must be between 0 and 4' END,
+    CASE WHEN NOT coalesce(attendance_rate BETWEEN 0 AND 1, false) THEN 'Attendance rate must be between 0 and 1' END,
+    CASE WHEN NOT coalesce(assignment_completion BETWEEN 0 AND 1, false) THEN 'Assignment completion must be between 0 and 1' END,
+    CASE WHEN NOT coalesce(quiz_scores BETWEEN 0 AND 100, false) THEN 'Quiz scores must be between 0 and 100' END
+  ], lambda x: x IS NOT NULL)"""
+
+
+@register(
+    "validation_verdict",
+    _w("students")
+    + f"""
+SELECT len(m) = 0 AS ok, m AS messages FROM (
+  SELECT list_filter([
+    CASE WHEN gpa_violations > 0 THEN 'GPA values must be between 0 and 4' END,
+    CASE WHEN attendance_rate_violations > 0 THEN 'Attendance rate must be between 0 and 1' END,
+    CASE WHEN assignment_completion_violations > 0 THEN 'Assignment completion must be between 0 and 1' END,
+    CASE WHEN quiz_scores_violations > 0 THEN 'Quiz scores must be between 0 and 100' END
+  ], lambda x: x IS NOT NULL) AS m
+  FROM (SELECT {_RANGE_CNT} FROM students))
+""",
+)
+def q_validation_verdict(spark, sf_dir):
+    return Q.validation_verdict(V.students(spark, sf_dir))
+
+
+@register(
+    "quarantine_rows",
+    _w("students") + f"SELECT student_id, v AS violations FROM (SELECT student_id, {_ROW_MSGS} AS v FROM students) WHERE len(v) > 0",
+)
+def q_quarantine_rows(spark, sf_dir):
+    _, bad = Q.quarantine(V.students(spark, sf_dir))
+    return bad.select("student_id", "violations")
+
+
+def _impute_sql(cols: list[str]) -> str:
+    meds = ", ".join(f"median({c}) AS {c}" for c in cols)
+    fills = ", ".join(f"coalesce(CAST(s.{c} AS DOUBLE), m.{c}) AS {c}" for c in cols)
+    return _w("students") + f"SELECT s.student_id, {fills} FROM students s, (SELECT {meds} FROM students) m"
+
+
+@register("impute_features", _impute_sql(S.FEATURE_COLUMNS))
+def q_impute_features(spark, sf_dir):
+    return Q.impute_features(V.students(spark, sf_dir)).select("student_id", *S.FEATURE_COLUMNS)
+
+
+_NUMERIC = [n for n, _ in FX.STUDENT_EXPRS if n not in ("student_id", "name", "email", "department", "branch", "year", "section", "semester")]
+
+
+@register("impute_numeric", _impute_sql(_NUMERIC))
+def q_impute_numeric(spark, sf_dir):
+    df = Q.impute_numeric(V.students(spark, sf_dir))
+    return df.select("student_id", *_NUMERIC)
+
+
+CLIP_BOUNDS = {"previous_semester_gpa": (2.0, 3.5), "quiz_scores": (50.0, 90.0), "participation_score": (None, 80.0)}
+
+
+@register(
+    "clip",
+    _w("students")
+    + """
+SELECT student_id,
+  CASE WHEN previous_semester_gpa < 2.0 THEN 2.0e0 WHEN previous_semester_gpa > 3.5 THEN 3.5e0 ELSE previous_semester_gpa END AS previous_semester_gpa,
+  CASE WHEN quiz_scores < 50 THEN 50.0e0 WHEN quiz_scores > 90 THEN 90.0e0 ELSE quiz_scores END AS quiz_scores,
+  CASE WHEN participation_score > 80 THEN 80.0e0 ELSE participation_score END AS participation_score
+FROM students
+""",
+)
+def q_clip(spark, sf_dir):
+    df = Q.clip_columns(V.students(spark, sf_dir), CLIP_BOUNDS)
+    return df.select("student_id", *CLIP_BOUNDS)
+
+
+@register(
+    "email_validity",
+    _w("students")
+    + f"SELECT student_id, email, coalesce(regexp_matches(email, '{S.EMAIL_PATTERN}'), false) AS email_valid FROM students",
+)
+def q_email_validity(spark, sf_dir):
+    return Q.email_flags(V.students(spark, sf_dir))
+
+
+# ------------------------------------------------------------------- rules ----
+
+
+@register("risk_label", _w("scored") + "SELECT student_id, risk_score FROM labeled")
+def q_risk_label(spark, sf_dir):
+    df = V.students(spark, sf_dir)
+    return df.select("student_id", R.risk_label(df).alias("risk_score"))
+
+
+@register("risk_category", _w("scored") + "SELECT student_id, risk_score, risk_category FROM scored")
+def q_risk_category(spark, sf_dir):
+    return V.scored(spark, sf_dir).select("student_id", "risk_score", "risk_category")
+
+
+@register(
+    "risk_indicators",
+    _w("scored")
+    + f"""
+SELECT student_id, gpa - previous_semester_gpa AS gpa_trend,
+  gpa * 0.3e0 + attendance_rate * 0.2e0 + assignment_completion * 0.2e0 + quiz_scores / 100 * 0.2e0
+    + participation_score / 100 * 0.1e0 AS performance_score,
+  {_ENGAGEMENT_SQL} AS engagement_score,
+  coalesce(gpa < 2.5, false) AS gpa_risk, coalesce(attendance_rate < 0.7, false) AS attendance_risk,
+  coalesce(assignment_completion < 0.6, false) AS assignment_risk,
+  coalesce({_ENGAGEMENT_SQL} < 0.3, false) AS engagement_risk
+FROM scored
+""",
+)
+def q_risk_indicators(spark, sf_dir):
+    df = R.with_risk_indicators(V.scored(spark, sf_dir))
+    return df.select(
+        "student_id", "gpa_trend", "performance_score", "engagement_score",
+        "gpa_risk", "attendance_risk", "assignment_risk", "engagement_risk",
+    )
+
+
+def _sev_sql(c: str, hi, mid) -> str:
+    return f"CASE WHEN {c} < {hi} THEN 1.0e0 WHEN {c} < {mid} THEN 0.5e0 ELSE 0.0e0 END AS {c}_severity"
+
+
+@register(
+    "severity_matrix",
+    _w("scored") + "SELECT student_id, " + ", ".join(_sev_sql(c, h, m) for c, h, m in S.SEVERITY_FACTORS) + " FROM scored",
+)
+def q_severity_matrix(spark, sf_dir):
+    df = R.with_severity(V.scored(spark, sf_dir))
+    return df.select("student_id", *[f"{c}_severity" for c, _, _ in S.SEVERITY_FACTORS])
+
+
+_PLAN_FACTOR_SQL = """concat_ws(', ',
+    CASE WHEN gpa < 2.5 THEN 'Low GPA' END,
+    CASE WHEN attendance_rate < 0.7 THEN 'Poor Attendance' END,
+    CASE WHEN assignment_completion < 0.6 THEN 'Incomplete Assignments' END,
+    CASE WHEN quiz_scores < 60 THEN 'Low Quiz Performance' END,
+    CASE WHEN participation_score < 50 THEN 'Low Participation' END{extra})"""
+_PLAN_EXTRA = """,
+    CASE WHEN lms_activity < 5 THEN 'Minimal LMS Engagement' END,
+    CASE WHEN late_submissions > 3 THEN 'Frequent Late Submissions' END,
+    CASE WHEN office_hours_visits = 0 THEN 'No Office Hours Visits' END"""
+
+
+@register("plan_factors", _w("scored") + f"SELECT student_id, {_PLAN_FACTOR_SQL.format(extra=_PLAN_EXTRA)} AS risk_factors FROM scored")
+def q_plan_factors(spark, sf_dir):
+    df = V.scored(spark, sf_dir)
+    return df.select("student_id", F.array_join(R.plan_factors(df), ", ").alias("risk_factors"))
+
+
+@register("chart_factors", _w("scored") + f"SELECT student_id, {_PLAN_FACTOR_SQL.format(extra='')} AS risk_factors FROM scored")
+def q_chart_factors(spark, sf_dir):
+    return V.scored(spark, sf_dir).select("student_id", F.array_join(R.chart_factors(), ", ").alias("risk_factors"))
+
+
+@register(
+    "subject_risk",
+    _w("scored")
+    + "SELECT student_id, subject, attendance, performance, CASE WHEN attendance < 0.6 OR performance < 50 THEN 'High Risk' "
+    "WHEN attendance < 0.75 OR performance < 65 THEN 'Medium Risk' ELSE 'Low Risk' END AS subject_risk FROM ("
+    + " UNION ALL ".join(
+        f"SELECT student_id, '{s}' AS subject, {s}_attendance AS attendance, {s}_performance AS performance FROM scored"
+        for s in S.SUBJECTS
+    )
+    + ")",
+)
+def q_subject_risk(spark, sf_dir):
+    return R.subject_rows(V.scored(spark, sf_dir))
+
+
+# --------------------------------------------------------------- decisions ----
+
+_LATEST_STUDENTS = """latest_students AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY ordinal DESC) AS rn FROM scored)
+  WHERE rn = 1)"""
+
+
+def _wd(*views: str) -> str:
+    """Views plus the 'last row per student' view used by the approval page."""
+    return _w(*views).rstrip() + ",\n" + _LATEST_STUDENTS + "\n"
+
+
+@register("current_decision", _w("current_decisions") + "SELECT student_id, subject, status, decided_at FROM current_decisions")
+def q_current_decision(spark, sf_dir):
+    return D.current_decisions(V.decisions(spark, sf_dir)).select("student_id", "subject", "status", "decided_at")
+
+
+@register(
+    "decision_changes",
+    _w("decisions")
+    + """
+SELECT student_id, subject, status, decided_at, previous_status, changed_from FROM (
+  SELECT student_id, subject, status, decided_at,
+    lag(status) OVER w AS previous_status, lag(decided_at) OVER w AS changed_from
+  FROM decisions
+  WINDOW w AS (PARTITION BY student_id, subject ORDER BY decided_at, tie1, tie2, tie3, tie4))
+WHERE previous_status IS NOT NULL AND previous_status <> status
+""",
+)
+def q_decision_changes(spark, sf_dir):
+    return D.decision_changes(V.decisions(spark, sf_dir))
+
+
+@register(
+    "decision_detail",
+    _wd("scored_o", "current_decisions")
+    + """
+SELECT d.student_id, s.name AS student_name, coalesce(s.email, 'N/A') AS email, coalesce(s.branch, 'N/A') AS branch,
+  coalesce(s.year, 'N/A') AS year, coalesce(s.section, 'N/A') AS section, coalesce(s.semester, 'N/A') AS semester,
+  printf('%.2f', coalesce(s.gpa, 0.0)) AS gpa, coalesce(s.risk_category, 'Unknown') AS risk_category,
+  upper(substr(d.status, 1, 1)) || lower(substr(d.status, 2)) AS status,
+  strftime(d.decided_at, '%Y-%m-%d %H:%M:%S') AS decision_date,
+  CAST(floor((epoch(TIMESTAMP '2002-01-01 00:00:00') - epoch(d.decided_at)) / 86400) AS BIGINT) AS days_since
+FROM current_decisions d JOIN latest_students s ON s.student_id = d.student_id
+WHERE d.subject IS NULL
+""",
+)
+def q_decision_detail(spark, sf_dir):
+    return D.decision_detail(V.decisions(spark, sf_dir), V.scored(spark, sf_dir, with_ordinal=True))
+
+
+@register(
+    "decision_kpis",
+    _w("current_decisions")
+    + """
+SELECT CAST(count(*) AS BIGINT) AS total_decisions,
+  CAST(count_if(status = 'approved') AS BIGINT) AS approved,
+  CAST(count_if(status = 'declined') AS BIGINT) AS declined,
+  round_even(coalesce(count_if(status = 'approved') / count(*) * 100, 0.0), 6) AS approval_rate,
+  round_even(coalesce(count_if(status = 'declined') / count(*) * 100, 0.0), 6) AS declined_pct
+FROM current_decisions WHERE subject IS NULL
+""",
+)
+def q_decision_kpis(spark, sf_dir):
+    return D.decision_kpis(V.decisions(spark, sf_dir))
+
+
+@register(
+    "branch_decision_kpis",
+    _wd("scored_o", "current_decisions")
+    + """
+SELECT coalesce(s.branch, 'Unknown') AS branch, CAST(count(*) AS BIGINT) AS decisions,
+  CAST(count_if(d.status = 'approved') AS BIGINT) AS approved,
+  round_even(coalesce(count_if(d.status = 'approved') / count(*) * 100, 0.0), 6) AS approval_rate
+FROM current_decisions d JOIN latest_students s ON s.student_id = d.student_id
+WHERE d.subject IS NULL GROUP BY 1
+""",
+)
+def q_branch_decision_kpis(spark, sf_dir):
+    return D.branch_decision_kpis(V.decisions(spark, sf_dir), V.scored(spark, sf_dir, with_ordinal=True))
+
+
+@register(
+    "branch_decision_summary",
+    _wd("scored_o", "current_decisions")
+    + """
+SELECT coalesce(s.branch, 'N/A') AS branch, CAST(count(*) AS BIGINT) AS total_decisions,
+  CAST(count_if(d.status = 'approved') AS BIGINT) AS approved,
+  CAST(round_even(CAST(avg(round_even(coalesce(s.gpa, 0.0), 2)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa,
+  round_even(count_if(d.status = 'approved') / count(*) * 100, 1) AS approval_rate
+FROM current_decisions d JOIN latest_students s ON s.student_id = d.student_id
+WHERE d.subject IS NULL GROUP BY 1
+""",
+)
+def q_branch_decision_summary(spark, sf_dir):
+    return D.branch_decision_summary(V.decisions(spark, sf_dir), V.scored(spark, sf_dir, with_ordinal=True))
+
+
+@register(
+    "branches_with_decisions",
+    _w("scored", "decisions")
+    + "SELECT DISTINCT coalesce(branch, 'Unknown') AS branch FROM scored "
+    "WHERE student_id IN (SELECT student_id FROM decisions WHERE subject IS NULL)",
+)
+def q_branches_with_decisions(spark, sf_dir):
+    return D.branches_with_decisions(V.decisions(spark, sf_dir), V.scored(spark, sf_dir))
+
+
+@register(
+    "orphan_decisions",
+    _w("students", "decisions") + "SELECT * FROM decisions WHERE student_id NOT IN (SELECT student_id FROM students)",
+)
+def q_orphan_decisions(spark, sf_dir):
+    return D.orphan_decisions(V.decisions(spark, sf_dir), V.students(spark, sf_dir))
+
+
+_SUBJECT_ROWS = " UNION ALL ".join(
+    f"SELECT student_id, '{s}' AS subject, {i} AS pos, '{S.SUBJECT_NAMES[s]}' AS subject_name, "
+    f"{s}_attendance AS attendance, {s}_performance AS performance FROM scored"
+    for i, s in enumerate(S.SUBJECTS, 1)
+)
+_SUBJECT_STATUS = f"""subject_status AS (
+  SELECT r.*, CASE WHEN attendance < 0.6 OR performance < 50 THEN 'High Risk'
+      WHEN attendance < 0.75 OR performance < 65 THEN 'Medium Risk' ELSE 'Low Risk' END AS subject_risk,
+    coalesce(upper(c.status), 'PENDING') AS status, c.status IS NULL AS undecided
+  FROM ({_SUBJECT_ROWS}) r
+  LEFT JOIN (SELECT * FROM current_decisions WHERE subject IS NOT NULL) c
+    ON c.student_id = r.student_id AND c.subject = r.subject)"""
+
+
+@register(
+    "subject_status",
+    _w("scored", "current_decisions").rstrip()
+    + ",\n"
+    + _SUBJECT_STATUS
+    + """
+SELECT student_id, subject, attendance, performance, subject_risk, status,
+  CASE WHEN undecided THEN CASE subject_risk WHEN 'High Risk' THEN 'Immediate intervention needed'
+    WHEN 'Medium Risk' THEN 'Consider intervention' ELSE 'Continue monitoring' END END AS advice
+FROM subject_status
+""",
+)
+def q_subject_status(spark, sf_dir):
+    return D.subject_status(V.scored(spark, sf_dir), V.decisions(spark, sf_dir))
+
+
+@register(
+    "subject_status_summary",
+    _w("scored", "current_decisions").rstrip()
+    + ",\n"
+    + _SUBJECT_STATUS
+    + """
+SELECT student_id,
+  CAST(count_if(status = 'APPROVED') AS BIGINT) AS n_approved,
+  CAST(count_if(status = 'DECLINED') AS BIGINT) AS n_declined,
+  CAST(count_if(status = 'PENDING' AND subject_risk IN ('High Risk', 'Medium Risk')) AS BIGINT) AS n_pending,
+  coalesce(string_agg(subject_name, ', ' ORDER BY pos) FILTER (WHERE status = 'APPROVED'), '') AS approved_subjects,
+  coalesce(string_agg(subject_name, ', ' ORDER BY pos) FILTER (WHERE status = 'DECLINED'), '') AS declined_subjects,
+  coalesce(string_agg(subject_name, ', ' ORDER BY pos) FILTER (WHERE status = 'PENDING' AND subject_risk IN ('High Risk', 'Medium Risk')), '') AS pending_subjects
+FROM subject_status GROUP BY student_id
+""",
+)
+def q_subject_status_summary(spark, sf_dir):
+    return D.subject_status_summary(V.scored(spark, sf_dir), V.decisions(spark, sf_dir))
+
+
+_CATALOGUE_VALUES = ", ".join(
+    f"('{s}', {i}, '{t}')" for s in S.SUBJECTS for i, t in enumerate(S.SUBJECT_INTERVENTIONS[s], 1)
+)
+
+
+@register(
+    "subject_interventions",
+    _w("students", "current_decisions")
+    + f"""
+SELECT c.student_id, c.subject, i.position, i.intervention
+FROM current_decisions c JOIN (VALUES {_CATALOGUE_VALUES}) i(subject, position, intervention) ON i.subject = c.subject
+WHERE c.status = 'approved' AND c.student_id IN (SELECT student_id FROM students)
+""",
+)
+def q_subject_interventions(spark, sf_dir):
+    cur = D.current_decisions(V.decisions(spark, sf_dir).filter(F.col("subject").isNotNull()))
+    cur = cur.filter(F.col("status") == "approved").join(V.students(spark, sf_dir).select("student_id"), "student_id", "left_semi")
+    return cur.select(
+        "student_id", "subject", F.posexplode(I.subject_interventions(F.col("subject"))).alias("position", "intervention")
+    ).withColumn("position", (F.col("position") + 1).cast("int"))
+
+
+# ----------------------------------------------------------------- ranking ----
+
+
+@register(
+    "top_high_risk",
+    _w("scored")
+    + """
+SELECT student_id, name, risk_probability, gpa, branch, year, section FROM scored
+WHERE risk_category = 'High Risk' ORDER BY risk_probability DESC, student_id LIMIT 5
+""",
+)
+def q_top_high_risk(spark, sf_dir):
+    return K.top_high_risk(V.scored(spark, sf_dir))
+
+
+@register(
+    "top_high_risk_by_branch",
+    _w("scored")
+    + """
+SELECT * FROM (
+  SELECT student_id, name, risk_probability, gpa, branch, year, section,
+    CAST(row_number() OVER (PARTITION BY branch ORDER BY risk_probability DESC, student_id) AS INTEGER) AS rank
+  FROM scored WHERE risk_category = 'High Risk' AND branch IS NOT NULL)
+WHERE rank <= 5
+""",
+)
+def q_top_high_risk_by_branch(spark, sf_dir):
+    return K.top_high_risk_by_branch(V.scored(spark, sf_dir))
+
+
+@register(
+    "top_combinations",
+    "SELECT * FROM ("
+    + _group_sql(["branch", "year", "section"], with_att=False)
+    + " ORDER BY high_risk_pct DESC, branch, year, section LIMIT 5) WHERE high_risk_pct > 0",
+)
+def q_top_combinations(spark, sf_dir):
+    return K.top_combinations(V.scored(spark, sf_dir))
+
+
+_ALERT_SQL = "CASE WHEN avg_risk_pct > 80 THEN 'CRITICAL' WHEN avg_risk_pct > 60 THEN 'WARNING' ELSE 'NORMAL' END"
+
+
+@register(
+    "most_at_risk_branch",
+    _w("scored")
+    + f"""
+SELECT *, {_ALERT_SQL} AS alert FROM (
+  SELECT branch, CAST(count(*) AS BIGINT) AS high_risk_students,
+    CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct,
+    CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa
+  FROM scored WHERE risk_category = 'High Risk' AND branch IS NOT NULL GROUP BY branch
+  ORDER BY high_risk_students DESC, branch LIMIT 1)
+""",
+)
+def q_most_at_risk_branch(spark, sf_dir):
+    return K.most_at_risk_branch(V.scored(spark, sf_dir))
+
+
+@register(
+    "branch_alert_band",
+    _w("scored")
+    + f"""
+SELECT branch, avg_risk_pct, {_ALERT_SQL} AS alert,
+  CASE WHEN avg_risk_pct > 80 THEN '🚨 **CRITICAL:** ' || branch || ' has extremely high risk levels!'
+       WHEN avg_risk_pct > 60 THEN '⚠️ **WARNING:** ' || branch || ' requires immediate attention!' END AS message
+FROM (
+  SELECT branch, CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct
+  FROM scored WHERE risk_category = 'High Risk' AND branch IS NOT NULL GROUP BY branch)
+""",
+)
+def q_branch_alert_band(spark, sf_dir):
+    hb = A.high_risk_by_branch(V.scored(spark, sf_dir))
+    return hb.select(
+        "branch", "avg_risk_pct", K.alert_band(F.col("avg_risk_pct")).alias("alert"),
+        I.branch_alert_message(F.col("branch"), F.col("avg_risk_pct")).alias("message"),
+    )
+
+
+@register(
+    "student_vs_branch",
+    _w("scored")
+    + """
+SELECT s.student_id, s.branch, round_even(s.gpa - b.avg_gpa, 6) AS gpa_diff,
+  round_even(s.risk_probability - b.avg_risk_pct, 6) AS risk_diff,
+  CASE WHEN s.gpa - b.avg_gpa > 0 THEN 'above' ELSE 'below' END AS gpa_position,
+  CASE WHEN s.risk_probability - b.avg_risk_pct < 0 THEN 'below' ELSE 'above' END AS risk_position
+FROM scored s JOIN (
+  SELECT branch, CAST(round_even(CAST(avg(gpa) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_gpa,
+    CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct
+  FROM scored WHERE branch IS NOT NULL GROUP BY branch) b ON b.branch = s.branch
+""",
+)
+def q_student_vs_branch(spark, sf_dir):
+    return K.student_vs_branch(V.scored(spark, sf_dir))
+
+
+@register(
+    "student_lookup",
+    _w("scored_o")
+    + """
+SELECT student_id, name, ordinal, gpa, risk_category FROM (
+  SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY ordinal) AS rn FROM scored) WHERE rn = 1
+""",
+)
+def q_student_lookup(spark, sf_dir):
+    df = V.scored(spark, sf_dir, with_ordinal=True).select("student_id", "name", "ordinal", "gpa", "risk_category")
+    return D.first_students(df)
+
+
+@register("preview", _w("scored_o") + "SELECT * EXCLUDE (ordinal) FROM scored ORDER BY ordinal LIMIT 5")
+def q_preview(spark, sf_dir):
+    df = V.scored(spark, sf_dir, with_ordinal=True)
+    return df.orderBy("ordinal").limit(5).drop("ordinal")
+
+
+@register("original_columns", _w("scored") + "SELECT * EXCLUDE (risk_score, risk_category, risk_probability) FROM scored")
+def q_original_columns(spark, sf_dir):
+    return V.scored(spark, sf_dir).drop(*S.SCORED_COLUMNS)
+
+
+# ------------------------------------------------------- plans and texts ----
+
+_PLAN_CTE = """plan AS (
+  SELECT *, CASE WHEN risk_score = 0 THEN 'Low Risk' WHEN risk_score = 1 THEN 'Medium Risk' ELSE 'High Risk' END AS cat,
+    coalesce(gpa < 2.5, false) AS f_gpa, coalesce(attendance_rate < 0.7, false) AS f_att,
+    coalesce(assignment_completion < 0.6, false) AS f_cmp, coalesce(participation_score < 50, false) AS f_part
+  FROM scored),
+recs AS (
+  SELECT *, list_concat(
+    CASE cat WHEN 'High Risk' THEN {high} WHEN 'Medium Risk' THEN {medium} ELSE {low} END,
+    list_filter([{extra}], lambda x: x IS NOT NULL)) AS recs,
+    CASE cat WHEN 'High Risk' THEN {s_high} WHEN 'Medium Risk' THEN {s_medium} ELSE {s_low} END AS steps,
+    list_concat(list_filter([{m_extra}], lambda x: x IS NOT NULL),
+      CASE cat WHEN 'High Risk' THEN {m_high} WHEN 'Medium Risk' THEN {m_medium} ELSE []::VARCHAR[] END) AS metrics,
+    {factors} AS factors
+  FROM plan)"""
+
+
+def _sql_list(items):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+_FLAG = {"Low GPA": "f_gpa", "Poor Attendance": "f_att", "Incomplete Assignments": "f_cmp", "Low Participation": "f_part"}
+_PLAN_SQL = _PLAN_CTE.format(
+    high=_sql_list(S.BASE_RECOMMENDATIONS["High Risk"]),
+    medium=_sql_list(S.BASE_RECOMMENDATIONS["Medium Risk"]),
+    low=_sql_list(S.BASE_RECOMMENDATIONS["Low Risk"]),
+    extra=", ".join(f"CASE WHEN {_FLAG[f]} THEN '{t}' END" for f, t in S.FACTOR_RECOMMENDATIONS),
+    s_high=_sql_list(S.NEXT_STEPS["High Risk"]),
+    s_medium=_sql_list(S.NEXT_STEPS["Medium Risk"]),
+    s_low=_sql_list(S.NEXT_STEPS["Low Risk"]),
+    m_extra=", ".join(f"CASE WHEN {_FLAG[f]} THEN '{t}' END" for f, t in S.FACTOR_SUCCESS_METRICS),
+    m_high=_sql_list(S.CATEGORY_SUCCESS_METRICS["High Risk"]),
+    m_medium=_sql_list(S.CATEGORY_SUCCESS_METRICS["Medium Risk"]),
+    factors=_PLAN_FACTOR_SQL.format(extra=_PLAN_EXTRA),
+)
+
+
+def _wp() -> str:
+    return _w("scored").rstrip() + ",\n" + _PLAN_SQL + "\n"
+
+
+def _analysis(spark, sf_dir):
+    return I.with_analysis(V.scored(spark, sf_dir))
+
+
+@register("recommendations", _wp() + "SELECT student_id, cat AS plan_category, recs AS recommendations FROM recs")
+def q_recommendations(spark, sf_dir):
+    return _analysis(spark, sf_dir).select("student_id", "plan_category", "recommendations")
+
+
+@register("next_steps", _wp() + "SELECT student_id, steps AS next_steps FROM recs")
+def q_next_steps(spark, sf_dir):
+    return _analysis(spark, sf_dir).select("student_id", "next_steps")
+
+
+@register(
+    "success_metrics",
+    _wp()
+    + "SELECT student_id, metrics AS success_metrics, cat AS priority_level, "
+    "CASE WHEN cat = 'Low Risk' THEN '2-4 weeks' ELSE '4-8 weeks' END AS estimated_duration FROM recs",
+)
+def q_success_metrics(spark, sf_dir):
+    return _analysis(spark, sf_dir).select("student_id", "success_metrics", "priority_level", "estimated_duration")
+
+
+_PHASE_ROWS = ", ".join(
+    [f"('{c}', '{p}', '{ws[0]}', '{ws[-1]}')" for c, phases in S.TIMELINE_KEYWORDS.items() for p, ws in phases]
+    + ["('Low Risk', 'ongoing', '', '')"]
+)
+_TIMELINE_SQL = f"""
+SELECT i.student_id, p.phase,
+  CAST(row_number() OVER (PARTITION BY i.student_id, p.phase ORDER BY i.pos) AS INTEGER) AS position, i.item AS action
+FROM (SELECT student_id, cat, unnest(recs) AS item, generate_subscripts(recs, 1) AS pos FROM recs) i
+JOIN (VALUES {_PHASE_ROWS}) p(cat, phase, w1, w2)
+  ON p.cat = i.cat AND (contains(lower(i.item), p.w1) OR contains(lower(i.item), p.w2))
+"""
+
+
+@register("plan_timeline", _wp() + _TIMELINE_SQL)
+def q_plan_timeline(spark, sf_dir):
+    return I.timeline_rows(_analysis(spark, sf_dir)).select("student_id", "phase", "position", "action")
+
+
+@register(
+    "timeline_rows",
+    _wp()
+    + "SELECT *, CASE phase WHEN 'immediate' THEN 0 WHEN 'week_1' THEN 7 ELSE 30 END AS start_day, "
+    "CASE phase WHEN 'immediate' THEN 1 WHEN 'week_1' THEN 7 ELSE 30 END AS duration_days FROM ("
+    + _TIMELINE_SQL
+    + ")",
+)
+def q_timeline_rows(spark, sf_dir):
+    return I.timeline_rows(_analysis(spark, sf_dir))
+
+
+_NL = "chr(10)"
+_IND = "'" + S.SUMMARY_INDENT + "'"
+_SEP = f"{_NL} || {_IND} || {_NL} || {_IND}"
+
+
+@register(
+    "text_summary",
+    _wp()
+    + f"""
+SELECT student_id,
+  '**Student Risk Analysis Summary for ' || coalesce(name, 'None') || '**' || {_SEP} || '**Risk Level:** ' || cat
+  || {_SEP} || '**Key Risk Factors Identified:**' || {_NL} || {_IND}
+  || CASE WHEN factors = '' THEN '{S.NO_FACTORS_TEXT}' ELSE factors END
+  || {_SEP} || '**Recommended Interventions:**' || {_NL} || {_IND}
+  || array_to_string(list_transform(recs[1:3], lambda x: '• ' || x), {_NL})
+  || {_SEP} || '**Next Steps:**' || {_NL} || {_IND}
+  || array_to_string(list_transform(steps[1:3], lambda x: '• ' || x), {_NL}) AS summary
+FROM recs
+""",
+)
+def q_text_summary(spark, sf_dir):
+    return _analysis(spark, sf_dir).select("student_id", I.summary_text(F.col("name")).alias("summary"))
+
+
+@register(
+    "student_label",
+    _w("scored")
+    + "SELECT student_id, concat_ws(' - ', student_id, name, '(' || branch || ')', year, 'Sec-' || section, "
+    "'[' || risk_category || ']') AS label FROM scored",
+)
+def q_student_label(spark, sf_dir):
+    df = V.scored(spark, sf_dir)
+    return df.select("student_id", I.student_label(df).alias("label"))
+
+
+@register(
+    "category_banner",
+    _w("scored")
+    + "SELECT student_id, CASE risk_category WHEN 'High Risk' THEN '🚨 **HIGH RISK STUDENT** - Immediate intervention required!' "
+    "WHEN 'Medium Risk' THEN '⚠️ **MEDIUM RISK STUDENT** - Monitoring and support recommended' "
+    "ELSE '✅ **LOW RISK STUDENT** - Regular monitoring sufficient' END AS banner FROM scored",
+)
+def q_category_banner(spark, sf_dir):
+    return V.scored(spark, sf_dir).select("student_id", I.category_banner(F.col("risk_category")).alias("banner"))
+
+
+@register(
+    "student_report",
+    _w("scored")
+    + "SELECT name, student_id, gpa, attendance_rate, assignment_completion, risk_category, risk_probability, "
+    "quiz_scores, participation_score, lms_activity, late_submissions, '2002-01-01 00:00:00' AS generated_at FROM scored",
+)
+def q_student_report(spark, sf_dir):
+    rep = I.student_report(V.scored(spark, sf_dir))
+    return rep.select("student_info.*", "risk_assessment.*", "performance_metrics.*", "generated_at")
+
+
+def _tpl(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _fill_sql(t: str) -> str:
+    return (
+        f"replace(replace(replace(replace({_tpl(t)}, '{{name}}', name), '{{subject}}', coalesce(subject_name, '')), "
+        "'{risk}', risk_text), '{status_upper}', upper(status))"
+    )
+
+
+_MARKER = "CASE lvl WHEN 'High Risk' THEN '🔴 ' WHEN 'Medium Risk' THEN '🟡 ' ELSE '🟢 ' END"
+
+
+@register(
+    "notification_outbox",
+    _w("scored", "decisions")
+    + f"""
+, j AS (
+  SELECT d.*, s.name, s.email, s.risk_category,
+    CASE d.subject {' '.join(f"WHEN '{x}' THEN s.{x}_attendance" for x in S.SUBJECTS)} END AS att,
+    CASE d.subject {' '.join(f"WHEN '{x}' THEN s.{x}_performance" for x in S.SUBJECTS)} END AS perf,
+    CASE d.subject {' '.join(f"WHEN '{x}' THEN '{S.SUBJECT_NAMES[x]}'" for x in S.SUBJECTS)} END AS subject_name
+  FROM decisions d JOIN scored s ON s.student_id = d.student_id
+  WHERE coalesce(regexp_matches(s.email, '{S.EMAIL_PATTERN}'), false)),
+k AS (SELECT *, CASE WHEN coalesce(att < 0.6, false) OR coalesce(perf < 50, false) THEN 'High Risk'
+    WHEN coalesce(att < 0.75, false) OR coalesce(perf < 65, false) THEN 'Medium Risk' ELSE 'Low Risk' END AS lvl FROM j),
+m AS (SELECT *, CASE WHEN subject IS NULL THEN coalesce(risk_category, 'Unknown') ELSE {_MARKER} || lvl END AS risk_text FROM k)
+SELECT student_id, subject, decided_at, tie1, tie2, tie3, tie4, email AS recipient,
+  CASE WHEN subject_name IS NOT NULL
+    THEN 'Academic Support Update - ' || subject_name || ' - ' || upper(substr(status, 1, 1)) || lower(substr(status, 2)) || ' Intervention'
+    ELSE 'Academic Support Update - ' || upper(substr(status, 1, 1)) || lower(substr(status, 2)) || ' Intervention' END AS subject_line,
+  CASE WHEN status = 'approved' THEN
+    CASE WHEN subject_name IS NOT NULL THEN {_fill_sql(S.EMAIL_APPROVED_SUBJECT_HEAD)} ELSE {_fill_sql(S.EMAIL_APPROVED_OVERALL_HEAD)} END
+    || {_tpl(S.EMAIL_APPROVED_TAIL)}
+  ELSE CASE WHEN subject_name IS NOT NULL THEN {_fill_sql(S.EMAIL_DECLINED_SUBJECT)} ELSE {_fill_sql(S.EMAIL_DECLINED_OVERALL)} END
+  END AS body
+FROM m
+""",
+)
+def q_notification_outbox(spark, sf_dir):
+    return I.notification_outbox(V.decisions(spark, sf_dir), V.scored(spark, sf_dir))
+
+
+@register(
+    "optional_defaults",
+    _w("students")
+    + """
+SELECT student_id, concat_ws(', ',
+    CASE WHEN gpa < 2.5 THEN 'Low GPA' END,
+    CASE WHEN attendance_rate < 0.7 THEN 'Poor Attendance' END,
+    CASE WHEN assignment_completion < 0.6 THEN 'Incomplete Assignments' END,
+    CASE WHEN quiz_scores < 60 THEN 'Low Quiz Performance' END,
+    CASE WHEN participation_score < 50 THEN 'Low Participation' END,
+    'Minimal LMS Engagement', 'No Office Hours Visits') AS risk_factors
+FROM students
+""",
+)
+def q_optional_defaults(spark, sf_dir):
+    """A required-columns-only upload: absent LMS / office-hours columns take
+    their defaults and therefore flag every student; absent late submissions
+    never flag (T3)."""
+    df = V.students(spark, sf_dir).select(*S.REQUIRED_COLUMNS)
+    return df.select("student_id", F.array_join(R.plan_factors(df), ", ").alias("risk_factors"))
+
+
+# -------------------------------------------------------------- evaluation ----
+
+
+@register(
+    "model_accuracy",
+    _w("model_pairs") + "SELECT round_even(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy, "
+    "CAST(count(*) AS BIGINT) AS n FROM model_pairs",
+)
+def q_model_accuracy(spark, sf_dir):
+    return EV.accuracy(V.model_pairs(spark, sf_dir))
+
+
+@register(
+    "confusion_matrix",
+    _w("model_pairs")
+    + """
+SELECT g.label, g.prediction, CAST(count(p.id) AS BIGINT) AS n
+FROM (SELECT a.k AS label, b.k AS prediction FROM (VALUES (0), (1), (2)) a(k), (VALUES (0), (1), (2)) b(k)) g
+LEFT JOIN model_pairs p ON p.label = g.label AND p.prediction = g.prediction
+GROUP BY g.label, g.prediction
+""",
+)
+def q_confusion_matrix(spark, sf_dir):
+    return EV.confusion_matrix(V.model_pairs(spark, sf_dir))
+
+
+@register(
+    "classification_report",
+    _w("model_pairs")
+    + """
+, per AS (
+  SELECT CAST(k AS VARCHAR) AS class,
+    coalesce(count_if(label = k AND prediction = k) / nullif(count_if(prediction = k), 0), 0.0) AS p,
+    coalesce(count_if(label = k AND prediction = k) / nullif(count_if(label = k), 0), 0.0) AS r,
+    count_if(label = k) AS support
+  FROM model_pairs, (VALUES (0), (1), (2)) c(k) GROUP BY k),
+per2 AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f FROM per)
+SELECT class, round_even(p, 6) AS precision, round_even(r, 6) AS recall, round_even(f, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM per2
+UNION ALL SELECT 'macro avg', round_even(avg(p), 6), round_even(avg(r), 6), round_even(avg(f), 6), CAST(sum(support) AS BIGINT) FROM per2
+UNION ALL SELECT 'weighted avg', round_even(sum(p * support) / sum(support), 6), round_even(sum(r * support) / sum(support), 6),
+  round_even(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM per2
+""",
+)
+def q_classification_report(spark, sf_dir):
+    return EV.classification_report(V.model_pairs(spark, sf_dir))
