@@ -11,9 +11,11 @@ from ..operators import aggregates as A
 from ..operators import decisions as D
 from ..operators import evaluation as EV
 from ..operators import interventions as I
+from ..operators import model as M
 from ..operators import quality as Q
 from ..operators import ranking as K
 from ..sources import fixtures as FX
+from ..streaming import incremental as ST
 from . import views as V
 from .registry import register
 
@@ -1045,3 +1047,121 @@ UNION ALL SELECT 'weighted avg', round_even(sum(p * support) / sum(support), 6),
 )
 def q_classification_report(spark, sf_dir):
     return EV.classification_report(V.model_pairs(spark, sf_dir))
+
+
+# --------------------------------------------------------------- streaming ----
+
+
+@register("stream_scoring", _w("scored") + "SELECT * FROM scored")
+def q_stream_scoring(spark, sf_dir):
+    return ST.stream_scoring(spark, sf_dir)
+
+
+@register("stream_alerts", _w("scored") + "SELECT * FROM scored WHERE risk_category = 'High Risk'")
+def q_stream_alerts(spark, sf_dir):
+    return ST.stream_scoring(spark, sf_dir, only_high=True)
+
+
+@register(
+    "stream_current_decision",
+    _w("decisions")
+    + """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY student_id, subject
+    ORDER BY decided_at DESC, tie1 DESC, tie2 DESC, tie3 DESC, tie4 DESC) AS rn FROM decisions)
+WHERE rn = 1
+""",
+)
+def q_stream_current_decision(spark, sf_dir):
+    return ST.stream_current_decision(spark, sf_dir)
+
+
+# --------------------------------------------------------------- file I/O ----
+
+
+@register("csv_roundtrip", _w("students") + "SELECT * EXCLUDE (risk_probability_fixture) FROM students")
+def q_csv_roundtrip(spark, sf_dir):
+    """Write the student view as CSV to the shared scratch folder and read it
+    back through the upload path (declared schema, corrupt-row quarantine)."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    students = V.students(spark, sf_dir).drop("risk_probability_fixture")
+    path = scratch_path(spark, f"csv/students-{uuid.uuid4().hex[:12]}")
+    FS.write_csv(students, path)
+    up = FS.read_students_csv(spark, path, header_cols=students.columns)
+    return up.rows
+
+
+# ------------------------------------------------------------------- model ----
+
+
+@register(
+    "standardize",
+    _w("scored")
+    + "SELECT student_id, "
+    + ", ".join(
+        f"round_even((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}"
+        for c in S.FEATURE_COLUMNS
+    )
+    + " FROM scored",
+)
+def q_standardize(spark, sf_dir):
+    df = M.standardize(V.scored(spark, sf_dir), S.FEATURE_COLUMNS)
+    return df.select("student_id", *[F.bround(F.col(c), 6).alias(c) for c in S.FEATURE_COLUMNS])
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """Class shares of the 80/20 split: per class, train and test counts."""
+    data = V.scored(spark, sf_dir)
+    train, test = M.stratified_split(data)
+    a = train.groupBy("risk_score").agg(F.count(F.lit(1)).cast("bigint").alias("n_train"))
+    b = test.groupBy("risk_score").agg(F.count(F.lit(1)).cast("bigint").alias("n_test"))
+    return a.join(b, "risk_score", "full")
+
+
+def _trained(spark, sf_dir, model_type="random_forest"):
+    key = (sf_dir, model_type, id(spark))
+    if key not in _MODEL_CACHE:
+        result, _ = M.train(V.scored(spark, sf_dir), model_type)
+        _MODEL_CACHE[key] = result
+    return _MODEL_CACHE[key]
+
+
+_MODEL_CACHE: dict = {}
+
+
+@register("model_scoring")
+def q_model_scoring(spark, sf_dir):
+    """Random forest (100 trees, depth 10) trained on the 80 % split, scoring
+    every student; rows-only check (model output is not SQL)."""
+    res = _trained(spark, sf_dir)
+    out = M.score(res.model, V.scored(spark, sf_dir))
+    return out.select("student_id", "risk_score", "prediction_score", "predicted_category", "risk_probability_model", "p_high_risk")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    res = _trained(spark, sf_dir)
+    return M.importance_frame(spark, res.model, res.features)
+
+
+@register("model_explanation")
+def q_model_explanation(spark, sf_dir):
+    res = _trained(spark, sf_dir)
+    return M.explanation(V.scored(spark, sf_dir), M.feature_importance(res.model, res.features))
+
+
+@register("model_evaluation")
+def q_model_evaluation(spark, sf_dir):
+    """Held-out evaluation of the trained model: the classification report of
+    its (label, prediction) pairs, same operator as the SQL-checked one."""
+    res = _trained(spark, sf_dir)
+    _, test = M.stratified_split(V.scored(spark, sf_dir).withColumn("risk_score", F.col("risk_score").cast("double")))
+    pairs = M.score(res.model, test).select(
+        F.col("risk_score").cast("int").alias("label"), F.col("prediction_score").alias("prediction")
+    )
+    return EV.classification_report(pairs)
