@@ -50,16 +50,22 @@ def _phase_items(recs: Column, words: list[str]) -> Column:
     return F.filter(recs, match)
 
 
-def timeline(cat: Column, recs: Column) -> Column:
-    """Phase -> items by lower-case keywords; an item may sit in 0..n phases;
-    Low Risk has a single 'ongoing' phase with everything (C15)."""
-    maps = {}
-    for c, phases in S.TIMELINE_KEYWORDS.items():
-        maps[c] = F.map_from_arrays(
-            F.array(*[F.lit(p) for p, _ in phases]), F.array(*[_phase_items(recs, ws) for _, ws in phases])
+def timeline_phases(cat: Column, recs: Column) -> Column:
+    """Ordered (phase, actions) pairs: phase -> items by lower-case keywords;
+    an item may sit in 0..n phases; Low Risk has a single 'ongoing' phase
+    holding everything (C15)."""
+    def phases(c: str) -> Column:
+        return F.array(
+            *[F.struct(F.lit(p).alias("phase"), _phase_items(recs, ws).alias("actions")) for p, ws in S.TIMELINE_KEYWORDS[c]]
         )
-    low = F.map_from_arrays(F.array(F.lit("ongoing")), F.array(recs))
-    return F.when(cat == "High Risk", maps["High Risk"]).when(cat == "Medium Risk", maps["Medium Risk"]).otherwise(low)
+
+    low = F.array(F.struct(F.lit("ongoing").alias("phase"), recs.alias("actions")))
+    return F.when(cat == "High Risk", phases("High Risk")).when(cat == "Medium Risk", phases("Medium Risk")).otherwise(low)
+
+
+def timeline(cat: Column, recs: Column) -> Column:
+    """The timeline as a map phase -> items (insertion order kept)."""
+    return F.map_from_entries(timeline_phases(cat, recs))
 
 
 def next_steps(cat: Column) -> Column:
@@ -88,15 +94,16 @@ def with_analysis(df: DataFrame, score_col: str = "risk_score") -> DataFrame:
     cat = R.agent_category(F.col(score_col))
     out = df.withColumns({"plan_category": cat, "risk_factors": R.plan_factors(df)})
     out = out.withColumn("recommendations", recommendations(F.col("plan_category"), F.col("risk_factors")))
-    return out.withColumns(
+    out = out.withColumns(
         {
-            "timeline": timeline(F.col("plan_category"), F.col("recommendations")),
+            "timeline_phases": timeline_phases(F.col("plan_category"), F.col("recommendations")),
             "next_steps": next_steps(F.col("plan_category")),
             "success_metrics": success_metrics(F.col("plan_category"), F.col("risk_factors")),
             "priority_level": F.col("plan_category"),
             "estimated_duration": estimated_duration(F.col("plan_category")),
         }
     )
+    return out.withColumn("timeline", F.map_from_entries("timeline_phases"))
 
 
 def analysis_struct() -> Column:
@@ -142,7 +149,10 @@ def summary_text(name: Column) -> Column:
 def timeline_rows(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per (phase, action) with chart start / duration days."""
     keep = keep or ["student_id"]
-    phases = df.select(*keep, F.explode("timeline").alias("phase", "actions"))
+    # Generated from the (phase, actions) array rather than exploding the map:
+    # exploding the map lets the optimizer copy the whole plan expression
+    # into an inferred non-empty filter below it.
+    phases = df.select(*keep, F.inline("timeline_phases"))
     rows = phases.select(*keep, "phase", F.posexplode("actions").alias("position", "action"))
     start = F.lit(S.TIMELINE_DEFAULT_START_DURATION[0])
     dur = F.lit(S.TIMELINE_DEFAULT_START_DURATION[1])

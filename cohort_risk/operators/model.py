@@ -20,6 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +121,15 @@ def train(prepared: DataFrame, model_type: str = "random_forest") -> tuple[Train
     features = Q.available_features(prepared)
     data = prepared.withColumn(LABEL, F.col(LABEL).cast("double"))
     tr, te = stratified_split(data)
-    check_classes(tr)
-    model = build_pipeline(tr, features, model_type).fit(tr)
+    # The training rows are read by the scaler fit, the class check and the
+    # classifier; keep them instead of recomputing the split each time
+    # (a lost cached block is recomputed from lineage).
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        check_classes(tr)
+        model = build_pipeline(tr, features, model_type).fit(tr)
+    finally:
+        tr.unpersist()
     scored_test = score(model, te)
     acc = scored_test.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
     return TrainResult(model, features, model_type, acc), scored_test

@@ -72,26 +72,30 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------- imputation ----
 
 
-def _median_struct(df: DataFrame, cols: list[str], exact: bool, accuracy: int) -> Column:
-    """A scalar subquery holding every column's median in one struct: a single
-    aggregate job, reused by each reference (no join, no driver round trip)."""
+def column_medians(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> dict:
+    """Medians of ``cols`` from one aggregate job: partial aggregation per
+    task, one merge. The result is one row of len(cols) numbers (a fitted
+    constant, like a model parameter). ``exact`` keeps pandas / DuckDB
+    semantics (T8); ``exact=False`` uses the mergeable quantile sketch whose
+    memory does not grow with the number of distinct values."""
     if exact:
         meds = [F.median(c).alias(c) for c in cols]
     else:
         meds = [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in cols]
-    return df.agg(F.struct(*meds).alias("m")).scalar()
+    row = df.agg(*meds).first()
+    return {c: (None if row[c] is None else float(row[c])) for c in cols}
 
 
 def impute_median(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Fill NULLs with the column median (B4/B5). ``exact`` uses the exact
-    median (pandas / DuckDB semantics, T8); for very high-cardinality columns
-    at scale use ``exact=False`` (mergeable quantile sketch, bounded memory)."""
+    """Fill NULLs with the column median (B4/B5). The medians enter the plan
+    as literals, so the fill is a narrow projection (no join, no per-column
+    subquery)."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    med = _median_struct(df, cols, exact, accuracy)
+    med = column_medians(df, cols, exact, accuracy)
     # Integer columns become double, as a pandas column holding NaN does.
-    fills = {c: F.coalesce(F.col(c).cast("double"), med.getField(c)) for c in cols}
+    fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in cols}
     return df.withColumns(fills)
 
 

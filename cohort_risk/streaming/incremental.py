@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import rules as R
 from ..operators import decisions as D
+from ..operators import quality as Q
 from ..session import scratch_path
 from ..sources import fixtures as FX
 
@@ -44,8 +45,7 @@ def _prepare_state_store(spark: SparkSession) -> None:
 def fit_medians(train: DataFrame, cols: list[str] = S.FEATURE_COLUMNS) -> dict[str, float | None]:
     """Training medians of the model features: one aggregate row."""
     cols = [c for c in cols if c in train.columns]
-    row = R.nan_to_null(train).agg(*[F.median(c).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    return Q.column_medians(R.nan_to_null(train), cols)
 
 
 def score_rows(df: DataFrame, medians: dict[str, float | None], probability_col: str | None = "risk_probability_fixture") -> DataFrame:
