@@ -289,3 +289,73 @@ def intervention_metrics(df: DataFrame) -> DataFrame:
         F.bround(pct(md, n), 6).alias("medium_risk_pct"),
         F.bround(pct(lo, n), 6).alias("low_risk_pct"),
     )
+
+
+# ------------------------------------------------------------ correlation ----
+
+
+def correlation_long(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
+    """Pearson correlation of every column pair (i < j), pairwise complete
+    (E13). ``auto`` first counts NULLs per column (one aggregate row): with
+    complete columns the pairwise and the all-rows correlations coincide and
+    Spark ML's ``Correlation`` computes the whole matrix in one JVM pass;
+    otherwise every pair is aggregated on its own complete rows."""
+    if method == "auto":
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        method = "matrix" if all(nulls[c] == 0 for c in cols) else "pairs"
+    if method == "matrix":
+        return _correlation_matrix(df, cols)
+    return _correlation_pairs(df, cols)
+
+
+def _correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Complete columns: one pass of ``pyspark.ml.stat.Correlation``; the
+    #cols x #cols result (bounded by the column count) becomes the long form.
+    A constant column yields NaN there, reported as NULL (T7)."""
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="_v").transform(
+        df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    )
+    n = df.count()
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    rows = []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            v = float(m[i][j])
+            rows.append((a, cols[j], n, None if math.isnan(v) else round(v, 6)))
+    spark = df.sparkSession
+    return spark.createDataFrame(rows, "col_x string, col_y string, n bigint, corr double").select(
+        "col_x", "col_y", "n", F.bround("corr", 6).alias("corr")
+    )
+
+
+def _correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete form: each row fans out to one (pair, x, y) record
+    per pair; the aggregate is partial per task, so at most #pairs groups per
+    task are shuffled whatever the table size. ``try_divide`` makes a
+    constant column NULL instead of a division error (T7)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    recs = F.array(
+        *[
+            F.struct(
+                F.lit(a).alias("col_x"),
+                F.lit(b).alias("col_y"),
+                F.col(a).cast("double").alias("x"),
+                F.col(b).cast("double").alias("y"),
+            )
+            for a, b in pairs
+        ]
+    )
+    long = df.select(F.inline(recs))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    agg = long.groupBy("col_x", "col_y").agg(
+        F.covar_pop("x", "y").alias("cov"),
+        F.var_pop(F.when(both, F.col("x"))).alias("vx"),
+        F.var_pop(F.when(both, F.col("y"))).alias("vy"),
+        F.count_if(both).cast("bigint").alias("n"),
+    )
+    return agg.select("col_x", "col_y", "n", F.bround(F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * F.col("vy"))), 6).alias("corr"))

