@@ -169,7 +169,9 @@ def synthesize_missing_features(df: DataFrame, seed: int = S.SEED) -> DataFrame:
     if "study_group_participation" not in out.columns:
         out = out.withColumn("study_group_participation", beta_int(3, 7, seed + 4))
     if "previous_semester_gpa" not in out.columns:
-        out = out.withColumn("previous_semester_gpa", clip(F.col("gpa") + F.randn(seed + 5) * 0.2, 0.0, 4.0))
+        # draw, then clip the drawn column (see generator: never clip the raw random expression)
+        out = out.withColumn("previous_semester_gpa", F.col("gpa") + F.randn(seed + 5) * 0.2)
+        out = out.withColumn("previous_semester_gpa", clip(F.col("previous_semester_gpa"), 0.0, 4.0))
     return out
 
 

@@ -1,7 +1,7 @@
 """File sources and sinks.
 
 CSV uploads are read with the declared schema (no inference pass over the
-data), in PERMISSIVE mode with a corrupt-record column: a malformed value
+data): fields are read as text and cast with ``try_cast``; a malformed value
 (``gpa = abc``) quarantines its row instead of failing the job (T5).
 Columns the file does not carry are added as typed NULLs and reported in
 ``missing`` so the absent-column defaults (T3) can tell "column absent"
@@ -25,7 +25,7 @@ CORRUPT = "_corrupt_record"
 @dataclass
 class Upload:
     rows: DataFrame  # well-formed rows, declared schema
-    rejected: DataFrame  # raw text of malformed rows
+    rejected: DataFrame  # raw text of malformed rows + the columns that failed
     present: list[str]  # columns the file carries (header order)
     missing: list[str]  # declared columns the file lacks
 
@@ -37,22 +37,27 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_students_csv(spark: SparkSession, path: str, header_cols: list[str] | None = None) -> Upload:
-    """A1: read a student CSV with the declared types. The file's own columns
-    are read positionally under their declared types; unknown columns are
-    kept as strings."""
+    """A1: read a student CSV with the declared types. Every field is read as
+    text and cast with ``try_cast`` to its declared type; a row whose
+    non-empty field does not cast (``gpa = abc``) is quarantined with the
+    failing column names instead of failing the job (T5). The decision looks
+    at all declared columns, so it does not depend on which columns a later
+    query reads (CSV column pruning cannot hide a bad value). Unknown
+    columns are kept as text."""
     cols = header_cols if header_cols is not None else read_header(spark, path)
     declared = {f.name: f.dataType for f in S.STUDENT_SCHEMA.fields}
-    fields = [T.StructField(c, declared.get(c, T.StringType())) for c in cols]
-    schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+    raw = spark.read.schema(text).option("header", True).csv(path)
+    typed = {c: F.col(c).try_cast(declared[c]) if c in declared and declared[c] != T.StringType() else F.col(c) for c in cols}
+    bad = F.filter(
+        F.array(*[F.when(F.col(c).isNotNull() & typed[c].isNull(), F.lit(c)) for c in cols if c in declared]),
+        lambda x: x.isNotNull(),
+    )
+    tagged = raw.select(*[typed[c].alias(c) for c in cols], bad.alias(CORRUPT), *[F.col(c).alias(f"_raw_{c}") for c in cols])
+    rows = tagged.filter(F.size(CORRUPT) == 0).select(*cols)
+    rejected = tagged.filter(F.size(CORRUPT) > 0).select(
+        F.col(CORRUPT).alias("bad_columns"), *[F.col(f"_raw_{c}").alias(c) for c in cols]
     )
-    rows = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejected = raw.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     missing = [c for c in S.STUDENT_COLUMNS if c not in cols]
     return Upload(rows, rejected, list(cols), missing)
 

@@ -19,17 +19,13 @@ def _choice(values: list[str], seed: int) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx)
 
 
-def _numeric(kind: str, params: tuple, bounds, seed: int) -> Column:
+def _numeric(kind: str, params: tuple, seed: int) -> Column:
     if kind == "normal":
         mu, sd = params
-        col = F.lit(mu) + F.randn(seed) * F.lit(sd)
-    elif kind == "beta":
-        col = beta_int(params[0], params[1], seed)
-    else:
-        col = poisson(params[0], seed)
-    if bounds is not None:
-        col = clip(col, *bounds)
-    return col
+        return F.lit(mu) + F.randn(seed) * F.lit(sd)
+    if kind == "beta":
+        return beta_int(params[0], params[1], seed)
+    return poisson(params[0], seed)
 
 
 def generate_students(spark: SparkSession, n: int, seed: int = S.SEED, partitions: int | None = None) -> DataFrame:
@@ -45,9 +41,16 @@ def generate_students(spark: SparkSession, n: int, seed: int = S.SEED, partition
     for name, values in S.GENERATOR_CHOICES.items():
         k += 1
         cols[name] = _choice(values, seed * 100 + k)
-    for name, kind, params, bounds in S.GENERATOR_NUMERIC:
+    bounds = {}
+    for name, kind, params, bnd in S.GENERATOR_NUMERIC:
         k += 1
-        cols[name] = _numeric(kind, params, bounds, seed * 100 + k)
-    out = ids.select(F.col("id").alias("ordinal"), *[c.alias(n_) for n_, c in cols.items()])
+        cols[name] = _numeric(kind, params, seed * 100 + k)
+        if bnd is not None:
+            bounds[name] = bnd
+    # Draw first, clip in a second projection: a clip written around the
+    # random expression itself would copy it into lazily evaluated CASE
+    # branches whose generators then fall out of step.
+    drawn = ids.select(F.col("id").alias("ordinal"), *[c.alias(n_) for n_, c in cols.items()])
+    clipped = drawn.withColumns({c: clip(F.col(c), lo, hi) for c, (lo, hi) in bounds.items()})
     types = {f.name: f.dataType for f in S.STUDENT_SCHEMA.fields}
-    return out.select("ordinal", *[F.col(c).cast(types[c]).alias(c) for c in S.STUDENT_COLUMNS])
+    return clipped.select("ordinal", *[F.col(c).cast(types[c]).alias(c) for c in S.STUDENT_COLUMNS])
