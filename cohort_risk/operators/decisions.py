@@ -40,21 +40,47 @@ def current_decisions(decisions: DataFrame, order: list[str] = DECISION_ORDER, c
     return decisions.groupBy(*KEY).agg(latest).select(*KEY, *[F.col(f"d.{c}").alias(c) for c in payload])
 
 
-def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER) -> DataFrame:
+def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER, bucket: str = "day") -> DataFrame:
     """Every status flip with the previous status and its time (G5): the full
-    history that the reference keeps one level deep. ``lag`` over each key,
-    ordered by decision time."""
+    history that the reference keeps one level deep.
+
+    ``lag`` runs per (key, time bucket), so the history of one key is spread
+    over as many tasks as it has buckets instead of landing in a single task.
+    The first row of a bucket takes its predecessor from a small per-bucket
+    table (last decision of each bucket, a partial ``max_by`` aggregate) via a
+    lag over the buckets of the key, joined back on (key, bucket)."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*KEY).orderBy(*[F.col(c) for c in order])
-    prev = decisions.select(
-        *KEY,
+    b = F.date_trunc(bucket, F.col("decided_at").cast("timestamp"))
+    rows = decisions.withColumn("_bucket", b)
+    part = [*KEY, "_bucket"]
+    ordered = [F.col(c) for c in order]
+    w = Window.partitionBy(*part).orderBy(*ordered)
+    inner = rows.select(
+        *part,
         "status",
         "decided_at",
-        F.lag("status").over(w).alias("previous_status"),
-        F.lag("decided_at").over(w).alias("changed_from"),
+        F.lag("status").over(w).alias("_prev_status"),
+        F.lag("decided_at").over(w).alias("_prev_at"),
+        (F.row_number().over(w) == 1).alias("_first"),
+    )
+    last = rows.groupBy(*part).agg(
+        F.max_by(F.struct(F.col("status").alias("status"), F.col("decided_at").alias("decided_at")), _order_struct(order)).alias("_last")
+    )
+    wb = Window.partitionBy(*KEY).orderBy("_bucket")
+    prev_bucket = last.select(*part, F.lag("_last").over(wb).alias("_before"))
+    cond = [inner[c].eqNullSafe(prev_bucket[c]) for c in part]
+    j = inner.join(prev_bucket, cond, "left")
+    prev_status = F.when(inner["_first"], F.col("_before.status")).otherwise(F.col("_prev_status"))
+    prev_at = F.when(inner["_first"], F.col("_before.decided_at")).otherwise(F.col("_prev_at"))
+    out = j.select(
+        *[inner[c] for c in KEY],
+        inner["status"],
+        inner["decided_at"],
+        prev_status.alias("previous_status"),
+        prev_at.alias("changed_from"),
     )
-    return prev.filter(F.col("previous_status").isNotNull() & (F.col("previous_status") != F.col("status")))
+    return out.filter(F.col("previous_status").isNotNull() & (F.col("previous_status") != F.col("status")))
 
 
 def overall(decisions: DataFrame) -> DataFrame:

@@ -72,21 +72,35 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------- imputation ----
 
 
-def column_medians(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> dict:
+MAX_EXACT_DISTINCT = 1_000_000
+
+
+def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000,
+                   max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict:
     """Medians of ``cols`` from one aggregate job: partial aggregation per
     task, one merge. The result is one row of len(cols) numbers (a fitted
-    constant, like a model parameter). ``exact`` keeps pandas / DuckDB
-    semantics (T8); ``exact=False`` uses the mergeable quantile sketch whose
-    memory does not grow with the number of distinct values."""
-    if exact:
-        meds = [F.median(c).alias(c) for c in cols]
+    constant, like a model parameter).
+
+    The exact median (pandas / DuckDB semantics, T8) keeps a value -> count
+    map whose size is the number of *distinct* values. ``exact="auto"`` first
+    estimates distinct counts (HyperLogLog, fixed memory) and switches a
+    column with more than ``max_exact_distinct`` values to the mergeable
+    quantile sketch (rank error <= n / accuracy); ``True`` / ``False`` force
+    one or the other."""
+    if exact == "auto":
+        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
+        exact_cols = {c for c in cols if (nd[c] or 0) <= max_exact_distinct}
     else:
-        meds = [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in cols]
+        exact_cols = set(cols) if exact else set()
+    meds = [
+        F.median(c).alias(c) if c in exact_cols else F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c)
+        for c in cols
+    ]
     row = df.agg(*meds).first()
     return {c: (None if row[c] is None else float(row[c])) for c in cols}
 
 
-def impute_median(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000) -> DataFrame:
     """Fill NULLs with the column median (B4/B5). The medians enter the plan
     as literals, so the fill is a narrow projection (no join, no per-column
     subquery)."""
@@ -99,7 +113,7 @@ def impute_median(df: DataFrame, cols: list[str], exact: bool = True, accuracy:
     return df.withColumns(fills)
 
 
-def impute_features(df: DataFrame, exact: bool = True) -> DataFrame:
+def impute_features(df: DataFrame, exact: bool | str = "auto") -> DataFrame:
     """Median-impute the ten model features that are present."""
     return impute_median(df, S.FEATURE_COLUMNS, exact)
 
@@ -108,7 +122,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def impute_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
+def impute_numeric(df: DataFrame, exact: bool | str = "auto") -> DataFrame:
     """Median-impute every numeric column."""
     return impute_median(df, numeric_columns(df), exact)
 
@@ -184,7 +198,7 @@ def preprocess(df: DataFrame, seed: int = S.SEED) -> DataFrame:
 # ------------------------------------------------------------ preparation ----
 
 
-def prepare(df: DataFrame, exact: bool = True) -> DataFrame:
+def prepare(df: DataFrame, exact: bool | str = "auto") -> DataFrame:
     """Label first on raw values (T2), then impute the model features.
     Returns the input columns (features imputed) plus ``risk_score``."""
     clean = R.nan_to_null(df)

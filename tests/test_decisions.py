@@ -77,3 +77,22 @@ def test_duplicate_student_ids_first_and_last(spark):
 def test_empty_decisions_rate_is_zero(spark):
     k = D.decision_kpis(_log(spark, [])).first()
     assert (k.total_decisions, k.approval_rate) == (0, 0.0)
+
+
+def test_change_history_within_and_across_buckets(spark):
+    rows = [
+        ("S1", "math", "approved", dt.datetime(2024, 1, 1, 9), 1, 1, 1.0, 1),
+        ("S1", "math", "declined", dt.datetime(2024, 1, 1, 17), 1, 1, 1.0, 1),  # same day
+        ("S1", "math", "declined", dt.datetime(2024, 1, 4, 9), 1, 1, 1.0, 1),  # no flip
+        ("S1", "math", "approved", dt.datetime(2024, 2, 1, 9), 1, 1, 1.0, 1),  # flip across empty days
+        ("S2", None, "declined", dt.datetime(2024, 1, 1, 9), 1, 1, 1.0, 1),
+        ("S2", None, "approved", dt.datetime(2024, 1, 2, 9), 1, 1, 1.0, 1),
+    ]
+    for bucket in ("day", "hour", "year"):
+        ch = D.decision_changes(_log(spark, rows), bucket=bucket).collect()
+        got = sorted((r.student_id, r.status, r.previous_status, r.changed_from) for r in ch)
+        assert got == [
+            ("S1", "approved", "declined", dt.datetime(2024, 1, 4, 9)),
+            ("S1", "declined", "approved", dt.datetime(2024, 1, 1, 9)),
+            ("S2", "approved", "declined", dt.datetime(2024, 1, 1, 9)),
+        ], bucket

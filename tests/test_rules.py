@@ -166,3 +166,11 @@ def test_label_before_imputation(spark):
 def test_email_pattern(spark):
     df = spark.createDataFrame([("a.b@uni.edu",), ("not-an-email",), ("x@y.c",), (None,), ("",)], "email string")
     assert [r.v for r in df.select(R.email_valid(F.col("email")).alias("v")).collect()] == [True, False, False, False, False]
+
+
+def test_median_switches_to_sketch_for_high_cardinality(spark):
+    df = spark.range(1, 10001).selectExpr("cast(id as double) as x", "cast(id % 3 as double) as y")
+    exact = Q.column_medians(df, ["x", "y"], exact=True)
+    auto = Q.column_medians(df, ["x", "y"], exact="auto", max_exact_distinct=100)
+    assert exact == {"x": 5000.5, "y": 1.0}
+    assert auto["y"] == 1.0 and abs(auto["x"] - 5000.5) <= 1.0  # x went through the sketch
