@@ -77,9 +77,10 @@ MAX_EXACT_DISTINCT = 1_000_000
 
 def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000,
                    max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict:
-    """Medians of ``cols`` from one aggregate job: partial aggregation per
-    task, one merge. The result is one row of len(cols) numbers (a fitted
-    constant, like a model parameter).
+    """Medians of the columns of ``cols`` that hold NULLs (the others need no
+    fill and map to None), from one aggregate job: partial aggregation per
+    task, one merge. The result is one row of numbers (a fitted constant,
+    like a model parameter).
 
     The exact median (pandas / DuckDB semantics, T8) keeps a value -> count
     map whose size is the number of *distinct* values. ``exact="auto"`` first
@@ -87,17 +88,27 @@ def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", a
     column with more than ``max_exact_distinct`` values to the mergeable
     quantile sketch (rank error <= n / accuracy); ``True`` / ``False`` force
     one or the other."""
+    # One pass first: NULL counts (a column without NULLs needs no median) and,
+    # for "auto", the distinct-count estimate.
+    probe = [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols]
     if exact == "auto":
-        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
-        exact_cols = {c for c in cols if (nd[c] or 0) <= max_exact_distinct}
+        probe += [F.approx_count_distinct(c, 0.05).alias(f"d_{c}") for c in cols]
+    first = df.agg(*probe).first()
+    need = [c for c in cols if first[f"n_{c}"] > 0]
+    if exact == "auto":
+        exact_cols = {c for c in need if (first[f"d_{c}"] or 0) <= max_exact_distinct}
     else:
-        exact_cols = set(cols) if exact else set()
+        exact_cols = set(need) if exact else set()
+    out = {c: None for c in cols}
+    if not need:
+        return out
     meds = [
         F.median(c).alias(c) if c in exact_cols else F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c)
-        for c in cols
+        for c in need
     ]
     row = df.agg(*meds).first()
-    return {c: (None if row[c] is None else float(row[c])) for c in cols}
+    out.update({c: (None if row[c] is None else float(row[c])) for c in need})
+    return out
 
 
 def impute_median(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000) -> DataFrame:

@@ -3,10 +3,14 @@ text of the same views (oracle side)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schema as S
 from ..operators import quality as Q
+from ..session import scratch_path
 from ..sources import fixtures as FX
 
 
@@ -14,10 +18,46 @@ def students(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> Da
     return FX.students(spark, sf_dir, with_ordinal=with_ordinal)
 
 
+def _scored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.score_with_rules(students(spark, sf_dir, with_ordinal=True)).drop("risk_probability_fixture")
+
+
+_MATERIALIZED: dict = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Identity of the source files (names, and size / mtime when local)."""
+    files = tuple(sorted(spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").inputFiles()))
+    stats = []
+    for f in files:
+        p = f[len("file:"):] if f.startswith("file:") else f
+        try:
+            st = os.stat(p)
+            stats.append((st.st_size, int(st.st_mtime)))
+        except OSError:
+            stats.append(None)
+    return files, tuple(stats)
+
+
 def scored(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
     """Prepared student table scored by the rule label (risk_probability is the
-    fixture stand-in for model output)."""
-    return Q.score_with_rules(students(spark, sf_dir, with_ordinal)).drop("risk_probability_fixture")
+    fixture stand-in for model output).
+
+    The scored table is shared by most queries, so it is written once per
+    session and source version as Parquet under the shared checkpoint folder
+    and read back by every later query (this also cuts the lineage). Set
+    ``cohort_risk.materialize=false`` to always recompute."""
+    if spark.conf.get("cohort_risk.materialize", "true").lower() != "true":
+        df = _scored_plan(spark, sf_dir)
+    else:
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            path = scratch_path(spark, f"views/scored-{uuid.uuid4().hex[:12]}")
+            _scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = path
+        df = spark.read.parquet(path)
+    return df if with_ordinal else df.drop("ordinal")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
