@@ -11,8 +11,6 @@ before anything is shuffled.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,16 +108,12 @@ def first_students(students: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     )
 
 
-def _as_of_seconds(as_of: str) -> int:
-    t = dt.datetime.fromisoformat(as_of).replace(tzinfo=dt.timezone.utc)
-    return int(t.timestamp())
-
-
 def days_since(ts: Column, as_of: str = DEFAULT_AS_OF) -> Column:
     """Whole days elapsed: floor(seconds / 86400), not a calendar-date
-    difference (T12)."""
-    secs = F.unix_seconds(ts.cast("timestamp"))
-    return F.floor((F.lit(_as_of_seconds(as_of)) - secs) / F.lit(86400)).cast("bigint")
+    difference (T12). Both ends are wall-clock (NTZ) values, so the session
+    time zone plays no part."""
+    secs = F.timestamp_diff("SECOND", ts.cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz"))
+    return F.floor(secs / F.lit(86400)).cast("bigint")
 
 
 def decision_detail(decisions: DataFrame, students: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:

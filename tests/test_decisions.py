@@ -96,3 +96,14 @@ def test_change_history_within_and_across_buckets(spark):
             ("S1", "declined", "approved", dt.datetime(2024, 1, 1, 9)),
             ("S2", "approved", "declined", dt.datetime(2024, 1, 1, 9)),
         ], bucket
+
+
+def test_days_since_ignores_session_time_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23),)], "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert df.select(D.days_since(F.col("ts"), "2024-01-03 01:00:00").alias("d")).first().d == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
