@@ -85,6 +85,12 @@ def overall(decisions: DataFrame) -> DataFrame:
     return decisions.filter(F.col("subject").isNull())
 
 
+def _narrow(students: DataFrame, cols: list[str], ordinal: str = "ordinal") -> DataFrame:
+    """Only the columns a report needs (plus the ingest ordinal), before the
+    per-student aggregate carries them through a shuffle."""
+    return students.select(*cols, *([ordinal] if ordinal in students.columns else []))
+
+
 def latest_students(students: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """One row per student_id, the *last* row by ingest ordinal (T16: the
     approval page builds a dict, later rows overwrite earlier ones)."""
@@ -122,9 +128,8 @@ def decision_detail(decisions: DataFrame, students: DataFrame, as_of: str = DEFA
     broadcast when one side turns out small at run time, else a sort-merge
     join (with skew splitting)."""
     cur = current_decisions(overall(decisions))
-    st = latest_students(students).select(
-        "student_id", "name", "email", "branch", "year", "section", "semester", "gpa", "risk_category"
-    )
+    cols = ["student_id", "name", "email", "branch", "year", "section", "semester", "gpa", "risk_category"]
+    st = latest_students(_narrow(students, cols))
     j = cur.join(st, "student_id", "inner")
     na = F.lit("N/A")
     return j.select(
@@ -161,7 +166,7 @@ def decision_kpis(decisions: DataFrame) -> DataFrame:
 
 def _with_branch(decisions: DataFrame, students: DataFrame) -> DataFrame:
     cur = current_decisions(overall(decisions))
-    st = latest_students(students).select("student_id", "branch", "gpa")
+    st = latest_students(_narrow(students, ["student_id", "branch", "gpa"]))
     return cur.join(st, "student_id", "inner")
 
 

@@ -39,17 +39,22 @@ def _unit_hash(id_col: str, seed: int):
     return (F.pmod(h, F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30)))
 
 
-def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
-                     seed: int = S.SEED, accuracy: int = 100000) -> tuple[DataFrame, DataFrame]:
-    """Stratified train / test split (H1). Each row gets a seeded hash u in
-    [0,1); the class's ``test_fraction`` quantile of u is the cut. The cut
-    table has one row per class and is joined back (AQE broadcasts it)."""
+def split_flag(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
+               seed: int = S.SEED, accuracy: int = 100000) -> DataFrame:
+    """Adds ``is_test``: stratified 80/20 assignment (H1). Each row gets a
+    seeded hash u in [0,1); the class's ``test_fraction`` quantile of u is the
+    cut. The cut table has one row per class (grouped partial aggregate with
+    a quantile sketch, skew safe) and is joined back; AQE broadcasts it."""
     tagged = df.withColumn("_u", _unit_hash(id_col, seed))
     cuts = tagged.groupBy(label).agg(F.percentile_approx("_u", test_fraction, accuracy).alias("_cut"))
-    j = tagged.join(cuts, label, "inner")
-    test = j.filter(F.col("_u") <= F.col("_cut")).drop("_u", "_cut")
-    train = j.filter(F.col("_u") > F.col("_cut")).drop("_u", "_cut")
-    return train, test
+    return tagged.join(cuts, label, "inner").withColumn("is_test", F.col("_u") <= F.col("_cut")).drop("_u", "_cut")
+
+
+def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
+                     seed: int = S.SEED, accuracy: int = 100000) -> tuple[DataFrame, DataFrame]:
+    """(train, test) from ``split_flag``."""
+    flagged = split_flag(df, label, id_col, test_fraction, seed, accuracy)
+    return flagged.filter(~F.col("is_test")).drop("is_test"), flagged.filter(F.col("is_test")).drop("is_test")
 
 
 def fold_column(df: DataFrame, k: int = S.CV_FOLDS, id_col: str = "student_id", seed: int = S.SEED) -> DataFrame:

@@ -1116,11 +1116,11 @@ def q_standardize(spark, sf_dir):
 @register("stratified_split")
 def q_stratified_split(spark, sf_dir):
     """Class shares of the 80/20 split: per class, train and test counts."""
-    data = V.scored(spark, sf_dir)
-    train, test = M.stratified_split(data)
-    a = train.groupBy("risk_score").agg(F.count(F.lit(1)).cast("bigint").alias("n_train"))
-    b = test.groupBy("risk_score").agg(F.count(F.lit(1)).cast("bigint").alias("n_test"))
-    return a.join(b, "risk_score", "full")
+    flagged = M.split_flag(V.scored(spark, sf_dir))
+    return flagged.groupBy("risk_score").agg(
+        F.count_if(~F.col("is_test")).cast("bigint").alias("n_train"),
+        F.count_if(F.col("is_test")).cast("bigint").alias("n_test"),
+    )
 
 
 def _trained(spark, sf_dir, model_type="random_forest"):
