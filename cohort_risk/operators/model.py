@@ -251,3 +251,18 @@ def score_new(model: PipelineModel, raw: DataFrame, medians: dict[str, float] |
     if medians:
         df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))) for c in feats})
     return score(model, df)
+
+
+def score_for_dashboard(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+    """The table the dashboards read: the rule label is replaced by the model
+    prediction, ``risk_category`` follows it and ``risk_probability`` is the
+    predicted class's probability x 100, as in the application (survey fact
+    3); ``p_high_risk`` is kept as its own, clearly named column."""
+    out = score(model, prepared)
+    return out.withColumns(
+        {
+            "risk_score": F.col("prediction_score"),
+            "risk_category": F.col("predicted_category"),
+            "risk_probability": F.col("risk_probability_model"),
+        }
+    ).drop("prediction", "rawPrediction", "probability", "prediction_score", "predicted_category", "risk_probability_model")
