@@ -78,10 +78,15 @@ def write_original(df: DataFrame, path: str) -> None:
     write_csv(df.drop(*S.SCORED_COLUMNS, "p_high_risk"), path)
 
 
-def write_scored(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A5: every column, scored; Parquet for large outputs."""
+def write_scored(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[str] | None = None) -> None:
+    """A5: every column, scored. Parquet for large outputs, partitioned by
+    semester by default so semester slices prune whole folders."""
     if fmt == "parquet":
-        df.write.mode("overwrite").parquet(path)
+        parts = partition_by if partition_by is not None else (["semester"] if "semester" in df.columns else [])
+        w = df.write.mode("overwrite")
+        if parts:
+            w = w.partitionBy(*parts)
+        w.parquet(path)
     else:
         write_csv(df, path)
 
