@@ -1221,3 +1221,22 @@ def q_cross_validation(spark, sf_dir):
     cv = M.cross_validate(train)
     rows = [(f"fold_{i}", float(a)) for i, a in enumerate(cv["cv_scores"])] + [("cv_mean", cv["cv_mean"]), ("cv_std", cv["cv_std"])]
     return spark.createDataFrame(rows, "metric string, value double")
+
+
+@register(
+    "subject_advice",
+    _w("scored")
+    + "SELECT student_id, subject, subject_risk, CASE subject_risk WHEN 'High Risk' THEN 'Immediate intervention needed' "
+    "WHEN 'Medium Risk' THEN 'Consider intervention' ELSE 'Continue monitoring' END AS advice FROM ("
+    "SELECT student_id, subject, CASE WHEN attendance < 0.6 OR performance < 50 THEN 'High Risk' "
+    "WHEN attendance < 0.75 OR performance < 65 THEN 'Medium Risk' ELSE 'Low Risk' END AS subject_risk FROM ("
+    + " UNION ALL ".join(
+        f"SELECT student_id, '{s}' AS subject, {s}_attendance AS attendance, {s}_performance AS performance FROM scored"
+        for s in S.SUBJECTS
+    )
+    + "))",
+)
+def q_subject_advice(spark, sf_dir):
+    """Advice shown for an undecided subject, by subject risk level."""
+    rows = R.subject_rows(V.scored(spark, sf_dir))
+    return rows.select("student_id", "subject", "subject_risk", R.subject_advice(F.col("subject_risk")).alias("advice"))

@@ -35,3 +35,13 @@ def test_category_counts_sum_to_n(spark):
     dist = A.risk_distribution(s).collect()
     assert sum(r.n_students for r in dist) == s.count()
     assert abs(sum(r.pct for r in dist) - 100) < 1e-6
+
+
+def test_box_summary_sketch_path_close_to_exact(spark):
+    s = V.scored(spark, SF_SMALL)
+    ex = {(r.risk_category, r.metric): r for r in A.box_summary(s, exact=True).collect()}
+    ap = {(r.risk_category, r.metric): r for r in A.box_summary(s, exact="auto", max_exact_distinct=10).collect()}
+    assert ex.keys() == ap.keys()
+    for k, r in ex.items():
+        assert ap[k].n == r.n and ap[k].min == r.min and ap[k].max == r.max
+        assert abs(ap[k].median - r.median) <= 0.05 * max(1.0, abs(r.median))
