@@ -194,19 +194,25 @@ def display_formats(df: DataFrame) -> DataFrame:
 
 
 def category_banner(cat: Column) -> Column:
-    """Banner text per risk category."""
+    """Banner text per risk category (C26); anything else shows the Low text."""
+    b = S.CATEGORY_BANNERS
     return (
-        F.when(cat == "High Risk", F.lit("🚨 **HIGH RISK STUDENT** - Immediate intervention required!"))
-        .when(cat == "Medium Risk", F.lit("⚠️ **MEDIUM RISK STUDENT** - Monitoring and support recommended"))
-        .otherwise(F.lit("✅ **LOW RISK STUDENT** - Regular monitoring sufficient"))
+        F.when(cat == "High Risk", F.lit(b["High Risk"]))
+        .when(cat == "Medium Risk", F.lit(b["Medium Risk"]))
+        .otherwise(F.lit(b["Low Risk"]))
     )
 
 
+def _fill_branch(template: str, branch: Column) -> Column:
+    head, tail = template.split("{branch}")
+    return F.concat(F.lit(head), branch, F.lit(tail))
+
+
 def branch_alert_message(branch: Column, avg_risk: Column) -> Column:
     """Branch alert (C26): CRITICAL above 80, WARNING above 60, else none."""
-    return F.when(
-        avg_risk > S.ALERT_CRITICAL, F.concat(F.lit("🚨 **CRITICAL:** "), branch, F.lit(" has extremely high risk levels!"))
-    ).when(avg_risk > S.ALERT_WARNING, F.concat(F.lit("⚠️ **WARNING:** "), branch, F.lit(" requires immediate attention!")))
+    return F.when(avg_risk > S.ALERT_CRITICAL, _fill_branch(S.ALERT_CRITICAL_TEXT, branch)).when(
+        avg_risk > S.ALERT_WARNING, _fill_branch(S.ALERT_WARNING_TEXT, branch)
+    )
 
 
 # ------------------------------------------------------ subject catalogue ----
@@ -221,7 +227,7 @@ def subject_interventions(subject: Column) -> Column:
 
 # --------------------------------------------------------- notifications ----
 
-SUBJECT_LEVEL_PREFIX = {"High Risk": "🔴 ", "Medium Risk": "🟡 ", "Low Risk": "🟢 "}
+SUBJECT_LEVEL_PREFIX = S.SUBJECT_LEVEL_MARKERS
 
 
 def _fill(template: str) -> str:

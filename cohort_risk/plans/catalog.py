@@ -702,6 +702,11 @@ def q_top_combinations(spark, sf_dir):
     return K.top_combinations(V.scored(spark, sf_dir))
 
 
+def _branch_text(template: str) -> str:
+    head, tail = template.split("{branch}")
+    return f"'{head}' || branch || '{tail}'"
+
+
 _ALERT_SQL = "CASE WHEN avg_risk_pct > 80 THEN 'CRITICAL' WHEN avg_risk_pct > 60 THEN 'WARNING' ELSE 'NORMAL' END"
 
 
@@ -726,8 +731,8 @@ def q_most_at_risk_branch(spark, sf_dir):
     _w("scored")
     + f"""
 SELECT branch, avg_risk_pct, {_ALERT_SQL} AS alert,
-  CASE WHEN avg_risk_pct > 80 THEN '🚨 **CRITICAL:** ' || branch || ' has extremely high risk levels!'
-       WHEN avg_risk_pct > 60 THEN '⚠️ **WARNING:** ' || branch || ' requires immediate attention!' END AS message
+  CASE WHEN avg_risk_pct > 80 THEN {_branch_text(S.ALERT_CRITICAL_TEXT)}
+       WHEN avg_risk_pct > 60 THEN {_branch_text(S.ALERT_WARNING_TEXT)} END AS message
 FROM (
   SELECT branch, CAST(round_even(CAST(avg(risk_probability) AS DECIMAL(38,9)), 2) AS DOUBLE) AS avg_risk_pct
   FROM scored WHERE risk_category = 'High Risk' AND branch IS NOT NULL GROUP BY branch)
@@ -917,9 +922,9 @@ def q_student_label(spark, sf_dir):
 @register(
     "category_banner",
     _w("scored")
-    + "SELECT student_id, CASE risk_category WHEN 'High Risk' THEN '🚨 **HIGH RISK STUDENT** - Immediate intervention required!' "
-    "WHEN 'Medium Risk' THEN '⚠️ **MEDIUM RISK STUDENT** - Monitoring and support recommended' "
-    "ELSE '✅ **LOW RISK STUDENT** - Regular monitoring sufficient' END AS banner FROM scored",
+    + f"SELECT student_id, CASE risk_category WHEN 'High Risk' THEN '{S.CATEGORY_BANNERS['High Risk']}' "
+    f"WHEN 'Medium Risk' THEN '{S.CATEGORY_BANNERS['Medium Risk']}' "
+    f"ELSE '{S.CATEGORY_BANNERS['Low Risk']}' END AS banner FROM scored",
 )
 def q_category_banner(spark, sf_dir):
     return V.scored(spark, sf_dir).select("student_id", I.category_banner(F.col("risk_category")).alias("banner"))
@@ -947,7 +952,10 @@ def _fill_sql(t: str) -> str:
     )
 
 
-_MARKER = "CASE lvl WHEN 'High Risk' THEN '🔴 ' WHEN 'Medium Risk' THEN '🟡 ' ELSE '🟢 ' END"
+_MARKER = (
+    f"CASE lvl WHEN 'High Risk' THEN '{S.SUBJECT_LEVEL_MARKERS['High Risk']}' "
+    f"WHEN 'Medium Risk' THEN '{S.SUBJECT_LEVEL_MARKERS['Medium Risk']}' ELSE '{S.SUBJECT_LEVEL_MARKERS['Low Risk']}' END"
+)
 
 
 @register(

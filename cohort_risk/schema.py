@@ -274,9 +274,22 @@ RANGE_RULES = [
 ]
 MISSING_COLUMNS_PREFIX = "Missing required columns: "
 
-# Branch alert bands on the average risk of high-risk students.
+# Branch alert bands on the average risk of high-risk students, and texts
+# ("{branch}" is filled per row).
 ALERT_CRITICAL = 80
 ALERT_WARNING = 60
+ALERT_CRITICAL_TEXT = "🚨 **CRITICAL:** {branch} has extremely high risk levels!"
+ALERT_WARNING_TEXT = "⚠️ **WARNING:** {branch} requires immediate attention!"
+
+# Banner per risk category on a student's page.
+CATEGORY_BANNERS = {
+    "High Risk": "🚨 **HIGH RISK STUDENT** - Immediate intervention required!",
+    "Medium Risk": "⚠️ **MEDIUM RISK STUDENT** - Monitoring and support recommended",
+    "Low Risk": "✅ **LOW RISK STUDENT** - Regular monitoring sufficient",
+}
+
+# Marker in front of a subject risk level (quoted in subject notifications).
+SUBJECT_LEVEL_MARKERS = {"High Risk": "🔴 ", "Medium Risk": "🟡 ", "Low Risk": "🟢 "}
 
 # Notification texts. {name}, {subject}, {risk}, {status_upper} are filled per row.
 EMAIL_SUBJECT_WITH_SUBJECT = "Academic Support Update - {subject} - {status_title} Intervention"
