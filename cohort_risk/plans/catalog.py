@@ -1248,3 +1248,24 @@ def q_subject_advice(spark, sf_dir):
     """Advice shown for an undecided subject, by subject risk level."""
     rows = R.subject_rows(V.scored(spark, sf_dir))
     return rows.select("student_id", "subject", "subject_risk", R.subject_advice(F.col("subject_risk")).alias("advice"))
+
+
+@register(
+    "required_columns_check",
+    _w("students")
+    + """
+SELECT len(m) = 0 AS ok, m AS messages FROM (
+  SELECT list_filter([
+    'Missing required columns: name, quiz_scores',
+    CASE WHEN count_if(NOT coalesce(gpa BETWEEN 0 AND 4, false)) > 0 THEN 'GPA values must be between 0 and 4' END,
+    CASE WHEN count_if(NOT coalesce(attendance_rate BETWEEN 0 AND 1, false)) > 0 THEN 'Attendance rate must be between 0 and 1' END,
+    CASE WHEN count_if(NOT coalesce(assignment_completion BETWEEN 0 AND 1, false)) > 0 THEN 'Assignment completion must be between 0 and 1' END
+  ], lambda x: x IS NOT NULL) AS m FROM students)
+""",
+)
+def q_required_columns_check(spark, sf_dir):
+    """Verdict for an upload lacking two required columns (B1 + B2 + B3):
+    the missing-columns message names them in the declared order, and the
+    range rules of the absent quiz column are skipped."""
+    upload = V.students(spark, sf_dir).drop("quiz_scores", "name")
+    return Q.validation_verdict(upload)
