@@ -127,6 +127,13 @@ def with_severity(df: DataFrame) -> DataFrame:
     )
 
 
+def severity_long(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The severity matrix in long form: one row per (student, factor)."""
+    keep = keep or ["student_id"]
+    wide = with_severity(df).select(*keep, *[F.col(f"{c}_severity").alias(c) for c, _, _ in S.SEVERITY_FACTORS])
+    return wide.unpivot(keep, [c for c, _, _ in S.SEVERITY_FACTORS], "factor", "severity")
+
+
 # ---------------------------------------------------------- factor arrays ----
 
 

@@ -220,13 +220,14 @@ def orphan_decisions(decisions: DataFrame, students: DataFrame) -> DataFrame:
 def subject_status(students: DataFrame, decisions: DataFrame) -> DataFrame:
     """Each (student, subject) with its risk level and current decision, or
     PENDING when undecided (F2). Left outer join on the composite key."""
-    rows = R.subject_rows(students, ["student_id"])
+    keep = ["student_id"] + (["ordinal"] if "ordinal" in students.columns else [])
+    rows = R.subject_rows(students, keep)
     cur = current_decisions(decisions.filter(F.col("subject").isNotNull())).select(
         "student_id", "subject", F.col("status").alias("decision")
     )
     j = rows.join(cur, ["student_id", "subject"], "left")
     return j.select(
-        "student_id",
+        *keep,
         "subject",
         "attendance",
         "performance",
@@ -241,6 +242,13 @@ def subject_status_summary(students: DataFrame, decisions: DataFrame) -> DataFra
     (E20). Pending counts only Medium/High subjects without a decision.
     Arrays are ordered by subject position (never by collect order)."""
     st = subject_status(students, decisions)
+    # One row per (student, subject) first, so each student's lists hold at
+    # most five items even when a student_id repeats across many rows
+    # (duplicates resolve to the first ingest row, as the lookup does).
+    order = F.col("ordinal") if "ordinal" in st.columns else F.lit(0)
+    st = st.groupBy("student_id", "subject").agg(
+        F.min_by(F.struct("status", "subject_risk"), order).alias("s")
+    ).select("student_id", "subject", "s.status", "s.subject_risk")
     pos = F.array_position(F.array(*[F.lit(s) for s in S.SUBJECTS]), F.col("subject"))
     name = F.element_at(F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.lit(S.SUBJECT_NAMES[s]))]), F.col("subject"))
     item = F.struct(pos.alias("p"), name.alias("n"))

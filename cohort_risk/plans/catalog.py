@@ -637,7 +637,7 @@ FROM subject_status GROUP BY student_id
 """,
 )
 def q_subject_status_summary(spark, sf_dir):
-    return D.subject_status_summary(V.scored(spark, sf_dir), V.decisions(spark, sf_dir))
+    return D.subject_status_summary(V.scored(spark, sf_dir, with_ordinal=True), V.decisions(spark, sf_dir))
 
 
 _CATALOGUE_VALUES = ", ".join(
@@ -1269,3 +1269,15 @@ def q_required_columns_check(spark, sf_dir):
     range rules of the absent quiz column are skipped."""
     upload = V.students(spark, sf_dir).drop("quiz_scores", "name")
     return Q.validation_verdict(upload)
+
+
+@register(
+    "severity_long",
+    _w("scored")
+    + " UNION ALL ".join(
+        f"SELECT student_id, '{c}' AS factor, CASE WHEN {c} < {h} THEN 1.0e0 WHEN {c} < {m} THEN 0.5e0 ELSE 0.0e0 END AS severity FROM scored"
+        for c, h, m in S.SEVERITY_FACTORS
+    ),
+)
+def q_severity_long(spark, sf_dir):
+    return R.severity_long(V.scored(spark, sf_dir))
