@@ -38,19 +38,35 @@ def current_decisions(decisions: DataFrame, order: list[str] = DECISION_ORDER, c
     return decisions.groupBy(*KEY).agg(latest).select(*KEY, *[F.col(f"d.{c}").alias(c) for c in payload])
 
 
-def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER, bucket: str = "day") -> DataFrame:
+def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER, bucket: str = "range",
+                     partitions: int | None = None) -> DataFrame:
     """Every status flip with the previous status and its time (G5): the full
     history that the reference keeps one level deep.
 
-    ``lag`` runs per (key, time bucket), so the history of one key is spread
-    over as many tasks as it has buckets instead of landing in a single task.
-    The first row of a bucket takes its predecessor from a small per-bucket
-    table (last decision of each bucket, a partial ``max_by`` aggregate) via a
-    lag over the buckets of the key, joined back on (key, bucket)."""
+    ``lag`` runs per (key, bucket), where a bucket is a contiguous slice of
+    the key's decisions in decision order. With ``bucket="range"`` the
+    slices come from ``repartitionByRange`` on (key, order): sampled
+    boundaries split even a key holding a third of the log over many
+    partitions, so every lag group is bounded by the partition size. (A time
+    unit such as "day" or "hour" can be used instead.) The first row of a
+    bucket takes its predecessor from a small per-bucket table (last decision
+    of each bucket, a partial ``max_by`` aggregate) through a lag over the
+    buckets of the key, joined back on (key, bucket)."""
     from pyspark.sql.window import Window
 
-    b = F.date_trunc(bucket, F.col("decided_at").cast("timestamp"))
-    rows = decisions.withColumn("_bucket", b)
+    # Range buckets come from one range exchange that both branches below must
+    # share (Spark reuses identical exchanges by default); without exchange
+    # reuse two exchanges could sample different boundaries, so fall back to
+    # deterministic time buckets.
+    if bucket == "range" and decisions.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        bucket = "day"
+    if bucket == "range":
+        n = partitions or int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = decisions.repartitionByRange(n, *[F.col(c) for c in KEY], *[F.col(c) for c in order]).withColumn(
+            "_bucket", F.spark_partition_id()
+        )
+    else:
+        rows = decisions.withColumn("_bucket", F.date_trunc(bucket, F.col("decided_at").cast("timestamp")))
     part = [*KEY, "_bucket"]
     ordered = [F.col(c) for c in order]
     w = Window.partitionBy(*part).orderBy(*ordered)

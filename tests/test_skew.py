@@ -41,7 +41,7 @@ def test_current_decisions_under_skew(spark):
 
 def test_change_history_under_skew(spark):
     log = _skewed(spark)
-    got = _pdf(D.decision_changes(log))
+    got = _pdf(D.decision_changes(log, partitions=16))
     p = _pdf(log).sort_values(["student_id", "subject", *DECISION_ORDER])
     g = p.groupby(["student_id", "subject"])
     p["previous_status"] = g["status"].shift(1)
@@ -51,3 +51,10 @@ def test_change_history_under_skew(spark):
     norm = lambda d: d[cols].sort_values(cols).reset_index(drop=True).astype(str)
     assert len(got) > 100
     pd.testing.assert_frame_equal(norm(got), norm(want))
+
+
+def test_range_buckets_split_the_hot_key(spark):
+    log = _skewed(spark)
+    ranged = log.repartitionByRange(16, "student_id", "subject", *DECISION_ORDER).withColumn("pid", F.spark_partition_id())
+    hot_parts = ranged.filter(F.col("student_id") == "STU_HOT").select("pid").distinct().count()
+    assert hot_parts >= 4  # the hot student's history is spread over several tasks
