@@ -75,6 +75,60 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 MAX_EXACT_DISTINCT = 1_000_000
 
 
+def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096, collect_limit: int = 100_000) -> float | None:
+    """Exact quantile (linear interpolation between the two neighbouring
+    order statistics, as ``percentile`` / pandas) with bounded memory, for
+    columns too diverse for a value -> count map.
+
+    Each pass is one grouped aggregate over at most ``bins`` equal-width bins
+    of the current value range; the bin holding the target rank becomes the
+    next range. When the range holds at most ``collect_limit`` rows its
+    (value, count) pairs are collected and the order statistic is read off.
+    Memory is bounded by ``bins`` / ``collect_limit``, never by the data."""
+    x = F.col(col).cast("double")
+    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    head = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n = head["n"]
+    if not n:
+        return None
+    pos = p * (n - 1)
+    k1 = int(pos)
+    k2 = min(k1 + 1, n - 1) if pos > k1 else k1
+    frac = pos - k1
+
+    def select(k: int) -> float:
+        lo, hi, below = head["lo"], head["hi"], 0  # rows strictly below lo
+        while True:
+            if lo == hi:
+                return lo
+            inside = base.filter((F.col("x") >= lo) & (F.col("x") <= hi))
+            cnt = inside.count()
+            if cnt <= collect_limit:
+                pairs = inside.groupBy("x").count().orderBy("x").collect()
+                acc = below
+                for r in pairs:
+                    acc += r["count"]
+                    if acc > k:
+                        return r["x"]
+                return pairs[-1]["x"]
+            width = (hi - lo) / bins
+            b = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"))
+            hist = inside.groupBy(b.alias("b")).agg(
+                F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")
+            ).orderBy("b").collect()
+            acc = below
+            for r in hist:
+                if acc + r["c"] > k:
+                    lo, hi = r["mn"], r["mx"]
+                    break
+                acc += r["c"]
+            below = acc
+
+    v1 = select(k1)
+    v2 = v1 if k2 == k1 else select(k2)
+    return v1 if v2 == v1 else (v2 - v1) * frac + v1
+
+
 def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000,
                    max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict:
     """Medians of the columns of ``cols`` that hold NULLs (the others need no
@@ -84,10 +138,10 @@ def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", a
 
     The exact median (pandas / DuckDB semantics, T8) keeps a value -> count
     map whose size is the number of *distinct* values. ``exact="auto"`` first
-    estimates distinct counts (HyperLogLog, fixed memory) and switches a
-    column with more than ``max_exact_distinct`` values to the mergeable
-    quantile sketch (rank error <= n / accuracy); ``True`` / ``False`` force
-    one or the other."""
+    estimates distinct counts (HyperLogLog, fixed memory) and computes a
+    column with more than ``max_exact_distinct`` values by exact selection in
+    bounded-memory passes (``exact_quantile``); ``True`` forces the map,
+    ``False`` the mergeable quantile sketch (rank error <= n / accuracy)."""
     # One pass first: NULL counts (a column without NULLs needs no median) and,
     # for "auto", the distinct-count estimate.
     probe = [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols]
@@ -102,12 +156,17 @@ def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", a
     out = {c: None for c in cols}
     if not need:
         return out
-    meds = [
-        F.median(c).alias(c) if c in exact_cols else F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c)
-        for c in need
-    ]
-    row = df.agg(*meds).first()
-    out.update({c: (None if row[c] is None else float(row[c])) for c in need})
+    sketch = [c for c in need if c not in exact_cols]
+    if exact == "auto":
+        # too diverse for a value -> count map: exact selection in passes
+        for c in sketch:
+            out[c] = exact_quantile(df, c, 0.5)
+        sketch = []
+    aggs = [F.median(c).alias(c) for c in need if c in exact_cols]
+    aggs += [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in sketch]
+    if aggs:
+        row = df.agg(*aggs).first()
+        out.update({c: (None if row[c] is None else float(row[c])) for c in need if c in exact_cols or c in sketch})
     return out
 
 

@@ -168,7 +168,7 @@ def test_email_pattern(spark):
     assert [r.v for r in df.select(R.email_valid(F.col("email")).alias("v")).collect()] == [True, False, False, False, False]
 
 
-def test_median_switches_to_sketch_for_high_cardinality(spark):
+def test_median_high_cardinality_path_is_exact(spark):
     df = spark.range(0, 10001).selectExpr(
         "case when id = 0 then null else cast(id as double) end as x",
         "case when id = 0 then null else cast(id % 3 as double) end as y",
@@ -176,4 +176,17 @@ def test_median_switches_to_sketch_for_high_cardinality(spark):
     exact = Q.column_medians(df, ["x", "y"], exact=True)
     auto = Q.column_medians(df, ["x", "y"], exact="auto", max_exact_distinct=100)
     assert exact == {"x": 5000.5, "y": 1.0}
-    assert auto["y"] == 1.0 and abs(auto["x"] - 5000.5) <= 1.0  # x went through the sketch
+    assert auto == exact  # x went through the bounded-memory selection
+
+
+@pytest.mark.parametrize("n,p", [(20001, 0.5), (20000, 0.5), (5000, 0.25), (1, 0.5), (2, 0.5)])
+def test_exact_quantile_matches_percentile(spark, n, p):
+    df = spark.range(n).selectExpr("rand(7) * 1000 - 300 + case when id % 5 = 0 then 1e6 else 0 end as v")
+    want = df.agg(F.percentile("v", p).alias("q")).first().q
+    got = Q.exact_quantile(df, "v", p, bins=16, collect_limit=50)
+    assert got == pytest.approx(want, rel=0, abs=1e-9)
+
+
+def test_exact_quantile_hot_value(spark):
+    df = spark.range(30000).selectExpr("case when id % 3 = 0 then 42.0 else rand(3) end as v")
+    assert Q.exact_quantile(df, "v", 0.5, bins=8, collect_limit=10) == df.agg(F.median("v")).first()[0]
