@@ -312,15 +312,17 @@ def correlation_long(df: DataFrame, cols: list[str], method: str = "auto") -> Da
     complete columns the pairwise and the all-rows correlations coincide and
     Spark ML's ``Correlation`` computes the whole matrix in one JVM pass;
     otherwise every pair is aggregated on its own complete rows."""
+    n = None
     if method == "auto":
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-        method = "matrix" if all(nulls[c] == 0 for c in cols) else "pairs"
+        probe = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        method = "matrix" if all(probe[c] == 0 for c in cols) else "pairs"
+        n = probe["_n"]
     if method == "matrix":
-        return _correlation_matrix(df, cols)
+        return _correlation_matrix(df, cols, n)
     return _correlation_pairs(df, cols)
 
 
-def _correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+def _correlation_matrix(df: DataFrame, cols: list[str], n: int | None = None) -> DataFrame:
     """Complete columns: one pass of ``pyspark.ml.stat.Correlation``; the
     #cols x #cols result (bounded by the column count) becomes the long form.
     A constant column yields NaN there, reported as NULL (T7)."""
@@ -332,7 +334,7 @@ def _correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     vec = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="_v").transform(
         df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
     )
-    n = df.count()
+    n = df.count() if n is None else n
     m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
     rows = []
     for i, a in enumerate(cols):

@@ -5,7 +5,6 @@ import datetime as dt
 import tempfile
 import uuid
 
-from pyspark.sql import functions as F
 
 from cohort_risk.operators import decisions as D
 from cohort_risk.plans import views as V
