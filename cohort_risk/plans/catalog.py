@@ -24,6 +24,21 @@ def _w(*views: str) -> str:
     return V.sql_views(*views)
 
 
+def _ts_text(df, *cols: str):
+    """Timestamp outputs of registered queries are compared as
+    'yyyy-MM-dd HH:mm:ss' text (engines differ in time units)."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in cols})
+
+
+_TS = "strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
+
+
+def _joined(df, col: str, sep: str = " | "):
+    """Array outputs of registered queries are compared as joined strings
+    (the library functions themselves return arrays)."""
+    return df.withColumn(col, F.array_join(col, sep))
+
+
 # ------------------------------------------------------------ aggregations ----
 
 _GROUP_SQL = """
@@ -316,7 +331,7 @@ _ROW_MSGS = """list_filter([
     "validation_verdict",
     _w("students")
     + f"""
-SELECT len(m) = 0 AS ok, m AS messages FROM (
+SELECT len(m) = 0 AS ok, array_to_string(m, ' | ') AS messages FROM (
   SELECT list_filter([
     CASE WHEN gpa_violations > 0 THEN 'GPA values must be between 0 and 4' END,
     CASE WHEN attendance_rate_violations > 0 THEN 'Attendance rate must be between 0 and 1' END,
@@ -327,16 +342,16 @@ SELECT len(m) = 0 AS ok, m AS messages FROM (
 """,
 )
 def q_validation_verdict(spark, sf_dir):
-    return Q.validation_verdict(V.students(spark, sf_dir))
+    return _joined(Q.validation_verdict(V.students(spark, sf_dir)), "messages")
 
 
 @register(
     "quarantine_rows",
-    _w("students") + f"SELECT student_id, v AS violations FROM (SELECT student_id, {_ROW_MSGS} AS v FROM students) WHERE len(v) > 0",
+    _w("students") + f"SELECT student_id, array_to_string(v, ' | ') AS violations FROM (SELECT student_id, {_ROW_MSGS} AS v FROM students) WHERE len(v) > 0",
 )
 def q_quarantine_rows(spark, sf_dir):
     _, bad = Q.quarantine(V.students(spark, sf_dir))
-    return bad.select("student_id", "violations")
+    return _joined(bad.select("student_id", "violations"), "violations")
 
 
 def _impute_sql(cols: list[str]) -> str:
@@ -486,16 +501,20 @@ def _wd(*views: str) -> str:
     return _w(*views).rstrip() + ",\n" + _LATEST_STUDENTS + "\n"
 
 
-@register("current_decision", _w("current_decisions") + "SELECT student_id, subject, status, decided_at FROM current_decisions")
+@register(
+    "current_decision",
+    _w("current_decisions") + f"SELECT student_id, subject, status, {_TS.format(c='decided_at')} FROM current_decisions",
+)
 def q_current_decision(spark, sf_dir):
-    return D.current_decisions(V.decisions(spark, sf_dir)).select("student_id", "subject", "status", "decided_at")
+    return _ts_text(D.current_decisions(V.decisions(spark, sf_dir)).select("student_id", "subject", "status", "decided_at"), "decided_at")
 
 
 @register(
     "decision_changes",
     _w("decisions")
     + """
-SELECT student_id, subject, status, decided_at, previous_status, changed_from FROM (
+SELECT student_id, subject, status, strftime(decided_at, '%Y-%m-%d %H:%M:%S') AS decided_at, previous_status,
+  strftime(changed_from, '%Y-%m-%d %H:%M:%S') AS changed_from FROM (
   SELECT student_id, subject, status, decided_at,
     lag(status) OVER w AS previous_status, lag(decided_at) OVER w AS changed_from
   FROM decisions
@@ -504,7 +523,7 @@ WHERE previous_status IS NOT NULL AND previous_status <> status
 """,
 )
 def q_decision_changes(spark, sf_dir):
-    return D.decision_changes(V.decisions(spark, sf_dir))
+    return _ts_text(D.decision_changes(V.decisions(spark, sf_dir)), "decided_at", "changed_from")
 
 
 @register(
@@ -584,10 +603,11 @@ def q_branches_with_decisions(spark, sf_dir):
 
 @register(
     "orphan_decisions",
-    _w("students", "decisions") + "SELECT * FROM decisions WHERE student_id NOT IN (SELECT student_id FROM students)",
+    _w("students", "decisions")
+    + f"SELECT * REPLACE ({_TS.format(c='decided_at')}) FROM decisions WHERE student_id NOT IN (SELECT student_id FROM students)",
 )
 def q_orphan_decisions(spark, sf_dir):
-    return D.orphan_decisions(V.decisions(spark, sf_dir), V.students(spark, sf_dir))
+    return _ts_text(D.orphan_decisions(V.decisions(spark, sf_dir), V.students(spark, sf_dir)), "decided_at")
 
 
 _SUBJECT_ROWS = " UNION ALL ".join(
@@ -834,24 +854,24 @@ def _analysis(spark, sf_dir):
     return I.with_analysis(V.scored(spark, sf_dir))
 
 
-@register("recommendations", _wp() + "SELECT student_id, cat AS plan_category, recs AS recommendations FROM recs")
+@register("recommendations", _wp() + "SELECT student_id, cat AS plan_category, array_to_string(recs, ' | ') AS recommendations FROM recs")
 def q_recommendations(spark, sf_dir):
-    return _analysis(spark, sf_dir).select("student_id", "plan_category", "recommendations")
+    return _joined(_analysis(spark, sf_dir).select("student_id", "plan_category", "recommendations"), "recommendations")
 
 
-@register("next_steps", _wp() + "SELECT student_id, steps AS next_steps FROM recs")
+@register("next_steps", _wp() + "SELECT student_id, array_to_string(steps, ' | ') AS next_steps FROM recs")
 def q_next_steps(spark, sf_dir):
-    return _analysis(spark, sf_dir).select("student_id", "next_steps")
+    return _joined(_analysis(spark, sf_dir).select("student_id", "next_steps"), "next_steps")
 
 
 @register(
     "success_metrics",
     _wp()
-    + "SELECT student_id, metrics AS success_metrics, cat AS priority_level, "
+    + "SELECT student_id, array_to_string(metrics, ' | ') AS success_metrics, cat AS priority_level, "
     "CASE WHEN cat = 'Low Risk' THEN '2-4 weeks' ELSE '4-8 weeks' END AS estimated_duration FROM recs",
 )
 def q_success_metrics(spark, sf_dir):
-    return _analysis(spark, sf_dir).select("student_id", "success_metrics", "priority_level", "estimated_duration")
+    return _joined(_analysis(spark, sf_dir).select("student_id", "success_metrics", "priority_level", "estimated_duration"), "success_metrics")
 
 
 _PHASE_ROWS = ", ".join(
@@ -972,7 +992,7 @@ _MARKER = (
 k AS (SELECT *, CASE WHEN coalesce(att < 0.6, false) OR coalesce(perf < 50, false) THEN 'High Risk'
     WHEN coalesce(att < 0.75, false) OR coalesce(perf < 65, false) THEN 'Medium Risk' ELSE 'Low Risk' END AS lvl FROM j),
 m AS (SELECT *, CASE WHEN subject IS NULL THEN coalesce(risk_category, 'Unknown') ELSE {_MARKER} || lvl END AS risk_text FROM k)
-SELECT student_id, subject, decided_at, tie1, tie2, tie3, tie4, email AS recipient,
+SELECT student_id, subject, strftime(decided_at, '%Y-%m-%d %H:%M:%S') AS decided_at, tie1, tie2, tie3, tie4, email AS recipient,
   CASE WHEN subject_name IS NOT NULL
     THEN 'Academic Support Update - ' || subject_name || ' - ' || upper(substr(status, 1, 1)) || lower(substr(status, 2)) || ' Intervention'
     ELSE 'Academic Support Update - ' || upper(substr(status, 1, 1)) || lower(substr(status, 2)) || ' Intervention' END AS subject_line,
@@ -985,7 +1005,7 @@ FROM m
 """,
 )
 def q_notification_outbox(spark, sf_dir):
-    return I.notification_outbox(V.decisions(spark, sf_dir), V.scored(spark, sf_dir))
+    return _ts_text(I.notification_outbox(V.decisions(spark, sf_dir), V.scored(spark, sf_dir)), "decided_at")
 
 
 @register(
@@ -1074,14 +1094,14 @@ def q_stream_alerts(spark, sf_dir):
     "stream_current_decision",
     _w("decisions")
     + """
-SELECT * EXCLUDE (rn) FROM (
+SELECT * EXCLUDE (rn) REPLACE (strftime(decided_at, '%Y-%m-%d %H:%M:%S') AS decided_at) FROM (
   SELECT *, row_number() OVER (PARTITION BY student_id, subject
     ORDER BY decided_at DESC, tie1 DESC, tie2 DESC, tie3 DESC, tie4 DESC) AS rn FROM decisions)
 WHERE rn = 1
 """,
 )
 def q_stream_current_decision(spark, sf_dir):
-    return ST.stream_current_decision(spark, sf_dir)
+    return _ts_text(ST.stream_current_decision(spark, sf_dir), "decided_at")
 
 
 # --------------------------------------------------------------- file I/O ----
@@ -1254,7 +1274,7 @@ def q_subject_advice(spark, sf_dir):
     "required_columns_check",
     _w("students")
     + """
-SELECT len(m) = 0 AS ok, m AS messages FROM (
+SELECT len(m) = 0 AS ok, array_to_string(m, ' | ') AS messages FROM (
   SELECT list_filter([
     'Missing required columns: name, quiz_scores',
     CASE WHEN count_if(NOT coalesce(gpa BETWEEN 0 AND 4, false)) > 0 THEN 'GPA values must be between 0 and 4' END,
@@ -1268,7 +1288,7 @@ def q_required_columns_check(spark, sf_dir):
     the missing-columns message names them in the declared order, and the
     range rules of the absent quiz column are skipped."""
     upload = V.students(spark, sf_dir).drop("quiz_scores", "name")
-    return Q.validation_verdict(upload)
+    return _joined(Q.validation_verdict(upload), "messages")
 
 
 @register(
