@@ -252,32 +252,43 @@ def box_summary(df: DataFrame, exact: bool | str = "auto", accuracy: int = 1_000
     """Five-number summary per (risk category, metric) (E15). The metrics are
     unpivoted first so one aggregate serves all four. The exact percentile
     keeps a value -> count map per group (bounded by distinct values);
-    ``exact="auto"`` estimates each metric's distinct count first and sends a
-    metric with more than ``max_exact_distinct`` values to the mergeable
-    quantile sketch instead, inside the same single aggregate."""
+    ``exact="auto"`` estimates each metric's distinct count first and
+    computes a metric with more than ``max_exact_distinct`` values by exact
+    selection in bounded-memory passes instead. ``exact=False`` uses the
+    mergeable quantile sketch for every metric."""
+    from .quality import exact_quantiles
+
     long = df.select(
         F.coalesce(F.col("risk_category"), F.lit("Unknown")).alias("risk_category"),
         F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in BOX_COLUMNS])),
     ).filter(F.col("value").isNotNull())
-    if exact == "auto":
-        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in BOX_COLUMNS]).first()
-        exact_metrics = [c for c in BOX_COLUMNS if (nd[c] or 0) <= max_exact_distinct]
-    else:
-        exact_metrics = list(BOX_COLUMNS) if exact else []
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    is_exact = F.col("metric").isin(*exact_metrics) if exact_metrics else F.lit(False)
-    q_exact = F.percentile(F.when(is_exact, F.col("value")), F.array(*[F.lit(p) for p in probs]))
-    q_approx = F.percentile_approx(F.when(~is_exact, F.col("value")), probs, accuracy)
-    out = long.groupBy("risk_category", "metric").agg(
-        q_exact.alias("qe"), q_approx.alias("qa"), F.count(F.lit(1)).cast("bigint").alias("n")
-    )
-    q = F.when(F.col("metric").isin(*exact_metrics) if exact_metrics else F.lit(False), F.col("qe")).otherwise(
-        F.transform("qa", lambda x: x.cast("double"))
-    )
     names = ["min", "q1", "median", "q3", "max"]
-    return out.select(
-        "risk_category", "metric", "n", *[F.bround(q[i].cast("double"), 6).alias(nm) for i, nm in enumerate(names)]
+    if exact is False:
+        q = F.percentile_approx(F.col("value"), probs, accuracy)
+        out = long.groupBy("risk_category", "metric").agg(q.alias("q"), F.count(F.lit(1)).cast("bigint").alias("n"))
+        return out.select(
+            "risk_category", "metric", "n", *[F.bround(F.col("q")[i].cast("double"), 6).alias(nm) for i, nm in enumerate(names)]
+        )
+    diverse: list[str] = []
+    if exact == "auto":
+        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in BOX_COLUMNS]).first()
+        diverse = [c for c in BOX_COLUMNS if (nd[c] or 0) > max_exact_distinct]
+    mapped = long.filter(~F.col("metric").isin(*diverse)) if diverse else long
+    q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in probs]))
+    out = mapped.groupBy("risk_category", "metric").agg(q.alias("q"), F.count(F.lit(1)).cast("bigint").alias("n"))
+    result = out.select(
+        "risk_category", "metric", "n", *[F.bround(F.col("q")[i].cast("double"), 6).alias(nm) for i, nm in enumerate(names)]
     )
+    if diverse:
+        res = exact_quantiles(long.filter(F.col("metric").isin(*diverse)), ["risk_category", "metric"], "value", probs)
+        rows = [(g[0], g[1], n, *[None if v is None else float(v) for v in qs]) for g, (n, qs) in res.items()]
+        schema = "risk_category string, metric string, n bigint, " + ", ".join(f"{nm} double" for nm in names)
+        extra = df.sparkSession.createDataFrame(rows, schema).select(
+            "risk_category", "metric", "n", *[F.bround(nm, 6).alias(nm) for nm in names]
+        )
+        result = result.unionByName(extra)
+    return result
 
 
 def intervention_metrics(df: DataFrame) -> DataFrame:

@@ -75,58 +75,107 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 MAX_EXACT_DISTINCT = 1_000_000
 
 
-def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096, collect_limit: int = 100_000) -> float | None:
-    """Exact quantile (linear interpolation between the two neighbouring
+def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096,
+                    collect_limit: int = 100_000) -> dict[tuple, tuple[int, list[float | None]]]:
+    """Exact quantiles per group (linear interpolation between neighbouring
     order statistics, as ``percentile`` / pandas) with bounded memory, for
-    columns too diverse for a value -> count map.
-
-    Each pass is one grouped aggregate over at most ``bins`` equal-width bins
-    of the current value range; the bin holding the target rank becomes the
-    next range. When the range holds at most ``collect_limit`` rows its
-    (value, count) pairs are collected and the order statistic is read off.
-    Memory is bounded by ``bins`` / ``collect_limit``, never by the data."""
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    head = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = head["n"]
-    if not n:
-        return None
-    pos = p * (n - 1)
-    k1 = int(pos)
-    k2 = min(k1 + 1, n - 1) if pos > k1 else k1
-    frac = pos - k1
-
-    def select(k: int) -> float:
-        lo, hi, below = head["lo"], head["hi"], 0  # rows strictly below lo
-        while True:
-            if lo == hi:
-                return lo
-            inside = base.filter((F.col("x") >= lo) & (F.col("x") <= hi))
-            cnt = inside.count()
-            if cnt <= collect_limit:
-                pairs = inside.groupBy("x").count().orderBy("x").collect()
-                acc = below
-                for r in pairs:
-                    acc += r["count"]
+    data too diverse for a value -> count map.
+
+    Every (group, target rank) keeps a value range, initially [min, max].
+    Each pass resolves all open targets together: ranges holding at most
+    ``collect_limit`` rows return their (value, count) pairs and the order
+    statistic is read off; the others return a histogram of at most ``bins``
+    equal-width bins and narrow to the bin holding the rank. The range table
+    has one row per open target and is joined on the group keys (AQE
+    broadcasts it when small). Returns {group: (n, [quantile per prob])}."""
+    spark = long.sparkSession
+    base = long.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    heads = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).collect()
+    key_types = [base.schema[k] for k in keys]
+    plans: dict[tuple, tuple[int, list]] = {}
+    state: dict[tuple, list] = {}  # (group, rank) -> [lo, hi, rows below lo, value]
+    for h in heads:
+        g = tuple(h[k] for k in keys)
+        n = h["_n"]
+        targets = []
+        for p in probs:
+            pos = p * (n - 1)
+            k1 = int(pos)
+            k2 = min(k1 + 1, n - 1) if pos > k1 else k1
+            targets.append((k1, k2, pos - k1))
+            for k in {k1, k2}:
+                state.setdefault((g, k), [h["_lo"], h["_hi"], 0, h["_lo"] if h["_lo"] == h["_hi"] else None])
+        plans[g] = (n, targets)
+    range_schema = T.StructType(
+        [T.StructField(f.name, f.dataType) for f in key_types]
+        + [T.StructField("_k", T.LongType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
+    )
+    while True:
+        open_ = [(g, k, st) for (g, k), st in state.items() if st[3] is None]
+        if not open_:
+            break
+        ranges = spark.createDataFrame([(*g, k, st[0], st[1]) for g, k, st in open_], range_schema)
+        cond = [base[k].eqNullSafe(ranges[k]) for k in keys]
+        inside = base.join(ranges, cond).select(
+            *[base[k] for k in keys], "_k", "_lo", "_hi", "_x"
+        ).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+        counts = {
+            (tuple(r[k] for k in keys), r["_k"]): r["c"]
+            for r in inside.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("c")).collect()
+        }
+        small = [(g, k) for g, k, _ in open_ if counts.get((g, k), 0) <= collect_limit]
+        # small ranges return exact (value, count) pairs, large ones a histogram
+        flag = F.lit(False)
+        for g, k in small:
+            c = F.col("_k") == F.lit(k)
+            for kk, v in zip(keys, g):
+                c = c & F.col(kk).eqNullSafe(F.lit(v))
+            flag = flag | c
+        tagged = inside.withColumn(
+            "_b", F.when(flag, F.lit(-1)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width).cast("int")))
+        )
+        exact_part = tagged.filter(F.col("_b") == -1).groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("c"))
+        hist_part = tagged.filter(F.col("_b") >= 0).groupBy(*keys, "_k", "_b").agg(
+            F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx")
+        )
+        pairs: dict[tuple, list] = {}
+        for r in exact_part.collect():
+            pairs.setdefault((tuple(r[k] for k in keys), r["_k"]), []).append((r["_x"], r["c"]))
+        hists: dict[tuple, list] = {}
+        for r in hist_part.collect():
+            hists.setdefault((tuple(r[k] for k in keys), r["_k"]), []).append((r["_b"], r["c"], r["mn"], r["mx"]))
+        for g, k, st in open_:
+            acc = st[2]
+            if (g, k) in pairs:
+                for v, c in sorted(pairs[(g, k)]):
+                    acc += c
                     if acc > k:
-                        return r["x"]
-                return pairs[-1]["x"]
-            width = (hi - lo) / bins
-            b = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"))
-            hist = inside.groupBy(b.alias("b")).agg(
-                F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")
-            ).orderBy("b").collect()
-            acc = below
-            for r in hist:
-                if acc + r["c"] > k:
-                    lo, hi = r["mn"], r["mx"]
-                    break
-                acc += r["c"]
-            below = acc
-
-    v1 = select(k1)
-    v2 = v1 if k2 == k1 else select(k2)
-    return v1 if v2 == v1 else (v2 - v1) * frac + v1
+                        st[3] = v
+                        break
+            else:
+                for _, c, mn, mx in sorted(hists.get((g, k), [])):
+                    if acc + c > k:
+                        st[0], st[1], st[2] = mn, mx, acc
+                        if mn == mx:
+                            st[3] = mn
+                        break
+                    acc += c
+    out = {}
+    for g, (n, targets) in plans.items():
+        qs = []
+        for k1, k2, frac in targets:
+            v1, v2 = state[(g, k1)][3], state[(g, k2)][3]
+            qs.append(v1 if v1 == v2 else (v2 - v1) * frac + v1)
+        out[g] = (n, qs)
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096, collect_limit: int = 100_000) -> float | None:
+    """Exact quantile of one column in bounded memory (see ``exact_quantiles``)."""
+    long = df.select(F.lit(col).alias("_col"), F.col(col).alias("_v"))
+    res = exact_quantiles(long, ["_col"], "_v", [p], bins, collect_limit)
+    return res[(col,)][1][0] if (col,) in res else None
 
 
 def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000,
@@ -157,10 +206,15 @@ def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", a
     if not need:
         return out
     sketch = [c for c in need if c not in exact_cols]
-    if exact == "auto":
-        # too diverse for a value -> count map: exact selection in passes
+    if exact == "auto" and sketch:
+        # too diverse for a value -> count map: exact selection in passes,
+        # all such columns together as groups of the unpivoted (column, value)
+        long = df.select(
+            F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in sketch]))
+        )
+        res = exact_quantiles(long, ["_col"], "_v", [0.5])
         for c in sketch:
-            out[c] = exact_quantile(df, c, 0.5)
+            out[c] = res[(c,)][1][0] if (c,) in res else None
         sketch = []
     aggs = [F.median(c).alias(c) for c in need if c in exact_cols]
     aggs += [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in sketch]
