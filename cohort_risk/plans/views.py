@@ -54,7 +54,9 @@ def scored(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> Data
         path = _MATERIALIZED.get(key)
         if path is None:
             path = scratch_path(spark, f"views/scored-{uuid.uuid4().hex[:12]}")
-            _scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
+            # written as at least one file per core, so the many queries that
+            # read it start with that many parallel tasks
+            FX.spread(_scored_plan(spark, sf_dir)).write.mode("overwrite").parquet(path)
             _MATERIALIZED[key] = path
         df = spark.read.parquet(path)
     return df if with_ordinal else df.drop("ordinal")

@@ -24,6 +24,8 @@ CORE_CONF = {
     # (with skew splitting) otherwise.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # remove RDD checkpoint files (e.g. tree node ids) once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -37,6 +39,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
     builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage / task metrics for offline inspection (no UI server)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", os.environ["BENCH_EVENT_LOG"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
