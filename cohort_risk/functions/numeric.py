@@ -12,11 +12,6 @@ def pct(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double")) * 100
 
 
-def round_half_even(col: Column, digits: int) -> Column:
-    """pandas/numpy ``round`` (half to even)."""
-    return F.bround(col, digits)
-
-
 def avg_round(col: Column, digits: int) -> Column:
     """Average rounded half-even to ``digits``. The mean is first fixed to 9
     decimals so that summation-order noise (which differs between engines and

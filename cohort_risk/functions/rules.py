@@ -204,12 +204,6 @@ def subject_advice(level: Column) -> Column:
     return expr
 
 
-def subject_needs_decision(att: Column, perf: Column) -> Column:
-    """Medium or High subject risk -> shown as pending when undecided."""
-    md_a, md_p = S.SUBJECT_MEDIUM
-    return any_true([att < F.lit(md_a), perf < F.lit(md_p)])
-
-
 # ---------------------------------------------------------------- email ----
 
 
@@ -218,8 +212,3 @@ def email_valid(col: Column) -> Column:
     return is_true(col.rlike(S.EMAIL_PATTERN))
 
 
-def predicted_class_probability(probability: Column, prediction: Column) -> Column:
-    """Probability of the predicted class x 100."""
-    from pyspark.ml.functions import vector_to_array
-
-    return F.element_at(vector_to_array(probability), prediction.cast("int") + 1) * 100

@@ -52,7 +52,8 @@ def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str,
         w.parquet(f"{out}/{name}")
         written[name] = f"{out}/{name}"
 
-    write("scored_students", scored, ["semester"])
+    FS.write_scored(scored, f"{out}/scored_students", fmt="parquet")  # partitioned by semester
+    written["scored_students"] = f"{out}/scored_students"
     scored = spark.read.parquet(written["scored_students"])  # reuse the written table, lineage cut
     write("rejected_rows", rejected)
     write("validation_verdict", Q.validation_verdict(rows))
@@ -64,7 +65,8 @@ def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str,
     plans = I.with_analysis(scored)
     write("intervention_plans", plans.select("student_id", "plan_category", "risk_factors", "recommendations", "timeline",
                                              "next_steps", "success_metrics", "estimated_duration",
-                                             I.summary_text(F.col("name")).alias("summary")))
+                                             I.summary_text(F.col("name")).alias("summary"),
+                                             F.to_json(I.analysis_struct()).alias("analysis_json")))
     if decisions_path:
         log = spark.read.parquet(decisions_path)
         with_ordinal = scored if "ordinal" in scored.columns else scored.withColumn("ordinal", F.monotonically_increasing_id())

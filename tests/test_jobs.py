@@ -23,3 +23,34 @@ def test_batch_job_end_to_end(spark):
     # second run loads the saved model instead of training
     again = jobs.run(spark, f"{base}/students", f"{base}/out2", f"{base}/model")
     assert spark.read.parquet(again["scored_students"]).count() == scored.count()
+
+
+def test_library_helpers(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from cohort_risk.operators import model as M
+    from cohort_risk.operators import quality as Q
+    from cohort_risk.plans import views as V
+    from cohort_risk.session import cluster_conf
+
+    conf = cluster_conf(100 * 2**40, 8000)  # 100 TB on 8000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409601 and conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert int(cluster_conf(10 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+    # B5 + B6: numeric medians, absent engagement features synthesised
+    raw = spark.createDataFrame([(3.0, None), (2.0, 0.9), (None, 0.7)], "gpa double, attendance_rate double")
+    pre = Q.preprocess(raw).collect()
+    assert [r.gpa for r in pre] == [3.0, 2.0, 2.5] and {"lms_activity", "previous_semester_gpa"} <= set(pre[0].asDict())
+    # Scoring with the persisted feature list; an absent feature is filled with the training median
+    data = V.scored(spark, SF_SMALL)
+    res, _ = M.train(data)
+    meds = {c: 1.0 for c in res.features}
+    out = M.score_new(res.model, data.drop("late_submissions"), meds)
+    assert out.count() == data.count() and out.filter(F.col("prediction_score").isNull()).count() == 0
+    # analysis export
+    from cohort_risk.operators import interventions as I
+
+    js = I.with_analysis(data).select(F.to_json(I.analysis_struct()).alias("j")).first().j
+    doc = json.loads(js)
+    assert doc["analysis_complete"] is True and "timeline" in doc["intervention_plan"]
