@@ -81,22 +81,23 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     order statistics, as ``percentile`` / pandas) with bounded memory, for
     data too diverse for a value -> count map.
 
-    Every (group, target rank) keeps a value range, initially [min, max].
-    Each pass resolves all open targets together: ranges holding at most
-    ``collect_limit`` rows return their (value, count) pairs and the order
-    statistic is read off; the others return a histogram of at most ``bins``
-    equal-width bins and narrow to the bin holding the rank. The range table
-    has one row per open target and is joined on the group keys (AQE
-    broadcasts it when small). Returns {group: (n, [quantile per prob])}."""
+    Every (group, target rank) keeps a value range, initially [min, max]
+    (ranks 0 and n-1 are min and max themselves). Open targets of a group
+    either share a range or have disjoint ones (they narrow through bins of
+    the same histograms), so ranges are keyed by (group, lo, hi) and every row
+    falls in at most one: each pass is one histogram job of at most ``bins``
+    bins per range, plus one job returning the (value, count) pairs of ranges
+    holding at most ``collect_limit`` rows, from which the order statistics
+    are read off. The range table (one row per open range) is joined on the
+    group keys; AQE broadcasts it. Returns {group: (n, [quantile per prob])}."""
     spark = long.sparkSession
     base = long.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     heads = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).collect()
-    key_types = [base.schema[k] for k in keys]
     plans: dict[tuple, tuple[int, list]] = {}
     state: dict[tuple, list] = {}  # (group, rank) -> [lo, hi, rows below lo, value]
     for h in heads:
         g = tuple(h[k] for k in keys)
-        n = h["_n"]
+        n, lo, hi = h["_n"], h["_lo"], h["_hi"]
         targets = []
         for p in probs:
             pos = p * (n - 1)
@@ -104,57 +105,48 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
             k2 = min(k1 + 1, n - 1) if pos > k1 else k1
             targets.append((k1, k2, pos - k1))
             for k in {k1, k2}:
-                state.setdefault((g, k), [h["_lo"], h["_hi"], 0, h["_lo"] if h["_lo"] == h["_hi"] else None])
+                known = lo if (k == 0 or lo == hi) else (hi if k == n - 1 else None)
+                state.setdefault((g, k), [lo, hi, 0, known])
         plans[g] = (n, targets)
     range_schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in key_types]
-        + [T.StructField("_k", T.LongType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
+        [T.StructField(f.name, f.dataType) for f in (base.schema[k] for k in keys)]
+        + [T.StructField("_r", T.LongType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
     )
     while True:
         open_ = [(g, k, st) for (g, k), st in state.items() if st[3] is None]
         if not open_:
             break
-        ranges = spark.createDataFrame([(*g, k, st[0], st[1]) for g, k, st in open_], range_schema)
+        rid: dict[tuple, int] = {}
+        for g, _, st in open_:
+            rid.setdefault((g, st[0], st[1]), len(rid))
+        ranges = spark.createDataFrame([(*g, r, lo, hi) for (g, lo, hi), r in rid.items()], range_schema)
         cond = [base[k].eqNullSafe(ranges[k]) for k in keys]
-        inside = base.join(ranges, cond).select(
-            *[base[k] for k in keys], "_k", "_lo", "_hi", "_x"
-        ).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-        counts = {
-            (tuple(r[k] for k in keys), r["_k"]): r["c"]
-            for r in inside.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("c")).collect()
-        }
-        small = [(g, k) for g, k, _ in open_ if counts.get((g, k), 0) <= collect_limit]
-        # small ranges return exact (value, count) pairs, large ones a histogram
-        flag = F.lit(False)
-        for g, k in small:
-            c = F.col("_k") == F.lit(k)
-            for kk, v in zip(keys, g):
-                c = c & F.col(kk).eqNullSafe(F.lit(v))
-            flag = flag | c
-        tagged = inside.withColumn(
-            "_b", F.when(flag, F.lit(-1)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width).cast("int")))
+        inside = base.join(ranges, cond).select("_r", "_lo", "_hi", "_x").filter(
+            (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
         )
-        exact_part = tagged.filter(F.col("_b") == -1).groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("c"))
-        hist_part = tagged.filter(F.col("_b") >= 0).groupBy(*keys, "_k", "_b").agg(
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+        b = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width).cast("int"))
+        hist: dict[int, list] = {}
+        for r in inside.groupBy("_r", b.alias("_b")).agg(
             F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx")
-        )
-        pairs: dict[tuple, list] = {}
-        for r in exact_part.collect():
-            pairs.setdefault((tuple(r[k] for k in keys), r["_k"]), []).append((r["_x"], r["c"]))
-        hists: dict[tuple, list] = {}
-        for r in hist_part.collect():
-            hists.setdefault((tuple(r[k] for k in keys), r["_k"]), []).append((r["_b"], r["c"], r["mn"], r["mx"]))
+        ).collect():
+            hist.setdefault(r["_r"], []).append((r["_b"], r["c"], r["mn"], r["mx"]))
+        small = [r for r, h in hist.items() if sum(c for _, c, _, _ in h) <= collect_limit]
+        pairs: dict[int, list] = {}
+        if small:
+            for r in inside.filter(F.col("_r").isin(small)).groupBy("_r", "_x").agg(F.count(F.lit(1)).alias("c")).collect():
+                pairs.setdefault(r["_r"], []).append((r["_x"], r["c"]))
         for g, k, st in open_:
+            r = rid[(g, st[0], st[1])]
             acc = st[2]
-            if (g, k) in pairs:
-                for v, c in sorted(pairs[(g, k)]):
+            if r in pairs:
+                for v, c in sorted(pairs[r]):
                     acc += c
                     if acc > k:
                         st[3] = v
                         break
             else:
-                for _, c, mn, mx in sorted(hists.get((g, k), [])):
+                for _, c, mn, mx in sorted(hist.get(r, [])):
                     if acc + c > k:
                         st[0], st[1], st[2] = mn, mx, acc
                         if mn == mx:

@@ -46,3 +46,10 @@ def test_box_summary_paths(spark):
     assert ap.keys() == ex.keys()
     for k, r in ex.items():
         assert ap[k].n == r[2] and ap[k].min == r[3] and ap[k].max == r[7]
+
+
+def test_empty_slice_kpis_are_null_not_errors(spark):
+    k = A.kpi_slice(V.scored(spark, SF_SMALL), branch="No Such Branch").first()
+    assert (k.total_students, k.high_risk_count, k.high_risk_pct, k.avg_gpa) == (0, 0, None, None)
+    d = A.risk_level_slice(V.scored(spark, SF_SMALL).limit(0), "High Risk").first()
+    assert (d.n_students, d.avg_risk_pct) == (0, 0.0)
