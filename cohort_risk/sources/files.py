@@ -91,6 +91,13 @@ def write_scored(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[
         write_csv(df, path)
 
 
+def write_decision_log(decisions: DataFrame, path: str, mode: str = "append") -> None:
+    """The append-only decision log as Parquet partitioned by decision date,
+    so reads of a time range prune whole folders (and a "clear all" cut-off
+    becomes a partition filter)."""
+    decisions.withColumn("decision_date", F.to_date("decided_at")).write.mode(mode).partitionBy("decision_date").parquet(path)
+
+
 def write_approval_report(detail: DataFrame, base: str, now: dt.datetime | None = None) -> str:
     """The approval detail table under a run-dated folder; returns it."""
     stamp = (now or dt.datetime.now(dt.timezone.utc)).strftime("%Y%m%d_%H%M%S")

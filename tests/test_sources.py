@@ -76,3 +76,19 @@ def test_sinks_roundtrip(spark):
     path = FS.write_approval_report(df.select("student_id"), base)
     assert "intervention_approval_report_" in path and spark.read.option("header", True).csv(path).count() == 50
     assert [r.ordinal for r in FS.preview(df, 5).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_decision_log_partitioned_by_date(spark):
+    from cohort_risk.operators import decisions as D
+    from cohort_risk.plans import views as V
+
+    from .conftest import SF_SMALL
+
+    base = tempfile.mkdtemp(prefix="log-")
+    FS.write_decision_log(V.decisions(spark, SF_SMALL), f"{base}/log", mode="overwrite")
+    log = spark.read.parquet(f"{base}/log")
+    recent = log.filter(F.col("decision_date") >= F.lit("1997-01-01").cast("date"))
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(decision_date" in plan
+    cur = D.current_decisions(log.drop("decision_date")).count()
+    assert cur == D.current_decisions(V.decisions(spark, SF_SMALL)).count()
