@@ -10,7 +10,7 @@ from tools.oracle_check import rows_of
 from .conftest import SF_SMALL
 
 
-@pytest.mark.parametrize("name", ["branch_risk_stats", "risk_grouping_sets", "decision_kpis", "subject_status_summary", "correlation_long", "top_high_risk_by_branch"])
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_partition_invariance(spark, name):
     out = []
     for n in ("1", "8"):
