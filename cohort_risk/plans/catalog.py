@@ -1152,9 +1152,23 @@ def q_stratified_split(spark, sf_dir):
 
 
 def _trained(spark, sf_dir, model_type="random_forest"):
-    key = (sf_dir, model_type, id(spark))
+    """Train-or-load (H12): the model for these source files lives in the
+    shared checkpoint folder; a later session or process loads it instead of
+    training again. Within a session the loaded model is kept in memory."""
+    import hashlib
+
+    from ..session import scratch_path
+
+    fp = hashlib.sha1(repr((sf_dir.rstrip("/"), V._fingerprint(spark, sf_dir), model_type)).encode()).hexdigest()[:16]
+    key = (fp, id(spark))
     if key not in _MODEL_CACHE:
-        result, _ = M.train(V.scored(spark, sf_dir), model_type)
+        path = scratch_path(spark, f"models/{model_type}-{fp}")
+        try:
+            model = M.load(path)
+            result = M.TrainResult(model, M.model_features(model), model_type)
+        except Exception:  # noqa: BLE001 - no saved model (or a broken one): train and save
+            result, _ = M.train(V.scored(spark, sf_dir), model_type)
+            M.save(result, path)
         _MODEL_CACHE[key] = result
     return _MODEL_CACHE[key]
 
