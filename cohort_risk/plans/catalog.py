@@ -1164,6 +1164,8 @@ def _trained(spark, sf_dir, model_type="random_forest"):
     if key not in _MODEL_CACHE:
         path = scratch_path(spark, f"models/{model_type}-{fp}")
         try:
+            if spark.conf.get("cohort_risk.reuse_saved_model", "true").lower() != "true":
+                raise LookupError("saved models disabled for this session")
             model = M.load(path)
             result = M.TrainResult(model, M.model_features(model), model_type)
         except Exception:  # noqa: BLE001 - no saved model (or a broken one): train and save
