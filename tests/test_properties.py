@@ -1,6 +1,7 @@
 """Partition-count invariance and cross-query identities."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from cohort_risk.operators import aggregates as A
@@ -53,3 +54,13 @@ def test_empty_slice_kpis_are_null_not_errors(spark):
     assert (k.total_students, k.high_risk_count, k.high_risk_pct, k.avg_gpa) == (0, 0, None, None)
     d = A.risk_level_slice(V.scored(spark, SF_SMALL).limit(0), "High Risk").first()
     assert (d.n_students, d.avg_risk_pct) == (0, 0.0)
+
+
+def test_correlation_constant_column_is_null_in_both_paths(spark):
+    df = spark.range(100).selectExpr("cast(id as double) as a", "cast(id * 2 + 1 as double) as b", "1.0d as c")
+    for method in ("pairs", "matrix", "auto"):
+        got = {(r.col_x, r.col_y): r.corr for r in A.correlation_long(df, ["a", "b", "c"], method).collect()}
+        assert got[("a", "b")] == 1.0 and got[("a", "c")] is None and got[("b", "c")] is None, method
+    with_null = df.withColumn("b", F.when(F.col("a") == 3, None).otherwise(F.col("b")))
+    got = {(r.col_x, r.col_y): (r.n, r.corr) for r in A.correlation_long(with_null, ["a", "b"]).collect()}
+    assert got[("a", "b")] == (99, 1.0)  # pairwise complete rows only
