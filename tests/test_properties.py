@@ -64,3 +64,17 @@ def test_correlation_constant_column_is_null_in_both_paths(spark):
     with_null = df.withColumn("b", F.when(F.col("a") == 3, None).otherwise(F.col("b")))
     got = {(r.col_x, r.col_y): (r.n, r.corr) for r in A.correlation_long(with_null, ["a", "b"]).collect()}
     assert got[("a", "b")] == (99, 1.0)  # pairwise complete rows only
+
+
+def test_empty_table_gives_zero_and_null_not_errors(spark):
+    from cohort_risk.operators import decisions as D
+    from cohort_risk.operators import quality as Q
+
+    empty = V.scored(spark, SF_SMALL).limit(0)
+    v = Q.validation_verdict(empty).first()
+    assert v.ok is True and v.messages == []
+    m = A.intervention_metrics(empty).first()
+    assert (m.total_students, m.high_risk, m.high_risk_pct) == (0, 0, None)
+    assert A.branch_risk_stats(empty).count() == 0 and A.risk_grouping_sets(empty).count() == 0
+    assert Q.impute_features(empty).count() == 0
+    assert D.decision_kpis(V.decisions(spark, SF_SMALL).limit(0)).first().approval_rate == 0.0
