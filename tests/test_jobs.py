@@ -54,3 +54,12 @@ def test_library_helpers(spark):
     js = I.with_analysis(data).select(F.to_json(I.analysis_struct()).alias("j")).first().j
     doc = json.loads(js)
     assert doc["analysis_complete"] is True and "timeline" in doc["intervention_plan"]
+
+
+def test_job_command_line(spark, capsys):
+    base = tempfile.mkdtemp(prefix="jobcli-")
+    FX.students(spark, SF_SMALL, with_fixture_probability=False).write.parquet(f"{base}/students")
+    jobs.main(["--students", f"{base}/students", "--out", f"{base}/out", "--model", f"{base}/model"])
+    printed = capsys.readouterr().out
+    assert "scored_students" in printed and "intervention_plans" in printed
+    assert spark.read.parquet(f"{base}/out/intervention_plans").count() == 1500
