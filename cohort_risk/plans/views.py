@@ -25,8 +25,26 @@ def _scored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATERIALIZED: dict = {}
 
 
+_FINGERPRINTS: dict = {}
+FINGERPRINT_TTL_S = 300
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
-    """Identity of the source files (names, and size / mtime when local)."""
+    """Identity of the source files (names, and size / mtime when local).
+    A listing of a large table is not free, so it is repeated at most every
+    ``FINGERPRINT_TTL_S`` seconds per session and source."""
+    import time
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    hit = _FINGERPRINTS.get(key)
+    if hit and time.monotonic() - hit[0] < FINGERPRINT_TTL_S:
+        return hit[1]
+    fp = _list_fingerprint(spark, sf_dir)
+    _FINGERPRINTS[key] = (time.monotonic(), fp)
+    return fp
+
+
+def _list_fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     files = tuple(sorted(spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").inputFiles()))
     stats = []
     for f in files:
