@@ -1,11 +1,2 @@
 """Operators for large training-data pipelines (deduplication, filters,
-packing, formats). Nothing else in the package imports this subpackage.
-
-Functions that run in Python workers are shipped by value, so executors need
-only the public libraries, not an installed copy of this package."""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+packing, formats). Nothing else in the package imports this subpackage."""

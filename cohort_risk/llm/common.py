@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyarrow import fs as pafs
@@ -22,6 +26,15 @@ WORD_BYTES = bytes(
 )
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers: in $PUBLIC_TOKENIZERS if set, else where the installed package has it."""
+    if folder := os.environ.get("PUBLIC_TOKENIZERS"):
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -31,6 +44,31 @@ def work_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, by way of the
+    shared folder (so they need not have it installed)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root, packed = Path(__file__).parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    folder = work_path(spark, "code")
+    publish(folder, f"{root.name}.zip", lambda out: out.write(packed.getvalue()))
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    _SHIPPED.add(app)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage is cut and
     a lost executor costs a read, not a recomputation."""
@@ -52,7 +90,7 @@ def publish(folder: str, name: str, write) -> str:
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     private = f"{path}/_{name}.{uuid.uuid4().hex[:8]}"
-    with fs.open_output_stream(private) as out:
+    with fs.open_output_stream(private, compression=None) as out:
         write(out)
     fs.move(private, f"{path}/{name}")
     return f"{path}/{name}"

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 
 from . import chat_format as CF
 from . import common as C
+from . import decontamination as DC
 from . import line_dedup as LD
+from . import packing as PK
+from . import token_files as TF
+from . import warc_index as WI
+
+#: Public tokenizer files; the folder is a parameter of the deployment.
+WORD_BPE = C.tokenizer_path("word_bpe_49k.json")
+BYTE_BPE = C.tokenizer_path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +55,80 @@ SELECT k.doc_id, count(*) AS n_lines,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id"""
 
 
+# ------------------------------------------------ 4 benchmark decontamination
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = DC.find_hits(docs, C.table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), DC.contaminated().alias("contaminated"),
+    )
+
+
+def decontamination_sql(documents: str) -> str:
+    """Hit words and items per document of the relation ``documents`` (doc_id, text)."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    n = DC.NGRAM
+    return f"""
+dw AS (SELECT doc_id, {words} AS ws FROM {documents}),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS ws FROM benchmark),
+ip AS (SELECT item, least(len(ws), {n}) AS size, unnest(range(1, len(ws) - least(len(ws), {n}) + 2)) AS i, ws FROM iw WHERE len(ws) > 0),
+wins AS (SELECT DISTINCT item, size, array_to_string(ws[i:i + size - 1], ' ') AS win FROM ip),
+dp AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM dw),
+dl AS (SELECT doc_id, pos, list(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS lst FROM dp),
+dwin AS (SELECT doc_id, pos, size, array_to_string(lst[1:size], ' ') AS win FROM dl, (SELECT DISTINCT size FROM wins) s WHERE len(lst) >= size),
+occ AS (SELECT doc_id, pos, wins.size, item FROM dwin JOIN wins ON dwin.win = wins.win AND dwin.size = wins.size),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM occ) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)"""
+
+
+ORACLE["op4_benchmark_decontamination"] = f"""
+WITH {decontamination_sql("documents")}
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
+
+# ------------------------------------------------------------- 5 token files
+
+#: End id appended to each document of the word tokenizer's files.
+WORD_END = 2
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = C.work_path(spark, "token-files")
+    TF.write_token_files(C.table(spark, sf_dir, "documents"), folder, WORD_BPE, WORD_END)
+    return TF.read_token_files(spark, folder)
+
+
+# -------------------------------------------------------------------- 6 WARC
+
+
+@query
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = C.work_path(spark, "warc")
+    runs = WI.write_archives(C.table(spark, sf_dir, "pages"), folder)
+    index = WI.read_index(spark, WI.merge_runs(spark, folder, runs))
+    records = WI.read_archives(spark, folder, runs)
+    return index.select("archive", "offset", "url_key", "timestamp").join(records.drop("timestamp"), ["archive", "offset"]).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp"
+    )
+
+
+# ----------------------------------------------------------------- 8 packing
+
+BYTE_END = 0
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PK.pack(C.table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_END)
+
+
 # --------------------------------------------------------- 9 chat formatting
 
 #: A conversation that holds the template's own control strings.
