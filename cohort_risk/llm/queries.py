@@ -14,7 +14,9 @@ from . import common as C
 from . import decontamination as DC
 from . import line_dedup as LD
 from . import packing as PK
+from . import quality_classifier as QC
 from . import token_files as TF
+from . import toxicity as TX
 from . import warc_index as WI
 
 #: Public tokenizer files; the folder is a parameter of the deployment.
@@ -55,6 +57,25 @@ SELECT k.doc_id, count(*) AS n_lines,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id"""
 
 
+# -------------------------------------------------------- 2 quality classifier
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return C.table(spark, sf_dir, "labels").filter(~C.held_out("doc_id"))
+
+
+def _decided(scored: DataFrame, at: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(C.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    features = C.written(QC.with_features(docs, keep=["doc_id"]), "quality-features")
+    return _decided(QC.score(features, QC.fit(features, _learned(spark, sf_dir))), 0.3)
+
+
 # ------------------------------------------------ 4 benchmark decontamination
 
 
@@ -119,6 +140,16 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 7 toxicity
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    model = TX.fit(docs, _learned(spark, sf_dir))
+    return _decided(TX.score(docs, model, keep=["doc_id"]), 0.5)
+
+
 # ----------------------------------------------------------------- 8 packing
 
 BYTE_END = 0
