@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,35 @@ def publish(folder: str, name: str, write) -> str:
     return f"{path}/{name}"
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join whose two sides are both shuffled for it (the extra key keeps Spark from
+    reusing the partitioning of an aggregate below), so AQE can split a hot key."""
+    tag = F.xxhash64(F.lit("split"), *on)
+    return left.withColumn("__split", tag).join(right.withColumn("__split", tag), [*on, "__split"], how).drop("__split")
+
+
+def whole_groups(batches, key: str = "__g"):
+    """Tables made of whole groups, from the batches of a partition sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(b.schema.get_field_index(key))
+        last = k[b.num_rows - 1].as_py()
+        # rows of the last group wait for the next batch
+        at = int(np.searchsorted(k.to_numpy(zero_copy_only=False), last))
+        if at:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+            held = [b.slice(at)]
+        elif held and held[-1].column(held[-1].schema.get_field_index(key))[0].as_py() != last:
+            yield pa.Table.from_batches(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words of a whole text, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []

@@ -13,6 +13,7 @@ from . import chat_format as CF
 from . import common as C
 from . import decontamination as DC
 from . import line_dedup as LD
+from . import minhash_dedup as MD
 from . import packing as PK
 from . import quality_classifier as QC
 from . import token_files as TF
@@ -208,3 +209,11 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(role_chars + text_chars + {len(CF.HEAD) + len(CF.SEP) + len(CF.END)}) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+# ---------------------------------------------------- 10 MinHash near-dedup
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MD.near_duplicates(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
