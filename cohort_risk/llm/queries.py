@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import chat_format as CF
 from . import common as C
 from . import decontamination as DC
+from . import embedding_dedup as ED
 from . import line_dedup as LD
 from . import minhash_dedup as MD
 from . import packing as PK
@@ -77,6 +78,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(QC.score(features, QC.fit(features, _learned(spark, sf_dir))), 0.3)
 
 
+# -------------------------------------------------- 3 embedding near-dedup
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ED.near_duplicates(C.table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 # ------------------------------------------------ 4 benchmark decontamination
 
 
