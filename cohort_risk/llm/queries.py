@@ -62,7 +62,7 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id"""
 # -------------------------------------------------------- 2 quality classifier
 
 
-def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that may be learned from."""
     return C.table(spark, sf_dir, "labels").filter(~C.held_out("doc_id"))
 
@@ -75,7 +75,7 @@ def _decided(scored: DataFrame, at: float) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     features = C.written(QC.with_features(docs, keep=["doc_id"]), "quality-features")
-    return _decided(QC.score(features, QC.fit(features, _learned(spark, sf_dir))), 0.3)
+    return _decided(QC.score(features, QC.fit(features, learned_labels(spark, sf_dir))), 0.3)
 
 
 # -------------------------------------------------- 3 embedding near-dedup
@@ -156,7 +156,7 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
-    model = TX.fit(docs, _learned(spark, sf_dir))
+    model = TX.fit(docs, learned_labels(spark, sf_dir))
     return _decided(TX.score(docs, model, keep=["doc_id"]), 0.5)
 
 
