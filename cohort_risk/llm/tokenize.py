@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import types
 
@@ -15,13 +16,25 @@ import numpy as np
 
 #: Unicode white space as the tokenizers' ``\\s`` has it (Python's also has \\x1c-\\x1f).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: letters and marks between which both pre-tokenizers always cut; apostrophes and
+#: everything else stay inside a chunk
+_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
+_P = "!-&(-/:-@\\[-`{-~"
 #: byte-level BPE: an optional space with what follows; a run of blanks but its last
 #: character when text follows; a single blank
-_SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+_SPACED = re.compile(
+    f"(?: |(?<![^{_WS}{_P}]))[{_L}]+(?![^{_WS}{_P}])| ?[{_P}]+(?=[{_L}{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]"
+)
 #: BPE with word ends, white space dropped
-_WORDS = re.compile("[^ \n]+")
+_WORDS = re.compile(f"(?<![^ \n{_P}])[{_L}]+(?![^ \n{_P}])|[{_P}]+(?=[{_L} \n]|\\Z)|[^ \n]+")
 
-CACHE_CHUNKS = 500_000
+#: chunks that are one pre-token: the BPE model can take them as they are
+_ONE = re.compile(f" ?[{_L}]+")
+#: byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+CACHE_CHUNKS = 1_000_000
 BATCH_CHARS = 2_000_000
 
 
@@ -38,12 +51,14 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
-        if spec["model"].get("end_of_word_suffix"):
+        self.lower = bool(spec["model"].get("end_of_word_suffix"))
+        self.model = self.tokenizer.model if spec["model"]["type"] == "BPE" else None
+        if self.lower:
             self.chunks = _WORDS.findall
         elif pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec["normalizer"]:
             self.chunks = _SPACED.findall
         else:
-            self.chunks = lambda text: [text]
+            self.chunks, self.model = (lambda text: [text]), None
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -62,12 +77,17 @@ class Encoder:
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
         split = [self.chunks(t) for t in texts]
-        new = list({c for cs in split for c in cs} - self.known.keys())
-        long = []
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        new, other = {c for cs in split for c in cs} - self.known.keys(), []
+        long = [c for c in new if len(c) > 64]
+        for c in new:
+            if self.model and len(c) <= 64 and _ONE.fullmatch(c):
+                token = (c.lower() if self.lower else c).encode().decode("latin-1").translate(_BYTES)
+                ids = [t.id for t in self.model.tokenize(token)]
+                self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(c)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.known[c] = np.array(e.ids, "<u4").tobytes()
-            if len(c) > 64:
-                long.append(c)
         get = self.known.__getitem__
         out = [b"".join(map(get, cs)) for cs in split]
         for c in long:  # not worth keeping
