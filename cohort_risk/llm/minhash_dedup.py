@@ -245,7 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     idf = spark.sparkContext.broadcast(word_idf(df, text_col))  # SLOTS numbers
     signed = C.written(_signatures(df, id_col, text_col, idf), "signatures")
-    classes = C.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("samples").alias("samples")).dropDuplicates(["id"]), "classes")
+    classes = C.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("samples").alias("samples")).select("id", "samples"), "classes")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("samples", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)])
     keys = classes.select("id", F.explode(bands).alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
