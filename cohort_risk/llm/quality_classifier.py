@@ -81,7 +81,7 @@ def with_features(df: DataFrame, text_col: str = "text", keep: list[str] | None
 
 def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> dict:
     """Model from rows of ``features`` (id, features) labelled 0 or 1 in ``labels``."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__y"))
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__y"))
     rows = features.select(id_col, "features").join(known, id_col)
     d = len(FEATURES)
     x = [F.col("features")[i] for i in range(d)]

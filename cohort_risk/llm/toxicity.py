@@ -168,7 +168,7 @@ def _cut_windows(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> dict:
     """Dictionaries and calibration from the labelled documents of ``docs``."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__y"))
     n = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     share = n.get(1, 0) / sum(n.values()) if n else 0.0
     if min(n.get(0, 0), n.get(1, 0)) == 0:
