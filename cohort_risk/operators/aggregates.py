@@ -248,47 +248,21 @@ def histograms(df: DataFrame) -> DataFrame:
 BOX_COLUMNS = ["gpa", "attendance_rate", "assignment_completion", "quiz_scores"]
 
 
-def box_summary(df: DataFrame, exact: bool | str = "auto", accuracy: int = 1_000_000, max_exact_distinct: int = 1_000_000) -> DataFrame:
-    """Five-number summary per (risk category, metric) (E15). The metrics are
-    unpivoted first so one aggregate serves all four. The exact percentile
-    keeps a value -> count map per group (bounded by distinct values);
-    ``exact="auto"`` estimates each metric's distinct count first and
-    computes a metric with more than ``max_exact_distinct`` values by exact
-    selection in bounded-memory passes instead. ``exact=False`` uses the
-    mergeable quantile sketch for every metric."""
+def box_summary(df: DataFrame) -> DataFrame:
+    """Five-number summary per (risk category, metric) (E15): the metrics are
+    unpivoted and all groups selected together by ``exact_quantiles``. The
+    result has one row per category and metric."""
     from .quality import exact_quantiles
 
     long = df.select(
         F.coalesce(F.col("risk_category"), F.lit("Unknown")).alias("risk_category"),
         F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in BOX_COLUMNS])),
-    ).filter(F.col("value").isNotNull())
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    names = ["min", "q1", "median", "q3", "max"]
-    if exact is False:
-        q = F.percentile_approx(F.col("value"), probs, accuracy)
-        out = long.groupBy("risk_category", "metric").agg(q.alias("q"), F.count(F.lit(1)).cast("bigint").alias("n"))
-        return out.select(
-            "risk_category", "metric", "n", *[F.bround(F.col("q")[i].cast("double"), 6).alias(nm) for i, nm in enumerate(names)]
-        )
-    diverse: list[str] = []
-    if exact == "auto":
-        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in BOX_COLUMNS]).first()
-        diverse = [c for c in BOX_COLUMNS if (nd[c] or 0) > max_exact_distinct]
-    mapped = long.filter(~F.col("metric").isin(*diverse)) if diverse else long
-    q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in probs]))
-    out = mapped.groupBy("risk_category", "metric").agg(q.alias("q"), F.count(F.lit(1)).cast("bigint").alias("n"))
-    result = out.select(
-        "risk_category", "metric", "n", *[F.bround(F.col("q")[i].cast("double"), 6).alias(nm) for i, nm in enumerate(names)]
     )
-    if diverse:
-        res = exact_quantiles(long.filter(F.col("metric").isin(*diverse)), ["risk_category", "metric"], "value", probs)
-        rows = [(g[0], g[1], n, *[None if v is None else float(v) for v in qs]) for g, (n, qs) in res.items()]
-        schema = "risk_category string, metric string, n bigint, " + ", ".join(f"{nm} double" for nm in names)
-        extra = df.sparkSession.createDataFrame(rows, schema).select(
-            "risk_category", "metric", "n", *[F.bround(nm, 6).alias(nm) for nm in names]
-        )
-        result = result.unionByName(extra)
-    return result
+    names = ["min", "q1", "median", "q3", "max"]
+    res = exact_quantiles(long, ["risk_category", "metric"], "value", [0.0, 0.25, 0.5, 0.75, 1.0])
+    rows = [(*g, n, *[None if v is None else float(v) for v in qs]) for g, (n, qs) in res.items()]
+    schema = "risk_category string, metric string, n bigint, " + ", ".join(f"{nm} double" for nm in names)
+    return df.sparkSession.createDataFrame(rows, schema).select("risk_category", "metric", "n", *[F.bround(nm, 6).alias(nm) for nm in names])
 
 
 def intervention_metrics(df: DataFrame) -> DataFrame:
@@ -317,70 +291,42 @@ def intervention_metrics(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ correlation ----
 
 
-def correlation_long(df: DataFrame, cols: list[str], method: str = "auto") -> DataFrame:
-    """Pearson correlation of every column pair (i < j), pairwise complete
-    (E13). ``auto`` first counts NULLs per column (one aggregate row): with
-    complete columns the pairwise and the all-rows correlations coincide and
-    Spark ML's ``Correlation`` computes the whole matrix in one JVM pass;
-    otherwise every pair is aggregated on its own complete rows."""
-    n = None
-    if method == "auto":
-        probe = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-        method = "matrix" if all(probe[c] == 0 for c in cols) else "pairs"
-        n = probe["_n"]
-    if method == "matrix":
-        return _correlation_matrix(df, cols, n)
-    return _correlation_pairs(df, cols)
-
-
-def _correlation_matrix(df: DataFrame, cols: list[str], n: int | None = None) -> DataFrame:
-    """Complete columns: one pass of ``pyspark.ml.stat.Correlation``; the
-    #cols x #cols result (bounded by the column count) becomes the long form.
-    A constant column yields NaN there, reported as NULL (T7)."""
-    import math
-
+def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair (i < j) over the rows complete in
+    that pair (E13). One pass for the means, one for a distributed Gram matrix
+    of [centred value or 0, its square, presence]: its blocks are the counts,
+    sums, squares and products of every pair, so no row fans out and tasks
+    ship one small matrix. A pair without variation is NULL (T7); NaN and
+    infinities count as missing."""
+    import numpy as np
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=[f"_c{i}" for i in range(len(cols))], outputCol="_v").transform(
-        df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    k, inf = len(cols), F.lit(float("inf"))
+    value = [F.when((F.col(c).cast("double") < inf) & (F.col(c).cast("double") > -inf), F.col(c).cast("double")) for c in cols]
+    clean = df.select(*[v.alias(f"_c{i}") for i, v in enumerate(value)])
+    means = clean.agg(*[F.avg(f"_c{i}").alias(f"_c{i}") for i in range(k)]).first()
+    x = [F.coalesce(F.col(f"_c{i}") - F.lit(means[f"_c{i}"] or 0.0), F.lit(0.0)) for i in range(k)]
+    parts = clean.select(
+        *[c.alias(f"_x{i}") for i, c in enumerate(x)], *[(c * c).alias(f"_s{i}") for i, c in enumerate(x)],
+        *[F.col(f"_c{i}").isNotNull().cast("double").alias(f"_m{i}") for i in range(k)],
     )
-    n = df.count() if n is None else n
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    vectors = VectorAssembler(inputCols=parts.columns, outputCol="_v").transform(parts).select("_v")
     rows = []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            v = float(m[i][j])
-            rows.append((a, cols[j], n, None if math.isnan(v) else round(v, 6)))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "col_x string, col_y string, n bigint, corr double").select(
+    if not vectors.isEmpty():
+        g = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "_v")).computeGramianMatrix().toArray()
+        product, total, square, count = g[:k, :k], g[:k, 2 * k :], g[k : 2 * k, 2 * k :], g[2 * k :, 2 * k :]
+        for i in range(k):
+            for j in range(i + 1, k):
+                n = count[i, j]
+                vx, vy = square[i, j] - total[i, j] ** 2 / max(n, 1), square[j, i] - total[j, i] ** 2 / max(n, 1)
+                cov = product[i, j] - total[i, j] * total[j, i] / max(n, 1)
+                # what is left of a constant column is rounding noise
+                flat = vx <= 1e-12 * square[i, j] or vy <= 1e-12 * square[j, i]
+                rows.append((cols[i], cols[j], int(n), None if flat else float(np.clip(cov / np.sqrt(vx * vy), -1, 1))))
+    else:
+        rows = [(cols[i], cols[j], 0, None) for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(rows, "col_x string, col_y string, n bigint, corr double").select(
         "col_x", "col_y", "n", F.bround("corr", 6).alias("corr")
     )
-
-
-def _correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete form: each row fans out to one (pair, x, y) record
-    per pair; the aggregate is partial per task, so at most #pairs groups per
-    task are shuffled whatever the table size. ``try_divide`` makes a
-    constant column NULL instead of a division error (T7)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    recs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("col_x"),
-                F.lit(b).alias("col_y"),
-                F.col(a).cast("double").alias("x"),
-                F.col(b).cast("double").alias("y"),
-            )
-            for a, b in pairs
-        ]
-    )
-    long = df.select(F.inline(recs))
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    agg = long.groupBy("col_x", "col_y").agg(
-        F.covar_pop("x", "y").alias("cov"),
-        F.var_pop(F.when(both, F.col("x"))).alias("vx"),
-        F.var_pop(F.when(both, F.col("y"))).alias("vy"),
-        F.count_if(both).cast("bigint").alias("n"),
-    )
-    return agg.select("col_x", "col_y", "n", F.bround(F.try_divide(F.col("cov"), F.sqrt(F.col("vx") * F.col("vy"))), 6).alias("corr"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import rules as R
-from ..functions.numeric import avg_round, count_if, pct
+from ..functions.numeric import avg_round, count_if, fixed_text, pct
 from ..sources.fixtures import DECISION_ORDER
 
 KEY = ["student_id", "subject"]
@@ -38,38 +38,23 @@ def current_decisions(decisions: DataFrame, order: list[str] = DECISION_ORDER, c
     return decisions.groupBy(*KEY).agg(latest).select(*KEY, *[F.col(f"d.{c}").alias(c) for c in payload])
 
 
-def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER, bucket: str = "range",
-                     partitions: int | None = None) -> DataFrame:
+def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER, bucket: str = "month") -> DataFrame:
     """Every status flip with the previous status and its time (G5): the full
     history that the reference keeps one level deep.
 
-    ``lag`` runs per (key, bucket), where a bucket is a contiguous slice of
-    the key's decisions in decision order. With ``bucket="range"`` the
-    slices come from ``repartitionByRange`` on (key, order): sampled
-    boundaries split even a key holding a third of the log over many
-    partitions, so every lag group is bounded by the partition size. (A time
-    unit such as "day" or "hour" can be used instead.) The first row of a
-    bucket takes its predecessor from a small per-bucket table (last decision
-    of each bucket, a partial ``max_by`` aggregate) through a lag over the
-    buckets of the key, joined back on (key, bucket)."""
+    ``lag`` runs per (key, bucket), where a bucket is a calendar unit of the
+    decision time: a deterministic slice of the key's decisions in decision
+    order, so a key that holds a third of the log is spread over its months
+    (or a finer unit). The log is exchanged once, on (key, bucket); the last
+    decision of a bucket falls out of the same window, and only this small
+    per-bucket table moves again, to give the first row of the next bucket its
+    predecessor."""
     from pyspark.sql.window import Window
 
-    # Range buckets come from one range exchange that both branches below must
-    # share (Spark reuses identical exchanges by default); without exchange
-    # reuse two exchanges could sample different boundaries, so fall back to
-    # deterministic time buckets.
-    if bucket == "range" and decisions.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        bucket = "day"
-    if bucket == "range":
-        n = partitions or int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = decisions.repartitionByRange(n, *[F.col(c) for c in KEY], *[F.col(c) for c in order]).withColumn(
-            "_bucket", F.spark_partition_id()
-        )
-    else:
-        rows = decisions.withColumn("_bucket", F.date_trunc(bucket, F.col("decided_at").cast("timestamp")))
     part = [*KEY, "_bucket"]
-    ordered = [F.col(c) for c in order]
-    w = Window.partitionBy(*part).orderBy(*ordered)
+    narrow = list(dict.fromkeys([*KEY, "status", "decided_at", *order]))
+    rows = decisions.select(*narrow).withColumn("_bucket", F.date_trunc(bucket, F.col("decided_at").cast("timestamp")))
+    w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order])
     inner = rows.select(
         *part,
         "status",
@@ -77,22 +62,18 @@ def decision_changes(decisions: DataFrame, order: list[str] = DECISION_ORDER, bu
         F.lag("status").over(w).alias("_prev_status"),
         F.lag("decided_at").over(w).alias("_prev_at"),
         (F.row_number().over(w) == 1).alias("_first"),
+        F.lead("decided_at").over(w).isNull().alias("_last"),
     )
-    last = rows.groupBy(*part).agg(
-        F.max_by(F.struct(F.col("status").alias("status"), F.col("decided_at").alias("decided_at")), _order_struct(order)).alias("_last")
-    )
+    last = inner.filter("_last").select(*part, F.struct("status", "decided_at").alias("_end"))
     wb = Window.partitionBy(*KEY).orderBy("_bucket")
-    prev_bucket = last.select(*part, F.lag("_last").over(wb).alias("_before"))
-    cond = [inner[c].eqNullSafe(prev_bucket[c]) for c in part]
-    j = inner.join(prev_bucket, cond, "left")
-    prev_status = F.when(inner["_first"], F.col("_before.status")).otherwise(F.col("_prev_status"))
-    prev_at = F.when(inner["_first"], F.col("_before.decided_at")).otherwise(F.col("_prev_at"))
+    before = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)], F.lag("_end").over(wb).alias("_before"))
+    j = inner.join(before, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(part)], "left")
     out = j.select(
-        *[inner[c] for c in KEY],
-        inner["status"],
-        inner["decided_at"],
-        prev_status.alias("previous_status"),
-        prev_at.alias("changed_from"),
+        *KEY,
+        "status",
+        "decided_at",
+        F.when(F.col("_first"), F.col("_before.status")).otherwise(F.col("_prev_status")).alias("previous_status"),
+        F.when(F.col("_first"), F.col("_before.decided_at")).otherwise(F.col("_prev_at")).alias("changed_from"),
     )
     return out.filter(F.col("previous_status").isNotNull() & (F.col("previous_status") != F.col("status")))
 
@@ -110,9 +91,10 @@ def _narrow(students: DataFrame, cols: list[str], ordinal: str = "ordinal") -> D
 def latest_students(students: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """One row per student_id, the *last* row by ingest ordinal (T16: the
     approval page builds a dict, later rows overwrite earlier ones)."""
-    if ordinal not in students.columns:
-        return students.dropDuplicates(["student_id"])
     cols = [c for c in students.columns if c != "student_id"]
+    if ordinal not in students.columns:  # no ingest order: the largest row, whatever the partitioning
+        rows = students.groupBy("student_id").agg(F.max(F.struct(*cols)).alias("s"))
+        return rows.select("student_id", *[F.col(f"s.{c}").alias(c) for c in cols])
     return (
         students.groupBy("student_id")
         .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(ordinal)).alias("s"))
@@ -130,6 +112,13 @@ def first_students(students: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     )
 
 
+def lookup(students: DataFrame, student_id: str | None = None, name: str | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """The first row (by ingest order) of one student, found by id or by
+    name: the filter reaches the scan and a bounded heap keeps one row."""
+    found = students.filter((F.col("student_id") == student_id) if student_id is not None else (F.col("name") == name))
+    return found.orderBy(ordinal).limit(1) if ordinal in students.columns else found.limit(1)
+
+
 def days_since(ts: Column, as_of: str = DEFAULT_AS_OF) -> Column:
     """Whole days elapsed: floor(seconds / 86400), not a calendar-date
     difference (T12). Both ends are wall-clock (NTZ) values, so the session
@@ -140,7 +129,9 @@ def days_since(ts: Column, as_of: str = DEFAULT_AS_OF) -> Column:
 
 def decision_detail(decisions: DataFrame, students: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """Current overall decisions joined (inner) with the students (F1):
-    the detail table of the approval report, newest first. AQE picks a
+    the detail table of the approval report, newest first. Name and risk
+    category are those stored with the decision, where the log has them (a
+    later re-score doesn't rewrite history). AQE picks a
     broadcast when one side turns out small at run time, else a sort-merge
     join (with skew splitting)."""
     cur = current_decisions(overall(decisions))
@@ -148,16 +139,20 @@ def decision_detail(decisions: DataFrame, students: DataFrame, as_of: str = DEFA
     st = latest_students(_narrow(students, cols))
     j = cur.join(st, "student_id", "inner")
     na = F.lit("N/A")
+
+    def decided(c: str, current: str) -> Column:
+        return F.coalesce(F.col(c), F.col(current)) if c in cur.columns else F.col(current)
+
     return j.select(
         F.col("student_id"),
-        F.col("name").alias("student_name"),
+        decided("student_name", "name").alias("student_name"),
         F.coalesce("email", na).alias("email"),
         F.coalesce("branch", na).alias("branch"),
         F.coalesce("year", na).alias("year"),
         F.coalesce("section", na).alias("section"),
         F.coalesce("semester", na).alias("semester"),
-        F.format_string("%.2f", F.coalesce(F.col("gpa"), F.lit(0.0))).alias("gpa"),
-        F.coalesce("risk_category", F.lit("Unknown")).alias("risk_category"),
+        fixed_text(F.coalesce(F.col("gpa"), F.lit(0.0)), 2).alias("gpa"),
+        F.coalesce(decided("decided_category", "risk_category"), F.lit("Unknown")).alias("risk_category"),
         F.initcap("status").alias("status"),
         F.date_format("decided_at", "yyyy-MM-dd HH:mm:ss").alias("decision_date"),
         days_since(F.col("decided_at"), as_of).alias("days_since"),
@@ -255,32 +250,32 @@ def subject_status(students: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def subject_status_summary(students: DataFrame, decisions: DataFrame) -> DataFrame:
     """Per student: approved / declined / pending subject names and counts
-    (E20). Pending counts only Medium/High subjects without a decision.
-    Arrays are ordered by subject position (never by collect order)."""
-    st = subject_status(students, decisions)
-    # One row per (student, subject) first, so each student's lists hold at
-    # most five items even when a student_id repeats across many rows
-    # (duplicates resolve to the first ingest row, as the lookup does).
-    order = F.col("ordinal") if "ordinal" in st.columns else F.lit(0)
-    st = st.groupBy("student_id", "subject").agg(
-        F.min_by(F.struct("status", "subject_risk"), order).alias("s")
-    ).select("student_id", "subject", "s.status", "s.subject_risk")
-    pos = F.array_position(F.array(*[F.lit(s) for s in S.SUBJECTS]), F.col("subject"))
-    name = F.element_at(F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.lit(S.SUBJECT_NAMES[s]))]), F.col("subject"))
-    item = F.struct(pos.alias("p"), name.alias("n"))
-
-    def names(cond: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, item))), lambda x: x["n"])
-
-    approved = F.col("status") == "APPROVED"
-    declined = F.col("status") == "DECLINED"
-    pending = (F.col("status") == "PENDING") & F.col("subject_risk").isin("High Risk", "Medium Risk")
-    agg = st.groupBy("student_id").agg(
-        names(approved).alias("approved_subjects"),
-        names(declined).alias("declined_subjects"),
-        names(pending).alias("pending_subjects"),
+    (E20). Pending counts only Medium/High subjects without a decision. The
+    decisions are reduced to one row per student (a conditional ``max_by`` per
+    subject), students to their first ingest row, and one join on the id
+    brings them together; the lists are expressions in subject order."""
+    cols = [c for s in S.SUBJECTS for c in (f"{s}_attendance", f"{s}_performance")]
+    st = _narrow(students, ["student_id", *cols])
+    st = first_students(st) if "ordinal" in st.columns else st.dropDuplicates(["student_id"])
+    latest = [
+        F.max_by(F.when(F.col("subject") == s, F.upper("status")), F.when(F.col("subject") == s, _order_struct(DECISION_ORDER))).alias(f"_{s}")
+        for s in S.SUBJECTS
+    ]
+    cur = decisions.filter(F.col("subject").isin(*S.SUBJECTS)).groupBy(F.col("student_id").alias("_id")).agg(*latest)
+    j = st.join(cur, F.col("student_id") == F.col("_id"), "left")
+
+    def names(cond) -> Column:
+        return F.filter(F.array(*[F.when(cond(s), F.lit(S.SUBJECT_NAMES[s])) for s in S.SUBJECTS]), lambda x: x.isNotNull())
+
+    lists = j.select(
+        "student_id",
+        names(lambda s: F.col(f"_{s}") == "APPROVED").alias("approved_subjects"),
+        names(lambda s: F.col(f"_{s}") == "DECLINED").alias("declined_subjects"),
+        names(
+            lambda s: F.col(f"_{s}").isNull() & (R.subject_level(F.col(f"{s}_attendance"), F.col(f"{s}_performance")) != "Low Risk")
+        ).alias("pending_subjects"),
     )
-    return agg.select(
+    return lists.select(
         "student_id",
         F.size("approved_subjects").cast("bigint").alias("n_approved"),
         F.size("declined_subjects").cast("bigint").alias("n_declined"),

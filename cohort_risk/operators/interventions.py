@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import rules as R
+from ..functions.numeric import fixed_text
+from . import decisions as D
 
 INDENT = S.SUMMARY_INDENT
 
@@ -179,16 +181,16 @@ def student_label(df: DataFrame) -> Column:
 
 def display_formats(df: DataFrame) -> DataFrame:
     """Display strings of the detail page (C22): 2-dp GPA, 1-dp percentages,
-    1-dp scores, whole LMS count."""
+    1-dp scores, whole LMS count, rounded as Python prints them."""
     return df.select(
         "student_id",
-        F.format_string("%.2f", "gpa").alias("gpa_text"),
-        F.concat(F.format_string("%.1f", F.col("attendance_rate") * 100), F.lit("%")).alias("attendance_text"),
-        F.concat(F.format_string("%.1f", F.col("assignment_completion") * 100), F.lit("%")).alias("completion_text"),
-        F.format_string("%.1f", "quiz_scores").alias("quiz_text"),
-        F.format_string("%.1f", "participation_score").alias("participation_text"),
-        F.format_string("%.0f", F.col("lms_activity").cast("double")).alias("lms_text"),
-        F.concat(F.format_string("%.1f", "risk_probability"), F.lit("%")).alias("risk_text"),
+        fixed_text(F.col("gpa"), 2).alias("gpa_text"),
+        F.concat(fixed_text(F.col("attendance_rate") * 100, 1), F.lit("%")).alias("attendance_text"),
+        F.concat(fixed_text(F.col("assignment_completion") * 100, 1), F.lit("%")).alias("completion_text"),
+        fixed_text(F.col("quiz_scores"), 1).alias("quiz_text"),
+        fixed_text(F.col("participation_score"), 1).alias("participation_text"),
+        fixed_text(F.col("lms_activity"), 0).alias("lms_text"),
+        F.concat(fixed_text(F.col("risk_probability"), 1), F.lit("%")).alias("risk_text"),
         F.upper("risk_category").alias("category_upper"),
     )
 
@@ -268,12 +270,11 @@ def email_body(status: Column, name: Column, subject_name: Column, risk: Column,
 
 def notification_outbox(decisions: DataFrame, students: DataFrame) -> DataFrame:
     """One message per decision event whose student has a valid address
-    (C23). Subject decisions quote the subject risk level with its marker,
+    (C23); of rows that share a student id the last counts. Subject decisions quote the subject risk level with its marker,
     overall ones the student's risk category. Written as a table; nothing
     is sent."""
-    st = students.select("student_id", "name", "email", "risk_category", *[
-        c for s in S.SUBJECTS for c in (f"{s}_attendance", f"{s}_performance")
-    ])
+    cols = ["student_id", "name", "email", "risk_category", *[c for s in S.SUBJECTS for c in (f"{s}_attendance", f"{s}_performance")]]
+    st = D.latest_students(D._narrow(students, cols)).drop("ordinal")
     j = decisions.join(st, "student_id", "inner").filter(R.email_valid(F.col("email")))
     att = F.element_at(F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.col(f"{s}_attendance"))]), F.col("subject"))
     perf = F.element_at(F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.col(f"{s}_performance"))]), F.col("subject"))

@@ -29,6 +29,7 @@ from ..functions import rules as R
 from . import quality as Q
 
 LABEL = "risk_score"
+DEFAULT_MODEL = "gbt"
 
 
 # ------------------------------------------------------------------ split ----
@@ -39,15 +40,24 @@ def _unit_hash(id_col: str, seed: int):
     return (F.pmod(h, F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30)))
 
 
+def _class_cuts(tagged: DataFrame, label: str, probs: list[float], accuracy: int) -> dict:
+    """Per class, the quantiles of the row hash ``_u``: one grouped partial
+    aggregate, one row per class (three risk classes)."""
+    cuts = tagged.filter(F.col(label).isNotNull()).groupBy(label).agg(F.percentile_approx("_u", probs, accuracy).alias("_cuts"))
+    return {r[label]: list(r["_cuts"]) for r in cuts.collect()}
+
+
 def split_flag(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
                seed: int = S.SEED, accuracy: int = 100000) -> DataFrame:
     """Adds ``is_test``: stratified 80/20 assignment (H1). Each row gets a
     seeded hash u in [0,1); the class's ``test_fraction`` quantile of u is the
-    cut. The cut table has one row per class (grouped partial aggregate with
-    a quantile sketch, skew safe) and is joined back; AQE broadcasts it."""
+    cut. The cuts enter the plan as literals, so the table isn't moved."""
     tagged = df.withColumn("_u", _unit_hash(id_col, seed))
-    cuts = tagged.groupBy(label).agg(F.percentile_approx("_u", test_fraction, accuracy).alias("_cut"))
-    return tagged.join(cuts, label, "inner").withColumn("is_test", F.col("_u") <= F.col("_cut")).drop("_u", "_cut")
+    cut = None
+    for k, (c,) in _class_cuts(tagged, label, [test_fraction], accuracy).items():
+        cut = F.when(F.col(label) == k, F.lit(c)) if cut is None else cut.when(F.col(label) == k, F.lit(c))
+    cut = F.lit(None).cast("double") if cut is None else cut
+    return tagged.filter(F.col(label).isNotNull()).withColumn("is_test", F.col("_u") <= cut).drop("_u")
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
@@ -57,27 +67,41 @@ def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "student_i
     return flagged.filter(~F.col("is_test")).drop("is_test"), flagged.filter(F.col("is_test")).drop("is_test")
 
 
-def fold_column(df: DataFrame, k: int = S.CV_FOLDS, id_col: str = "student_id", seed: int = S.SEED) -> DataFrame:
-    """Stratified-in-expectation fold number 0..k-1 from a seeded hash."""
-    return df.withColumn("fold", F.floor(_unit_hash(id_col, seed + 1) * k).cast("int"))
+def fold_column(df: DataFrame, k: int = S.CV_FOLDS, id_col: str = "student_id", seed: int = S.SEED, label: str = LABEL,
+                accuracy: int = 100000) -> DataFrame:
+    """Stratified fold number 0..k-1: each class is cut into k equal parts of a
+    seeded row hash (cuts as literals)."""
+    tagged = df.filter(F.col(label).isNotNull()).withColumn("_u", _unit_hash(id_col, seed + 1))
+    fold = None
+    for y, cuts in _class_cuts(tagged, label, [i / k for i in range(1, k)], accuracy).items():
+        number = F.lit(0)
+        for c in cuts:
+            number = number + (F.col("_u") > F.lit(c)).cast("int")
+        fold = F.when(F.col(label) == y, number) if fold is None else fold.when(F.col(label) == y, number)
+    return tagged.withColumn("fold", F.lit(0) if fold is None else fold).drop("_u")
 
 
 # ---------------------------------------------------------------- scaling ----
 
 
-def standardize_exprs(train: DataFrame, features: list[str]) -> dict[str, str]:
+def standardize_exprs(train: DataFrame, features: list[str], with_medians: bool = False) -> dict[str, str]:
     """Fit (mean, population std) on the training rows in one aggregate and
     return the SQL expressions (x - mean) / std, std 0 -> 1 (H2, T9)."""
     aggs = []
     for c in features:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
-    stats = train.agg(*aggs).first()  # one row of 2 x #features numbers
+        if with_medians:
+            aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, 1_000_000).alias(f"d_{c}"))
+    stats = train.agg(*aggs).first()  # one row of 3 x #features numbers
     exprs = {}
     for c in features:
         m = stats[f"m_{c}"] or 0.0
         s = stats[f"s_{c}"] or 0.0
         s = s if s > 0 else 1.0
-        exprs[c] = f"(CAST({c} AS DOUBLE) - {m!r}) / {s!r}"
+        value = f"CAST({c} AS DOUBLE)"
+        if with_medians:  # the training median travels with the saved model (T22)
+            value = f"coalesce(nanvl({value}, NULL), {float(stats[f'd_{c}'] or 0.0)!r})"
+        exprs[c] = f"({value} - {m!r}) / {s!r}"
     return exprs
 
 
@@ -108,10 +132,10 @@ def _classifier(model_type: str):
 
 
 def build_pipeline(train: DataFrame, features: list[str], model_type: str) -> Pipeline:
-    exprs = standardize_exprs(train, features)
+    exprs = standardize_exprs(train, features, with_medians=True)
     cols = ", ".join(f"{e} AS scaled_{c}" for c, e in exprs.items())
     scaler = SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
-    assembler = VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features", handleInvalid="error")
     return Pipeline(stages=[scaler, assembler, _classifier(model_type)])
 
 
@@ -123,12 +147,16 @@ def check_classes(df: DataFrame, label: str = LABEL) -> None:
         raise ValueError(f"training rows lack risk classes {missing}; all of 0, 1, 2 are required")
 
 
-def train(prepared: DataFrame, model_type: str = "random_forest") -> tuple[TrainResult, DataFrame]:
+def _narrow(prepared: DataFrame, features: list[str]) -> DataFrame:
+    """Id, label and features only: what a fit has to keep in memory."""
+    return prepared.select("student_id", F.col(LABEL).cast("double").alias(LABEL), *features)
+
+
+def train(prepared: DataFrame, model_type: str = DEFAULT_MODEL) -> tuple[TrainResult, DataFrame]:
     """Split, fit, and score the held-out rows (H1-H5). Returns the result
     and the scored test rows."""
-    features = Q.available_features(prepared)
-    data = prepared.withColumn(LABEL, F.col(LABEL).cast("double"))
-    tr, te = stratified_split(data)
+    features = Q.usable_features(prepared)
+    tr, te = stratified_split(_narrow(prepared, features))
     # The training rows are read by the scaler fit, the class check and the
     # classifier; keep them instead of recomputing the split each time
     # (a lost cached block is recomputed from lineage).
@@ -197,14 +225,14 @@ def explanation(df: DataFrame, importances: list[tuple[str, float]]) -> DataFram
     return df.select("student_id", values.alias("feature_values"), top5.alias("top_features"), factors.alias("risk_factors"))
 
 
-def cross_validate(prepared: DataFrame, model_type: str = "random_forest", k: int = S.CV_FOLDS) -> dict:
+def cross_validate(prepared: DataFrame, model_type: str = DEFAULT_MODEL, k: int = S.CV_FOLDS) -> dict:
     """k-fold accuracy on the training rows: mean and population std (H6).
     The k fits are independent Spark jobs and are submitted concurrently
     (the scheduler interleaves their tasks); results do not depend on it."""
     from concurrent.futures import ThreadPoolExecutor
 
-    features = Q.available_features(prepared)
-    data = fold_column(prepared.withColumn(LABEL, F.col(LABEL).cast("double"))).persist(StorageLevel.MEMORY_AND_DISK)
+    features = Q.usable_features(prepared)
+    data = fold_column(_narrow(prepared, features)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fold(i: int) -> float:
         tr = data.filter(F.col("fold") != i)
@@ -239,19 +267,45 @@ def model_features(model: PipelineModel) -> list[str]:
     return [c[len("scaled_"):] for c in model.stages[1].getInputCols()]
 
 
-def load_or_train(spark, path: str, training: DataFrame, model_type: str = "random_forest") -> PipelineModel:
-    """Load the saved model; when that fails, train on ``training`` and save."""
-    try:
-        return load(path)
-    except Exception:  # noqa: BLE001 - any load failure falls back to training
+def model_type_of(model: PipelineModel) -> str:
+    return "random_forest" if hasattr(model.stages[-1], "featureImportances") else "gbt"
+
+
+def load_or_train(spark, path: str, training: DataFrame, model_type: str = DEFAULT_MODEL) -> PipelineModel:
+    """Load the saved model, or train on ``training`` and save when there is none
+    (H12). A saved model that can't be read, or is of another type, is an
+    error and stays as it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         result, _ = train(training, model_type)
         save(result, path)
         return result.model
+    model = load(path)
+    if model_type_of(model) != model_type:
+        raise ValueError(f"the model saved at {path} is {model_type_of(model)}, not {model_type}")
+    return model
+
+
+def training_report(prepared: DataFrame, model_type: str = DEFAULT_MODEL, k: int = S.CV_FOLDS) -> dict:
+    """What training prints (H6-H10): held-out accuracy, cross-validation mean
+    and deviation on the training rows, the classification report and the
+    confusion matrix of the held-out rows, and the importances."""
+    from . import evaluation as EV
+
+    result, test = train(prepared, model_type)
+    pairs = test.select(F.col(LABEL).cast("int").alias("label"), F.col("prediction_score").alias("prediction"))
+    cv = cross_validate(stratified_split(_narrow(prepared, result.features))[0], model_type, k)
+    return {
+        "model": result, "accuracy": result.accuracy, "cv_mean": cv["cv_mean"], "cv_std": cv["cv_std"],
+        "report": EV.classification_report(pairs), "confusion": EV.confusion_matrix(pairs),
+        "importances": feature_importance(result.model, result.features),
+    }
 
 
 def score_new(model: PipelineModel, raw: DataFrame, medians: dict[str, float] | None = None) -> DataFrame:
-    """Score new rows with the model's own feature list (T22): absent
-    features become typed NULLs, NULLs take the training medians."""
+    """Score new rows with the model's own feature list (T22): absent features
+    become typed NULLs; NULLs take the training medians saved with the model
+    (or the given ones)."""
     feats = model_features(model)
     df = R.nan_to_null(raw)
     for c in feats:
@@ -267,7 +321,7 @@ def score_for_dashboard(model: PipelineModel, prepared: DataFrame) -> DataFrame:
     prediction, ``risk_category`` follows it and ``risk_probability`` is the
     predicted class's probability x 100, as in the application (survey fact
     3); ``p_high_risk`` is kept as its own, clearly named column."""
-    out = score(model, prepared)
+    out = score_new(model, prepared)
     return out.withColumns(
         {
             "risk_score": F.col("prediction_score"),

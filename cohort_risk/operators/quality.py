@@ -72,32 +72,33 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------- imputation ----
 
 
-MAX_EXACT_DISTINCT = 1_000_000
-
-
-def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096,
-                    collect_limit: int = 100_000) -> dict[tuple, tuple[int, list[float | None]]]:
+def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096) -> dict[tuple, tuple[int, list[float | None]]]:
     """Exact quantiles per group (linear interpolation between neighbouring
-    order statistics, as ``percentile`` / pandas) with bounded memory, for
-    data too diverse for a value -> count map.
-
-    Every (group, target rank) keeps a value range, initially [min, max]
-    (ranks 0 and n-1 are min and max themselves). Open targets of a group
-    either share a range or have disjoint ones (they narrow through bins of
-    the same histograms), so ranges are keyed by (group, lo, hi) and every row
-    falls in at most one: each pass is one histogram job of at most ``bins``
-    bins per range, plus one job returning the (value, count) pairs of ranges
-    holding at most ``collect_limit`` rows, from which the order statistics
-    are read off. The range table (one row per open range) is joined on the
-    group keys; AQE broadcasts it. Returns {group: (n, [quantile per prob])}."""
+    order statistics, as ``percentile`` / pandas) in bounded memory, by the
+    same passes at every size and for every distribution.
+
+    Every (group, target rank) keeps a value range of the finite values,
+    initially [min, max]; infinities are counted aside and only take the ranks
+    at the ends. A pass is one histogram of at most ``bins`` bins per open
+    range (partial aggregation, so a task ships at most that many rows) and
+    narrows each target to the smallest and largest value of its bin; a pass
+    always splits a range, whatever its width. The ranges reach the rows as a
+    broadcast table of at most two rows per group and probability, so the
+    values themselves are never shuffled.
+    Returns {group: (n, [quantile per prob])}; NaN counts as missing."""
     spark = long.sparkSession
-    base = long.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    heads = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).collect()
+    base = long.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    inf = F.lit(float("inf"))
+    finite = F.when((F.col("_x") < inf) & (F.col("_x") > -inf), F.col("_x"))
+    heads = base.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.count_if(F.col("_x") == -inf).alias("_neg"), F.count_if(F.col("_x") == inf).alias("_pos"),
+        F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+    ).collect()
     plans: dict[tuple, tuple[int, list]] = {}
     state: dict[tuple, list] = {}  # (group, rank) -> [lo, hi, rows below lo, value]
     for h in heads:
         g = tuple(h[k] for k in keys)
-        n, lo, hi = h["_n"], h["_lo"], h["_hi"]
+        n, lo, hi, neg, pos_inf = h["_n"], h["_lo"], h["_hi"], h["_neg"], h["_pos"]
         targets = []
         for p in probs:
             pos = p * (n - 1)
@@ -105,11 +106,14 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
             k2 = min(k1 + 1, n - 1) if pos > k1 else k1
             targets.append((k1, k2, pos - k1))
             for k in {k1, k2}:
-                known = lo if (k == 0 or lo == hi) else (hi if k == n - 1 else None)
-                state.setdefault((g, k), [lo, hi, 0, known])
+                if k < neg or k >= n - pos_inf:
+                    known = float("-inf") if k < neg else float("inf")
+                else:
+                    known = lo if k == neg or lo == hi else hi if k == n - pos_inf - 1 else None
+                state.setdefault((g, k), [lo, hi, neg, known])
         plans[g] = (n, targets)
     range_schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in (base.schema[k] for k in keys)]
+        [T.StructField(f"_k{i}", base.schema[k].dataType) for i, k in enumerate(keys)]
         + [T.StructField("_r", T.LongType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
     )
     while True:
@@ -120,39 +124,30 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
         for g, _, st in open_:
             rid.setdefault((g, st[0], st[1]), len(rid))
         ranges = spark.createDataFrame([(*g, r, lo, hi) for (g, lo, hi), r in rid.items()], range_schema)
-        cond = [base[k].eqNullSafe(ranges[k]) for k in keys]
-        inside = base.join(ranges, cond).select("_r", "_lo", "_hi", "_x").filter(
-            (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
+        if len(rid) <= 10_000:  # at most two per group and probability
+            ranges = F.broadcast(ranges)
+        cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        inside = base.join(ranges, cond).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        half = F.col("_hi") / 2 - F.col("_lo") / 2  # the full width may overflow
+        b = F.when(half == 0, (F.col("_x") > F.col("_lo")).cast("int")).otherwise(
+            F.least(F.lit(bins - 1), F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / half * bins).cast("int"))
         )
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-        b = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width).cast("int"))
         hist: dict[int, list] = {}
         for r in inside.groupBy("_r", b.alias("_b")).agg(
             F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx")
         ).collect():
             hist.setdefault(r["_r"], []).append((r["_b"], r["c"], r["mn"], r["mx"]))
-        small = [r for r, h in hist.items() if sum(c for _, c, _, _ in h) <= collect_limit]
-        pairs: dict[int, list] = {}
-        if small:
-            for r in inside.filter(F.col("_r").isin(small)).groupBy("_r", "_x").agg(F.count(F.lit(1)).alias("c")).collect():
-                pairs.setdefault(r["_r"], []).append((r["_x"], r["c"]))
+        for h in hist.values():
+            h.sort()
         for g, k, st in open_:
-            r = rid[(g, st[0], st[1])]
             acc = st[2]
-            if r in pairs:
-                for v, c in sorted(pairs[r]):
-                    acc += c
-                    if acc > k:
-                        st[3] = v
-                        break
-            else:
-                for _, c, mn, mx in sorted(hist.get(r, [])):
-                    if acc + c > k:
-                        st[0], st[1], st[2] = mn, mx, acc
-                        if mn == mx:
-                            st[3] = mn
-                        break
-                    acc += c
+            for _, c, mn, mx in hist[rid[(g, st[0], st[1])]]:
+                if acc + c > k:
+                    st[0], st[1], st[2] = mn, mx, acc
+                    # the first and last rank of a bin are its ends
+                    st[3] = mn if mn == mx or k == acc else mx if k == acc + c - 1 else None
+                    break
+                acc += c
     out = {}
     for g, (n, targets) in plans.items():
         qs = []
@@ -163,84 +158,53 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     return out
 
 
-def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096, collect_limit: int = 100_000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096) -> float | None:
     """Exact quantile of one column in bounded memory (see ``exact_quantiles``)."""
     long = df.select(F.lit(col).alias("_col"), F.col(col).alias("_v"))
-    res = exact_quantiles(long, ["_col"], "_v", [p], bins, collect_limit)
+    res = exact_quantiles(long, ["_col"], "_v", [p], bins)
     return res[(col,)][1][0] if (col,) in res else None
 
 
-def column_medians(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000,
-                   max_exact_distinct: int = MAX_EXACT_DISTINCT) -> dict:
-    """Medians of the columns of ``cols`` that hold NULLs (the others need no
-    fill and map to None), from one aggregate job: partial aggregation per
-    task, one merge. The result is one row of numbers (a fitted constant,
-    like a model parameter).
-
-    The exact median (pandas / DuckDB semantics, T8) keeps a value -> count
-    map whose size is the number of *distinct* values. ``exact="auto"`` first
-    estimates distinct counts (HyperLogLog, fixed memory) and computes a
-    column with more than ``max_exact_distinct`` values by exact selection in
-    bounded-memory passes (``exact_quantile``); ``True`` forces the map,
-    ``False`` the mergeable quantile sketch (rank error <= n / accuracy)."""
-    # One pass first: NULL counts (a column without NULLs needs no median) and,
-    # for "auto", the distinct-count estimate.
-    probe = [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols]
-    if exact == "auto":
-        probe += [F.approx_count_distinct(c, 0.05).alias(f"d_{c}") for c in cols]
-    first = df.agg(*probe).first()
-    need = [c for c in cols if first[f"n_{c}"] > 0]
-    if exact == "auto":
-        exact_cols = {c for c in need if (first[f"d_{c}"] or 0) <= max_exact_distinct}
-    else:
-        exact_cols = set(need) if exact else set()
+def column_medians(df: DataFrame, cols: list[str]) -> dict:
+    """Exact medians (pandas / DuckDB semantics, T8) of the columns of ``cols``
+    that hold NULLs (the others need no fill and map to None): fitted constants,
+    like model parameters. All such columns are selected together, as groups
+    of the unpivoted (column, value) rows."""
+    first = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    need = [c for c in cols if first[c] > 0]
     out = {c: None for c in cols}
-    if not need:
-        return out
-    sketch = [c for c in need if c not in exact_cols]
-    if exact == "auto" and sketch:
-        # too diverse for a value -> count map: exact selection in passes,
-        # all such columns together as groups of the unpivoted (column, value)
-        long = df.select(
-            F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in sketch]))
-        )
+    if need:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in need])))
         res = exact_quantiles(long, ["_col"], "_v", [0.5])
-        for c in sketch:
-            out[c] = res[(c,)][1][0] if (c,) in res else None
-        sketch = []
-    aggs = [F.median(c).alias(c) for c in need if c in exact_cols]
-    aggs += [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in sketch]
-    if aggs:
-        row = df.agg(*aggs).first()
-        out.update({c: (None if row[c] is None else float(row[c])) for c in need if c in exact_cols or c in sketch})
+        out.update({c: res[(c,)][1][0] for c in need if (c,) in res})
     return out
 
 
-def impute_median(df: DataFrame, cols: list[str], exact: bool | str = "auto", accuracy: int = 1_000_000) -> DataFrame:
+def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULLs with the column median (B4/B5). The medians enter the plan
     as literals, so the fill is a narrow projection (no join, no per-column
     subquery)."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    med = column_medians(df, cols, exact, accuracy)
+    med = column_medians(df, cols)
     # Integer columns become double, as a pandas column holding NaN does.
     fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in cols}
     return df.withColumns(fills)
 
 
-def impute_features(df: DataFrame, exact: bool | str = "auto") -> DataFrame:
+def impute_features(df: DataFrame) -> DataFrame:
     """Median-impute the ten model features that are present."""
-    return impute_median(df, S.FEATURE_COLUMNS, exact)
+    return impute_median(df, S.FEATURE_COLUMNS)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def impute_numeric(df: DataFrame, exact: bool | str = "auto") -> DataFrame:
+def impute_numeric(df: DataFrame) -> DataFrame:
     """Median-impute every numeric column."""
-    return impute_median(df, numeric_columns(df), exact)
+    return impute_median(df, numeric_columns(df))
 
 
 def available_features(df: DataFrame) -> list[str]:
@@ -248,27 +212,31 @@ def available_features(df: DataFrame) -> list[str]:
     return [c for c in S.FEATURE_COLUMNS if c in df.columns]
 
 
+def usable_features(df: DataFrame) -> list[str]:
+    """The present features that hold a value in some row (an all-NULL column has
+    no median and nothing to learn from)."""
+    cols = available_features(df)
+    seen = df.agg(*[F.count(c).alias(c) for c in cols]).first() if cols else {}
+    return [c for c in cols if seen[c]]
+
+
 # -------------------------------------------------------- default features ----
 
 
-def poisson(lam: float, seed: int) -> Column:
-    """Poisson sample by inverse CDF: count of CDF points below one uniform.
-    Support is cut where the remaining tail mass is below 1e-12."""
+def poisson(lam: float, u: Column) -> Column:
+    """Poisson value of one uniform draw ``u`` (a column drawn before, so that
+    every comparison sees the same number): the count of CDF points it reaches.
+    The points run on until the next one equals 1 as a double, beyond which
+    no uniform double lies."""
     import math
 
-    u = F.rand(seed)
-    terms, p, cdf, k = [], math.exp(-lam), 0.0, 0
-    while True:
-        cdf += p
-        terms.append(F.when(u > F.lit(cdf), F.lit(1)).otherwise(F.lit(0)))
+    points, p, cdf, k = [], math.exp(-lam), math.exp(-lam), 0
+    while cdf < 1.0 and p > 0.0 and (not points or cdf > points[-1]):
+        points.append(cdf)
         k += 1
         p *= lam / k
-        if 1.0 - cdf < 1e-12 or k > 10 * lam + 50:
-            break
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out.cast("int")
+        cdf += p
+    return F.size(F.filter(F.array(*[F.lit(x) for x in points]), lambda x: u >= x)).cast("int")
 
 
 def gamma_int(shape: int, seed: int) -> Column:
@@ -290,12 +258,10 @@ def beta_int(a: int, b: int, seed: int) -> Column:
 def synthesize_missing_features(df: DataFrame, seed: int = S.SEED) -> DataFrame:
     """Add absent engagement features from their default distributions."""
     out = df
-    if "lms_activity" not in out.columns:
-        out = out.withColumn("lms_activity", poisson(15, seed + 1))
-    if "late_submissions" not in out.columns:
-        out = out.withColumn("late_submissions", poisson(2, seed + 2))
-    if "office_hours_visits" not in out.columns:
-        out = out.withColumn("office_hours_visits", poisson(3, seed + 3))
+    for i, (name, lam) in enumerate((("lms_activity", 15), ("late_submissions", 2), ("office_hours_visits", 3)), 1):
+        if name not in out.columns:  # draw in one projection, look up in the next
+            out = out.withColumn(name, F.rand(seed + i))
+            out = out.withColumn(name, poisson(lam, F.col(name)))
     if "study_group_participation" not in out.columns:
         out = out.withColumn("study_group_participation", beta_int(3, 7, seed + 4))
     if "previous_semester_gpa" not in out.columns:
@@ -314,12 +280,12 @@ def preprocess(df: DataFrame, seed: int = S.SEED) -> DataFrame:
 # ------------------------------------------------------------ preparation ----
 
 
-def prepare(df: DataFrame, exact: bool | str = "auto") -> DataFrame:
+def prepare(df: DataFrame) -> DataFrame:
     """Label first on raw values (T2), then impute the model features.
     Returns the input columns (features imputed) plus ``risk_score``."""
     clean = R.nan_to_null(df)
     labeled = clean.withColumn("risk_score", R.risk_label(clean))
-    return impute_features(labeled, exact)
+    return impute_features(labeled)
 
 
 def score_with_rules(df: DataFrame, probability_col: str | None = "risk_probability_fixture") -> DataFrame:

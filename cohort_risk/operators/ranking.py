@@ -17,6 +17,11 @@ from . import aggregates as A
 ALERT_COLUMNS = ["student_id", "name", "risk_probability", "gpa", "branch", "year", "section"]
 
 
+def checked_broadcast(small: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``small`` with a broadcast hint if it has at most ``max_rows`` rows."""
+    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+
+
 def top_high_risk(df: DataFrame, k: int = 5) -> DataFrame:
     """The k high-risk students with the highest risk probability (G1);
     ties broken by student_id (T11)."""
@@ -73,10 +78,10 @@ def most_at_risk_branch(df: DataFrame) -> DataFrame:
 
 def student_vs_branch(df: DataFrame) -> DataFrame:
     """Each student's GPA and risk against the *rounded* branch averages
-    (G6, T14). The branch averages are a partial aggregate joined back on
-    ``branch``: AQE broadcasts the per-branch table when it is small at run
-    time and otherwise splits a skewed branch across tasks."""
-    avgs = A.branch_comparison(df).select("branch", "avg_gpa", "avg_risk_pct")
+    (G6, T14). The branch averages are a partial aggregate, broadcast when
+    there are few branches, so the student table isn't moved; with more
+    branches the join shuffles and AQE splits a skewed branch."""
+    avgs = checked_broadcast(A.branch_comparison(df).select("branch", "avg_gpa", "avg_risk_pct"))
     j = df.select("student_id", "branch", "gpa", "risk_probability").join(avgs, "branch", "inner")
     gpa_diff = F.col("gpa") - F.col("avg_gpa")
     risk_diff = F.col("risk_probability") - F.col("avg_risk_pct")

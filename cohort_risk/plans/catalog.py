@@ -17,7 +17,7 @@ from ..operators import ranking as K
 from ..sources import fixtures as FX
 from ..streaming import incremental as ST
 from . import views as V
-from .registry import register
+from .registry import ORACLE, register
 
 
 def _w(*views: str) -> str:
@@ -530,9 +530,9 @@ def q_decision_changes(spark, sf_dir):
     "decision_detail",
     _wd("scored_o", "current_decisions")
     + """
-SELECT d.student_id, s.name AS student_name, coalesce(s.email, 'N/A') AS email, coalesce(s.branch, 'N/A') AS branch,
+SELECT d.student_id, coalesce(d.student_name, s.name) AS student_name, coalesce(s.email, 'N/A') AS email, coalesce(s.branch, 'N/A') AS branch,
   coalesce(s.year, 'N/A') AS year, coalesce(s.section, 'N/A') AS section, coalesce(s.semester, 'N/A') AS semester,
-  printf('%.2f', coalesce(s.gpa, 0.0)) AS gpa, coalesce(s.risk_category, 'Unknown') AS risk_category,
+  printf('%.2f', coalesce(s.gpa, 0.0)) AS gpa, coalesce(d.decided_category, s.risk_category, 'Unknown') AS risk_category,
   upper(substr(d.status, 1, 1)) || lower(substr(d.status, 2)) AS status,
   strftime(d.decided_at, '%Y-%m-%d %H:%M:%S') AS decision_date,
   CAST(floor((epoch(TIMESTAMP '2002-01-01 00:00:00') - epoch(d.decided_at)) / 86400) AS BIGINT) AS days_since
@@ -766,6 +766,20 @@ def q_branch_alert_band(spark, sf_dir):
     )
 
 
+@register(
+    "student_lookup_by_name",
+    _w("scored_o")
+    + """
+SELECT student_id, name, ordinal, gpa, risk_category FROM scored WHERE name = (SELECT min(name) FROM scored)
+ORDER BY ordinal LIMIT 1
+""",
+)
+def q_student_lookup_by_name(spark, sf_dir):
+    """Lookup of one student by name (here the first name of the table)."""
+    df = V.scored(spark, sf_dir, with_ordinal=True).select("student_id", "name", "ordinal", "gpa", "risk_category")
+    return D.lookup(df, name=df.agg(F.min("name")).first()[0])
+
+
 @register(
     "student_vs_branch",
     _w("scored")
@@ -1005,7 +1019,7 @@ FROM m
 """,
 )
 def q_notification_outbox(spark, sf_dir):
-    return _ts_text(I.notification_outbox(V.decisions(spark, sf_dir), V.scored(spark, sf_dir)), "decided_at")
+    return _ts_text(I.notification_outbox(V.decisions(spark, sf_dir), V.scored(spark, sf_dir, with_ordinal=True)), "decided_at")
 
 
 @register(
@@ -1085,7 +1099,12 @@ def q_stream_scoring(spark, sf_dir):
     return ST.stream_scoring(spark, sf_dir)
 
 
-@register("stream_alerts", _w("scored") + "SELECT * FROM scored WHERE risk_category = 'High Risk'")
+@register("stream_quarantine", ORACLE["quarantine_rows"])
+def q_stream_quarantine(spark, sf_dir):
+    return _joined(ST.stream_quarantine(spark, sf_dir).select("student_id", "violations"), "violations")
+
+
+@register("stream_alerts", _w("scored") + f"SELECT {', '.join(ST.ALERT_COLUMNS)} FROM scored WHERE risk_category = 'High Risk'")
 def q_stream_alerts(spark, sf_dir):
     return ST.stream_scoring(spark, sf_dir, only_high=True)
 
@@ -1119,8 +1138,27 @@ def q_csv_roundtrip(spark, sf_dir):
     students = V.students(spark, sf_dir).drop("risk_probability_fixture")
     path = scratch_path(spark, f"csv/students-{uuid.uuid4().hex[:12]}")
     FS.write_csv(students, path)
-    up = FS.read_students_csv(spark, path, header_cols=students.columns)
-    return up.rows
+    return FS.read_students_csv(spark, path).rows
+
+
+@register("csv_mixed_order", _w("students") + "SELECT * EXCLUDE (risk_probability_fixture) FROM students")
+def q_csv_mixed_order(spark, sf_dir):
+    """A folder whose files order their columns differently, integers written
+    as 15.0 and gaps as NA, read by each file's own header."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    students = V.students(spark, sf_dir).drop("risk_probability_fixture")
+    text = students.select(*[
+        (F.format_string("%.1f", F.col(c).cast("double")) if t == "int" else F.col(c).cast("string")).alias(c) for c, t in students.dtypes
+    ]).fillna("NA")
+    path = scratch_path(spark, f"csv/mixed-{uuid.uuid4().hex[:12]}")
+    odd = F.pmod(F.xxhash64("student_id"), F.lit(2)) == 1
+    FS.write_csv(text.filter(~odd), path)
+    FS.write_csv(text.filter(odd).select(*reversed(text.columns)), path, mode="append")
+    return FS.read_students_csv(spark, path).rows.select(*students.columns)
 
 
 # ------------------------------------------------------------------- model ----
@@ -1151,26 +1189,24 @@ def q_stratified_split(spark, sf_dir):
     )
 
 
-def _trained(spark, sf_dir, model_type="random_forest"):
-    """Train-or-load (H12): the model for these source files lives in the
-    shared checkpoint folder; a later session or process loads it instead of
-    training again. Within a session the loaded model is kept in memory."""
+def _trained(spark, sf_dir, model_type=M.DEFAULT_MODEL):
+    """Train-or-load (H12): the model for these source files and settings lives
+    in the shared checkpoint folder; a later session or process loads it instead
+    of training again. Within a session the loaded model is kept in memory."""
     import hashlib
 
     from ..session import scratch_path
 
-    fp = hashlib.sha1(repr((sf_dir.rstrip("/"), V._fingerprint(spark, sf_dir), model_type)).encode()).hexdigest()[:16]
-    key = (fp, id(spark))
+    settings = (model_type, S.RF_PARAMS if model_type == "random_forest" else S.GBT_PARAMS, S.SEED, S.FEATURE_COLUMNS)
+    fp = hashlib.sha1(repr((sf_dir.rstrip("/"), V._fingerprint(spark, sf_dir), settings)).encode()).hexdigest()[:16]
+    key = (fp, spark.sparkContext.applicationId)
     if key not in _MODEL_CACHE:
         path = scratch_path(spark, f"models/{model_type}-{fp}")
-        try:
-            if spark.conf.get("cohort_risk.reuse_saved_model", "true").lower() != "true":
-                raise LookupError("saved models disabled for this session")
-            model = M.load(path)
-            result = M.TrainResult(model, M.model_features(model), model_type)
-        except Exception:  # noqa: BLE001 - no saved model (or a broken one): train and save
+        if spark.conf.get("cohort_risk.reuse_saved_model", "true").lower() != "true":
             result, _ = M.train(V.scored(spark, sf_dir), model_type)
-            M.save(result, path)
+        else:
+            model = M.load_or_train(spark, path, V.scored(spark, sf_dir), model_type)
+            result = M.TrainResult(model, M.model_features(model), model_type)
         _MODEL_CACHE[key] = result
     return _MODEL_CACHE[key]
 
@@ -1182,7 +1218,7 @@ _MODEL_CACHE: dict = {}
 def q_model_scoring(spark, sf_dir):
     """Random forest (100 trees, depth 10) trained on the 80 % split, scoring
     every student; rows-only check (model output is not SQL)."""
-    res = _trained(spark, sf_dir)
+    res = _trained(spark, sf_dir, "random_forest")
     out = M.score(res.model, V.scored(spark, sf_dir))
     return out.select("student_id", "risk_score", "prediction_score", "predicted_category", "risk_probability_model", "p_high_risk")
 
@@ -1236,9 +1272,50 @@ def q_correlation_long(spark, sf_dir):
     return A.correlation_long(V.scored(spark, sf_dir), CORR_COLUMNS)
 
 
-@register("display_formats")
+_RAW_CORR = [c for c in S.FEATURE_COLUMNS] + [f"{x}_performance" for x in S.SUBJECTS]
+
+
+@register(
+    "correlation_raw",
+    _w("students")
+    + "SELECT col_x, col_y, CAST(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS BIGINT) AS n, "
+    "round_even(CASE WHEN isnan(corr(y, x)) THEN NULL ELSE corr(y, x) END, 6) AS corr FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS col_x, '{b}' AS col_y, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM students"
+        for i, a in enumerate(_RAW_CORR) for b in _RAW_CORR[i + 1:]
+    )
+    + ") GROUP BY col_x, col_y",
+)
+def q_correlation_raw(spark, sf_dir):
+    """Correlations of the uploaded values, NULLs included (pairwise complete)."""
+    return A.correlation_long(V.students(spark, sf_dir), _RAW_CORR)
+
+
+@register(
+    "continuous_quantiles",
+    "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 "
+    "FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS v FROM lineitem) WHERE v IS NOT NULL GROUP BY l_returnflag",
+)
+def q_continuous_quantiles(spark, sf_dir):
+    """Exact quantiles of a column with nearly as many values as rows."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select("l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    res = Q.exact_quantiles(rows, ["l_returnflag"], "v", [0.25, 0.5, 0.75])
+    return spark.createDataFrame([(*g, n, *qs) for g, (n, qs) in res.items()], "l_returnflag string, n bigint, q1 double, median double, q3 double")
+
+
+@register(
+    "display_formats",
+    _w("scored")
+    + """
+SELECT student_id, printf('%.2f', gpa) AS gpa_text, printf('%.1f', attendance_rate * 100) || '%' AS attendance_text,
+  printf('%.1f', assignment_completion * 100) || '%' AS completion_text, printf('%.1f', quiz_scores) AS quiz_text,
+  printf('%.1f', participation_score) AS participation_text, printf('%.0f', CAST(lms_activity AS DOUBLE)) AS lms_text,
+  printf('%.1f', risk_probability) || '%' AS risk_text, upper(risk_category) AS category_upper
+FROM scored
+""",
+)
 def q_display_formats(spark, sf_dir):
-    """Display strings (rows-only: Java and Python format ties differently, T20)."""
+    """Display strings: the exact binary value rounded half-even."""
     return I.display_formats(V.scored(spark, sf_dir))
 
 

@@ -24,25 +24,24 @@ from ..operators import quality as Q
 from ..sources import files as FS
 
 
-def load_students(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) from a CSV upload or a Parquet table."""
+def load_students(spark: SparkSession, path: str) -> FS.Upload:
+    """The uploaded rows with their ingest ordinal (file order), what was
+    rejected, and which declared columns are present, from CSV or Parquet."""
     if path.endswith(".csv") or path.rstrip("/").endswith("csv"):
         up = FS.read_students_csv(spark, path)
-        return FS.complete_columns(up.rows), up.rejected
-    df = spark.read.parquet(path)
-    return FS.complete_columns(df), df.limit(0)
+    else:
+        df = spark.read.parquet(path)
+        up = FS.Upload(df, df.limit(0), df.columns, [c for c in FS.S.STUDENT_COLUMNS if c not in df.columns])
+    if "ordinal" not in up.rows.columns:
+        up.rows = up.rows.withColumn("ordinal", F.monotonically_increasing_id())
+    return up
 
 
 def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str, decisions_path: str | None = None,
-        model_type: str = "random_forest") -> dict[str, str]:
+        model_type: str = M.DEFAULT_MODEL) -> dict[str, str]:
     out = out_dir.rstrip("/")
-    rows, rejected = load_students(spark, students_path)
-    # As in the application's upload flow, every parseable row is scored
-    # (NULLs are imputed); range validation is reported, not enforced.
-    _, violations = Q.quarantine(rows)
-    prepared = Q.prepare(rows)
-    model = M.load_or_train(spark, model_path, prepared, model_type)
-    scored = M.score_for_dashboard(model, prepared)
+    up = load_students(spark, students_path)
+    uploaded, rejected = up.rows, up.rejected
     written = {}
 
     def write(name: str, df: DataFrame, partition: list[str] | None = None) -> None:
@@ -52,11 +51,23 @@ def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str,
         w.parquet(f"{out}/{name}")
         written[name] = f"{out}/{name}"
 
+    write("rejected_rows", rejected)
+    # the verdict sees the columns as uploaded, so a missing one is named (B1)
+    write("validation_verdict", Q.validation_verdict(uploaded))
+    if Q.missing_required_columns(uploaded):
+        return written
+    # As in the application's upload flow, every parseable row is scored
+    # (NULLs are imputed); range validation is reported, not enforced.
+    rows = FS.complete_columns(uploaded, leave=FS.S.FEATURE_COLUMNS)
+    _, violations = Q.quarantine(rows)
+    prepared = Q.prepare(rows)
+    model = M.load_or_train(spark, model_path, prepared, model_type)
+    scored = M.score_for_dashboard(model, prepared)
+    absent = [c for c in FS.S.FEATURE_COLUMNS if c in up.missing and c in scored.columns]
+    scored = scored.drop(*absent)  # NULL stand-ins a loaded model asked for
     FS.write_scored(scored, f"{out}/scored_students", fmt="parquet")  # partitioned by semester
     written["scored_students"] = f"{out}/scored_students"
     scored = spark.read.parquet(written["scored_students"])  # reuse the written table, lineage cut
-    write("rejected_rows", rejected)
-    write("validation_verdict", Q.validation_verdict(rows))
     write("range_violation_rows", violations.select("student_id", "violations"))
     write("branch_risk_stats", A.branch_risk_stats(scored))
     write("risk_grouping_sets", A.risk_grouping_sets(scored))
@@ -69,10 +80,10 @@ def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str,
                                              F.to_json(I.analysis_struct()).alias("analysis_json")))
     if decisions_path:
         log = spark.read.parquet(decisions_path)
-        with_ordinal = scored if "ordinal" in scored.columns else scored.withColumn("ordinal", F.monotonically_increasing_id())
         write("current_decisions", D.current_decisions(log))
-        write("approval_detail", D.decision_detail(log, with_ordinal))
-        write("branch_decision_summary", D.branch_decision_summary(log, with_ordinal))
+        current = spark.read.parquet(written["current_decisions"])  # the reports start from the written state
+        write("approval_detail", D.decision_detail(current, scored))
+        write("branch_decision_summary", D.branch_decision_summary(current, scored))
         write("notification_outbox", I.notification_outbox(log, scored))
     return written
 
@@ -83,7 +94,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--model", required=True)
     ap.add_argument("--decisions")
-    ap.add_argument("--model-type", default="random_forest", choices=["random_forest", "gbt"])
+    ap.add_argument("--model-type", default=M.DEFAULT_MODEL, choices=["random_forest", "gbt"])
     a = ap.parse_args(argv)
     from ..session import build_session
 

@@ -3,10 +3,10 @@ text of the same views (oracle side)."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import quality as Q
@@ -25,36 +25,23 @@ def _scored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATERIALIZED: dict = {}
 
 
-_FINGERPRINTS: dict = {}
-FINGERPRINT_TTL_S = 300
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Identity of the source files as Spark's file system has them now: their
+    number and a checksum over (path, length, modification time). Listed on
+    every call, by Spark, without opening the files."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir.rstrip('/')}/orders.parquet")
+        .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    )
+    row = files.agg(F.count("h"), F.sum("h")).first()
+    return (row[0], str(row[1]))
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
-    """Identity of the source files (names, and size / mtime when local).
-    A listing of a large table is not free, so it is repeated at most every
-    ``FINGERPRINT_TTL_S`` seconds per session and source."""
-    import time
-
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    hit = _FINGERPRINTS.get(key)
-    if hit and time.monotonic() - hit[0] < FINGERPRINT_TTL_S:
-        return hit[1]
-    fp = _list_fingerprint(spark, sf_dir)
-    _FINGERPRINTS[key] = (time.monotonic(), fp)
-    return fp
-
-
-def _list_fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
-    files = tuple(sorted(spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").inputFiles()))
-    stats = []
-    for f in files:
-        p = f[len("file:"):] if f.startswith("file:") else f
-        try:
-            st = os.stat(p)
-            stats.append((st.st_size, int(st.st_mtime)))
-        except OSError:
-            stats.append(None)
-    return files, tuple(stats)
+def release(spark: SparkSession) -> None:
+    """Delete the shared copies this session wrote (no query may still need them)."""
+    for key in [k for k in _MATERIALIZED if k[0] == spark.sparkContext.applicationId]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MATERIALIZED.pop(key))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scored(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
@@ -72,9 +59,7 @@ def scored(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> Data
         path = _MATERIALIZED.get(key)
         if path is None:
             path = scratch_path(spark, f"views/scored-{uuid.uuid4().hex[:12]}")
-            # written as at least one file per core, so the many queries that
-            # read it start with that many parallel tasks
-            FX.spread(_scored_plan(spark, sf_dir)).write.mode("overwrite").parquet(path)
+            _scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
             _MATERIALIZED[key] = path
         df = spark.read.parquet(path)
     return df if with_ordinal else df.drop("ordinal")
@@ -133,7 +118,7 @@ def sql_views(*names: str) -> str:
     if "current_decisions" in need:
         order = ", ".join(f"{c} DESC" for c in FX.DECISION_ORDER)
         parts.append(
-            "current_decisions AS (SELECT student_id, subject, status, decided_at FROM ("
+            "current_decisions AS (SELECT student_id, subject, status, decided_at, student_name, decided_category FROM ("
             f"SELECT *, row_number() OVER (PARTITION BY student_id, subject ORDER BY {order}) AS rn "
             "FROM decisions) WHERE rn = 1)"
         )

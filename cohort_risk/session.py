@@ -32,13 +32,15 @@ CORE_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "cohort_risk"):
-    """Create (or reuse) a session with the settings the library relies on."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
+    """Create (or reuse) a session with the settings the library relies on. A
+    master and a number of shuffle partitions are set only when given."""
+    builder = SparkSession.builder.appName(app)
+    if master:  # without one, spark-submit or the environment decides
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     for k, v in CORE_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-    builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if os.environ.get("BENCH_EVENT_LOG"):
         # stage / task metrics for offline inspection (no UI server)
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", os.environ["BENCH_EVENT_LOG"])
@@ -49,12 +51,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Sizing for a cluster run over ``input_bytes`` of Parquet: splits and
-    shuffle partitions of about ``partition_bytes`` each (never fewer than two
-    per core), AQE coalescing towards the same size and skew splitting of
-    partitions five times the median. Apply with ``builder.config`` or
-    ``spark.conf.set`` before the job."""
-    parts = max(2 * total_cores, int(input_bytes // partition_bytes) + 1)
+    """Sizing for a cluster run over ``input_bytes`` of Parquet: splits of about
+    ``partition_bytes``, and two to eight shuffle partitions per core: what is
+    shuffled after partial aggregation does not follow the input's size, and
+    the number of map x reduce blocks must stay small. AQE coalesces towards
+    the advisory size and splits partitions five times the median. Apply with
+    ``builder.config`` or ``spark.conf.set`` before the job."""
+    parts = min(max(2 * total_cores, int(input_bytes // partition_bytes) + 1), 8 * total_cores)
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
@@ -72,10 +75,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is used as is. Only when the
-    session has none (local tests) a fresh private folder is created.
+    session has none and runs in one process (local tests) a fresh private
+    folder is created; executors elsewhere could not see it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="cohort-risk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -10,6 +10,7 @@ from "value missing".
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from dataclasses import dataclass
 
@@ -30,41 +31,82 @@ class Upload:
     missing: list[str]  # declared columns the file lacks
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file from its header line only."""
-    first = spark.read.text(path).limit(1).first()
-    return [c.strip() for c in first[0].split(",")] if first else []
-
-
-def read_students_csv(spark: SparkSession, path: str, header_cols: list[str] | None = None) -> Upload:
-    """A1: read a student CSV with the declared types. Every field is read as
-    text and cast with ``try_cast`` to its declared type; a row whose
-    non-empty field does not cast (``gpa = abc``) is quarantined with the
-    failing column names instead of failing the job (T5). The decision looks
-    at all declared columns, so it does not depend on which columns a later
-    query reads (CSV column pruning cannot hide a bad value). Unknown
-    columns are kept as text."""
-    cols = header_cols if header_cols is not None else read_header(spark, path)
+#: Fields that pandas reads as missing (fixed values).
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def parse_header(line: str) -> list[str]:
+    """Column names of a header line, quotes understood; a repeated name gets a number, as in pandas."""
+    names: list[str] = []
+    for c in next(csv.reader([line.lstrip("\ufeff")]), []):
+        c, n = c.strip(), 1
+        while c in names:
+            c, n = f"{c.rsplit('.', 1)[0] if n > 1 else c}.{n}", n + 1
+        names.append(c)
+    return names
+
+
+def read_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a CSV path by their own header line (one pass of text over
+    the first split of each file; one row per file)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter("at = 0").withColumn("i", F.monotonically_increasing_id())
+    files: dict[tuple[str, ...], list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "i").alias("header")).collect():
+        files.setdefault(tuple(parse_header(r["header"])), []).append(r["file"])
+    return files
+
+
+def _typed(c: str, kind: T.DataType):
+    """Text to a declared type; whole numbers may be written 15.0."""
+    if kind == T.StringType():
+        return F.col(c)
+    if isinstance(kind, T.IntegralType):
+        d = F.col(c).try_cast("double")
+        return F.coalesce(F.col(c).try_cast(kind), F.when(d == F.floor(d), d.cast("string").try_cast("decimal(38,0)").try_cast(kind)))
+    return F.col(c).try_cast(kind)
+
+
+def read_students_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Upload:
+    """A1: read a student CSV file or folder with the declared types, as pandas
+    would: every file by its own header (files may order or lack columns
+    differently), doubled quotes and line breaks inside quotes, the usual
+    missing-value words, whole numbers written 15.0. Every field is read as
+    text and cast with ``try_cast``; a row whose non-missing field does not cast
+    (``gpa = abc``) is quarantined with the failing column names instead of
+    failing the job (T5). The decision looks at all declared columns, so it
+    does not depend on which columns a later query reads. Unknown columns are
+    kept as text. ``multi_line=False`` lets Spark split large files."""
     declared = {f.name: f.dataType for f in S.STUDENT_SCHEMA.fields}
-    text = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    raw = spark.read.schema(text).option("header", True).csv(path)
-    typed = {c: F.col(c).try_cast(declared[c]) if c in declared and declared[c] != T.StringType() else F.col(c) for c in cols}
-    bad = F.filter(
-        F.array(*[F.when(F.col(c).isNotNull() & typed[c].isNull(), F.lit(c)) for c in cols if c in declared]),
-        lambda x: x.isNotNull(),
-    )
-    tagged = raw.select(*[typed[c].alias(c) for c in cols], bad.alias(CORRUPT), *[F.col(c).alias(f"_raw_{c}") for c in cols])
-    rows = tagged.filter(F.size(CORRUPT) == 0).select(*cols)
+    raw, cols = None, []
+    for header, files in sorted(read_headers(spark, path).items()):
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        part = spark.read.schema(text).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(files)
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+        cols += [c for c in header if c not in cols]
+    if raw is None:
+        raw = spark.createDataFrame([], T.StructType([]))
+    raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in cols])
+    typed = {c: _typed(f"`{c}`", declared.get(c, T.StringType())) for c in cols}
+    checks = [F.when(F.col(c).isNotNull() & typed[c].isNull(), F.lit(c)) for c in cols if c in declared]
+    bad = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
+    tagged = raw.select(*[typed[c].alias(c) for c in cols], bad.alias(CORRUPT), *[F.col(f"`{c}`").alias(f"_raw_{c}") for c in cols])
+    rows = tagged.filter(F.size(CORRUPT) == 0).select(*[f"`{c}`" for c in cols])
     rejected = tagged.filter(F.size(CORRUPT) > 0).select(
-        F.col(CORRUPT).alias("bad_columns"), *[F.col(f"_raw_{c}").alias(c) for c in cols]
+        F.col(CORRUPT).alias("bad_columns"), *[F.col(f"`_raw_{c}`").alias(c) for c in cols]
     )
     missing = [c for c in S.STUDENT_COLUMNS if c not in cols]
     return Upload(rows, rejected, list(cols), missing)
 
 
-def complete_columns(df: DataFrame) -> DataFrame:
-    """A2: add every absent declared column as a typed NULL."""
-    add = {f.name: F.lit(None).cast(f.dataType) for f in S.STUDENT_SCHEMA.fields if f.name not in df.columns}
+def complete_columns(df: DataFrame, leave: list[str] | None = None) -> DataFrame:
+    """A2: add every absent declared column as a typed NULL, but those in
+    ``leave``: an absent feature has a default of its own (T3) and isn't learned
+    from, which a NULL column would hide."""
+    add = {f.name: F.lit(None).cast(f.dataType) for f in S.STUDENT_SCHEMA.fields if f.name not in df.columns and f.name not in (leave or [])}
     return df.withColumns(add) if add else df
 
 

@@ -91,6 +91,12 @@ DECISION_EXPRS = [
     ("tie2", "l_suppkey"),
     ("tie3", "l_extendedprice"),
     ("tie4", "l_linenumber"),
+    # stored with the decision: the name and category shown when it was made
+    ("student_name", "'Student ' || cast(l_orderkey as varchar(12))"),
+    (
+        "decided_category",
+        "case (l_orderkey + l_partkey) % 3 when 0 then 'Low Risk' when 1 then 'Medium Risk' else 'High Risk' end",
+    ),
 ]
 DECISION_ORDER = ["decided_at", "tie1", "tie2", "tie3", "tie4"]
 
@@ -105,15 +111,6 @@ MODEL_PAIR_EXPRS = [
 ]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Ensure at least ``defaultParallelism`` partitions. A small input stored
-    as one Parquet row group is a single split (one task for every following
-    narrow step); one round-robin shuffle spreads it over the cores. Large
-    inputs already have many splits and are left as they are."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -10,7 +10,8 @@ incrementally over arriving files.
   micro-batch's changed keys are written to ``batch_id=<n>`` (overwrite of
   that folder only, so a retried batch is idempotent). Reading the sink takes
   the latest per key again, so an older late row can never win.
-* I3 alerts: I1 filtered to High Risk, append mode.
+* I3 alerts: I1 filtered to High Risk and narrowed to the alert columns, append mode.
+* Quarantine (B3r): arriving rows that break a range rule, append mode.
 
 Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import rules as R
 from ..operators import decisions as D
+from ..operators import model as M
 from ..operators import quality as Q
 from ..session import scratch_path
 from ..sources import fixtures as FX
@@ -66,41 +68,52 @@ def _schema_of(spark: SparkSession, path: str) -> T.StructType:
     return spark.read.parquet(path).schema
 
 
-def _run(query_writer, name: str, spark: SparkSession, timeout_s: int = 600):
-    q = query_writer.start()
-    try:
-        q.awaitTermination(timeout_s)
-    finally:
-        if q.isActive:
-            q.stop()
-    if q.exception() is not None:
-        raise RuntimeError(f"stream {name} failed: {q.exception()}")
-    return q
+def _run(query_writer, name: str) -> None:
+    """Run an available-now stream to its end. A query that fails raises; a
+    query that something stopped half-way ends without an error, so the stream
+    is started again from its checkpoint until a run finds nothing new."""
+    rows = 1
+    while rows:
+        q = query_writer.start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(f"stream {name} failed: {q.exception()}")
+        rows = sum(p["numInputRows"] for p in q.recentProgress)
 
 
-def stream_students(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The student view over a file stream of ``orders`` parquet files."""
-    path = f"{sf_dir.rstrip('/')}/orders*.parquet"
-    raw = spark.readStream.schema(_schema_of(spark, f"{sf_dir.rstrip('/')}/orders.parquet")).option(
-        "maxFilesPerTrigger", max_files
-    ).parquet(path)
-    return raw.selectExpr(*[f"{e} AS {n}" for n, e in FX.STUDENT_EXPRS])
+def _file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None) -> DataFrame:
+    """A file stream of exactly this table (the bracket makes the name a
+    pattern, which a single file needs, without matching any sibling). All
+    files at hand are one micro-batch unless ``max_files`` says otherwise."""
+    base = sf_dir.rstrip("/")
+    reader = spark.readStream.schema(_schema_of(spark, f"{base}/{table}.parquet"))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(f"{base}/{table}.parque[t]")
 
 
-def stream_decisions(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/lineitem*.parquet"
-    raw = spark.readStream.schema(_schema_of(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")).option(
-        "maxFilesPerTrigger", max_files
-    ).parquet(path)
-    return raw.selectExpr(*[f"{e} AS {n}" for n, e in FX.DECISION_EXPRS])
+def stream_students(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The student view over a file stream of ``orders``."""
+    return _file_stream(spark, sf_dir, "orders", max_files).selectExpr(*[f"{e} AS {n}" for n, e in FX.STUDENT_EXPRS])
+
+
+def stream_decisions(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    return _file_stream(spark, sf_dir, "lineitem", max_files).selectExpr(*[f"{e} AS {n}" for n, e in FX.DECISION_EXPRS])
+
+
+ALERT_COLUMNS = ["student_id", "name", "email", "branch", "year", "section", "semester", "gpa", "risk_score", "risk_category", "risk_probability"]
 
 
 def run_scoring(spark: SparkSession, stream: DataFrame, medians: dict, sink: str, checkpoint: str,
-                only_high: bool = False) -> str:
-    """Score arriving rows into a Parquet sink (availableNow)."""
+                only_high: bool = False, model=None) -> str:
+    """Score arriving rows into a Parquet sink (availableNow), by rule
+    or with a fitted ``model`` (H5); alerts carry only their columns."""
     scored = score_rows(stream, medians)
+    if model is not None:
+        scored = M.score_for_dashboard(model, scored)
     if only_high:
         scored = scored.filter(F.col("risk_category") == "High Risk")
+        scored = scored.select(*[c for c in ALERT_COLUMNS if c in scored.columns])
     w = (
         scored.writeStream.format("parquet")
         .option("path", sink)
@@ -108,14 +121,29 @@ def run_scoring(spark: SparkSession, stream: DataFrame, medians: dict, sink: str
         .outputMode("append")
         .trigger(availableNow=True)
     )
-    _run(w, "scoring", spark)
+    _run(w, "scoring")
+    return sink
+
+
+def run_quarantine(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str) -> str:
+    """B3r on arriving rows: those that break a range rule, with the messages."""
+    _, bad = Q.quarantine(R.nan_to_null(stream))
+    w = (
+        bad.writeStream.format("parquet")
+        .option("path", sink)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+    )
+    _run(w, "quarantine")
     return sink
 
 
-def run_current_decisions(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str) -> str:
-    """Latest decision per key as streaming state, upserted per batch."""
+def run_current_decisions(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str, cleared_at: str | None = None) -> str:
+    """Latest decision per key as streaming state, upserted per batch;
+    ``cleared_at`` drops what was decided before a "clear all"."""
     _prepare_state_store(spark)
-    latest = D.current_decisions(stream)
+    latest = D.current_decisions(stream, cleared_at=cleared_at)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
@@ -126,7 +154,7 @@ def run_current_decisions(spark: SparkSession, stream: DataFrame, sink: str, che
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
     )
-    _run(w, "current_decisions", spark)
+    _run(w, "current_decisions")
     return sink
 
 
@@ -149,6 +177,12 @@ def stream_scoring(spark: SparkSession, sf_dir: str, only_high: bool = False) ->
     return spark.read.parquet(sink)
 
 
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink, ckpt = _paths(spark, "quarantine")
+    run_quarantine(spark, stream_students(spark, sf_dir), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
 def stream_current_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, ckpt = _paths(spark, "decisions")
     run_current_decisions(spark, stream_decisions(spark, sf_dir), sink, ckpt)

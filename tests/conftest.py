@@ -31,6 +31,6 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("orders", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    for f in sorted(os.listdir(SF_SMALL)):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF_SMALL}/{f}')")
     return con

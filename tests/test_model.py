@@ -49,7 +49,40 @@ def test_persistence_roundtrip(spark, trained):
     a = M.score(res.model, data).select("student_id", "prediction_score").orderBy("student_id").collect()
     b = M.score(loaded, data).select("student_id", "prediction_score").orderBy("student_id").collect()
     assert a == b
-    assert M.load_or_train(spark, path, data) is not None
+    assert M.load_or_train(spark, path, data, "random_forest") is not None
+    with pytest.raises(ValueError, match="random_forest, not gbt"):
+        M.load_or_train(spark, path, data, "gbt")
+
+
+def test_unreadable_model_is_not_overwritten(spark, trained):
+    import os
+
+    path = tempfile.mkdtemp(prefix="model-") + "/m"
+    M.save(trained[1], path)
+    (part,) = [f for f in os.listdir(f"{path}/metadata") if f.startswith("part-")]
+    with open(f"{path}/metadata/{part}", "w") as f:
+        f.write("not a model")
+    with pytest.raises(Exception):  # noqa: B017
+        M.load_or_train(spark, path, trained[0], "random_forest")
+    assert open(f"{path}/metadata/{part}").read() == "not a model"
+
+
+def test_folds_are_stratified_and_nulls_take_saved_medians(spark, trained):
+    data, res, _ = trained
+    folds = M.fold_column(data).groupBy("risk_score", "fold").count().collect()
+    size = {r.risk_score: r["count"] for r in data.groupBy("risk_score").count().collect()}
+    assert len(folds) == 15 and all(abs(r["count"] / size[r.risk_score] - 0.2) < 0.02 for r in folds)
+    blank = data.limit(5).withColumns({c: F.lit(None).cast("double") for c in res.features})
+    out = M.score_new(res.model, blank.drop(res.features[0])).select("prediction_score").collect()
+    assert len({r.prediction_score for r in out}) == 1
+
+
+def test_training_report(spark):
+    data = V.scored(spark, SF_SMALL)
+    rep = M.training_report(data, "random_forest", k=2)
+    assert 0.8 < rep["cv_mean"] <= 1 and rep["cv_std"] >= 0 and rep["accuracy"] >= 0.85
+    assert sum(v for _, v in rep["importances"]) == pytest.approx(1.0)
+    assert rep["confusion"].count() > 0 and rep["report"].count() > 0
 
 
 def test_missing_class_fails_clearly(spark):

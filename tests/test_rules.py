@@ -168,25 +168,40 @@ def test_email_pattern(spark):
     assert [r.v for r in df.select(R.email_valid(F.col("email")).alias("v")).collect()] == [True, False, False, False, False]
 
 
-def test_median_high_cardinality_path_is_exact(spark):
+def test_medians_of_diverse_and_of_few_values(spark):
     df = spark.range(0, 10001).selectExpr(
         "case when id = 0 then null else cast(id as double) end as x",
-        "case when id = 0 then null else cast(id % 3 as double) end as y",
+        "case when id = 0 then null else cast(id % 3 as double) end as y", "cast(null as double) as z",
     )
-    exact = Q.column_medians(df, ["x", "y"], exact=True)
-    auto = Q.column_medians(df, ["x", "y"], exact="auto", max_exact_distinct=100)
-    assert exact == {"x": 5000.5, "y": 1.0}
-    assert auto == exact  # x went through the bounded-memory selection
+    assert Q.column_medians(df, ["x", "y", "z"]) == {"x": 5000.5, "y": 1.0, "z": None}
 
 
 @pytest.mark.parametrize("n,p", [(20001, 0.5), (20000, 0.5), (5000, 0.25), (1, 0.5), (2, 0.5)])
 def test_exact_quantile_matches_percentile(spark, n, p):
     df = spark.range(n).selectExpr("rand(7) * 1000 - 300 + case when id % 5 = 0 then 1e6 else 0 end as v")
     want = df.agg(F.percentile("v", p).alias("q")).first().q
-    got = Q.exact_quantile(df, "v", p, bins=16, collect_limit=50)
-    assert got == pytest.approx(want, rel=0, abs=1e-9)
+    assert Q.exact_quantile(df, "v", p, bins=16) == pytest.approx(want, rel=0, abs=1e-9)
 
 
 def test_exact_quantile_hot_value(spark):
     df = spark.range(30000).selectExpr("case when id % 3 = 0 then 42.0 else rand(3) end as v")
-    assert Q.exact_quantile(df, "v", 0.5, bins=8, collect_limit=10) == df.agg(F.median("v")).first()[0]
+    assert Q.exact_quantile(df, "v", 0.5, bins=8) == df.agg(F.median("v")).first()[0]
+
+
+def test_exact_quantile_ends_on_infinities_and_extreme_ranges(spark):
+    inf = float("inf")
+    values = [-inf, -1.7e308, -1.0, 0.0, 5e-324, 1e-300, 2.0, 1.7e308, inf, inf, None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = sorted(v for v in values if v is not None and v == v)
+    for k, v in enumerate(want):
+        assert Q.exact_quantile(df, "v", k / (len(want) - 1), bins=4) == v
+    assert Q.exact_quantile(spark.createDataFrame([(float(i),) for i in range(20)] + [(inf,)], "v double"), "v") == 10.0
+
+
+def test_fixed_text_prints_as_python_does(spark):
+    from cohort_risk.functions.numeric import fixed_text
+
+    values = [0.0, 0.125, 2.675, 1.005, 2.5, 3.5, 99.95, 0.045, 100.0, 3.14159, -1.25, 0.999, 1e6 + 0.125, 12345.675, 0.35]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[fixed_text(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2)]).collect()
+    for r in rows:
+        assert (r.d0, r.d1, r.d2) == (f"{r.v:.0f}", f"{r.v:.1f}", f"{r.v:.2f}")

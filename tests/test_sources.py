@@ -92,3 +92,44 @@ def test_decision_log_partitioned_by_date(spark):
     assert "PartitionFilters: [isnotnull(decision_date" in plan
     cur = D.current_decisions(log.drop("decision_date")).count()
     assert cur == D.current_decisions(V.decisions(spark, SF_SMALL)).count()
+
+
+HEAD = "student_id,name,gpa,attendance_rate,assignment_completion,quiz_scores,participation_score"
+
+
+def test_csv_agrees_with_pandas(spark):
+    """Column order per file, 15.0 in an integer column, missing-value words,
+    doubled quotes, commas and line breaks inside quotes, quoted headers."""
+    import pandas as pd
+
+    d = tempfile.mkdtemp(prefix="csv-")
+    texts = {
+        "a.csv": HEAD + ',lms_activity\nS1,"O""Neil, Jo",2.0,0.8,0.5,70,60,15.0\nS2,"two\nlines",NA,0.9,0.8,70,60,\n',
+        "b.csv": '"student_id","name","attendance_rate","gpa","assignment_completion","quiz_scores","participation_score"\nS3,C,0.7,3.5,0.6,n/a,NULL\n',
+    }
+    for n, t in texts.items():
+        with open(os.path.join(d, n), "w") as f:
+            f.write(t)
+    up = FS.read_students_csv(spark, d)
+    assert up.rejected.count() == 0
+    got = {r.student_id: r.asDict() for r in up.rows.collect()}
+    want = pd.concat([pd.read_csv(os.path.join(d, n)) for n in texts])
+    for r in want.to_dict("records"):
+        for c, v in r.items():
+            assert got[r["student_id"]][c] == (None if pd.isna(v) else v), (r["student_id"], c)
+    assert got["S1"]["lms_activity"] == 15 and got["S3"]["gpa"] == 3.5
+
+
+def test_fractional_value_in_an_integer_column_is_rejected(spark):
+    up = FS.read_students_csv(spark, _csv(HEAD + ",lms_activity\nS1,A,3.0,0.9,0.8,70,60,15.5\n"))
+    assert [r.bad_columns for r in up.rejected.collect()] == [["lms_activity"]]
+
+
+def test_repeated_header_names_and_empty_folder(spark):
+    assert FS.parse_header('a,"b,c",a,a') == ["a", "b,c", "a.1", "a.2"]
+    assert FS.read_students_csv(spark, _csv("")).rows.count() == 0
+
+
+def test_generated_ids(spark):
+    ids = [r.student_id for r in G.generate_students(spark, 10001).select("student_id").collect()]
+    assert ids[0] == "STU_0001" and ids[-2:] == ["STU_10000", "STU_10001"]

@@ -47,3 +47,63 @@ def test_stream_current_decision_equals_batch(spark):
     batch = D.current_decisions(V.decisions(spark, SF_SMALL))
     cols = sorted(batch.columns)
     assert _rows(streamed.select(*cols)) == _rows(batch.select(*cols))
+
+
+def test_many_files_and_a_stopped_stream_are_complete(spark):
+    """A stream over many files equals batch, and one that is stopped half-way
+    goes on from its checkpoint to the end."""
+    import threading
+    import time
+
+    from cohort_risk.sources import fixtures as FX
+
+    base = tempfile.mkdtemp(prefix="many-src-")
+    FX.students(spark, SF_SMALL).repartition(12).write.parquet(f"{base}/src")
+    schema = spark.read.parquet(f"{base}/src").schema
+    medians = ST.fit_medians(FX.students(spark, SF_SMALL))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+    stopped = []
+
+    def interrupt():
+        while not stopped:
+            for q in spark.streams.active:
+                if any(p["numInputRows"] for p in q.recentProgress):
+                    stopped.append(q.id)
+                    q.stop()
+            time.sleep(0.02)
+
+    t = threading.Thread(target=interrupt, daemon=True)
+    t.start()
+    ST.run_scoring(spark, stream, medians, f"{base}/sink", f"{base}/ckpt")
+    t.join(5)
+    assert stopped and spark.read.parquet(f"{base}/sink").count() == 1500
+
+
+def test_failing_stream_raises(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from cohort_risk.sources import fixtures as FX
+
+    base = tempfile.mkdtemp(prefix="fail-src-")
+    FX.students(spark, SF_SMALL).write.parquet(f"{base}/src")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/src").schema).parquet(f"{base}/src")
+    stream = stream.withColumn("gpa", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        ST.run_scoring(spark, stream, {"gpa": 3.0}, f"{base}/sink", f"{base}/ckpt")
+
+
+def test_cleared_decisions_and_siblings(spark):
+    import shutil
+
+    cut = "1996-01-01 00:00:00"
+    base = tempfile.mkdtemp(prefix="sibling-")
+    for t in ("lineitem", "orders"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", f"{base}/{t}.parquet")
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", f"{base}/{t}_old.parquet")
+    ST.run_current_decisions(spark, ST.stream_decisions(spark, base), f"{base}/sink", f"{base}/ckpt", cleared_at=cut)
+    batch = D.current_decisions(V.decisions(spark, SF_SMALL), cleared_at=cut)
+    streamed = ST.read_current_decisions(spark, f"{base}/sink")
+    cols = sorted(batch.columns)
+    assert _rows(streamed.select(*cols)) == _rows(batch.select(*cols))
+    assert ST.stream_scoring(spark, base).count() == 1500
