@@ -7,7 +7,7 @@ Over these candidate cuts the least total of padding plus truncation penalties
 is found exactly: padding of a window of L ids is size - L (nothing when L is
 a power of two), so the best window start for a cut minimises cost + position
 over a sliding window of ``size`` ids, which a monotone queue keeps in
-constant time per cut; the eleven powers of two are looked up beside it.
+constant time per cut; the cuts a power of two away are tried beside it.
 
 A task packs its id range in blocks of about ``BLOCK_IDS`` ids; what lies
 behind the best cut near a block's end moves on to the next block, so only the
@@ -44,8 +44,14 @@ def best_cuts(pos: list[int], penalty: list[int], size: int, last: bool = True)
     positions lie at most ``size`` apart. ``last``: the chain ends at the last
     position, else at the cheapest one among those within ``size`` of it."""
     n = len(pos)
-    index = {p: i for i, p in enumerate(pos)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
+    # the cuts that lie exactly a power of two before a cut (the powers below size)
+    exact: dict[int, list[int]] = {}
+    at = np.array(pos)
+    for k in range((size - 1).bit_length()):
+        start = np.searchsorted(at, at - (1 << k))
+        j = np.flatnonzero(at[start] == at - (1 << k))
+        for x, y in zip(j.tolist(), start[j].tolist(), strict=True):
+            exact.setdefault(x, []).append(y)
     cost, back, key = [0] * n, [0] * n, [0] * n
     queue: deque[int] = deque()
     for j in range(1, n):
@@ -58,9 +64,8 @@ def best_cuts(pos: list[int], penalty: list[int], size: int, last: bool = True)
             queue.popleft()
         i = queue[0]
         best = key[i] + size - p
-        for w in powers:
-            x = index.get(p - w)
-            if x is not None and cost[x] < best:
+        for x in exact.get(j, ()):
+            if cost[x] < best:
                 best, i = cost[x], x
         cost[j], back[j] = best + penalty[j], i
     j = n - 1

@@ -12,8 +12,6 @@ import struct
 import sys
 import types
 
-import numpy as np
-
 #: Unicode white space as the tokenizers' ``\\s`` has it (Python's also has \\x1c-\\x1f).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: letters and marks between which both pre-tokenizers always cut; apostrophes and
@@ -35,7 +33,6 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 CACHE_CHUNKS = 1_000_000
-BATCH_CHARS = 2_000_000
 
 
 def worker_state() -> dict:
@@ -43,6 +40,20 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
 
 
+class _Known(dict):
+    """Chunk -> ids, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        if len(chunk) <= 64:  # longer ones are not worth keeping
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,39 +70,23 @@ class Encoder:
             self.chunks = _SPACED.findall
         else:
             self.chunks, self.model = (lambda text: [text]), None
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._encode)
+
+    def _encode(self, chunk: str) -> bytes:
+        if self.model and len(chunk) <= 64 and _ONE.fullmatch(chunk):
+            token = (chunk.lower() if self.lower else chunk).encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in self.model.tokenize(token)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        part, size = [], 0
+        out = []
         for t in texts:
-            part.append(t or "")
-            size += len(part[-1])
-            if size >= BATCH_CHARS:
-                out += self._encode(part)
-                part, size = [], 0
-        return out + self._encode(part)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        split = [self.chunks(t) for t in texts]
-        new, other = {c for cs in split for c in cs} - self.known.keys(), []
-        long = [c for c in new if len(c) > 64]
-        for c in new:
-            if self.model and len(c) <= 64 and _ONE.fullmatch(c):
-                token = (c.lower() if self.lower else c).encode().decode("latin-1").translate(_BYTES)
-                ids = [t.id for t in self.model.tokenize(token)]
-                self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                other.append(c)
-        for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, cs)) for cs in split]
-        for c in long:  # not worth keeping
-            del self.known[c]
+            out.append(b"".join(map(self.known.__getitem__, self.chunks(t or ""))))
+            if len(self.known) > CACHE_CHUNKS:
+                self.known.clear()
         return out
 
 
