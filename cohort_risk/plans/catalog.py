@@ -1247,6 +1247,101 @@ def q_model_evaluation(spark, sf_dir):
     return EV.classification_report(pairs)
 
 
+# ------------------------------- what SQL can say about model output ----
+
+
+@register("split_totals", _w("scored") + "SELECT risk_score, CAST(count(*) AS BIGINT) AS n, true AS share_is_a_fifth FROM scored GROUP BY risk_score")
+def q_split_totals(spark, sf_dir):
+    """Every labelled row is in exactly one side of the split, a fifth of each class (within 2 %) in the test side."""
+    n, test = F.count("*"), F.count_if(F.col("is_test"))
+    return M.split_flag(V.scored(spark, sf_dir)).groupBy("risk_score").agg(
+        n.cast("bigint").alias("n"), (F.abs(test / n - 0.2) <= 0.02).alias("share_is_a_fifth")
+    )
+
+
+@register(
+    "model_scored_ids",
+    _w("scored") + "SELECT student_id, risk_score, true AS category_is_the_prediction, true AS probability_is_the_largest FROM scored",
+)
+def q_model_scored_ids(spark, sf_dir):
+    """Every student is scored once; the category names the prediction and its
+    probability is the largest of the three."""
+    out = M.score(_trained(spark, sf_dir).model, V.scored(spark, sf_dir))
+    p = F.col("risk_probability_model")
+    return out.select(
+        "student_id", "risk_score", (F.col("predicted_category") == R.model_category(F.col("prediction_score"))).alias("category_is_the_prediction"),
+        ((p >= 100 / 3 - 1e-9) & (p <= 100 + 1e-9) & (F.col("p_high_risk") <= p + 1e-9)).alias("probability_is_the_largest"),
+    )
+
+
+@register("importance_totals", f"SELECT CAST({len(S.FEATURE_COLUMNS)} AS BIGINT) AS n_features, 1.0e0 AS total FROM (SELECT count(*) FROM orders)")
+def q_importance_totals(spark, sf_dir):
+    res = _trained(spark, sf_dir)
+    return M.importance_frame(spark, res.model, res.features).agg(F.count("*").cast("bigint").alias("n_features"), F.round(F.sum("importance"), 9).alias("total"))
+
+
+@register(
+    "explanation_values",
+    _w("scored") + " UNION ALL ".join(f"SELECT student_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM scored" for c in S.FEATURE_COLUMNS),
+)
+def q_explanation_values(spark, sf_dir):
+    """The feature values that an explanation shows."""
+    res = _trained(spark, sf_dir)
+    ex = M.explanation(V.scored(spark, sf_dir), M.feature_importance(res.model, res.features))
+    return ex.select("student_id", F.explode("feature_values").alias("feature", "value"))
+
+
+@register("model_confusion_totals", _w("scored") + "SELECT CAST(risk_score AS INTEGER) AS label, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY risk_score")
+def q_model_confusion_totals(spark, sf_dir):
+    """The confusion matrix of the model's predictions: its cells of a class sum to the class."""
+    pairs = M.score(_trained(spark, sf_dir).model, V.scored(spark, sf_dir)).select(
+        F.col("risk_score").cast("int").alias("label"), F.col("prediction_score").alias("prediction")
+    )
+    cells = pairs.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    return cells.groupBy("label").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@register(
+    "synthesized_features",
+    _w("students") + "SELECT student_id, true AS counts_are_whole, true AS share_in_range, gpa IS NULL AS previous_is_missing FROM students",
+)
+def q_synthesized_features(spark, sf_dir):
+    """Absent engagement features drawn for every student of the table."""
+    base = V.students(spark, sf_dir).select("student_id", "gpa")
+    out = Q.synthesize_missing_features(base)
+    counts = [F.col(c) >= 0 for c in ("lms_activity", "late_submissions", "office_hours_visits")]
+    share = F.col("study_group_participation").between(0.0, 1.0) & F.coalesce(F.col("previous_semester_gpa").between(0.0, 4.0), F.lit(True))
+    return out.select(
+        "student_id", (counts[0] & counts[1] & counts[2]).alias("counts_are_whole"), share.alias("share_in_range"),
+        F.col("previous_semester_gpa").isNull().alias("previous_is_missing"),
+    )
+
+
+@register("scored_sink_roundtrip", _w("scored") + "SELECT * FROM scored")
+def q_scored_sink_roundtrip(spark, sf_dir):
+    """A5: the scored table written partitioned by semester and read back."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    df = V.scored(spark, sf_dir)
+    path = scratch_path(spark, f"sinks/scored-{uuid.uuid4().hex[:12]}")
+    FS.write_scored(df, path, fmt="parquet")
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@register("approval_report_roundtrip", ORACLE["decision_detail"])
+def q_approval_report_roundtrip(spark, sf_dir):
+    """The approval report written as CSV and read back."""
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    detail = D.decision_detail(V.decisions(spark, sf_dir), V.scored(spark, sf_dir, with_ordinal=True))
+    path = FS.write_approval_report(detail, scratch_path(spark, "sinks/approval"))
+    return spark.read.schema(detail.schema).option("header", True).csv(path)
+
+
 # ------------------------------------------------------------- correlation ----
 
 CORR_COLUMNS = (
@@ -1339,7 +1434,7 @@ def q_cross_validation(spark, sf_dir):
     per fold plus mean and population std (rows-only)."""
     data = V.scored(spark, sf_dir)
     train, _ = M.stratified_split(data.withColumn("risk_score", F.col("risk_score").cast("double")))
-    cv = M.cross_validate(train)
+    cv = M.cross_validate(train, "random_forest")
     rows = [(f"fold_{i}", float(a)) for i, a in enumerate(cv["cv_scores"])] + [("cv_mean", cv["cv_mean"]), ("cv_std", cv["cv_std"])]
     return spark.createDataFrame(rows, "metric string, value double")
 

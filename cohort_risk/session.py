@@ -84,7 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="cohort-risk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():  # each call would add a folder
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
