@@ -16,10 +16,11 @@ over TF-IDF word shingles, banded, verified by weighted Jaccard similarity.
    row per class and key), verified on whole texts, and components are formed.
 5. What may still link different components is compared in blocks: in a key
    that holds several components, the classes outside the largest one meet
-   all others of the key, first by their samples (pairs whose estimate lies five
-   standard errors under the threshold cannot link), then on whole texts.
-   So no link between different components is lost and copies of a
-   group are not expanded into pairs.
+   all others of the key, first by their samples (a pair whose estimate lies
+   three standard errors under the threshold is taken not to link), then on
+   whole texts, most similar first and only across what is still apart. Tasks
+   return links, at most one less than they have classes; pairs are never rows,
+   and the copies of a group are not expanded into pairs.
 
 Defined results: texts without words (null, empty, symbols only) and rows with
 a null id link with nothing; a text of fewer than five words is one shingle;
@@ -28,6 +29,8 @@ columns of the input are replaced); an empty table gives an empty result."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,7 +45,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SLOTS = 1 << 18
-BLOCK = 512
+BLOCK = 256
 MAX_KNOWN_WORDS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -188,9 +191,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return C.map_arrow(rows.select("a", "b", "ta", "tb"), check, "a long, b long")
 
 
-def _cross_candidates(keys: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a band key but no component and were
-    not compared with each other yet, whose samples allow similarity ``THRESHOLD``."""
+def _meetings(keys: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+    """The classes of every band key that still holds several components, dealt
+    out to meetings (``__g``) of two blocks: those outside the key's largest
+    component meet each other and it; the largest doesn't meet itself."""
     rows = C.split_join(keys, component.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("hub"))
     sizes = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("in_major"), F.min("hub").alias("hub"))
@@ -200,7 +204,7 @@ def _cross_candidates(keys: DataFrame, classes: DataFrame, component: DataFrame)
     rows = C.split_join(rows, sizes, ["key"]).withColumn("is_major", F.col("component") == F.col("major"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("is_major"), F.col("major_blocks")).otherwise(F.col("minor_blocks"))).cast("int")
     rows = rows.withColumn("block", block)
-    # a meeting: minor block i with minor block j >= i, or with major block j
+    # minor block i with minor block j >= i, or with major block j
     meetings = F.when(
         F.col("is_major"),
         F.transform(F.sequence(F.lit(0), F.col("minor_blocks") - 1), lambda i: F.struct(i.alias("i"), (F.col("minor_blocks") + F.col("block")).alias("j"))),
@@ -210,33 +214,86 @@ def _cross_candidates(keys: DataFrame, classes: DataFrame, component: DataFrame)
             lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")),
         )
     )
-    rows = rows.select("key", "id", "component", "hub", "block", "is_major", F.explode(meetings).alias("meeting"))
-    rows = C.split_join(rows, classes.select("id", "samples"), ["id"])
-    rows = rows.select(
-        F.xxhash64("key", "meeting.i", "meeting.j").alias("__g"), "id", "component", (F.col("id") == F.col("hub")).alias("hub"),
+    rows = rows.select("key", "band", "id", "component", "hub", "block", "is_major", F.explode(meetings).alias("meeting"))
+    return C.split_join(rows, classes.select("id", "samples"), ["id"]).select(
+        F.xxhash64("key", "meeting.i", "meeting.j").alias("__g"), "band", "id", "component", (F.col("id") == F.col("hub")).alias("hub"),
         F.when(F.col("is_major"), F.lit(-1)).otherwise(F.col("block")).alias("side"), (F.col("meeting.i") == F.col("meeting.j")).alias("inner"), "samples",
     )
 
-    floor = max(THRESHOLD - 5 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)), 0.0) * BANDS * ROWS
 
-    def meet(batches):
+_MEETING = "__g long, band int, id long, component long, hub boolean, side int, inner boolean, samples binary"
+#: Matching samples below which a pair cannot link: three standard errors under
+#: the threshold, which a pair at the threshold misses as rarely as all its bands.
+MIN_MATCHES = int(np.floor(BANDS * ROWS * THRESHOLD - 3 * np.sqrt(BANDS * ROWS * THRESHOLD * (1 - THRESHOLD))))
+
+
+def _pairs(t: pa.Table) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Of each meeting in a table: its first and last row, and (matches, x, y) of the
+    pairs that may link: other components, not yet compared through the key's
+    hub, sharing no earlier band, with enough matching samples."""
+    g, band, comp, hub, side, inner = (t.column(c).to_numpy() for c in ("__g", "band", "component", "hub", "side", "inner"))
+    s = np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, BANDS, ROWS)
+    edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        found = []
+        for x in range(lo, hi - 1):
+            y = np.arange(x + 1, hi)
+            y = y[(comp[y] != comp[x]) & ~(hub[y] | hub[x]) & (inner[x] | (side[y] != side[x]))]
+            same = s[y] == s[x]
+            shared = same.all(2)
+            matches = same.sum((1, 2))
+            ok = (matches >= MIN_MATCHES) & (shared.argmax(1) == band[x]) & shared.any(1)
+            found += [(m, x, j) for m, j in zip(matches[ok].tolist(), y[ok].tolist(), strict=True)]
+        yield lo, hi, found
+
+
+def _live(batches):
+    """The rows of the meetings that are part of some pair."""
+    for t in C.whole_groups(batches):
+        live = np.zeros(t.num_rows, bool)
+        for _, _, pairs in _pairs(t):
+            for _, x, y in pairs:
+                live[x] = live[y] = True
+        yield from t.filter(pa.array(live)).to_batches()
+
+
+def _cross_links(keys: DataFrame, classes: DataFrame, component: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between classes of different components that share a band
+    key. Tasks first find, by samples alone, the classes of each meeting that
+    have a pair at all; their texts then come to the meeting, where pairs are
+    verified most similar first, and only across what is still apart."""
+    rows = _meetings(keys, classes, component)
+    live = C.written(C.map_arrow(rows.repartition("__g").sortWithinPartitions("__g", "id"), _live, _MEETING), "cross-meetings")
+
+    def verify(batches):
+        value = idf.value
         for t in C.whole_groups(batches):
-            g, ids, comp, hub, side, inner = (t.column(c).to_numpy() for c in ("__g", "id", "component", "hub", "side", "inner"))
-            s = np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, BANDS * ROWS)
-            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-            left, right = [], []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                for x in range(lo, hi - 1):
-                    y = np.arange(x + 1, hi)
-                    y = y[(comp[y] != comp[x]) & ~(hub[y] | hub[x]) & (inner[x] | (side[y] != side[x]))]
-                    if len(y):
-                        y = y[(s[y] == s[x]).sum(1) >= floor]
-                        left += [int(ids[x])] * len(y)
-                        right += ids[y].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    pairs = C.map_arrow(rows.repartition("__g").sortWithinPartitions("__g"), meet, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            ids, comp, text = t.column("id").to_pylist(), t.column("component").to_pylist(), t.column("text")
+            for _, _, pairs in _pairs(t):
+                parent: dict[int, int] = {}
+                known: dict[int, tuple] = {}
+                links = []
+
+                def root(c, parent=parent):
+                    while parent.setdefault(c, c) != c:
+                        parent[c] = parent[parent[c]]
+                        c = parent[c]
+                    return c
+
+                for _, x, y in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+                    a, b = root(comp[x]), root(comp[y])
+                    if a != b:
+                        for i in (x, y):
+                            if i not in known:
+                                known[i] = shingles(word_hashes(text[i].as_py()), value)
+                        if weighted_jaccard(known[x], known[y]) >= threshold:
+                            parent[max(a, b)] = min(a, b)
+                            links.append((ids[x], ids[y]))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    rows = C.split_join(live, texts, ["id"])
+    return C.map_arrow(rows.repartition("__g").sortWithinPartitions("__g", "id"), verify, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -247,7 +304,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = C.written(_signatures(df, id_col, text_col, idf), "signatures")
     classes = C.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("samples").alias("samples")).select("id", "samples"), "classes")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("samples", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)])
-    keys = classes.select("id", F.explode(bands).alias("key"))
+    keys = classes.select("id", F.posexplode(bands).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     keys = C.written(C.split_join(keys, shared, ["key"]), "band-keys")
     pairs = keys.filter("id > a").select("a", F.col("id").alias("b")).distinct()
@@ -256,8 +313,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = C.written(texts, "candidate-texts")
     links = C.written(_verified(pairs, texts, idf, threshold), "links")
     component = C.written(CC.components(links), "component")
-    cross = C.written(_cross_candidates(keys.select("key", "id"), classes, component), "cross-pairs")
-    found = C.written(_verified(cross, texts, idf, threshold), "cross-links")
+    found = C.written(_cross_links(keys.select("key", "band", "id"), classes, component, texts, idf, threshold), "cross-links")
     if not found.isEmpty():
         component = CC.components(found.unionByName(component.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))).select("a", "b"))
     member = C.split_join(signed.select("id", "h1", "h2"), signed.groupBy("h1", "h2").agg(F.min("id").alias("node")), ["h1", "h2"])

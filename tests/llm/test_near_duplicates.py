@@ -96,13 +96,20 @@ def test_minhash_against_brute_force(spark):
 def test_links_past_the_first_document_of_a_bucket(spark):
     """Classes of a bucket that its smallest class isn't similar to are still
     compared with each other, block by block."""
-    keys = spark.createDataFrame([(77, i) for i in [0, *range(10, 40)]], "key long, id long")
-    samples = {i: np.full(MD.BANDS * MD.ROWS, i // 10, "<u4").tobytes() for i in [0, *range(10, 40)]}
-    classes = spark.createDataFrame([(i, bytearray(s)) for i, s in samples.items()], "id long, samples binary")
+    text = {i: f"word{i // 10} " + " ".join(f"t{i // 10}x{k}" for k in range(40)) for i in [0, *range(10, 40)]}
+    keys = spark.createDataFrame([(77, 0, i) for i in text], "key long, band int, id long")
+    samples = {i: np.concatenate([np.zeros(MD.ROWS, "<u4"), np.full((MD.BANDS - 1) * MD.ROWS, 1 + i // 10, "<u4")]) for i in text}
+    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in samples.items()], "id long, samples binary")
     component = spark.createDataFrame([(i, 10) for i in range(10, 18)], "node long, component long")
-    found = {(r.a, r.b) for r in MD._cross_candidates(keys, classes, component).collect()}
-    same = lambda a, b: a // 10 == b // 10 and not (10 <= a < 18 and 10 <= b < 18)
-    assert found == {(a, b) for a in range(10, 40) for b in range(a + 1, 40) if same(a, b)}
+    idf = spark.sparkContext.broadcast(np.ones(MD.SLOTS))
+    texts = spark.createDataFrame(list(text.items()), "id long, text string")
+    u = Union()
+    for r in MD._cross_links(keys, classes, component, texts, idf, MD.THRESHOLD).collect():
+        assert r.a // 10 == r.b // 10 and not (10 <= r.a < 18 and 10 <= r.b < 18)
+        u.join(r.a, r.b)
+    for i in range(11, 18):
+        u.join(10, i)
+    assert all(u.find(i) == 10 * (i // 10) for i in text)
 
 
 def test_blocks_of_a_bucket_meet(spark, monkeypatch):
