@@ -47,7 +47,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         found = F.col("__docs") >= min_docs
     repeated = keyed.groupBy("__h1", "__h2").agg(*stats).filter(found).select("__h1", "__h2", "__first")
     drops = (
-        keyed.join(repeated, ["__h1", "__h2"])
+        C.split_join(keyed, repeated, ["__h1", "__h2"])
         .filter("__id > __first")
         .groupBy(F.col("__id").alias("__drop_id"), F.col("__text").alias("__drop_text"))
         .agg(F.collect_set("__pos").alias("__drops"))
