@@ -309,7 +309,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = C.written(C.split_join(keys, shared, ["key"]), "band-keys")
     pairs = keys.filter("id > a").select("a", F.col("id").alias("b")).distinct()
     needed = keys.select("id").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
+    # one plan at every size: the ids grow with the corpus and are not broadcast
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed.hint("merge"), "id", "left_semi")
     texts = C.written(texts, "candidate-texts")
     links = C.written(_verified(pairs, texts, idf, threshold), "links")
     component = C.written(CC.components(links), "component")
