@@ -46,7 +46,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SLOTS = 1 << 18
 BLOCK = 256
-MAX_KNOWN_WORDS = 1_000_000
+MAX_KNOWN_WORDS = 150_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
