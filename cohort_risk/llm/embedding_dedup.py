@@ -6,6 +6,9 @@ Hamming tables and a rerank with the original vectors.
    rotations are learned that make the signs of the rotated coordinates balanced
    binary codes close to the vectors; several random starts give independent
    codes. Every vector is encoded and indexed; the sample only shapes the codes.
+   The mean is subtracted for learning only: coding hyperplanes go through the
+   origin, so that the chance that one parts a pair is its angle / pi, also where
+   all vectors share a direction (buckets are larger there, links aren't lost).
 3. The codes are cut into substrings of s bits, one hash table each. s follows
    the size of the largest label (about one vector of it per bucket), and the
    number of tables follows s, so that a pair at the threshold shares a bucket
@@ -49,25 +52,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def itq(x: np.ndarray, seed: int, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (PCA basis times learned rotation) whose signs are the code."""
+def itq(x: np.ndarray, seed: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """Projection (PCA basis times rotation learned on centred vectors) whose signs are the code."""
     d = x.shape[1]
-    mean = x.mean(0)
     basis = np.linalg.eigh(np.cov(x.T).reshape(d, d) + 1e-12 * np.eye(d))[1][:, ::-1]
-    v = (x - mean) @ basis
+    v = (x - x.mean(0)) @ basis
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
     for _ in range(rounds):
         b = np.where(v @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(b.T @ v)
         rotation = (left @ right).T
-    return mean, basis @ rotation
+    return basis @ rotation
 
 
-def projection(sample: np.ndarray, d: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def projection(sample: np.ndarray, d: int, seed: int) -> np.ndarray:
     """ITQ where the sample allows it, else a random rotation."""
     if len(sample) > d:
         return itq(sample, seed)
-    return np.zeros(d), np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
 
 
 def plan(largest: int, d: int, threshold: float) -> tuple[int, int]:
@@ -77,13 +79,13 @@ def plan(largest: int, d: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
 
 
-def table_keys(x: np.ndarray, model: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> np.ndarray:
+def table_keys(x: np.ndarray, model: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """One 32-bit key per vector and table."""
     per = x.shape[1] // bits
     weights = 1 << np.arange(bits, dtype=np.int64)
     keys = []
-    for mean, p in model:
-        code = (x - mean) @ p >= 0
+    for p in model:
+        code = x @ p >= 0
         keys += [code[:, bits * i : bits * (i + 1)] @ weights for i in range(per)]
     return np.stack(keys[:tables], 1).astype("<u4")
 

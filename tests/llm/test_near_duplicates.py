@@ -194,3 +194,37 @@ def test_tables_keep_their_recall():
         bits, tables = ED.plan(n, 64, 0.93)
         same = (1 - np.arccos(0.93) / np.pi) ** bits
         assert 1 - (1 - same) ** tables >= ED.RECALL
+
+
+def common_direction(n, d=64, norm=0.8, seed=1):
+    """n unit vectors about a mean of length ``norm`` and, for each, one at cosine 0.93 from it."""
+    r = np.random.default_rng(seed)
+    m = ED.unit(r.standard_normal((1, d)))
+    e = r.standard_normal((n, d))
+    e = ED.unit(e - (e @ m.T) * m)
+    f = r.standard_normal((n, d))
+    f -= (f @ m.T) * m
+    f = ED.unit(f - (f * e).sum(1, keepdims=True) * e)
+    c = (0.93 - norm**2) / (1 - norm**2)
+    out = np.sqrt(1 - norm**2)
+    return norm * m + out * e, norm * m + out * (c * e + np.sqrt(1 - c * c) * f)
+
+
+@pytest.mark.parametrize("largest", [1000, 10**6])
+def test_recall_where_vectors_share_a_direction(largest):
+    x, y = common_direction(2000)
+    bits, tables = ED.plan(largest, 64, 0.93)
+    model = [ED.projection(x, 64, seed) for seed in range(-(-tables // (64 // bits)))]
+    a, b = (ED.table_keys(v, model, bits, tables) for v in (x, y))
+    assert (a == b).any(1).mean() >= 0.99
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_links_where_vectors_share_a_direction(spark, n):
+    v = np.concatenate(common_direction(n, seed=n))
+    near = v @ v.T >= 0.9299  # the partners lie on the threshold
+    expected = near.sum() - len(v)
+    rows = [(i, x, 1) for i, x in enumerate(v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = ED.near_duplicates(df, threshold=0.9299, keep=["vec_id"]).collect()
+    assert 0.99 * expected <= sum(r.n_links for r in got) <= expected
