@@ -1,14 +1,16 @@
-"""Toxicity by compression distance: one zstandard dictionary trained on
-ordinary text and one on toxic text; a window of a document is compressed
-once with the ordinary dictionary alone and once with the toxic one in front
-of it, and the bytes saved say how toxic the window is.
-
-Both compressors share the ordinary dictionary, so ordinary words cost the same
-in both and the difference is close to zero on clean text. What the toxic
-dictionary is trained on is chosen by contrast: the pieces of words that occur
-in significantly more contexts (distinct left neighbour and word; copies of a
-document repeat contexts and so count once) in toxic than in ordinary windows. A
-second round adds the words by which ordinary windows still gain to the
+"""Toxicity by compression distance: one zstandard dictionary of ordinary text
+and two of toxic text; a window of a document is compressed with the ordinary
+dictionary alone and with each toxic one in front of it, and the bytes saved
+say how toxic the window is.
+
+All compressors share the ordinary dictionary, so ordinary words cost the same
+in each and the difference is close to zero on clean text. What the toxic
+dictionaries hold is chosen by contrast: the pieces of words that occur in
+significantly more contexts (distinct left neighbour and word; copies of a
+document repeat contexts and so count once) in toxic than in ordinary windows.
+One is trained on the stretches of such pieces; the other holds the toxic
+words they occur in, whole: where a language builds its toxic words from
+ordinary parts, a stretch alone saves nothing. A second round adds the words by which ordinary windows still gain to the
 ordinary side. Thresholds and weights of a document's window figures are
 calibrated by logistic regression on labelled documents that neither
 dictionary has seen.
@@ -42,7 +44,7 @@ MAX_DOCS = 6_000
 MAX_WINDOWS = 100_000
 WINDOW = 64
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 65_536, 2_048
+ORDINARY_BYTES, TOXIC_BYTES, WORD_BYTES = 65_536, 2_048, 65_536
 PIECE, MIN_Z = 5, 3.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -71,16 +73,23 @@ def gains(ordinary, toxic, ws: list[bytes]) -> np.ndarray:
     return np.array([len(a(w)) - len(b(w)) for w in ws], float)
 
 
-def window_figures(ordinary, toxic, text: str | None) -> list[float]:
-    """What the calibration sees of a document."""
-    g = gains(ordinary, toxic, windows(text))
-    if not len(g):
-        return [0.0] * 7
+def _of_windows(g: np.ndarray) -> list[float]:
     top = np.sort(g)[::-1]
     sure = np.where(g >= 2, g, 0)
     return [min(top[0], 8.0), float(top[0] >= 2), float(top[0] >= 3), float(np.log1p(sure.sum())), float(10 * sure.mean()), float(10 * g.mean()), float(np.log1p(len(g)) * (top[0] >= 1))]
 
 
+def window_figures(ordinary, toxic, words, text: str | None) -> list[float]:
+    """What the calibration sees of a document, by the stretches and by the words."""
+    ws = windows(text)
+    if not ws:
+        return [0.0] * 17
+    plain = [len(ordinary.compress(w)) for w in ws]
+    g, h = (np.array([n - len(c.compress(w)) for n, w in zip(plain, ws, strict=True)], float) for c in (toxic, words))
+    spread = [float(10 * (h >= 1).mean()), float(10 * (h >= 2).mean()), float(np.clip(h.sum() / np.sqrt(len(h)), -8, 8))]
+    return [*_of_windows(g), *_of_windows(h), *spread]
+
+
 def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
@@ -126,8 +135,8 @@ def _contributors(ws: list[bytes], ordinary, toxic) -> collections.Counter:
     return out
 
 
-def train_dictionaries(toxic_windows: list[bytes], ordinary_windows: list[bytes]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents."""
+def train_dictionaries(toxic_windows: list[bytes], ordinary_windows: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """(ordinary, toxic, words) dictionary contents."""
     r = len(toxic_windows) / max(len(ordinary_windows), 1)
     ordinary = _train(ordinary_windows, ORDINARY_BYTES, 64, 8)
     contexts = _contexts(toxic_windows)
@@ -137,24 +146,37 @@ def train_dictionaries(toxic_windows: list[bytes], ordinary_windows: list[bytes]
     bag = [x for _, word in sorted(contexts) for x in _marked(word, marked)]
     random.Random(5).shuffle(bag)
     toxic = _train([b" " + b"  ".join(bag[i : i + 8]) + b" " for i in range(0, len(bag), 8)], TOXIC_BYTES, 24, 6)
-    a, b = compressor(ordinary), compressor(toxic + ordinary)
-    good, bad = _contributors(toxic_windows, a, b), _contributors(ordinary_windows, a, b)
-    neutral = b" ".join(x for x, k in sorted(bad.items(), key=lambda t: (-t[1], t[0])) if 2 * r * k > good[x] and not _marked(x, marked))
-    return ordinary + b" " + neutral[:16_384] + b" ", toxic
+    n = collections.Counter(word for _, word in contexts if _marked(word, marked))
+    words = (b" " + b" ".join(sorted(n, key=lambda x: (n[x], x))) + b" ")[-WORD_BYTES:]  # the most frequent last
+    a, neutral = compressor(ordinary), {}
+    for content in (toxic, words):
+        b = compressor(content + ordinary)
+        good, bad = _contributors(toxic_windows, a, b), _contributors(ordinary_windows, a, b)
+        neutral |= {x: max(k, neutral.get(x, 0)) for x, k in bad.items() if 2 * r * k > good[x] and not _marked(x, marked)}
+    neutral = b" ".join(sorted(neutral, key=lambda x: (-neutral[x], x)))
+    return ordinary + b" " + neutral[:16_384] + b" ", toxic, words
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights (intercept first) by Newton's method."""
+    """Weights (intercept first) by Newton's method, steps halved until the loss falls."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.r_[0, np.ones(x.shape[1] - 1)]
-    for _ in range(50):
+
+    def loss(w):
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
         step = np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty * w)
-        w += np.clip(step, -5, 5)
+        while (after := loss(w + step)) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        w, now = w + step, after
     return w
 
 
@@ -185,8 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         random.Random(1).shuffle(w)
     if not ws[0] or not ws[1]:
         return {"constant": share}
-    ordinary, toxic = train_dictionaries(ws[1], ws[0])
-    model = {"ordinary": ordinary, "toxic": toxic}
+    model = dict(zip(("ordinary", "toxic", "words"), train_dictionaries(ws[1], ws[0]), strict=True))
     seen = _figures(texts.filter("__side = 1").select("__y", "__text"), "__text", model, keep=["__y"]).collect()
     y = np.array([r["__y"] for r in seen], float)
     if len(set(y.tolist())) < 2:
@@ -198,13 +219,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _figures(df: DataFrame, text_col: str, model: dict, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the window figures of the texts."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    shared = df.sparkSession.sparkContext.broadcast(model)  # three dictionaries of bounded size
     read = [*keep, *([] if text_col in keep else [text_col])]
 
     def run(batches):
-        a, b = compressor(shared.value["ordinary"]), compressor(shared.value["toxic"] + shared.value["ordinary"])
+        ordinary = shared.value["ordinary"]
+        a, b, c = compressor(ordinary), compressor(shared.value["toxic"] + ordinary), compressor(shared.value["words"] + ordinary)
         for batch in batches:
-            rows = [window_figures(a, b, t) for t in batch.column(read.index(text_col)).to_pylist()]
+            rows = [window_figures(a, b, c, t) for t in batch.column(read.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "figures"])
 
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), T.StructField("figures", T.ArrayType(T.DoubleType()))])
@@ -216,7 +238,7 @@ def score(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] |
     kept = [c for c in (keep or df.columns) if c not in ("score", "figures")]
     if "constant" in model:
         return df.select(*[f"`{c}`" for c in kept], F.lit(float(model["constant"])).alias("score"))
-    figures = _figures(df, text_col, {k: model[k] for k in ("ordinary", "toxic")}, kept)
+    figures = _figures(df, text_col, {k: model[k] for k in ("ordinary", "toxic", "words")}, kept)
     z = F.lit(float(model["weights"][0]))
     for i, w in enumerate(model["weights"][1:]):
         z = z + F.col("figures")[i] * float(w)

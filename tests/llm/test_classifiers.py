@@ -78,6 +78,15 @@ def test_toxicity_odd_rows(spark):
     assert TX.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    docs_, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = QUERIES["op7_toxicity"](spark, SF).filter("held_out").join(labels.filter("toxic = 1"), "doc_id").join(docs_.select("doc_id", "lang"), "doc_id")
+    found = {r.lang: (r.found, r.n) for r in rows.groupBy("lang").agg(F.sum("predicted").alias("found"), F.count("*").alias("n")).collect()}
+    assert found.keys() == {"de", "en", "es", "fr"}
+    assert all(k >= 0.25 * n for k, n in found.values()), found
+    assert sum(k for k, _ in found.values()) >= 0.68 * sum(n for _, n in found.values()), found
+
+
 def test_windows_cover_the_whole_text():
     text = "Some WORDS, ünd more! " * 3000
     assert b"".join(TX.windows(text)).split() == " ".join(TX._WORDS.findall(text.lower())).encode().split()
