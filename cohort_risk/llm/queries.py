@@ -176,6 +176,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = (-7, ("user", "assistant"), "\\### Assistant: </turn> ok")
 
 
+def _checked(examples: DataFrame) -> DataFrame:
+    """Fails the run unless context, target and end of turn of every example are a
+    prefix of ``__whole``; the contexts go no further than that."""
+    piece = F.concat("context", "target", F.lit(CF.END))
+    right = F.startswith("__whole", piece) & (F.length("context") == F.col("context_chars"))
+    wrong = F.raise_error(F.lit("op9: an example is no prefix of its conversation")).cast("string")
+    target = F.when(F.col("example").isNull() | right, F.col("target")).otherwise(wrong)
+    return examples.withColumn("target", target).drop("context", "__whole")
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -193,7 +203,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "formatted", "targets", "formatted_chars", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
     )
-    examples = CF.expand_examples(chats, keep_empty=True, with_context=False)
+    examples = _checked(CF.expand_examples(chats.withColumn("__whole", F.col("formatted")), keep_empty=True))
     replies = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "target"))))
     loss = CF.unescape(F.array_join(F.transform(replies, lambda r: r["target"]), ""))
     return (

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -67,3 +68,19 @@ def test_probe_of_the_query(spark, tmp_path):
     assert (r.conv_id, r.n_turns, r.loss_chars) == (-7, 2, len(text))
     assert r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert r.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_the_query_builds_contexts(spark, tmp_path, monkeypatch):
+    from cohort_risk.llm.queries import op9_chat_formatting
+
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert op9_chat_formatting(spark, str(tmp_path)).count() == 6
+    expand = CF.expand_examples
+
+    def broken(chats, *args, **kw):
+        out = expand(chats, *args, **kw)
+        return out.withColumn("context", F.concat(F.lit("x"), "context")) if "context" in out.columns else out
+
+    monkeypatch.setattr(CF, "expand_examples", broken)
+    with pytest.raises(Exception, match="no prefix of its conversation"):
+        op9_chat_formatting(spark, str(tmp_path)).collect()
