@@ -8,9 +8,10 @@ lower-casing A-Z. Benchmark words get small integer ids; a document word not
 among them ends every window, so only runs of known words are hashed.
 
 The benchmark is read in parts of at most ``PART_CHARS`` characters (one
-unless the benchmark is larger), each broadcast on its own; a document passes
-through the scans of all parts in turn and adds up its hits, so the broadcast
-is bounded at every benchmark size and no shuffle is needed.
+unless the benchmark is larger), each broadcast on its own: repeated rows are
+removed first, long items are cut into pieces that overlap by n - 1 words, and
+parts are filled from hash buckets by their measured lengths. A document passes
+through the scans of all parts in turn and adds up its hits, and isn't shuffled.
 
 Defined results: null or empty texts have no words and no hits; rows are judged
 one by one, so repeated rows get equal results; benchmark rows with null text
@@ -97,13 +98,50 @@ def _spans(hit: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def _pieces(words: list[bytes], n: int, chars: int) -> list[str]:
+    """Texts of about ``chars`` bytes, at least n words, each window of n words in one."""
+    out, lo = [], 0
+    while True:
+        hi, size = lo, 0
+        while hi < len(words) and (hi - lo < n or size + len(words[hi]) < chars):
+            size += len(words[hi]) + 1
+            hi += 1
+        out.append(b" ".join(words[lo:hi]).decode("utf-8", "surrogatepass"))
+        if hi >= len(words):
+            return out
+        lo = hi - n + 1
+
+
+def _parts(items: DataFrame, n: int, part_chars: int) -> list[DataFrame]:
+    """The distinct (item, text) in parts of at most ``part_chars`` characters."""
+    most = max(part_chars // 16, 1)
+
+    def cut(batches):
+        for b in batches:
+            rows = [(i, p) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in (_pieces(C.words_of(t), n, most) if len(t) > most else [t])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["item", "text"])
+
+    items = C.written(C.map_arrow(items.filter("text IS NOT NULL").distinct(), cut, "item string, text string").distinct(), "benchmark-items")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars <= part_chars:
+        return [items]
+    buckets = 16 * -(-chars // part_chars)
+    bucket = F.pmod(F.xxhash64("item", "text"), F.lit(buckets))
+    parts, size = [[]], 0
+    for b, length in sorted(items.groupBy(bucket.alias("b")).agg(F.sum(F.length("text"))).collect()):
+        if parts[-1] and size + length > part_chars:
+            parts.append([])
+            size = 0
+        parts[-1].append(b)
+        size += length
+    return [items.filter((bucket >= p[0]) & (bucket <= p[-1])) for p in parts]
+
+
 def find_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, part_chars: int = PART_CHARS) -> DataFrame:
     """``df`` with n_words, n_hit, hit_spans (array of start, end word numbers)
     and hit_items (sorted item ids as strings)."""
     spark = df.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-chars // part_chars)
     kept = [c for c in df.columns if c not in RESULT]
     types = [T.StructField(c, df.schema[c].dataType) for c in kept]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -113,8 +151,8 @@ def find_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
         F.array().cast(types[-2].dataType).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"),
     )
     at = kept.index(text_col)
-    for k in range(max(parts, 1)):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(max(parts, 1))) == k).collect()
+    for part in _parts(items, n, part_chars):
+        rows = part.collect()
         windows = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in rows], n))
 
         def scan(batches, windows=windows):

@@ -81,3 +81,19 @@ def test_colliding_hashes_are_verified(monkeypatch):
     w = DC.Windows([("1", "a b c"), ("2", "b c a"), ("3", "c a b")], 2)
     hit, items = w.scan([b"a", b"b", b"x", b"c", b"b"])
     assert hit.tolist() == [True, True, False, False, False] and items == {"1", "3"}
+
+
+def test_parts_are_bounded(spark, monkeypatch):
+    """Repeated rows count once, a long item is cut and loses no window."""
+    long = " ".join(f"x{i}" for i in range(600))
+    items = [("hot", LONG)] * 200 + [(f"i{k}", f"{LONG} {k}") for k in range(30)] + [("long", long), ("short", "a b c")]
+    sizes, init = [], DC.Windows.__init__
+
+    def counted(self, rows, n):
+        sizes.append(sum(len(t) for _, t in rows))
+        init(self, rows, n)
+
+    monkeypatch.setattr(DC.Windows, "__init__", counted)
+    rows = [(1, long), (2, LONG), (3, " ".join(long.split()[90:140])), (4, "z a b c"), (5, None)]
+    assert run(spark, rows, items, part_chars=2000) == brute(rows, dict.fromkeys(items))
+    assert len(sizes) > 1 and max(sizes) <= 2000
