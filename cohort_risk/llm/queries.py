@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_codec as BC
 from . import chat_format as CF
 from . import common as C
 from . import decontamination as DC
@@ -236,3 +237,18 @@ FROM e GROUP BY conv_id"""
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MD.near_duplicates(C.table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+# ------------------------------------- 13 byte-level BPE encoding and decoding
+
+MULTI_BPE = C.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = BC.encode(C.table(spark, sf_dir, "documents"), MULTI_BPE, keep=["doc_id"])
+    decoded = BC.decode(coded, MULTI_BPE)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
