@@ -18,9 +18,11 @@ from . import line_dedup as LD
 from . import minhash_dedup as MD
 from . import packing as PK
 from . import quality_classifier as QC
+from . import source_divergence as SD
 from . import token_files as TF
 from . import toxicity as TX
 from . import warc_index as WI
+from . import whitening as WH
 
 #: Public tokenizer files; the folder is a parameter of the deployment.
 WORD_BPE = C.tokenizer_path("word_bpe_49k.json")
@@ -252,3 +254,50 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+# ---------------------------------------------- 11 source divergence audit
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SD.divergence(C.table(spark, sf_dir, "documents"))
+
+
+def divergence_sql(documents: str) -> str:
+    """The audit of the relation ``documents`` (text, lang, source), over every kept term of every pair."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+    share = "1 + ({scale}::HUGEINT * ({n} + 1)) // ({total})".format
+    f = "((({p}) - ({q})) * (({p}) - ({q}))) // ({q})".format
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {words} AS ws FROM {documents}),
+w AS (SELECT doc, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= {SD.MIN_DOCS}),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) + any_value(l.v) AS total
+      FROM g JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT t.lang, t.source, kept.term, coalesce(c.n, 0) AS n, {share(scale=SD.SCALE, n="coalesce(c.n, 0)", total="t.total")} AS p,
+             {share(scale=SD.SCALE, n="kept.n", total="l.total + l.v")} AS q
+      FROM t JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = kept.term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum({f(p="a.p", q="b.p")}) AS value
+                    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+         ON x.lang = a.lang AND x.source = a.source AND x.other = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, {f(p="p", q="q")} AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= {SD.TOP}"""
+
+
+ORACLE["op11_source_divergence"] = divergence_sql("documents")
+
+
+# --------------------------------------------------- 12 embedding whitening
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return WH.whiten(C.table(spark, sf_dir, "embeddings"), keep=["vec_id"])
