@@ -8,24 +8,26 @@
   ``SQLTransformer`` with the fitted constants, so a saved model carries its
   scaler and feature list.
 * classifiers: RandomForest (100 trees, depth 10) natively; gradient boosting
-  (100 rounds, depth 6, step 0.1) as one-vs-rest GBT, whose class
-  probabilities are derived from each binary model's margin and normalised.
+  (100 rounds, depth 6, step 0.1) with the softmax objective (``boosting``).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import rules as R
+from ..session import scratch_path
+from . import boosting as B
 from . import quality as Q
 
 LABEL = "risk_score"
@@ -121,22 +123,29 @@ class TrainResult:
     accuracy: float | None = None
 
 
-def _classifier(model_type: str):
-    if model_type == "random_forest":
-        # cacheNodeIds: same trees, fewer passes for deep trees (node ids are
-        # checkpointed to the shared checkpoint folder every 10 iterations).
-        return RandomForestClassifier(labelCol=LABEL, featuresCol="features", seed=S.SEED, cacheNodeIds=True, **S.RF_PARAMS)
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", seed=S.SEED, cacheNodeIds=True, **S.GBT_PARAMS)
-    # The three one-vs-rest models are independent: fit them concurrently.
-    return OneVsRest(classifier=gbt, labelCol=LABEL, featuresCol="features", parallelism=3)
-
-
-def build_pipeline(train: DataFrame, features: list[str], model_type: str) -> Pipeline:
+def _scaler(train: DataFrame, features: list[str]) -> SQLTransformer:
     exprs = standardize_exprs(train, features, with_medians=True)
     cols = ", ".join(f"{e} AS scaled_{c}" for c, e in exprs.items())
-    scaler = SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
+    return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
+
+
+def _boost(scaled: DataFrame, features: list[str], **folds) -> tuple:
+    p = S.GBT_PARAMS
+    return B.fit(scaled, [f"scaled_{c}" for c in features], LABEL, rounds=p["maxIter"], depth=p["maxDepth"], eta=p["stepSize"], **folds)
+
+
+def fit_model(train: DataFrame, features: list[str], model_type: str) -> PipelineModel:
+    """Scaler and classifier fitted on all rows of ``train``."""
+    scaler = _scaler(train, features)
+    if model_type == "gbt":
+        (rounds,), _ = _boost(scaler.transform(train), features)
+        scaled = [f"scaled_{c}" for c in features]
+        return PipelineModel([scaler, B.BoostedTrees(B.node_rows(rounds, scaled), scaled)])
     assembler = VectorAssembler(inputCols=[f"scaled_{c}" for c in features], outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[scaler, assembler, _classifier(model_type)])
+    # cacheNodeIds: same trees, fewer passes for deep trees (node ids are
+    # checkpointed to the shared checkpoint folder every 10 iterations).
+    forest = RandomForestClassifier(labelCol=LABEL, featuresCol="features", seed=S.SEED, cacheNodeIds=True, **S.RF_PARAMS)
+    return Pipeline(stages=[scaler, assembler, forest]).fit(train)
 
 
 def check_classes(df: DataFrame, label: str = LABEL) -> None:
@@ -163,7 +172,7 @@ def train(prepared: DataFrame, model_type: str = DEFAULT_MODEL) -> tuple[TrainRe
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         check_classes(tr)
-        model = build_pipeline(tr, features, model_type).fit(tr)
+        model = fit_model(tr, features, model_type)
     finally:
         tr.unpersist()
     scored_test = score(model, te)
@@ -171,20 +180,9 @@ def train(prepared: DataFrame, model_type: str = DEFAULT_MODEL) -> tuple[TrainRe
     return TrainResult(model, features, model_type, acc), scored_test
 
 
-def class_probability(df: DataFrame) -> DataFrame:
-    """Adds ``probability`` for one-vs-rest GBT output: sigmoid(2 * margin_k)
-    per class, normalised to sum 1 (H4)."""
-    if "probability" in df.columns:
-        return df
-    raw = vector_to_array(F.col("rawPrediction"))
-    sig = F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
-    total = F.aggregate(sig, F.lit(0.0), lambda acc, x: acc + x)
-    return df.withColumn("probability", array_to_vector(F.transform(sig, lambda x: x / total)))
-
-
 def score(model: PipelineModel, prepared: DataFrame) -> DataFrame:
     """Predictions with category and predicted-class probability."""
-    out = class_probability(model.transform(prepared))
+    out = model.transform(prepared)
     probs = vector_to_array(F.col("probability"))
     return out.withColumns(
         {
@@ -197,18 +195,53 @@ def score(model: PipelineModel, prepared: DataFrame) -> DataFrame:
 
 
 def feature_importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    """(feature, importance) sorted descending, summing to 1 (H10). For
-    one-vs-rest the per-class importances are averaged."""
+    """(feature, importance) sorted descending, summing to 1 (H10): impurity decrease
+    of the forest, mean gain per split of the boosted trees."""
     clf = model.stages[-1]
-    if hasattr(clf, "featureImportances"):
-        imp = clf.featureImportances.toArray().tolist()
-    else:
-        vecs = [m.featureImportances.toArray() for m in clf.models]
-        imp = [sum(v[i] for v in vecs) / len(vecs) for i in range(len(features))]
+    if isinstance(clf, B.BoostedTrees):
+        return [(f.removeprefix("scaled_"), v) for f, v in clf.importances()]
+    imp = clf.featureImportances.toArray().tolist()
     total = sum(imp) or 1.0
     return sorted(((f, v / total) for f, v in zip(features, imp)), key=lambda x: (-x[1], x[0]))
 
 
+def node_relation(spark, model: PipelineModel) -> DataFrame:
+    """The trees as a relation: a row per node with feature, gain, number of rows and
+    children. ``gain`` is the impurity decrease of a forest's split and the gain in the
+    objective of a boosted one."""
+    clf = model.stages[-1]
+    if isinstance(clf, B.BoostedTrees):
+        nodes = clf.node_frame(spark)
+        return nodes.select((F.col("round") * clf.classes + F.col("class")).alias("tree"), "node", F.regexp_replace("feature", "^scaled_", "").alias("feature"), "threshold", "gain", F.col("n").cast("double").alias("n"), "left", "right", "value")
+    path = scratch_path(spark, f"nodes/{uuid.uuid4().hex[:12]}")
+    clf.write().save(path)  # the forest's own format is a relation of nodes
+    name = F.array(*[F.lit(f) for f in model_features(model)])
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    inner = F.col("leftChild") >= 0
+    counts = F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x)
+    return nodes.select(
+        "tree", F.col("id").alias("node"), F.when(inner, F.get(name, F.col("split.featureIndex"))).alias("feature"),
+        F.when(inner, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"), F.when(inner, F.col("gain")).alias("gain"), counts.alias("n"),
+        F.when(inner, F.col("leftChild")).alias("left"), F.when(inner, F.col("rightChild")).alias("right"), F.when(~inner, F.col("prediction")).alias("value"),
+    )
+
+
+def importance_by_nodes(nodes: DataFrame, features: list[str], boosted: bool) -> DataFrame:
+    """Importances computed from the node relation: per tree the gains weighted by rows, as
+    shares, averaged over the trees (forest); mean gain per split (boosting)."""
+    splits = nodes.filter("feature IS NOT NULL")
+    if boosted:
+        found = splits.groupBy("feature").agg(F.avg("gain").alias("v"))
+    else:
+        per_tree = splits.groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("n")).alias("v"))
+        whole = per_tree.groupBy("tree").agg(F.sum("v").alias("whole"))
+        found = per_tree.join(whole, "tree").filter("whole > 0").groupBy("feature").agg(F.sum(F.col("v") / F.col("whole")).alias("v"))
+    every = nodes.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    both = every.join(found, "feature", "left").na.fill(0.0, ["v"])
+    total = both.agg(F.sum("v").alias("total"))
+    return both.join(F.broadcast(total)).select("feature", (F.col("v") / F.greatest("total", F.lit(1e-300))).alias("importance"))  # one row
+
+
 def importance_frame(spark, model: PipelineModel, features: list[str]) -> DataFrame:
     rows = feature_importance(model, features)
     return spark.createDataFrame([(i + 1, f, float(v)) for i, (f, v) in enumerate(rows)], "rank int, feature string, importance double")
@@ -233,22 +266,32 @@ def cross_validate(prepared: DataFrame, model_type: str = DEFAULT_MODEL, k: int
 
     features = Q.usable_features(prepared)
     data = fold_column(_narrow(prepared, features)).persist(StorageLevel.MEMORY_AND_DISK)
+    if model_type == "gbt":  # all folds are boosted in the same jobs, on features scaled as the training rows
+        try:
+            _, held = _boost(_scaler(data, features).transform(data), features, fold="fold", folds=k)
+        finally:
+            data.unpersist()
+        return _cv_summary([right / n if n else None for n, right in held])
 
     def fold(i: int) -> float:
         tr = data.filter(F.col("fold") != i)
         te = data.filter(F.col("fold") == i)
-        m = build_pipeline(tr, features, model_type).fit(tr)
-        p = class_probability(m.transform(te))
-        return p.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
+        m = fit_model(tr, features, model_type)
+        return m.transform(te).agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
 
     try:
         with ThreadPoolExecutor(max_workers=k) as pool:
             accs = list(pool.map(fold, range(k)))
     finally:
         data.unpersist()
-    mean = sum(accs) / k
-    std = (sum((a - mean) ** 2 for a in accs) / k) ** 0.5
-    return {"cv_scores": accs, "cv_mean": mean, "cv_std": std}
+    return _cv_summary(accs)
+
+
+def _cv_summary(scores: list[float | None]) -> dict:
+    """Mean and population std over the folds that hold rows."""
+    known = [a for a in scores if a is not None]
+    mean = sum(known) / len(known)
+    return {"cv_scores": scores, "cv_mean": mean, "cv_std": (sum((a - mean) ** 2 for a in known) / len(known)) ** 0.5}
 
 
 # ------------------------------------------------------------ persistence ----
@@ -264,11 +307,13 @@ def load(path: str) -> PipelineModel:
 
 
 def model_features(model: PipelineModel) -> list[str]:
-    return [c[len("scaled_"):] for c in model.stages[1].getInputCols()]
+    last = model.stages[-1]
+    columns = last.features if isinstance(last, B.BoostedTrees) else model.stages[1].getInputCols()
+    return [c.removeprefix("scaled_") for c in columns]
 
 
 def model_type_of(model: PipelineModel) -> str:
-    return "random_forest" if hasattr(model.stages[-1], "featureImportances") else "gbt"
+    return "gbt" if isinstance(model.stages[-1], B.BoostedTrees) else "random_forest"
 
 
 def load_or_train(spark, path: str, training: DataFrame, model_type: str = DEFAULT_MODEL) -> PipelineModel:

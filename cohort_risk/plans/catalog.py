@@ -1123,6 +1123,11 @@ def q_stream_current_decision(spark, sf_dir):
     return _ts_text(ST.stream_current_decision(spark, sf_dir), "decided_at")
 
 
+@register("stream_decision_changes", ORACLE["decision_changes"])
+def q_stream_decision_changes(spark, sf_dir):
+    return _ts_text(ST.stream_decision_changes(spark, sf_dir), "decided_at", "changed_from")
+
+
 # --------------------------------------------------------------- file I/O ----
 
 
@@ -1197,7 +1202,11 @@ def _trained(spark, sf_dir, model_type=M.DEFAULT_MODEL):
 
     from ..session import scratch_path
 
-    settings = (model_type, S.RF_PARAMS if model_type == "random_forest" else S.GBT_PARAMS, S.SEED, S.FEATURE_COLUMNS)
+    code = hashlib.sha1()  # another version of the code trains its own model
+    for module in (M, M.B, M.Q, M.R, S):
+        with open(module.__file__, "rb") as f:
+            code.update(f.read())
+    settings = (code.hexdigest(), model_type, S.RF_PARAMS if model_type == "random_forest" else S.GBT_PARAMS, S.SEED, S.FEATURE_COLUMNS)
     fp = hashlib.sha1(repr((sf_dir.rstrip("/"), V._fingerprint(spark, sf_dir), settings)).encode()).hexdigest()[:16]
     key = (fp, spark.sparkContext.applicationId)
     if key not in _MODEL_CACHE:
@@ -1280,6 +1289,19 @@ def q_importance_totals(spark, sf_dir):
     return M.importance_frame(spark, res.model, res.features).agg(F.count("*").cast("bigint").alias("n_features"), F.round(F.sum("importance"), 9).alias("total"))
 
 
+@register("importance_by_nodes")
+def q_importance_by_nodes(spark, sf_dir):
+    """Importances by SQL over the trees' node relation, forest and boosting, beside the
+    library's (forest) and the model's own (boosting)."""
+    parts = []
+    for model_type in ("random_forest", "gbt"):
+        res = _trained(spark, sf_dir, model_type)
+        own = spark.createDataFrame(M.feature_importance(res.model, res.features), "feature string, reported double")
+        by_nodes = M.importance_by_nodes(M.node_relation(spark, res.model), res.features, model_type == "gbt")
+        parts.append(by_nodes.join(own, "feature").select(F.lit(model_type).alias("model_type"), "feature", F.round("importance", 9).alias("importance"), F.round("reported", 9).alias("reported")))
+    return parts[0].unionByName(parts[1])
+
+
 @register(
     "explanation_values",
     _w("scored") + " UNION ALL ".join(f"SELECT student_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM scored" for c in S.FEATURE_COLUMNS),
@@ -1430,11 +1452,11 @@ def q_model_scoring_gbt(spark, sf_dir):
 
 @register("cross_validation")
 def q_cross_validation(spark, sf_dir):
-    """5-fold accuracy of the random forest on the training split: one row
+    """5-fold accuracy of the default model on the training split: one row
     per fold plus mean and population std (rows-only)."""
     data = V.scored(spark, sf_dir)
     train, _ = M.stratified_split(data.withColumn("risk_score", F.col("risk_score").cast("double")))
-    cv = M.cross_validate(train, "random_forest")
+    cv = M.cross_validate(train)
     rows = [(f"fold_{i}", float(a)) for i, a in enumerate(cv["cv_scores"])] + [("cv_mean", cv["cv_mean"]), ("cv_std", cv["cv_std"])]
     return spark.createDataFrame(rows, "metric string, value double")
 

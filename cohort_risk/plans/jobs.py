@@ -1,10 +1,11 @@
 """Batch job: the application's upload -> score -> report flow as one Spark
 job over whole tables, writing its outputs as tables.
 
-    spark-submit ... -m cohort_risk.plans.jobs --students in/ --decisions log/ --out out/ --model models/rf
+    spark-submit ... -m cohort_risk.plans.jobs --students in/ --decisions log/ --out out/ --model models/risk [--retrain]
 
 Steps: read students (CSV upload path or Parquet), quarantine malformed
-rows, report range violations, label + impute, train-or-load the model, score, write the
+rows, report range violations, label + impute, load the current version of the model
+(train a first one, or a new one with ``--retrain``), score, write the
 scored table partitioned by semester, then the dashboard aggregates, the
 approval report and the notification outbox.
 """
@@ -20,6 +21,7 @@ from ..operators import aggregates as A
 from ..operators import decisions as D
 from ..operators import interventions as I
 from ..operators import model as M
+from ..operators import model_store as MS
 from ..operators import quality as Q
 from ..sources import files as FS
 
@@ -38,7 +40,7 @@ def load_students(spark: SparkSession, path: str) -> FS.Upload:
 
 
 def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str, decisions_path: str | None = None,
-        model_type: str = M.DEFAULT_MODEL) -> dict[str, str]:
+        model_type: str = M.DEFAULT_MODEL, retrain: bool = False) -> dict[str, str]:
     out = out_dir.rstrip("/")
     up = load_students(spark, students_path)
     uploaded, rejected = up.rows, up.rejected
@@ -61,7 +63,12 @@ def run(spark: SparkSession, students_path: str, out_dir: str, model_path: str,
     rows = FS.complete_columns(uploaded, leave=FS.S.FEATURE_COLUMNS)
     _, violations = Q.quarantine(rows)
     prepared = Q.prepare(rows)
-    model = M.load_or_train(spark, model_path, prepared, model_type)
+    if retrain or MS.current(spark, model_path) is None:
+        result, version = MS.retrain(spark, model_path, prepared, model_type)
+        model = result.model
+        write("model_training", spark.createDataFrame([(version.name, version.generation, model_type, result.accuracy)], "version string, generation int, model_type string, accuracy double"))
+    else:
+        model, version = MS.load_or_train(spark, model_path, prepared, model_type)
     scored = M.score_for_dashboard(model, prepared)
     absent = [c for c in FS.S.FEATURE_COLUMNS if c in up.missing and c in scored.columns]
     scored = scored.drop(*absent)  # NULL stand-ins a loaded model asked for
@@ -95,11 +102,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--model", required=True)
     ap.add_argument("--decisions")
     ap.add_argument("--model-type", default=M.DEFAULT_MODEL, choices=["random_forest", "gbt"])
+    ap.add_argument("--retrain", action="store_true", help="train on these students and publish a new version")
     a = ap.parse_args(argv)
     from ..session import build_session
 
     spark = build_session()
-    for name, path in run(spark, a.students, a.out, a.model, a.decisions, a.model_type).items():
+    for name, path in run(spark, a.students, a.out, a.model, a.decisions, a.model_type, a.retrain).items():
         print(name, path)
 
 

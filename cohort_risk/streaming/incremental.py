@@ -7,9 +7,11 @@ incrementally over arriving files.
   each arriving row (stateless, append mode).
 * I2 decisions: ``groupBy(key).agg(max_by(...))`` in update mode keeps only
   the latest decision per key in the state store (RocksDB); every
-  micro-batch's changed keys are written to ``batch_id=<n>`` (overwrite of
-  that folder only, so a retried batch is idempotent). Reading the sink takes
-  the latest per key again, so an older late row can never win.
+  micro-batch's changed keys go to a keyed sink (``keyed_sink``: deltas, compacted
+  snapshots, a pointer), so a read costs the state's size. The latest per key
+  wins there too, so an older late row can never win.
+* I2 / G5 change history: arbitrary state per key (``changes``); late rows correct
+  the flips they lie between.
 * I3 alerts: I1 filtered to High Risk and narrowed to the alert columns, append mode.
 * Quarantine (B3r): arriving rows that break a range rule, append mode.
 
@@ -31,6 +33,9 @@ from ..operators import model as M
 from ..operators import quality as Q
 from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources.fixtures import DECISION_ORDER
+from .changes import decision_words
+from .keyed_sink import KeyedSink
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,16 +74,23 @@ def _schema_of(spark: SparkSession, path: str) -> T.StructType:
 
 
 def _run(query_writer, name: str) -> None:
-    """Run an available-now stream to its end. A query that fails raises; a
-    query that something stopped half-way ends without an error, so the stream
-    is started again from its checkpoint until a run finds nothing new."""
-    rows = 1
-    while rows:
-        q = query_writer.start()
-        q.awaitTermination()
+    """Run a stream until all that its source holds is processed. ``processAllAvailable``
+    returns with the query still active only then; a query that something stopped
+    half-way (also inside its first batch) is inactive, and is started again from its
+    checkpoint. A query that fails raises."""
+    while True:
+        q = query_writer.trigger(processingTime="0 seconds").start()
+        try:
+            q.processAllAvailable()
+            done = q.isActive
+        except Exception as e:
+            raise RuntimeError(f"stream {name} failed: {e}") from e
+        finally:
+            q.stop()
         if q.exception() is not None:
             raise RuntimeError(f"stream {name} failed: {q.exception()}")
-        rows = sum(p["numInputRows"] for p in q.recentProgress)
+        if done:
+            return
 
 
 def _file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None) -> DataFrame:
@@ -106,7 +118,7 @@ ALERT_COLUMNS = ["student_id", "name", "email", "branch", "year", "section", "se
 
 def run_scoring(spark: SparkSession, stream: DataFrame, medians: dict, sink: str, checkpoint: str,
                 only_high: bool = False, model=None) -> str:
-    """Score arriving rows into a Parquet sink (availableNow), by rule
+    """Score arriving rows into a Parquet sink, by rule
     or with a fitted ``model`` (H5); alerts carry only their columns."""
     scored = score_rows(stream, medians)
     if model is not None:
@@ -119,7 +131,6 @@ def run_scoring(spark: SparkSession, stream: DataFrame, medians: dict, sink: str
         .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
     )
     _run(w, "scoring")
     return sink
@@ -133,7 +144,6 @@ def run_quarantine(spark: SparkSession, stream: DataFrame, sink: str, checkpoint
         .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
     )
     _run(w, "quarantine")
     return sink
@@ -145,22 +155,40 @@ def run_current_decisions(spark: SparkSession, stream: DataFrame, sink: str, che
     _prepare_state_store(spark)
     latest = D.current_decisions(stream, cleared_at=cleared_at)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-
-    w = (
-        latest.writeStream.outputMode("update")
-        .foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-    )
+    table = current_sink(sink)
+    w = latest.writeStream.outputMode("update").foreachBatch(table.upsert).option("checkpointLocation", checkpoint)
     _run(w, "current_decisions")
     return sink
 
 
+def current_sink(sink: str) -> KeyedSink:
+    return KeyedSink(sink, D.KEY, DECISION_ORDER)
+
+
 def read_current_decisions(spark: SparkSession, sink: str) -> DataFrame:
-    """Current state from the upsert log: latest per key across batches."""
-    return D.current_decisions(spark.read.parquet(sink).drop("batch_id"))
+    """Current state: the last snapshot and the batches after it, latest per key."""
+    return current_sink(sink).read(spark)
+
+
+def run_decision_changes(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str) -> str:
+    """G5 as a stream: words on decisions (``changes``), the last one on each in a keyed sink."""
+    _prepare_state_store(spark)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        changes_sink(sink).upsert(batch.withColumn("batch_no", F.lit(batch_id).cast("long")), batch_id)
+
+    w = decision_words(stream).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    _run(w, "decision_changes")
+    return sink
+
+
+def changes_sink(sink: str) -> KeyedSink:
+    return KeyedSink(sink, [*D.KEY, *DECISION_ORDER, "status"], ["batch_no"], dispensable="NOT is_change")
+
+
+def read_decision_changes(spark: SparkSession, sink: str) -> DataFrame:
+    """Every flip known now, as ``operators.decisions.decision_changes`` has them."""
+    return changes_sink(sink).read(spark).select(*D.KEY, "status", "decided_at", "previous_status", "changed_from")
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -187,3 +215,9 @@ def stream_current_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, ckpt = _paths(spark, "decisions")
     run_current_decisions(spark, stream_decisions(spark, sf_dir), sink, ckpt)
     return read_current_decisions(spark, sink)
+
+
+def stream_decision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink, ckpt = _paths(spark, "changes")
+    run_decision_changes(spark, stream_decisions(spark, sf_dir), sink, ckpt)
+    return read_decision_changes(spark, sink)

@@ -91,9 +91,46 @@ def test_missing_class_fails_clearly(spark):
         M.train(data)
 
 
-def test_gbt_one_vs_rest_probabilities(spark):
+def test_boosted_probabilities(spark):
     data = V.scored(spark, SF_SMALL)
     res, test = M.train(data, "gbt")
     assert res.accuracy >= 0.85
     s = test.select(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x).alias("s")).agg(F.min("s"), F.max("s")).first()
     assert s == pytest.approx((1.0, 1.0))
+
+
+def test_forest_importances_from_nodes_equal_the_librarys(spark, trained):
+    _, res, _ = trained
+    nodes = M.node_relation(spark, res.model)
+    by_nodes = {r.feature: r.importance for r in M.importance_by_nodes(nodes, res.features, False).collect()}
+    assert by_nodes == pytest.approx(dict(M.feature_importance(res.model, res.features)))
+    assert nodes.select("tree").distinct().count() == 100
+
+
+def test_retrain_publishes_a_version_and_leaves_running_readers_alone(spark):
+    from unittest import mock
+
+    from cohort_risk import schema as S
+    from cohort_risk.operators import model_store as MS
+
+    data = V.scored(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="store-") + "/risk"
+    assert MS.current(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        MS.load(spark, root)
+    with mock.patch.dict(S.RF_PARAMS, {"numTrees": 5}):
+        first, v1 = MS.load_or_train(spark, root, data, "random_forest")
+        pinned, version = MS.load(spark, root)
+        before = M.score(pinned, data).select("student_id", "p_high_risk").orderBy("student_id")
+        rows = before.collect()
+        retrained, v2 = MS.retrain(spark, root, data.filter("gpa > 2.2"), "random_forest")
+    assert version == v1 and retrained.accuracy >= 0.8
+    assert before.collect() == rows  # a reader pinned to a version keeps it
+    assert MS.current(spark, root) == v2 and v2.generation == v1.generation + 1
+    assert M.score(MS.load(spark, root)[0], data).select("student_id", "p_high_risk").orderBy("student_id").collect() != rows
+    assert M.score(MS.load(spark, root, v1)[0], data).select("student_id", "p_high_risk").orderBy("student_id").collect() == rows
+    # a version that a stopped retrain left behind is no version
+    spark.range(1).write.parquet(f"{root}/versions/unfinished")
+    assert MS.current(spark, root) == v2 and len(MS.versions(spark, root)) == 2
+    with pytest.raises(ValueError, match="not gbt"):
+        MS.load_or_train(spark, root, data, "gbt")

@@ -107,3 +107,97 @@ def test_cleared_decisions_and_siblings(spark):
     cols = sorted(batch.columns)
     assert _rows(streamed.select(*cols)) == _rows(batch.select(*cols))
     assert ST.stream_scoring(spark, base).count() == 1500
+
+
+def _changes(df):
+    return _rows(df.select("student_id", "subject", "status", "decided_at", "previous_status", "changed_from"))
+
+
+DECISIONS = "student_id string, subject string, status string, decided_at timestamp_ntz, tie1 bigint, tie2 bigint, tie3 double, tie4 int"
+
+
+def test_stream_decision_changes_equals_batch(spark):
+    assert _changes(ST.stream_decision_changes(spark, SF_SMALL)) == _changes(D.decision_changes(V.decisions(spark, SF_SMALL)))
+
+
+def test_changes_do_not_depend_on_the_order_of_arrival(spark):
+    """Random decisions in many files, late ones in any batch, with few and with many rows in the head."""
+    import random
+
+    from cohort_risk.streaming import changes as CH
+
+    r = random.Random(7)
+    rows = [(r.choice(["S1", "S1", "S2"]), r.choice([None, "math"]), r.choice(["approved", "declined"]), dt.datetime(2024, r.randint(1, 8), r.randint(1, 28), r.randint(0, 23)), r.randint(0, 2), i, 1.0, 1) for i in range(120)]
+    base = tempfile.mkdtemp(prefix="late-")
+    expected = _changes(D.decision_changes(spark.createDataFrame(rows, DECISIONS)))
+    for run, inline in enumerate((0, 1000)):
+        r.shuffle(rows)
+        for i in range(6):
+            spark.createDataFrame(rows[20 * i : 20 * i + 20], DECISIONS).coalesce(1).write.parquet(f"{base}/src{run}/part{i}")
+        stream = spark.readStream.schema(DECISIONS).option("maxFilesPerTrigger", 1).parquet(f"{base}/src{run}/*")
+        saved, CH.decision_words.__defaults__ = CH.decision_words.__defaults__, (CH.decision_words.__defaults__[0], inline)
+        try:
+            ST.run_decision_changes(spark, stream, f"{base}/sink{run}", f"{base}/ckpt{run}")
+        finally:
+            CH.decision_words.__defaults__ = saved
+        assert _changes(ST.read_decision_changes(spark, f"{base}/sink{run}")) == expected
+
+
+def test_keyed_sink_survives_a_stop_at_any_place(spark):
+    import os
+
+    from cohort_risk.streaming.keyed_sink import KeyedSink
+
+    base = tempfile.mkdtemp(prefix="keyed-") + "/t"
+    sink = KeyedSink(base, ["k"], ["at"], buckets=3, compact_after=4)
+    state = {}
+
+    def put(batch, items):
+        sink.upsert(spark.createDataFrame([(k, batch, v) for k, v in items.items()], "k int, at int, v string"), batch)
+        state.update(items)
+
+    def now():
+        return {r.k: r.v for r in sink.read(spark).collect()}
+
+    for batch in range(10):
+        put(batch, {k: f"{batch}-{k}" for k in range(batch, batch + 5)})
+        assert now() == state
+    generation, last = sink.pointer(spark)
+    assert generation == 2 and last == 7
+    # superseded files go a generation later; a read takes one snapshot and the deltas after it
+    assert sorted(os.listdir(f"{base}/snapshot")) == ["generation=1", "generation=2"]
+    assert {f.split("=")[1] for f in os.listdir(f"{base}/delta")} == {"4", "5", "6", "7", "8", "9"}
+    read = sink.read(spark)
+    assert {f.split("/t/")[1].split("/bucket")[0] for f in read.inputFiles()} <= {"snapshot/generation=2", "delta/batch=8", "delta/batch=9"}
+    # a snapshot that a stop left without pointer, and a delta without its end, don't count
+    spark.createDataFrame([(0, 99, "half")], "k int, at int, v string").withColumn("bucket", sink.bucket()).write.partitionBy("bucket").parquet(f"{base}/snapshot/generation=3")
+    spark.createDataFrame([(1, 99, "half")], "k int, at int, v string").withColumn("bucket", sink.bucket()).write.partitionBy("bucket").parquet(f"{base}/delta/batch=10")
+    os.remove(f"{base}/delta/batch=10/_SUCCESS")
+    assert now() == state
+    put(10, {1: "again"})  # the retried batch overwrites its delta
+    put(10, {1: "again"})
+    assert now() == state and sink.compact(spark) == (3, 10) and now() == state
+    put(3, {})  # an old batch that comes again changes nothing
+    assert now() == state
+
+
+def test_a_stop_inside_the_first_batch_does_not_end_the_stream(spark):
+    import threading
+    import time
+
+    from cohort_risk.sources import fixtures as FX
+
+    base = tempfile.mkdtemp(prefix="first-")
+    FX.students(spark, SF_SMALL).write.parquet(f"{base}/src")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/src").schema).parquet(f"{base}/src")
+    stopped, seen = [], []
+
+    def foreach(batch, batch_id):
+        seen.append(batch_id)
+        if len(seen) == 1:
+            threading.Thread(target=lambda: [(stopped.append(q.id), q.stop()) for q in spark.streams.active], daemon=True).start()
+            time.sleep(3)  # the stop comes inside this batch
+        batch.write.mode("overwrite").parquet(f"{base}/sink/batch={batch_id}")
+
+    ST._run(stream.writeStream.foreachBatch(foreach).option("checkpointLocation", f"{base}/ckpt"), "stopped")
+    assert stopped and len(seen) >= 2 and spark.read.parquet(f"{base}/sink").count() == 1500
