@@ -6,13 +6,17 @@ Hamming tables and a rerank with the original vectors.
    rotations are learned that make the signs of the rotated coordinates balanced
    binary codes close to the vectors; several random starts give independent
    codes. Every vector is encoded and indexed; the sample only shapes the codes.
-   The mean is subtracted for learning only: coding hyperplanes go through the
-   origin, so that the chance that one parts a pair is its angle / pi, also where
-   all vectors share a direction (buckets are larger there, links aren't lost).
+   Codes are those of vectors minus the sample's mean, so that bits stay balanced
+   where vectors share a direction.
 3. The codes are cut into substrings of s bits, one hash table each. s follows
    the size of the largest label (about one vector of it per bucket), and the
    number of tables follows s, so that a pair at the threshold shares a bucket
-   with probability ``RECALL`` at every size (pairs above it more often).
+   with probability ``RECALL`` at every size (pairs above it more often). What a
+   hyperplane parts is the pair's angle as seen from the mean: for two vectors
+   at least r from it (``NEAREST``: all but 0.001 of the sample), at most
+   arccos(1 - (1 - threshold) / r^2). Where the nearest vectors lie so close to the
+   mean that this exceeds ``WIDEST``, nearly all vectors link and nothing is
+   gained by the mean; codes are then seen from the origin.
 4. Vectors that share a bucket are compared by their original components in
    double precision. A pair is counted only in the first table it shares. Large
    buckets are cut into blocks that meet pairwise in separate tasks; a task
@@ -40,6 +44,7 @@ from . import components as CC
 
 THRESHOLD = 0.93
 RECALL = 0.997
+NEAREST, WIDEST = 0.001, 0.45 * math.pi
 FIT_ROWS = 5_000
 FIT_ROUNDS = 30
 BLOCK = 1024
@@ -66,21 +71,30 @@ def itq(x: np.ndarray, seed: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
 
 
 def projection(sample: np.ndarray, d: int, seed: int) -> np.ndarray:
-    """ITQ where the sample allows it, else a random rotation."""
-    if len(sample) > d:
-        return itq(sample, seed)
-    return np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
+    """ITQ of the sample; a single vector has no partner, so its code doesn't matter."""
+    return itq(sample, seed) if len(sample) > 1 else np.eye(d)
 
 
-def plan(largest: int, d: int, threshold: float) -> tuple[int, int]:
-    """(bits per table, number of tables) for a largest label of so many vectors."""
-    bits = min(d, max(8, min(24, math.ceil(math.log2(max(largest, 2))))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
+def viewpoint(sample: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
+    """(point that codes are seen from, widest angle of a pair at the threshold from there)."""
+    mean = sample.mean(0)
+    r = float(np.quantile(np.sqrt(((sample - mean) ** 2).sum(1)), NEAREST))
+    angle = math.acos(max(1 - (1 - threshold) / (r * r), -1.0)) if r else math.pi
+    if len(sample) < 2 or angle > WIDEST:
+        return np.zeros_like(mean), math.acos(threshold)
+    return mean, angle
+
+
+def plan(largest: int, d: int, angle: float) -> tuple[int, int]:
+    """(bits per table, number of tables) for a largest label of so many vectors and
+    pairs of at most this angle."""
+    bits = min(d, max(8, min(31, math.ceil(math.log2(max(largest, 2))))))
+    same = (1 - angle / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
 
 
 def table_keys(x: np.ndarray, model: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
-    """One 32-bit key per vector and table."""
+    """One 32-bit key per table and vector (from the viewpoint)."""
     per = x.shape[1] // bits
     weights = 1 << np.arange(bits, dtype=np.int64)
     keys = []
@@ -182,9 +196,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     models = {}
     for d in dims:
         sample = classes.filter(F.size("v") == d).orderBy(F.xxhash64("v"), "id").limit(FIT_ROWS).select("v").collect()
-        bits, tables = plan(largest, d, threshold)
         x = unit(np.array([r["v"] for r in sample]))
-        models[d] = (bits, tables, [projection(x, d, seed) for seed in range(math.ceil(tables / (d // bits)))])
+        center, angle = viewpoint(x, threshold)
+        bits, tables = plan(largest, d, angle)
+        models[d] = (bits, tables, center, [projection(x, d, seed) for seed in range(math.ceil(tables / (d // bits)))])
     shared = spark.sparkContext.broadcast(models)  # a few d x d matrices per vector length
 
     def encode(batches):
@@ -194,9 +209,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             for i, v in enumerate(values):
                 by_size.setdefault(len(v), []).append(i)
             for d, at in by_size.items():
-                bits, tables, model = shared.value[d]
+                bits, tables, center, model = shared.value[d]
                 x = unit(np.array([values[i] for i in at]))
-                keys = table_keys(x, model, bits, tables)
+                keys = table_keys(x - center, model, bits, tables)
                 part = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(3), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array(keys.astype(np.int64).tolist(), pa.list_(pa.int64()))],
@@ -228,7 +243,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         F.sum(F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("__links"), F.min(F.coalesce("component", "node")).alias("__component")
     )
     kept = [c for c in (keep or df.columns) if c not in ("n_links", "component_id", "kept")]
-    own = F.col(id_col).cast("long")
-    out = df.select(*[f"`{c}`" for c in kept]).join(member, own == F.col("__member"), "left")
+    own = F.col("__member")
+    every = df.select(*[f"`{c}`" for c in kept], F.col(id_col).cast("long").alias("__member"))
+    # rows without an id stay where they are, a repeated id may be split
+    out = C.split_join(every.filter("__member IS NOT NULL"), member, ["__member"], "left")
+    out = out.unionByName(every.filter("__member IS NULL").withColumns({"__links": F.lit(None).cast("long"), "__component": F.lit(None).cast("long")}))
     component_id = F.coalesce("__component", own)
     return out.select(*[f"`{c}`" for c in kept], F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(component_id == own, F.lit(True)).alias("kept"))

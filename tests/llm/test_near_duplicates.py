@@ -191,7 +191,7 @@ def test_embedding_edges(spark):
 
 def test_tables_keep_their_recall():
     for n in (100, 10_000, 10**7):
-        bits, tables = ED.plan(n, 64, 0.93)
+        bits, tables = ED.plan(n, 64, np.arccos(0.93))
         same = (1 - np.arccos(0.93) / np.pi) ** bits
         assert 1 - (1 - same) ** tables >= ED.RECALL
 
@@ -210,13 +210,39 @@ def common_direction(n, d=64, norm=0.8, seed=1):
     return norm * m + out * e, norm * m + out * (c * e + np.sqrt(1 - c * c) * f)
 
 
-@pytest.mark.parametrize("largest", [1000, 10**6])
-def test_recall_where_vectors_share_a_direction(largest):
-    x, y = common_direction(2000)
-    bits, tables = ED.plan(largest, 64, 0.93)
+@pytest.mark.parametrize("norm", [0.0, 0.8])
+@pytest.mark.parametrize("largest", [1000, 10**5])
+def test_recall_and_balance_where_vectors_share_a_direction(largest, norm):
+    x, y = common_direction(2000, norm=norm)
+    center, angle = ED.viewpoint(x, 0.93)
+    bits, tables = ED.plan(largest, 64, angle)
     model = [ED.projection(x, 64, seed) for seed in range(-(-tables // (64 // bits)))]
-    a, b = (ED.table_keys(v, model, bits, tables) for v in (x, y))
+    a, b = (ED.table_keys(v - center, model, bits, tables) for v in (x, y))
     assert (a == b).any(1).mean() >= 0.99
+    ones = np.stack([(a >> i & 1).mean(0) for i in range(bits)])
+    assert 0.4 < ones.min() and ones.max() < 0.6  # balanced codes
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.8])
+def test_few_pairs_of_a_large_label_are_compared(norm):
+    n = 40_000
+    x, _ = common_direction(n, norm=norm)
+    sample = x[: ED.FIT_ROWS]
+    center, angle = ED.viewpoint(sample, 0.93)
+    bits, tables = ED.plan(n, 64, angle)
+    model = [ED.projection(sample, 64, seed) for seed in range(-(-tables // (64 // bits)))]
+    keys = ED.table_keys(x - center, model, bits, tables)
+    compared = sum(int((c * (c - 1) // 2).sum()) for c in (np.unique(keys[:, t], return_counts=True)[1] for t in range(tables)))
+    assert compared < 0.02 * n * (n - 1) / 2
+
+
+def test_a_label_around_its_mean_and_tiny_samples_lose_no_link(spark):
+    r = np.random.default_rng(3)
+    close = ED.unit(np.eye(8)[0] + 0.02 * r.standard_normal((30, 8)))
+    for v in (close, close[:2], close[:1], np.eye(8)[:5]):
+        rows = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int")
+        near = (ED.unit(v) @ ED.unit(v).T >= 0.93).sum(1) - 1
+        assert {x.vec_id: x.n_links for x in ED.near_duplicates(rows).collect()} == dict(enumerate(near.tolist()))
 
 
 @pytest.mark.parametrize("n", [300, 1500])
@@ -228,3 +254,28 @@ def test_links_where_vectors_share_a_direction(spark, n):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = ED.near_duplicates(df, threshold=0.9299, keep=["vec_id"]).collect()
     assert 0.99 * expected <= sum(r.n_links for r in got) <= expected
+
+
+def test_null_ids_meet_no_join_and_repeated_ids_keep_one_row(spark):
+    from cohort_risk.llm import minhash_dedup as MD
+
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (1, "a b c d e f", 2), (1, "other words in this row", 3), (None, "a b c d e f", 4), (None, None, 5), (2, None, 6), (2, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    one = MD.one_row_per_id(df).collect()
+    assert sorted((r.doc_id or 0) for r in one) == [0, 0, 1, 2]
+    again = MD.one_row_per_id(df.repartition(5)).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, again))  # whatever the order of rows
+    assert sorted(map(repr, MD.one_row_per_id(df.filter("extra > 3 AND doc_id IS NULL")).collect())) == sorted(map(repr, df.filter("extra > 3 AND doc_id IS NULL").collect()))
+    got = MD.near_duplicates(df).collect()
+    assert sum(r.doc_id is None and r.component_id is None and r.kept for r in got) == 2 and len(got) == len(rows)
+
+
+def test_pairs_under_the_estimate_are_as_rare_as_stated():
+    from math import comb
+
+    from cohort_risk.llm import minhash_dedup as MD
+
+    n = MD.BANDS * MD.ROWS
+    lost = sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(MD.MIN_MATCHES))
+    no_band = (1 - 0.8**MD.ROWS) ** MD.BANDS
+    assert lost < 2e-5 and lost + no_band < 0.002
