@@ -103,7 +103,7 @@ def sentence_ends(tokenizer) -> np.ndarray:
     return ends
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset and, on request, ids."""
     fields = [(id_col, pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
@@ -112,7 +112,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", tex
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = TK.encoder(tokenizer)
+        enc = TK.encoder(tokenizer, special_as_text)
         stops = sentence_ends(enc.tokenizer)
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # (doc id, ids before, ids of the whole document, ids as bytes)
@@ -161,6 +161,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", tex
         if held:
             yield solve(True)
 
-    order = [F.col("__id"), F.xxhash64("__text")]
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    # equal rows of many input partitions spread over tasks
+    order = [F.col("__id"), F.xxhash64("__text"), F.col("__from")]
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.spark_partition_id().alias("__from"))
     return C.map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, ddl)

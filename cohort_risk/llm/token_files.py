@@ -8,9 +8,9 @@ every frame. A second file of the same layout holds (doc_id, number of ids) of
 each document. A reader turns a document into an id range, the range into
 frames, and decompresses and checks only those.
 
-Documents are range-partitioned and sorted by (id, text hash), so the shards
-in order hold ascending ids, a retried task writes the same bytes, and files
-appear whole or not at all. The driver keeps one manifest row per shard.
+Documents are range-partitioned and sorted by (id, text hash, input partition), so
+the shards in order hold ascending ids, equal rows from many partitions spread over
+shards, a retried task writes the same bytes, and files appear whole or not at all. The driver keeps one manifest row per shard.
 
 Defined results: null texts are empty (only the end id); rows sharing an id
 stay separate documents, in the order of their text hash; null ids come first
@@ -119,14 +119,14 @@ class FramedFile:
         return b"".join(parts)[start - base : start - base + size]
 
 
-def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME_IDS) -> list[dict]:
+def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME_IDS, special_as_text: bool = False) -> list[dict]:
     """Write ``df`` as shards under ``folder``; returns the manifest (also saved
     there), one entry per shard in ascending document order."""
     spark = df.sparkSession
     end = struct.pack("<I", end_id)
 
     def write(batches):
-        enc = TK.encoder(tokenizer)
+        enc = TK.encoder(tokenizer, special_as_text)
         shard = TaskContext.get().partitionId()
         name, stats = f"shard-{shard:06d}", {"docs": 0, "bytes": 0, "first": None}
         first = next((b for b in batches if b.num_rows), None)
@@ -158,8 +158,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, i
         C.publish(folder, f"{name}.docs", lambda o: C.publish(folder, f"{name}.ids", lambda i: index(o, i)))
         yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n_docs": stats["docs"], "n_ids": stats["bytes"] // 4}], schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    order = [F.col("__id"), F.xxhash64("__text")]
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    order = [F.col("__id"), F.xxhash64("__text"), F.col("__from")]
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.spark_partition_id().alias("__from"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     shards = C.map_arrow(rows, write, "shard long, name string, n_docs long, n_ids long").collect()
     manifest, start = [], 0

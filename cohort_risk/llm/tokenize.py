@@ -2,7 +2,12 @@
 
 Both supported pre-tokenizers never join characters across the chunk borders
 used here, so the ids of a text are the ids of its chunks in order, and a
-chunk met before (most words) is a dictionary look-up instead of a BPE run."""
+chunk met before (most words) is a dictionary look-up instead of a BPE run.
+
+Ids are those of the library's ``encode(text, add_special_tokens=False)`` with the
+file as it is: the string of an added token inside a text gets that token's id. A
+text that holds such a string is given to the library whole. With
+``special_as_text=True`` these strings are ordinary text."""
 
 from __future__ import annotations
 
@@ -55,11 +60,11 @@ class _Known(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.lower = bool(spec["model"].get("end_of_word_suffix"))
@@ -71,6 +76,9 @@ class Encoder:
         else:
             self.chunks, self.model = (lambda text: [text]), None
         self.known = _Known(self._encode)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        # what the normaliser makes of a text may hold them too, so case doesn't count here
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
 
     def _encode(self, chunk: str) -> bytes:
         if self.model and len(chunk) <= 64 and _ONE.fullmatch(chunk):
@@ -84,18 +92,22 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for t in texts:
+            if t and self.added(t):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                continue
             out.append(b"".join(map(self.known.__getitem__, self.chunks(t or ""))))
             if len(self.known) > CACHE_CHUNKS:
                 self.known.clear()
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file, loaded once per worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
     state = worker_state()
-    if path not in state:
-        state[path] = Encoder(path)
-    return state[path]
+    if (path, special_as_text) not in state:
+        state[path, special_as_text] = Encoder(path, special_as_text)
+    return state[path, special_as_text]

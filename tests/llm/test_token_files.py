@@ -14,20 +14,25 @@ FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = ["", " ", "it's, don't 'tis ,'def x1,y", "<|endoftext|> a<|startoftext|>", "a\x1cb  c\n\n d \t", "é, İ, a̸ ≮b ΣΑΣ ẞ", "x" * 300, "日本語 テスト。", "1٣²", "\u3000a\u2028b"]
 
 
-def plain(name, texts):
+def plain(name, texts, special_as_text=False):
+    """The library's own ids, with the file as it is."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(C.tokenizer_path(name))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("name", FILES)
-def test_chunked_encoding_is_the_tokenizers(name):
+def test_chunked_encoding_is_the_tokenizers(name, special_as_text):
     r = random.Random(3)
     alphabet = "ab é'’,.!-* \n\t  \x1c1٣İßΣ<|endoftext|>е́ ́ 's 'll  "
     texts = ODD + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(5000)]
-    assert TK.Encoder(C.tokenizer_path(name)).encode(texts) == plain(name, texts)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " <|endoftext|>", "<|endoftext|", "a", " b,", "\n", "é", "'s"]
+    texts += ["".join(r.choice(special) for _ in range(r.randint(1, 8))) for _ in range(3000)]
+    assert TK.Encoder(C.tokenizer_path(name), special_as_text).encode(texts) == plain(name, texts, special_as_text)
 
 
 ROWS = [(i, t) for i, t in enumerate(ODD)] + [(3, "repeated id"), (50, None), (None, "null id"), (40, "word " * 30_000), (41, "after"), (42, "after")]
@@ -76,3 +81,14 @@ def test_empty_table(spark):
     folder = C.work_path(spark, "test-empty")
     assert TF.write_token_files(docs(spark, []), folder, C.tokenizer_path(FILES[0]), 2) == []
     assert TF.read_token_files(spark, folder).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark):
+    rows = spark.range(0, 3000, 1, 16).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id + 100 END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same row' ELSE 'another row ' || id END AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = TF.write_token_files(rows, C.work_path(spark, "test-equal"), C.tokenizer_path(FILES[0]), 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = sorted(m["n_docs"] for m in manifest)
+    assert sum(sizes) == 3000 and sizes[-1] < 900  # 1,000 rows are equal
