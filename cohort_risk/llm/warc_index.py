@@ -1,9 +1,9 @@
 """WARC archives with an externally merged capture index.
 
 Write: payloads are digested, the smallest page id of each digest becomes the
-response and every other page with that payload a revisit of it. Each task
-writes one archive (a gzip member per record) and one *run*: the index entries
-of that archive, sorted by URL key, timestamp and page id.
+response and every other page with that payload a revisit of it. Tasks write
+archives (a gzip member per record) of at most ``ARCHIVE_ROWS`` records, each with
+one *run*: the index entries of that archive, sorted by URL key, timestamp and page id.
 
 Merge: the runs are merged k ways with a loser tree. The key space is cut into
 ranges by keys sampled from the runs, so a merge task handles one range of at
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -44,6 +45,7 @@ EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FAN_IN = 64
 SAMPLE_KEYS = 100_000
+ARCHIVE_ROWS = 50_000
 ENTRY = pa.schema([
     ("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("size", pa.int64()),
@@ -202,60 +204,60 @@ def _write_entries(folder: str, name: str, rows: Iterator[dict]) -> int:
     return n
 
 
-def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> list[dict]:
-    """Write the archives and their sorted runs; returns one entry per run:
-    name, n and a bounded sample of its keys."""
+def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, archive_rows: int = ARCHIVE_ROWS) -> list[dict]:
+    """Write the archives of at most ``archive_rows`` records and their sorted runs;
+    returns one entry per run: name, n and, with the first, a bounded sample of all keys."""
     when = F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp")
     rows = df.select(
         F.col(id_col).cast("long").alias("__id"), F.col(url_col).cast("string").alias("__url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"),
         F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("__when"),
     ).withColumn("__sha1", F.sha1(F.col("__html").cast("binary")))
     first = rows.groupBy("__sha1").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    # sorted within a task: a retried task writes the same bytes
-    rows = rows.join(first, "__sha1", "left").select("__id", "__url", "__html", "__when", "__first").sortWithinPartitions("__id", "__url", "__when")
+    # sorted within a task: a retried task writes the same bytes; a payload that many pages share may be split
+    rows = C.split_join(rows, first, ["__sha1"], "left").select("__id", "__url", "__html", "__when", "__first").sortWithinPartitions("__id", "__url", "__when")
 
     def write(batches):
-        name, entries = f"part-{TaskContext.get().partitionId():06d}", []
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-
-        def fill(out):
-            offset = 0
-
-            def all_rows():
-                yield from first.to_pylist()
-                for b in batches:
-                    yield from b.to_pylist()
-
-            for r in all_rows():
-                payload = r["__html"].encode("utf-8", "surrogatepass")
-                digest = payload_digest(payload)
-                when = r["__when"] or (EPOCH + timedelta(seconds=(r["__id"] or 0) % 1_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
-                refers = r["__first"] if r["__first"] != r["__id"] else None
-                gz = zlib.compressobj(6, zlib.DEFLATED, 31)
-                packed = gz.compress(record(r["__id"], r["__url"], when, payload, digest, refers)) + gz.flush()
-                out.write(packed)
-                entries.append({"url_key": url_key(r["__url"]), "timestamp": when, "page_id": r["__id"], "url": r["__url"], "digest": digest, "record_type": "response" if refers is None else "revisit", "refers_to": refers, "archive": f"{name}.warc.gz", "offset": offset, "size": len(packed)})
-                offset += len(packed)
-
-        C.publish(folder, f"{name}.warc.gz", fill)
-        entries.sort(key=lambda e: _key(e["url_key"], e["timestamp"], e["page_id"]))
-        _write_entries(f"{folder}/runs", f"{name}.parquet", iter(entries))
-        step = max(1, len(entries) // 64)
-        sample = [{k: e[k] for k in ("url_key", "timestamp", "page_id")} for e in entries[step // 2 :: step]]
-        yield pa.RecordBatch.from_pylist([{"name": name, "n": len(entries), "keys": sample}], schema=pa.schema([("name", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.struct([("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64())])))]))
-
-    found = C.map_arrow(rows, write, "name string, n long, keys array<struct<url_key: string, timestamp: string, page_id: long>>").collect()
-    return sorted(({"name": r["name"], "n": r["n"], "keys": [_key(*k) for k in r["keys"]]} for r in found), key=lambda r: r["name"])
+        pages = (r for b in batches for lo in range(0, b.num_rows, 256) for r in b.slice(lo, 256).to_pylist())
+        task = TaskContext.get().partitionId()
+        for number in itertools.count():
+            part = list(itertools.islice(pages, 1))
+            if not part:
+                return
+            name, entries = f"part-{task:06d}-{number:04d}", []
+
+            def fill(out, part=part, name=name, entries=entries):
+                offset = 0
+                for r in itertools.chain(part, itertools.islice(pages, archive_rows - 1)):
+                    payload = r["__html"].encode("utf-8", "surrogatepass")
+                    digest = payload_digest(payload)
+                    when = r["__when"] or (EPOCH + timedelta(seconds=(r["__id"] or 0) % 1_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
+                    refers = r["__first"] if r["__first"] != r["__id"] else None
+                    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    packed = gz.compress(record(r["__id"], r["__url"], when, payload, digest, refers)) + gz.flush()
+                    out.write(packed)
+                    entries.append({"url_key": url_key(r["__url"]), "timestamp": when, "page_id": r["__id"], "url": r["__url"], "digest": digest, "record_type": "response" if refers is None else "revisit", "refers_to": refers, "archive": f"{name}.warc.gz", "offset": offset, "size": len(packed)})
+                    offset += len(packed)
+
+            C.publish(folder, f"{name}.warc.gz", fill)
+            entries.sort(key=lambda e: _key(e["url_key"], e["timestamp"], e["page_id"]))
+            _write_entries(f"{folder}/runs", f"{name}.parquet", iter(entries))
+            step = -(-len(entries) // 64)
+            sample = [{k: e[k] for k in ("url_key", "timestamp", "page_id")} for e in entries[step // 2 :: step]]
+            yield pa.RecordBatch.from_pylist([{"name": name, "n": len(entries), "keys": sample}], schema=pa.schema([("name", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.struct([("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64())])))]))
+
+    found = C.written(C.map_arrow(rows, write, "name string, n long, keys array<struct<url_key: string, timestamp: string, page_id: long>>"), "warc-runs")
+    runs = [{"name": r["name"], "n": r["n"], "keys": []} for r in found.select("name", "n").orderBy("name").collect()]  # a line per archive
+    if runs:  # keys are thinned before they reach the driver; they belong to no run in particular
+        keys = found.select("name", F.posexplode("keys").alias("at", "key")).orderBy(F.xxhash64("name", "at")).limit(SAMPLE_KEYS).select("key.*")
+        runs[0]["keys"] = [_key(*k) for k in keys.collect()]
+    return runs
 
 
 def merge_runs(spark: SparkSession, folder: str, runs: list[dict], fan_in: int = FAN_IN, ranges: int | None = None) -> list[str]:
     """Merge the runs into ``folder``/merged; returns the files in global order."""
     if not runs:
         return []
-    per_run = max(1, SAMPLE_KEYS // len(runs))
-    keys = sorted(k for r in runs for k in r["keys"][:: max(1, -(-len(r["keys"]) // per_run))])
+    keys = sorted(k for r in runs for k in r["keys"])
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["n"] for r in runs) // 1_000_000)
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
     bounds = list(zip([None, *cuts], [*cuts, None], strict=True))

@@ -98,3 +98,17 @@ def test_time_column_orders_a_history(spark):
 def test_empty_table(spark):
     folder, runs, files = build(spark, [])
     assert runs == [] == files and WI.read_index(spark, files).count() == 0 == WI.read_archives(spark, folder, runs).count()
+
+
+def test_a_payload_of_a_third_of_all_pages(spark):
+    """Archives stay bounded, keys are thinned, and the result is that of any other layout."""
+    rows = [(i, f"http://h{i % 7}.org/{i}", "the same page" if i % 3 == 0 else f"page {i}") for i in range(600)]
+    folder = C.work_path(spark, "test-hot")
+    runs = WI.write_archives(spark.createDataFrame(rows, PAGE).repartition(4), folder, archive_rows=50)
+    assert sum(r["n"] for r in runs) == 600 and max(r["n"] for r in runs) <= 50 and len(runs) >= 12
+    files = WI.merge_runs(spark, folder, runs, fan_in=4)
+    index = WI.read_index(spark, files).orderBy("part").collect()
+    assert sorted(r.page_id for r in index) == list(range(600))
+    assert {r.refers_to for r in index if r.page_id % 3 == 0 and r.page_id} == {0} and {r.record_type for r in index if r.page_id % 3} == {"response"}
+    found = {(r.archive, r.offset): r.page_id for r in WI.read_archives(spark, folder, runs).collect()}
+    assert found == {(r.archive, r.offset): r.page_id for r in index}
