@@ -44,7 +44,9 @@ MAX_DOCS = 6_000
 MAX_WINDOWS = 100_000
 WINDOW = 64
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES, WORD_BYTES = 65_536, 2_048, 65_536
+#: Bounds of the dictionaries at every corpus size; what is listed is cut between words,
+#: the least frequent first.
+ORDINARY_BYTES, TOXIC_BYTES, WORD_BYTES, NEUTRAL_BYTES = 65_536, 2_048, 65_536, 16_384
 PIECE, MIN_Z = 5, 3.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -90,11 +92,22 @@ def window_figures(ordinary, toxic, words, text: str | None) -> list[float]:
     return [*_of_windows(g), *_of_windows(h), *spread]
 
 
+def _first(items, size: int) -> list[bytes]:
+    """The first items whose length with separators stays within ``size``."""
+    out, held = [], 1
+    for x in items:
+        held += len(x) + 1
+        if held > size:
+            break
+        out.append(x)
+    return out
+
+
 def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer: they are the dictionary
-        return b"".join(dict.fromkeys(samples))[-size:]
+    except zstandard.ZstdError:  # the trainer refuses very few samples: whole samples, last ones first, are the dictionary
+        return b"".join(reversed(_first(reversed(list(dict.fromkeys(samples))), size)))
 
 
 def _contexts(ws: list[bytes]) -> set[tuple[bytes, bytes]]:
@@ -147,14 +160,15 @@ def train_dictionaries(toxic_windows: list[bytes], ordinary_windows: list[bytes]
     random.Random(5).shuffle(bag)
     toxic = _train([b" " + b"  ".join(bag[i : i + 8]) + b" " for i in range(0, len(bag), 8)], TOXIC_BYTES, 24, 6)
     n = collections.Counter(word for _, word in contexts if _marked(word, marked))
-    words = (b" " + b" ".join(sorted(n, key=lambda x: (n[x], x))) + b" ")[-WORD_BYTES:]  # the most frequent last
+    listed = _first(sorted(n, key=lambda x: (n[x], x), reverse=True), WORD_BYTES)
+    words = b" " + b" ".join(reversed(listed)) + b" "  # the most frequent last
     a, neutral = compressor(ordinary), {}
     for content in (toxic, words):
         b = compressor(content + ordinary)
         good, bad = _contributors(toxic_windows, a, b), _contributors(ordinary_windows, a, b)
         neutral |= {x: max(k, neutral.get(x, 0)) for x, k in bad.items() if 2 * r * k > good[x] and not _marked(x, marked)}
-    neutral = b" ".join(sorted(neutral, key=lambda x: (-neutral[x], x)))
-    return ordinary + b" " + neutral[:16_384] + b" ", toxic, words
+    neutral = b" ".join(_first(sorted(neutral, key=lambda x: (-neutral[x], x)), NEUTRAL_BYTES))
+    return ordinary + b" " + neutral + b" ", toxic, words
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
