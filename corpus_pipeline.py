@@ -6,13 +6,14 @@ checkpoint folder and reads it back for the next stage.
 
 toxicity           documents scored toxic are dropped
 line_dedup         repeated lines stay only in their first document (``n_chars`` follows)
-near_dedup         one document of each near-duplicate group stays
+near_dedup         one row of each doc_id, then one document of each near-duplicate group stays
 decontamination    documents contaminated by ``benchmark`` are dropped
 packing            what is left becomes training sequences, one row per piece
 
 The first four return the columns of ``documents``, extra columns unchanged
-(whatever their names). Null or empty texts pass every filter; an empty table
-gives an empty result."""
+(whatever their names). Null or empty texts pass every filter; without toxic and
+other labels to learn from, the first stage drops nothing; an empty table gives an
+empty result."""
 
 from __future__ import annotations
 
@@ -41,6 +42,8 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apart, back = _apart(docs)
     model = TX.fit(apart, Q.learned_labels(spark, sf_dir))
+    if "constant" in model:  # nothing tells documents apart
+        return docs
     return TX.score(apart, model).filter(F.col("score") < TOXIC_AT).select(*back)
 
 
@@ -56,7 +59,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apart, back = _apart(docs)
-    return MD.near_duplicates(apart).filter("kept").select(*back)
+    return MD.near_duplicates(MD.one_row_per_id(apart)).filter("kept").select(*back)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
