@@ -1,8 +1,8 @@
 """Risk model with Spark ML.
 
-* split: stratified 80/20 by a per-class threshold on a seeded row hash; the
-  threshold is a per-class quantile sketch (grouped partial aggregate, skew
-  safe), so no window runs over a whole class.
+* split: stratified 80/20 by an exact per-class cut on a seeded row hash, found by
+  histograms that narrow it (grouped partial aggregates, skew safe), so no window
+  runs over a whole class.
 * scaling: population standard deviation (scikit-learn semantics), fitted on
   the training rows and stored *inside* the PipelineModel as a
   ``SQLTransformer`` with the fitted constants, so a saved model carries its
@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from . import quality as Q
 
 LABEL = "risk_score"
 DEFAULT_MODEL = "gbt"
+READ_ROWS = 10_000
 
 
 # ------------------------------------------------------------------ split ----
@@ -49,23 +51,78 @@ def _class_cuts(tagged: DataFrame, label: str, probs: list[float], accuracy: int
     return {r[label]: list(r["_cuts"]) for r in cuts.collect()}
 
 
+def test_counts(sizes: dict, fraction: float = S.TEST_FRACTION) -> dict:
+    """Test rows per class: the whole test side is ceil(fraction * rows), shared out in
+    proportion, what rounding leaves over going to the largest remainders (ties: the
+    smaller class)."""
+    total = sum(sizes.values())
+    drawn = math.ceil(fraction * total)
+    out = {k: n * drawn // total for k, n in sizes.items()}
+    order = sorted(sizes, key=lambda k: (-(sizes[k] * drawn % total), k))
+    for k in order[: drawn - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
+def nth_rows(tagged: DataFrame, label: str, id_col: str, wanted: dict) -> dict:
+    """Per class the (hash, id) of its n-th row in the order of (``_h``, id), n > 0.
+    Passes narrow the hash by 12 bits each, with one histogram of at most 4096 bins per
+    class, until a class's bin is small enough to be read."""
+    found, prefix = {}, {k: None for k in wanted}
+    left = dict(wanted)
+    for shift in (52, 40, 28, 16, 4):
+        still = [k for k in prefix if k not in found]
+        if not still:
+            break
+        inside = None
+        for k in still:
+            cond = F.col(label) == k
+            if prefix[k] is not None:
+                cond = cond & (F.shiftright("_h", shift + 12) == prefix[k])
+            inside = cond if inside is None else inside | cond
+        bins: dict = {k: {} for k in still}
+        for r in tagged.filter(inside).groupBy(F.col(label).alias("k"), F.shiftright("_h", shift).alias("b")).count().collect():
+            bins[r["k"]][r["b"]] = r["count"]
+        for k in still:
+            for b in sorted(bins[k]):
+                if left[k] <= bins[k][b]:
+                    break
+                left[k] -= bins[k][b]
+            prefix[k] = b
+            if bins[k][b] <= READ_ROWS:
+                rows = tagged.filter((F.col(label) == k) & (F.shiftright("_h", shift) == b)).select("_h", id_col).collect()
+                found[k] = sorted((r[0], r[1]) for r in rows)[left[k] - 1]
+    for k in prefix:
+        if k not in found:  # 16 hashes with many rows: repeated ids, which are not parted
+            near = tagged.filter((F.col(label) == k) & (F.shiftright("_h", 4) == prefix[k])).groupBy("_h").agg(F.count("*").alias("n"), F.max(id_col).alias("id"))
+            for h, n, last in sorted(tuple(r) for r in near.collect()):
+                found[k] = (h, last)
+                if left[k] <= n:
+                    break
+                left[k] -= n
+    return found
+
+
 def split_flag(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
-               seed: int = S.SEED, accuracy: int = 100000) -> DataFrame:
-    """Adds ``is_test``: stratified 80/20 assignment (H1). Each row gets a
-    seeded hash u in [0,1); the class's ``test_fraction`` quantile of u is the
-    cut. The cuts enter the plan as literals, so the table isn't moved."""
-    tagged = df.withColumn("_u", _unit_hash(id_col, seed))
-    cut = None
-    for k, (c,) in _class_cuts(tagged, label, [test_fraction], accuracy).items():
-        cut = F.when(F.col(label) == k, F.lit(c)) if cut is None else cut.when(F.col(label) == k, F.lit(c))
-    cut = F.lit(None).cast("double") if cut is None else cut
-    return tagged.filter(F.col(label).isNotNull()).withColumn("is_test", F.col("_u") <= cut).drop("_u")
+               seed: int = S.SEED) -> DataFrame:
+    """Adds ``is_test``: stratified 80/20 assignment (H1), exact: the rows of a class
+    are ordered by a seeded hash of their id (then the id) and the first
+    ``test_counts`` of them are the test side. The cuts enter the plan as literals, so
+    the table isn't moved. Rows that share an id fall on the same side."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    tagged = df.filter(F.col(label).isNotNull()).withColumns({"_i": name, "_h": F.xxhash64(name, F.lit(seed))})
+    sizes = {r["k"]: r["count"] for r in tagged.groupBy(F.col(label).alias("k")).count().collect()}
+    wanted = {k: n for k, n in test_counts(sizes, test_fraction).items() if n} if sizes else {}
+    test = F.lit(False)
+    for k, (h, last) in nth_rows(tagged, label, "_i", wanted).items():
+        test = test | ((F.col(label) == k) & ((F.col("_h") < h) | ((F.col("_h") == h) & (F.col("_i") <= last))))
+    return tagged.withColumn("is_test", test).drop("_h", "_i")
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "student_id", test_fraction: float = S.TEST_FRACTION,
-                     seed: int = S.SEED, accuracy: int = 100000) -> tuple[DataFrame, DataFrame]:
+                     seed: int = S.SEED) -> tuple[DataFrame, DataFrame]:
     """(train, test) from ``split_flag``."""
-    flagged = split_flag(df, label, id_col, test_fraction, seed, accuracy)
+    flagged = split_flag(df, label, id_col, test_fraction, seed)
     return flagged.filter(~F.col("is_test")).drop("is_test"), flagged.filter(F.col("is_test")).drop("is_test")
 
 

@@ -811,6 +811,31 @@ def q_student_lookup(spark, sf_dir):
     return D.first_students(df)
 
 
+@register(
+    "student_lookup_indexed",
+    _w("scored_o")
+    + """, wanted AS (SELECT min(student_id) AS id, max(name) AS name FROM scored),
+first AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY ordinal) AS by_id, row_number() OVER (PARTITION BY name ORDER BY ordinal) AS by_name FROM scored)
+SELECT 'id' AS found_by, student_id, name, ordinal, gpa, risk_category FROM first, (SELECT id FROM wanted) WHERE student_id = id AND by_id = 1
+UNION ALL SELECT 'name', student_id, first.name, ordinal, gpa, risk_category FROM first JOIN wanted ON first.name = wanted.name WHERE by_name = 1""",
+)
+def q_student_lookup_indexed(spark, sf_dir):
+    """Lookups by id and by name (here the first id and the last name of the table) in a
+    table laid out for them: clustered by id, Bloom filters on both."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    df = V.scored(spark, sf_dir, with_ordinal=True).select("student_id", "name", "ordinal", "gpa", "risk_category")
+    path = scratch_path(spark, f"lookup/{uuid.uuid4().hex[:12]}")
+    FS.write_lookup(df, path)
+    table = spark.read.parquet(path)
+    wanted = table.agg(F.min("student_id"), F.max("name")).first()
+    by_id, by_name = D.lookup(table, student_id=wanted[0]), D.lookup(table, name=wanted[1])
+    return by_id.select(F.lit("id").alias("found_by"), "*").unionByName(by_name.select(F.lit("name").alias("found_by"), "*"))
+
+
 @register("preview", _w("scored_o") + "SELECT * EXCLUDE (ordinal) FROM scored ORDER BY ordinal LIMIT 5")
 def q_preview(spark, sf_dir):
     df = V.scored(spark, sf_dir, with_ordinal=True)
@@ -1259,12 +1284,19 @@ def q_model_evaluation(spark, sf_dir):
 # ------------------------------- what SQL can say about model output ----
 
 
-@register("split_totals", _w("scored") + "SELECT risk_score, CAST(count(*) AS BIGINT) AS n, true AS share_is_a_fifth FROM scored GROUP BY risk_score")
+@register(
+    "split_totals",
+    _w("scored")
+    + """, c AS (SELECT risk_score, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY risk_score),
+t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(0.2e0 * sum(n)) AS BIGINT) AS drawn FROM c),
+q AS (SELECT risk_score, n, (n * drawn) // total AS base, (n * drawn) % total AS rest, drawn FROM c, t),
+r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, risk_score) AS place, drawn - sum(base) OVER () AS missing FROM q)
+SELECT risk_score, n, CAST(base + CASE WHEN place <= missing THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM r""",
+)
 def q_split_totals(spark, sf_dir):
-    """Every labelled row is in exactly one side of the split, a fifth of each class (within 2 %) in the test side."""
-    n, test = F.count("*"), F.count_if(F.col("is_test"))
+    """Every labelled row is in exactly one side of the split, the exact share of each class in the test side."""
     return M.split_flag(V.scored(spark, sf_dir)).groupBy("risk_score").agg(
-        n.cast("bigint").alias("n"), (F.abs(test / n - 0.2) <= 0.02).alias("share_is_a_fifth")
+        F.count("*").cast("bigint").alias("n"), F.count_if(F.col("is_test")).cast("bigint").alias("n_test")
     )
 
 

@@ -22,10 +22,9 @@ def trained(spark):
 def test_split_is_stratified(spark):
     data = V.scored(spark, SF_SMALL)
     tr, te = M.stratified_split(data)
-    n = data.groupBy("risk_score").count().collect()
+    n = {r.risk_score: r["count"] for r in data.groupBy("risk_score").count().collect()}
     t = {r.risk_score: r["count"] for r in te.groupBy("risk_score").count().collect()}
-    for r in n:
-        assert abs(t[r.risk_score] / r["count"] - 0.2) < 0.02
+    assert t == M.test_counts(n) and sum(t.values()) == -(-sum(n.values()) // 5)
     assert tr.count() + te.count() == data.count()
 
 
@@ -134,3 +133,23 @@ def test_retrain_publishes_a_version_and_leaves_running_readers_alone(spark):
     assert MS.current(spark, root) == v2 and len(MS.versions(spark, root)) == 2
     with pytest.raises(ValueError, match="not gbt"):
         MS.load_or_train(spark, root, data, "gbt")
+
+
+def test_split_is_exact_at_every_bin_size_and_for_repeated_ids(spark):
+    from unittest import mock
+
+    df = spark.range(3000).select(F.concat(F.lit("S"), "id").alias("student_id"), (F.col("id") % 7 % 3).cast("int").alias("risk_score"))
+    sizes = {r[0]: r[1] for r in df.groupBy("risk_score").count().collect()}
+    wanted, seen = M.test_counts(sizes), set()
+    for read in (1, 50, 10_000):  # through all passes, some, none
+        with mock.patch.object(M, "READ_ROWS", read):
+            flagged = M.split_flag(df).filter("is_test")
+            assert {r[0]: r[1] for r in flagged.groupBy("risk_score").count().collect()} == wanted
+            seen.add(frozenset(r[0] for r in flagged.select("student_id").collect()))
+    assert len(seen) == 1
+    # sklearn's shares: 10, 5 and 2 rows of 17 give ceil(3.4) = 4 test rows, the odd one to the largest remainder
+    assert M.test_counts({0: 10, 1: 5, 2: 2}) == {0: 2, 1: 1, 2: 1} and M.test_counts({0: 1}) == {0: 1}
+    same = df.withColumn("student_id", F.lit("S1")).unionByName(df.limit(0))
+    with mock.patch.object(M, "READ_ROWS", 10):
+        flags = M.split_flag(same).groupBy("risk_score", "is_test").count().collect()
+    assert all(r.is_test for r in flags) and len(flags) == 3  # rows of an id fall on one side

@@ -133,3 +133,27 @@ def test_repeated_header_names_and_empty_folder(spark):
 def test_generated_ids(spark):
     ids = [r.student_id for r in G.generate_students(spark, 10001).select("student_id").collect()]
     assert ids[0] == "STU_0001" and ids[-2:] == ["STU_10000", "STU_10001"]
+
+
+def test_a_lookup_opens_few_row_groups(spark):
+    """Scan metrics: rows read of a table of many row groups, by id and by name."""
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from cohort_risk.operators import decisions as D
+    from cohort_risk.sources import files as FS
+
+    path = tempfile.mkdtemp(prefix="lookup-") + "/t"
+    n = 200_000
+    df = spark.range(n).select(F.format_string("S%09d", "id").alias("student_id"), F.sha1(F.col("id").cast("string")).alias("name"), F.col("id").alias("ordinal"))
+    FS.write_lookup(df.repartition(4, "name"), path, row_group_bytes=1 << 18)
+    table = spark.read.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found in (D.lookup(table, student_id="S000123456"), D.lookup(table, name=df.filter("id = 123456").first().name)):
+            assert [r.ordinal for r in found.collect()] == [123456]
+            leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+            assert leaves.apply(0).metrics().apply("numOutputRows").value() < n / 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
