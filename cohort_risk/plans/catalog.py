@@ -1148,6 +1148,48 @@ def q_stream_current_decision(spark, sf_dir):
     return _ts_text(ST.stream_current_decision(spark, sf_dir), "decided_at")
 
 
+@register("stream_outbox", ORACLE["notification_outbox"])
+def q_stream_outbox(spark, sf_dir):
+    return _ts_text(ST.stream_outbox(spark, sf_dir, V.scored(spark, sf_dir, with_ordinal=True)), "decided_at")
+
+
+def _merged_states(spark, sf_dir):
+    """States of the scored table's files, brought up to date."""
+    from ..operators import rollup as RU
+
+    V.scored(spark, sf_dir)
+    source = V.scored_path(spark, sf_dir)
+    if source is None:  # the view isn't kept as a table
+        source = V.write_scored_copy(spark, sf_dir)
+    store = f"{source}-states"
+    RU.refresh(spark, source, store)
+    return RU.states(spark, source, store)
+
+
+@register("rollup_branch_stats", ORACLE["branch_risk_stats"])
+def q_rollup_branch_stats(spark, sf_dir):
+    """E5 from stored partial states per source file."""
+    from ..operators import rollup as RU
+
+    return RU.risk_stats_by(_merged_states(spark, sf_dir), ["branch"])
+
+
+@register("rollup_kpis", ORACLE["kpi_overview"])
+def q_rollup_kpis(spark, sf_dir):
+    """E1 from stored partial states per source file."""
+    from ..operators import rollup as RU
+
+    return RU.kpi_overview(_merged_states(spark, sf_dir))
+
+
+@register("rollup_risk_distribution", ORACLE["risk_distribution"])
+def q_rollup_risk_distribution(spark, sf_dir):
+    """E3 from stored partial states per source file."""
+    from ..operators import rollup as RU
+
+    return RU.risk_distribution(_merged_states(spark, sf_dir))
+
+
 @register("stream_decision_changes", ORACLE["decision_changes"])
 def q_stream_decision_changes(spark, sf_dir):
     return _ts_text(ST.stream_decision_changes(spark, sf_dir), "decided_at", "changed_from")

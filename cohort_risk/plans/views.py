@@ -58,13 +58,22 @@ def scored(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> Data
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
         path = _MATERIALIZED.get(key)
         if path is None:
-            path = scratch_path(spark, f"views/scored-{uuid.uuid4().hex[:12]}")
-            _scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
-            _MATERIALIZED[key] = path
+            path = _MATERIALIZED[key] = write_scored_copy(spark, sf_dir)
         df = spark.read.parquet(path)
     return df if with_ordinal else df.drop("ordinal")
 
 
+def write_scored_copy(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, f"views/scored-{uuid.uuid4().hex[:12]}")
+    _scored_plan(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return path
+
+
+def scored_path(spark: SparkSession, sf_dir: str) -> str | None:
+    """Where this session's copy of the scored table lies, if it has one."""
+    return _MATERIALIZED.get((spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir)))
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.decisions(spark, sf_dir)
 

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import rules as R
 from ..operators import decisions as D
+from ..operators import interventions as I
 from ..operators import model as M
 from ..operators import quality as Q
 from ..session import scratch_path
@@ -191,6 +192,35 @@ def read_decision_changes(spark: SparkSession, sink: str) -> DataFrame:
     return changes_sink(sink).read(spark).select(*D.KEY, "status", "decided_at", "previous_status", "changed_from")
 
 
+OUTBOX_KEY = [*D.KEY, *DECISION_ORDER]
+
+
+def run_outbox(spark: SparkSession, stream: DataFrame, students: DataFrame, sink: str, checkpoint: str, remember: str = "7 days") -> str:
+    """C23 as decisions arrive: one message per decision event. Events that come again
+    within ``remember`` of their arrival are dropped by the stream; the watermark is on
+    the time of arrival, so an old decision that arrives late is not lost. The keyed
+    sink holds one message per event, so one that comes again later, or a batch that is
+    replayed, adds none."""
+    _prepare_state_store(spark)
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    events = arrived.dropDuplicatesWithinWatermark([*OUTBOX_KEY, "status"]).drop("_arrived")
+    messages = I.notification_outbox(events, students)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        outbox_sink(sink).upsert(batch.withColumn("batch_no", F.lit(batch_id).cast("long")), batch_id)
+
+    _run(messages.writeStream.outputMode("append").foreachBatch(upsert).option("checkpointLocation", checkpoint), "outbox")
+    return sink
+
+
+def outbox_sink(sink: str) -> KeyedSink:
+    return KeyedSink(sink, [*OUTBOX_KEY, "subject_line"], ["batch_no"])
+
+
+def read_outbox(spark: SparkSession, sink: str) -> DataFrame:
+    return outbox_sink(sink).read(spark).drop("batch_no")
+
+
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     run = f"streams/{name}-{uuid.uuid4().hex[:12]}"
     return scratch_path(spark, f"{run}/sink"), scratch_path(spark, f"{run}/checkpoint")
@@ -221,3 +251,9 @@ def stream_decision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, ckpt = _paths(spark, "changes")
     run_decision_changes(spark, stream_decisions(spark, sf_dir), sink, ckpt)
     return read_decision_changes(spark, sink)
+
+
+def stream_outbox(spark: SparkSession, sf_dir: str, students: DataFrame) -> DataFrame:
+    sink, ckpt = _paths(spark, "outbox")
+    run_outbox(spark, stream_decisions(spark, sf_dir), students, sink, ckpt)
+    return read_outbox(spark, sink)

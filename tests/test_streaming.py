@@ -201,3 +201,22 @@ def test_a_stop_inside_the_first_batch_does_not_end_the_stream(spark):
 
     ST._run(stream.writeStream.foreachBatch(foreach).option("checkpointLocation", f"{base}/ckpt"), "stopped")
     assert stopped and len(seen) >= 2 and spark.read.parquet(f"{base}/sink").count() == 1500
+
+
+def test_outbox_sends_one_message_per_event(spark):
+    """Replayed events and batches add no message, old decisions that arrive late are not lost."""
+    from cohort_risk.operators import interventions as I
+
+    students = V.scored(spark, SF_SMALL, with_ordinal=True)
+    ids = [r.student_id for r in students.filter("email IS NOT NULL").select("student_id").orderBy("student_id").limit(40).collect()]
+    rows = [(i, None, "approved" if n % 2 else "declined", dt.datetime(2024 - n % 5, 1, 5), n, 1, 1.0, 1) for n, i in enumerate(ids)]
+    base = tempfile.mkdtemp(prefix="outbox-")
+    for part, some in enumerate((rows[:20], rows[10:30], rows[30:], rows[:5])):  # parts repeat events of earlier ones
+        spark.createDataFrame(some, DECISIONS).coalesce(1).write.parquet(f"{base}/src/part{part}")
+    stream = spark.readStream.schema(DECISIONS).option("maxFilesPerTrigger", 1).parquet(f"{base}/src/*")
+    ST.run_outbox(spark, stream, students, f"{base}/sink", f"{base}/ckpt")
+    expected = I.notification_outbox(spark.createDataFrame(rows, DECISIONS), students)
+    got = ST.read_outbox(spark, f"{base}/sink")
+    assert _rows(got.select(*expected.columns)) == _rows(expected) and got.count() > 0
+    ST.run_outbox(spark, stream, students, f"{base}/sink", f"{base}/ckpt-lost")  # all batches again, without the checkpoint
+    assert _rows(ST.read_outbox(spark, f"{base}/sink").select(*expected.columns)) == _rows(expected)
