@@ -49,14 +49,16 @@ def parse_header(line: str) -> list[str]:
     return names
 
 
-def read_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of a CSV path by their own header line (one pass of text over
-    the first split of each file; one row per file)."""
+def read_headers(spark: SparkSession, path: str) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """The files of a CSV path by their own header line and by whether some line has an
+    odd number of quotes, so that a quoted field may go on in the next line. One pass of
+    text, split as Spark likes, reduced in every task; one row per file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    lines = lines.filter("at = 0").withColumn("i", F.monotonically_increasing_id())
-    files: dict[tuple[str, ...], list[str]] = {}
-    for r in lines.groupBy("file").agg(F.min_by("value", "i").alias("header")).collect():
-        files.setdefault(tuple(parse_header(r["header"])), []).append(r["file"])
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.select("file", "at", F.monotonically_increasing_id().alias("i"), F.when(F.col("at") == 0, F.col("value")).alias("head"), (quotes % 2 == 1).alias("odd"))
+    files: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("head", F.struct("at", "i")).alias("header"), F.bool_or("odd").alias("odd")).collect():
+        files.setdefault((tuple(parse_header(r["header"])), r["odd"]), []).append(r["file"])
     return files
 
 
@@ -70,7 +72,7 @@ def _typed(c: str, kind: T.DataType):
     return F.col(c).try_cast(kind)
 
 
-def read_students_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Upload:
+def read_students_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> Upload:
     """A1: read a student CSV file or folder with the declared types, as pandas
     would: every file by its own header (files may order or lack columns
     differently), doubled quotes and line breaks inside quotes, the usual
@@ -79,12 +81,13 @@ def read_students_csv(spark: SparkSession, path: str, multi_line: bool = True) -
     (``gpa = abc``) is quarantined with the failing column names instead of
     failing the job (T5). The decision looks at all declared columns, so it
     does not depend on which columns a later query reads. Unknown columns are
-    kept as text. ``multi_line=False`` lets Spark split large files."""
+    kept as text. Files without an unfinished quoted line are split by Spark; the others
+    are read whole (``multi_line`` decides for all files alike)."""
     declared = {f.name: f.dataType for f in S.STUDENT_SCHEMA.fields}
     raw, cols = None, []
-    for header, files in sorted(read_headers(spark, path).items()):
+    for (header, odd), files in sorted(read_headers(spark, path).items()):
         text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        part = spark.read.schema(text).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(files)
+        part = spark.read.schema(text).option("header", True).option("escape", '"').option("multiLine", odd if multi_line is None else multi_line).csv(files)
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
         cols += [c for c in header if c not in cols]
     if raw is None:

@@ -157,3 +157,27 @@ def test_a_lookup_opens_few_row_groups(spark):
             assert leaves.apply(0).metrics().apply("numOutputRows").value() < n / 10
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_csv_files_are_split_unless_quotes_run_over_lines(spark):
+    import os
+    import tempfile
+
+    from cohort_risk.sources import files as FS
+
+    d = tempfile.mkdtemp(prefix="split-")
+    with open(f"{d}/plain.csv", "w") as f:
+        f.write(HEAD + "\n" + "".join(f'S{i},"A ""{i}""",3.0,0.9,0.8,70,60\n' for i in range(4000)))
+    with open(f"{d}/breaks.csv", "w") as f:
+        f.write(HEAD + "\n" + "".join(f'T{i},"two\nlines {i}",3.0,0.9,0.8,70,60\n' for i in range(50)))
+    assert {odd: [os.path.basename(x) for x in files] for (_, odd), files in FS.read_headers(spark, d).items()} == {False: ["plain.csv"], True: ["breaks.csv"]}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        up = FS.read_students_csv(spark, d)
+        names = {r.student_id: r.name for r in up.rows.select("student_id", "name").collect()}
+        assert FS.read_students_csv(spark, f"{d}/plain.csv").rows.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert names == {f"S{i}": f'A "{i}"' for i in range(4000)} | {f"T{i}": f"two\nlines {i}" for i in range(50)} and up.rejected.count() == 0
