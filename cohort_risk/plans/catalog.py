@@ -1148,6 +1148,34 @@ def q_stream_current_decision(spark, sf_dir):
     return _ts_text(ST.stream_current_decision(spark, sf_dir), "decided_at")
 
 
+@register("decision_detail_bucketed", ORACLE["decision_detail"])
+def q_decision_detail_bucketed(spark, sf_dir):
+    """F1 on co-bucketed tables: no exchange below the final order."""
+    students, log = V.bucketed(spark, sf_dir)
+    return D.decision_detail(log, students)
+
+
+@register("branch_decision_summary_bucketed", ORACLE["branch_decision_summary"])
+def q_branch_decision_summary_bucketed(spark, sf_dir):
+    """E19 on co-bucketed tables: only the branches' partial sums move."""
+    students, log = V.bucketed(spark, sf_dir)
+    return D.branch_decision_summary(log, students)
+
+
+@register("subject_status_summary_bucketed", ORACLE["subject_status_summary"])
+def q_subject_status_summary_bucketed(spark, sf_dir):
+    """E20 on co-bucketed tables: nothing moves."""
+    students, log = V.bucketed(spark, sf_dir)
+    return D.subject_status_summary(students, log)
+
+
+@register("current_decision_bucketed", ORACLE["current_decision"])
+def q_current_decision_bucketed(spark, sf_dir):
+    """G4 on the bucketed log: nothing moves."""
+    _, log = V.bucketed(spark, sf_dir)
+    return _ts_text(D.current_decisions(log).select("student_id", "subject", "status", "decided_at"), "decided_at")
+
+
 @register("stream_outbox", ORACLE["notification_outbox"])
 def q_stream_outbox(spark, sf_dir):
     return _ts_text(ST.stream_outbox(spark, sf_dir, V.scored(spark, sf_dir, with_ordinal=True)), "decided_at")

@@ -74,6 +74,20 @@ def scored_path(spark: SparkSession, sf_dir: str) -> str | None:
     return _MATERIALIZED.get((spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir)))
 
 
+def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scored students and the decision log as tables bucketed on the student id,
+    written once per session and source version."""
+    from ..sources.bucketed import pair
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
+    if key not in _BUCKETED:
+        _BUCKETED[key] = pair(spark, scored(spark, sf_dir, with_ordinal=True), decisions(spark, sf_dir))
+    return _BUCKETED[key]
+
+
+_BUCKETED: dict = {}
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.decisions(spark, sf_dir)
 
