@@ -1279,7 +1279,19 @@ def q_standardize(spark, sf_dir):
     return df.select("student_id", *[F.bround(F.col(c), 6).alias(c) for c in S.FEATURE_COLUMNS])
 
 
-@register("stratified_split")
+#: The exact test counts by class: ceil(0.2 n) rows in all, largest remainders.
+_SPLIT_SQL = """, c AS (SELECT risk_score, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY risk_score),
+t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(0.2e0 * sum(n)) AS BIGINT) AS drawn FROM c),
+q AS (SELECT risk_score, n, (n * drawn) // total AS base, (n * drawn) % total AS rest, drawn FROM c, t),
+p AS (SELECT *, row_number() OVER (ORDER BY rest DESC, risk_score) AS place, drawn - sum(base) OVER () AS missing FROM q),
+r AS (SELECT *, CASE WHEN place <= missing THEN 1 ELSE 0 END AS extra FROM p)
+"""
+
+
+@register(
+    "stratified_split",
+    _w("scored") + _SPLIT_SQL + "SELECT risk_score, CAST(n - base - extra AS BIGINT) AS n_train, CAST(base + extra AS BIGINT) AS n_test FROM r",
+)
 def q_stratified_split(spark, sf_dir):
     """Class shares of the 80/20 split: per class, train and test counts."""
     flagged = M.split_flag(V.scored(spark, sf_dir))
@@ -1354,15 +1366,7 @@ def q_model_evaluation(spark, sf_dir):
 # ------------------------------- what SQL can say about model output ----
 
 
-@register(
-    "split_totals",
-    _w("scored")
-    + """, c AS (SELECT risk_score, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY risk_score),
-t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(0.2e0 * sum(n)) AS BIGINT) AS drawn FROM c),
-q AS (SELECT risk_score, n, (n * drawn) // total AS base, (n * drawn) % total AS rest, drawn FROM c, t),
-r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, risk_score) AS place, drawn - sum(base) OVER () AS missing FROM q)
-SELECT risk_score, n, CAST(base + CASE WHEN place <= missing THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM r""",
-)
+@register("split_totals", _w("scored") + _SPLIT_SQL + "SELECT risk_score, n, CAST(base + extra AS BIGINT) AS n_test FROM r")
 def q_split_totals(spark, sf_dir):
     """Every labelled row is in exactly one side of the split, the exact share of each class in the test side."""
     return M.split_flag(V.scored(spark, sf_dir)).groupBy("risk_score").agg(
