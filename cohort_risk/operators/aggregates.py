@@ -250,16 +250,16 @@ BOX_COLUMNS = ["gpa", "attendance_rate", "assignment_completion", "quiz_scores"]
 
 def box_summary(df: DataFrame) -> DataFrame:
     """Five-number summary per (risk category, metric) (E15): the metrics are
-    unpivoted and all groups selected together by ``exact_quantiles``. The
+    unpivoted and all groups selected together by ``sketched_quantiles``. The
     result has one row per category and metric."""
-    from .quality import exact_quantiles
+    from .quality import sketched_quantiles
 
     long = df.select(
         F.coalesce(F.col("risk_category"), F.lit("Unknown")).alias("risk_category"),
         F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in BOX_COLUMNS])),
     )
     names = ["min", "q1", "median", "q3", "max"]
-    res = exact_quantiles(long, ["risk_category", "metric"], "value", [0.0, 0.25, 0.5, 0.75, 1.0])
+    res = sketched_quantiles(long, ["risk_category", "metric"], "value", [0.0, 0.25, 0.5, 0.75, 1.0])
     rows = [(*g, n, *[None if v is None else float(v) for v in qs]) for g, (n, qs) in res.items()]
     schema = "risk_category string, metric string, n bigint, " + ", ".join(f"{nm} double" for nm in names)
     return df.sparkSession.createDataFrame(rows, schema).select("risk_category", "metric", "n", *[F.bround(nm, 6).alias(nm) for nm in names])

@@ -4,7 +4,7 @@ the scoring preparation (label before imputation)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,6 +158,137 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     return out
 
 
+#: Size of the rank sketches and the share of the rows by which a bracket reaches
+#: past its target on either side (twice the sketch's stated rank error at this size).
+SKETCH_K, SKETCH_SLACK = 4096, 0.0015
+
+
+def sketched_quantiles(
+    long: DataFrame, keys: list[str], value: str, probs: list[float], missing_only: bool = False, k: int = SKETCH_K, slack: float = SKETCH_SLACK
+) -> dict[tuple, tuple[int, list[float | None]]]:
+    """Exact quantiles per group, as ``exact_quantiles``, in two scans of the
+    input at every size and for every distribution.
+
+    The first scan takes each group's counts, ends and one mergeable KLL sketch;
+    the sketch brackets all targets of the group at once. The second scan counts
+    the rows below each bracket and the distinct values inside (partial
+    aggregation, so a hot value is one row per task). These cells, about
+    ``2 * slack`` of the rows, are range-partitioned by (bracket, value); the
+    totals of the partitions tell where each rank lies, and a running sum within
+    that partition gives its value. The sketch decides only how much is counted:
+    a rank that its bracket misses is selected by ``exact_quantiles``.
+
+    ``missing_only`` leaves out groups that hold no NULL or NaN (no fill needed)."""
+    spark = long.sparkSession
+    x = F.col(value).cast("double")
+    rows = long.select(*keys, F.when(x.isNotNull() & ~F.isnan(x), x).alias("_x"))
+
+    def at(shift: float) -> Column:
+        ranks = [min(max(p + shift, 0.0), 1.0) for p in probs]
+        return F.when(F.col("_n") > 0, F.array(*[F.kll_sketch_get_quantile_double("_s", F.lit(r)) for r in ranks]))
+
+    heads = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_all"), F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+        F.kll_sketch_agg_double("_x", k).alias("_s"),
+    ).select(*keys, "_all", "_n", "_lo", "_hi", at(-slack).alias("_from"), at(slack).alias("_to")).collect()
+    plans: dict[tuple, tuple[int, list]] = {}
+    found: dict[tuple, float] = {}  # (group, rank) -> value
+    brackets: dict[tuple, set] = {}  # (group, from, to) -> ranks
+    for h in heads:
+        g, n = tuple(h[c] for c in keys), h["_n"]
+        if n == 0 or (missing_only and n == h["_all"]):
+            continue
+        found[g, 0], found[g, n - 1] = h["_lo"], h["_hi"]
+        targets = []
+        for i, p in enumerate(probs):
+            pos = p * (n - 1)
+            k1 = int(pos)
+            k2 = min(k1 + 1, n - 1) if pos > k1 else k1
+            targets.append((k1, k2, pos - k1))
+            for rank in {k1, k2}:
+                if h["_lo"] == h["_hi"]:
+                    found[g, rank] = h["_lo"]
+                elif (g, rank) not in found:
+                    brackets.setdefault((g, h["_from"][i], h["_to"][i]), set()).add(rank)
+        plans[g] = (n, targets)
+    missed: set[tuple] = set()
+    if brackets:
+        values, missed = _ranks_in_brackets(spark, rows, keys, brackets)
+        found.update(values)
+    out = {}
+    for g, (n, targets) in plans.items():
+        if g not in missed:
+            ends = [(found[g, k1], found[g, k2], frac) for k1, k2, frac in targets]
+            out[g] = (n, [a if a == b else (b - a) * frac + a for a, b, frac in ends])
+    if missed:
+        groups = spark.createDataFrame(sorted(missed, key=repr), T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keys]))
+        again = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in keys]
+        out.update(exact_quantiles(rows.alias("r").join(groups.alias("g"), again, "left_semi"), keys, "_x", probs))
+    return out
+
+
+def _ranks_in_brackets(spark, rows: DataFrame, keys: list[str], brackets: dict[tuple, set]) -> tuple[dict, set]:
+    """Values of the wanted ranks, {(group, rank): value}, and the groups with a
+    rank that lies beyond its bracket and the values next to it."""
+    schema = T.StructType(
+        [T.StructField(f"_k{i}", rows.schema[c].dataType) for i, c in enumerate(keys)]
+        + [T.StructField("_r", T.LongType()), T.StructField("_from", T.DoubleType()), T.StructField("_to", T.DoubleType())]
+    )
+    table = spark.createDataFrame([(*g, r, a, b) for r, (g, a, b) in enumerate(brackets)], schema)
+    if len(brackets) <= 10_000:  # one per group and probability
+        table = F.broadcast(table)
+    met = rows.filter(F.col("_x").isNotNull()).join(table, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    side = F.when(F.col("_x") < F.col("_from"), 0).when(F.col("_x") > F.col("_to"), 2).otherwise(1)
+    cells = (
+        met.groupBy("_r", side.alias("_side"), F.when(side == 1, F.col("_x")).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+        .repartitionByRange("_r", "_side", "_v")
+        .withColumn("_p", F.spark_partition_id())
+        .persist()
+    )
+    try:
+        totals: dict[tuple, list] = {}
+        for t in cells.groupBy("_r", "_side", "_p").agg(F.sum("_c").alias("c"), F.min("_mn").alias("mn"), F.max("_mx").alias("mx")).collect():
+            totals.setdefault((t["_r"], t["_side"]), []).append((t["_p"], t["c"], t["mn"], t["mx"]))
+        found, missed, inner = {}, set(), {}
+        for r, ((g, _, _), ranks) in enumerate(brackets.items()):
+            below, above = totals.get((r, 0), []), totals.get((r, 2), [])
+            start = sum(c for _, c, _, _ in below)
+            pieces = sorted(totals.get((r, 1), []))
+            end = start + sum(c for _, c, _, _ in pieces)
+            for rank in ranks:
+                if rank == start - 1:
+                    found[g, rank] = max(mx for _, _, _, mx in below)
+                elif rank == end:
+                    found[g, rank] = min(mn for _, _, mn, _ in above)
+                elif not start <= rank < end:
+                    missed.add(g)
+                else:
+                    acc = start
+                    for p, c, mn, mx in pieces:
+                        if rank < acc + c:
+                            break
+                        acc += c
+                    if mn == mx or rank == acc:
+                        found[g, rank] = mn
+                    elif rank == acc + c - 1:
+                        found[g, rank] = mx
+                    else:
+                        inner[p, r, rank - acc] = (g, rank)
+        if inner:
+            want = spark.createDataFrame(list(inner), "_p int, _r long, _at long")
+            if len(inner) <= 10_000:  # at most two per bracket
+                want = F.broadcast(want)
+            upto = Window.partitionBy("_p", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            pieces = cells.filter(F.col("_side") == 1).join(want.select("_p", "_r").distinct(), ["_p", "_r"], "left_semi")
+            ends = pieces.withColumn("_end", F.sum("_c").over(upto)).join(want, ["_p", "_r"])
+            for t in ends.filter((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_c"))).select("_p", "_r", "_at", "_v").collect():
+                found[inner[t["_p"], t["_r"], t["_at"]]] = t["_v"]
+        return found, missed
+    finally:
+        cells.unpersist()
+
+
 def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096) -> float | None:
     """Exact quantile of one column in bounded memory (see ``exact_quantiles``)."""
     long = df.select(F.lit(col).alias("_col"), F.col(col).alias("_v"))
@@ -168,15 +299,14 @@ def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096) ->
 def column_medians(df: DataFrame, cols: list[str]) -> dict:
     """Exact medians (pandas / DuckDB semantics, T8) of the columns of ``cols``
     that hold NULLs (the others need no fill and map to None): fitted constants,
-    like model parameters. All such columns are selected together, as groups
-    of the unpivoted (column, value) rows."""
-    first = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    need = [c for c in cols if first[c] > 0]
+    like model parameters. All columns are selected together, as groups of the
+    unpivoted (column, value) rows; which of them hold NULLs is seen in the
+    first of the two scans."""
     out = {c: None for c in cols}
-    if need:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in need])))
-        res = exact_quantiles(long, ["_col"], "_v", [0.5])
-        out.update({c: res[(c,)][1][0] for c in need if (c,) in res})
+    if cols:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])))
+        res = sketched_quantiles(long, ["_col"], "_v", [0.5], missing_only=True)
+        out.update({c: res[(c,)][1][0] for c in cols if (c,) in res})
     return out
 
 
