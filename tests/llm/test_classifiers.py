@@ -59,6 +59,52 @@ def test_quality_odd_rows(spark):
     assert QC.score(QC.with_features(docs(spark, [])), model).count() == 0
 
 
+def test_quality_model_and_scores_equal_their_definition(spark):
+    """Moments, shrunk covariances and log densities from numpy's own on the same rows."""
+    r = np.random.default_rng(5)
+    d = len(QC.FEATURES)
+    mix = r.normal(size=(2, d, d)) / 3
+    x = {i: r.normal(size=d) @ mix[int(i % 3 == 0)] + (i % 3 == 0) + 4 for i in range(900)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "doc_id long, features array<double>").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(800)], LABEL)
+    model = QC.fit(frame, labels)
+    one = np.array([x[i] for i in range(800) if i % 3 == 0])
+    zero = np.array([x[i] for i in range(800) if i % 3])
+    covs = [np.cov(c.T, bias=True) for c in (zero, one)]
+    pooled = (len(zero) * covs[0] + len(one) * covs[1]) / 800
+    density = []
+    for c, cov in zip((zero, one), covs, strict=True):
+        s = (1 - QC.SHRINK_POOLED) * cov + QC.SHRINK_POOLED * pooled
+        s = (1 - QC.SHRINK_DIAGONAL) * s + QC.SHRINK_DIAGONAL * np.diag(s.diagonal()) + QC.RIDGE * np.eye(d)
+        inverse, log_det = np.linalg.inv(s), np.linalg.slogdet(s)[1]
+        density.append({i: np.log(len(c) / 800) - 0.5 * ((v - c.mean(0)) @ inverse @ (v - c.mean(0)) + log_det) for i, v in x.items()})
+    got = {row.doc_id: row.score for row in QC.score(frame, model).collect()}
+    assert got.keys() == x.keys()
+    for i, p in got.items():
+        assert p == pytest.approx(1 / (1 + np.exp(density[0][i] - density[1][i])), rel=1e-8, abs=1e-12), i
+
+
+def test_quality_statistics_of_a_small_text():
+    """Counted by hand: 8 different words on two lines; "ok!!" is decorated, "$$" a bare symbol."""
+    text = "A b b, 12 ok!! $$\nSo b?"
+    got = dict(zip(QC.FEATURES, QC.statistics(text), strict=True))
+    words = ["A", "b", "b,", "12", "ok!!", "$$", "So", "b?"]
+
+    def share(k, n):
+        return np.log(k / n + 0.01)
+
+    want = {
+        "log_words": np.log(9), "log_word_length": np.log((sum(map(len, words)) + 1) / 9), "distinct_words": share(0, 8), "repeated_neighbours": share(0, 7),
+        "distinct_trigrams": share(0, 6), "upper_letters": share(2, len(text)), "digits": share(2, len(text)), "symbols": share(4, len(text)),
+        "decorated_words": share(1, 8), "bare_symbols": share(1, 8), "log_line_words": np.log(5), "distinct_lines": share(0, 2),
+        "sentence_marks": share(2, 8), "top_word": share(1, 8),
+    }
+    assert got == pytest.approx(want)
+    repeated = dict(zip(QC.FEATURES, QC.statistics("x y x y x y\nx y x y x y"), strict=True))
+    assert repeated["distinct_words"] == pytest.approx(share(10, 12)) and repeated["distinct_trigrams"] == pytest.approx(share(8, 10))
+    assert repeated["distinct_lines"] == pytest.approx(share(1, 2)) and repeated["top_word"] == pytest.approx(share(6, 12))
+
+
 def test_toxicity_odd_rows(spark):
     r = random.Random(6)
     plain = "the quick brown fox jumps over lazy dogs near river banks while many other words are written here about weather farming numbers letters tables printed on paper by machines".split()

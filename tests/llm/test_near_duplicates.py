@@ -1,6 +1,9 @@
 """MinHash and embedding near-duplicates against brute force."""
 
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -93,6 +96,32 @@ def test_minhash_against_brute_force(spark):
     assert run_text(docs(spark, rows)) == expected
 
 
+def test_minhash_against_words_and_shingles_in_plain_python(spark):
+    """Words, shingles, weights and similarity written anew: regular expression, tuples of
+    five words, dictionaries."""
+    rows = corpus(9) + [(900, "Ünd SO_ it  goes-on, über 12 größe\x00drei"), (901, "ünd so it goes on über 12 größe drei"), (902, "ÜND so it goes on über 12 größe drei")]
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for i, t in rows}
+    held = collections.Counter(w for ws in words.values() for w in set(ws))
+    idf = {w: math.log1p(len(rows) / (1 + k)) + 0.1 for w, k in held.items()}
+    weights = {}
+    for i, ws in words.items():
+        if ws:
+            n = min(5, len(ws))
+            times = collections.Counter(tuple(ws[k : k + n]) for k in range(len(ws) - n + 1))
+            weights[i] = {s: c * sum(idf[w] for w in s) / n for s, c in times.items()}
+    u = Union()
+    for i, a in weights.items():
+        for j, b in weights.items():
+            if i < j:
+                least = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+                if least / (sum(a.values()) + sum(b.values()) - least) >= 0.8:
+                    u.join(i, j)
+    expected = sorted(((i, u.find(i)) for i in words), key=repr)
+    assert dict(expected)[901] == 901 and dict(expected)[902] == 900
+    assert run_text(docs(spark, rows)) == expected
+
+
 def test_links_past_the_first_document_of_a_bucket(spark):
     """Classes of a bucket that its smallest class isn't similar to are still
     compared with each other, block by block."""
