@@ -3,6 +3,8 @@ driver's tables, with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -1389,6 +1391,39 @@ def q_model_scored_ids(spark, sf_dir):
     )
 
 
+@register(
+    "feature_selection",
+    _w("students")
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({i} AS BIGINT) AS position, v AS n_values, v > 0 AS usable FROM (SELECT count({'NULL' if c == 'quiz_scores' else c}) AS v FROM students)"
+        for i, c in enumerate(c for c in S.FEATURE_COLUMNS if c != "office_hours_visits")
+    ),
+)
+def q_feature_selection(spark, sf_dir):
+    """Model features of an upload that lacks one column and holds no value in another
+    (B8): those present, in fixed order, and whether there is anything to learn from."""
+    upload = V.students(spark, sf_dir).drop("office_hours_visits").withColumn("quiz_scores", F.lit(None).cast("double"))
+    present, usable = Q.available_features(upload), Q.usable_features(upload)
+    chosen = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).cast("bigint").alias("position"), F.col(c).isNotNull().alias("has"), F.lit(c in usable).alias("usable")) for i, c in enumerate(present)])
+    return upload.select(F.inline(chosen)).groupBy("feature", "position", "usable").agg(F.count_if("has").cast("bigint").alias("n_values"))
+
+
+@register("model_reload", _w("scored") + "SELECT student_id, risk_score, true AS same_prediction, true AS same_probability FROM scored")
+def q_model_reload(spark, sf_dir):
+    """The forest saved, loaded and scored again, beside the scores before."""
+    from ..session import scratch_path
+
+    res, data = _trained(spark, sf_dir, "random_forest"), V.scored(spark, sf_dir)
+    path = scratch_path(spark, f"reload/{uuid.uuid4().hex[:12]}")
+    M.save(res, path)
+    before = M.score(res.model, data).withColumnsRenamed({"prediction_score": "p0", "risk_probability_model": "q0"})
+    after = M.score(M.load(path), before.select(*data.columns, "p0", "q0"))
+    return after.select(
+        "student_id", "risk_score", F.col("p0").eqNullSafe(F.col("prediction_score")).alias("same_prediction"),
+        F.col("q0").eqNullSafe(F.col("risk_probability_model")).alias("same_probability"),
+    )
+
+
 @register("importance_totals", f"SELECT CAST({len(S.FEATURE_COLUMNS)} AS BIGINT) AS n_features, 1.0e0 AS total FROM (SELECT count(*) FROM orders)")
 def q_importance_totals(spark, sf_dir):
     res = _trained(spark, sf_dir)
