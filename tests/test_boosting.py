@@ -129,3 +129,18 @@ def test_quantile_cuts_stay_within_the_bins(spark):
     df = spark.range(5000).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
     a, b = B.quantile_cuts(df, ["a", "b"], 16)
     assert 10 <= len(a) <= 15 and len(b) == 0 and (np.diff(a) > 0).all()
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(small, monkeypatch):
+    assert B.block_tasks(720_000, 12) == 12 and B.block_tasks(7_200_000, 12) == 24 and B.block_tasks(240, 8) == 1
+    x, y, df = small
+    monkeypatch.setattr(B, "FEW_ROWS", 60)
+    monkeypatch.setattr(B, "LOCAL_BYTES", 0)  # and nodes are finished by whichever way moves less
+    dealt, repartition = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *c: dealt.append((n, c)) or repartition(self, n, *c))
+    (rounds,), _ = B.fit(df.coalesce(1), FEATURES, "y", rounds=2, depth=3, local_rows=60)
+    assert dealt[0] == (min(4, df.sparkSession.sparkContext.defaultParallelism), ())
+    expected, _ = brute_force(x, y, 2, 3)
+    for r in range(2):
+        for k in range(3):
+            assert same(nested(rounds[r][k]), expected[r][k])
