@@ -268,6 +268,16 @@ def email_body(status: Column, name: Column, subject_name: Column, risk: Column,
     return F.when(status == "approved", approved).otherwise(declined)
 
 
+def _subject_name() -> Column:
+    named = F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.lit(S.SUBJECT_NAMES[s]))])
+    return F.when(F.col("subject").isNotNull(), F.element_at(named, F.col("subject")))
+
+
+def event_subject_line(decisions: DataFrame) -> Column:
+    """The subject line of a decision's message, which the decision alone determines."""
+    return email_subject_line(decisions["status"], _subject_name())
+
+
 def notification_outbox(decisions: DataFrame, students: DataFrame) -> DataFrame:
     """One message per decision event whose student has a valid address
     (C23); of rows that share a student id the last counts. Subject decisions quote the subject risk level with its marker,
@@ -280,13 +290,10 @@ def notification_outbox(decisions: DataFrame, students: DataFrame) -> DataFrame:
     perf = F.element_at(F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.col(f"{s}_performance"))]), F.col("subject"))
     level = R.subject_level(att, perf)
     marker = F.element_at(F.create_map(*[x for k, v in SUBJECT_LEVEL_PREFIX.items() for x in (F.lit(k), F.lit(v))]), level)
-    subj_name = F.element_at(
-        F.create_map(*[x for s in S.SUBJECTS for x in (F.lit(s), F.lit(S.SUBJECT_NAMES[s]))]), F.col("subject")
-    )
     risk = F.when(F.col("subject").isNull(), F.coalesce(F.col("risk_category"), F.lit("Unknown"))).otherwise(
         F.concat(marker, level)
     )
-    j = j.withColumns({"subject_name": F.when(F.col("subject").isNotNull(), subj_name), "risk_text": risk})
+    j = j.withColumns({"subject_name": _subject_name(), "risk_text": risk})
     return j.select(
         "student_id",
         "subject",

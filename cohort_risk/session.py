@@ -26,6 +26,9 @@ CORE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     # remove RDD checkpoint files (e.g. tree node ids) once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # a generated method beyond this is not compiled by the JVM but interpreted: the views
+    # project 30 columns at once, which is then several times slower than small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -71,6 +74,14 @@ def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256
     }
 
 
+def compiled_projections(spark: SparkSession) -> None:
+    """The core setting for wide projections, in a session that the caller made and that
+    says nothing about it."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, CORE_CONF[key])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 

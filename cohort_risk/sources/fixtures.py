@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import compiled_projections
+
 # One row per `orders` row.
 STUDENT_EXPRS = [
     ("student_id", "'STU_' || lpad(cast(o_orderkey as varchar(12)), 9, '0')"),
@@ -112,6 +114,7 @@ MODEL_PAIR_EXPRS = [
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    compiled_projections(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -1,130 +1,48 @@
 """Change history of decisions as a stream (G5, I2): every status flip with the status
 before it, whatever order the decisions arrive in.
 
-State per student is, for each subject (and for decisions without one), the decisions
-in decision order: the head holds the ends of every month; the decisions themselves
-lie in one entry per month (in the head while they are few). A batch reads and writes
-only the months it touches, and the ends of their neighbours tell the status before.
-
-A row that arrives late changes what comes before its successor, so the stream
-emits, for every new decision and every successor of one, what holds now: the
-status before and whether the row is a flip. A keyed sink keeps the last word on
-each decision. Decisions that agree in time, ties and status are one."""
+State is kept by Spark's own stateful aggregation, one entry per (student, subject,
+month) with the decisions of that month, so a batch reads and writes only the months
+it touches and a key that holds a third of the log is spread over its months. The
+stream emits a word on every month that a batch touches: its first and its last
+decision and the flips between them. A row that arrives late makes a new word on its
+month. A keyed sink keeps the last word on each month; a read joins the months of a
+key, whose ends tell whether the first decision of a month is a flip. Decisions that
+agree in time, ties and status are one."""
 
 from __future__ import annotations
 
-import bisect
-import datetime as dt
-import json
-import sys
-from collections.abc import Iterator
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.fixtures import DECISION_ORDER
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package
-
 KEY = ["student_id", "subject"]
 INLINE = 32
-_EPOCH = dt.datetime(1970, 1, 1)
-
-
-def _micros(t: dt.datetime) -> int:
-    return (t - _EPOCH) // dt.timedelta(microseconds=1)
-
-
-def _time(micros: int) -> dt.datetime:
-    return _EPOCH + dt.timedelta(microseconds=micros)
-
-
-def _month(micros: int) -> str:
-    return _time(micros).strftime("%Y-%m")
-
-
-class ChangeProcessor(StatefulProcessor):
-    """One student: decisions are lists [micros, *ties, status] in order."""
-
-    def __init__(self, ties: list[str], inline: int = INLINE):
-        self.ties, self.inline = ties, inline
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        text = T.StructType([T.StructField("json", T.StringType())])
-        self.head = handle.getValueState("head", text)
-        self.months = handle.getMapState("months", T.StructType([T.StructField("subject", T.StringType()), T.StructField("month", T.StringType())]), text)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        arrived: dict[str, dict[str, list]] = {}
-        for r in rows:
-            d = [_micros(r["decided_at"]), *[r[c] for c in self.ties], r["status"]]
-            arrived.setdefault(json.dumps(r["subject"]), {}).setdefault(_month(d[0]), []).append(d)
-        # by subject {"ends": {month: [first, last]}, "rows": {month: decisions} or null once they lie apart}
-        held = self.head.get()
-        heads = json.loads(held[0]) if held else {}
-        for subject, new in arrived.items():
-            yield from self._insert(key[0], subject, heads.setdefault(subject, {"ends": {}, "rows": {}}), new)
-        self.head.update((json.dumps(heads),))
-
-    def _insert(self, student: str, subject: str, head: dict, new: dict[str, list]) -> Iterator[Row]:
-        touched, fresh = {}, {}
-        for month, arrived in new.items():
-            if month not in head["ends"]:
-                held = []
-            elif head["rows"] is not None:
-                held = head["rows"][month]
-            else:
-                held = json.loads(self.months.getValue((subject, month))[0])
-            fresh[month] = set()
-            for d in arrived:
-                at = bisect.bisect_left(held, d)
-                if at == len(held) or held[at] != d:
-                    held.insert(at, d)
-                    fresh[month].add(tuple(d))
-            touched[month] = held
-            head["ends"][month] = [held[0], held[-1]]
-        order = sorted(head["ends"])
-        for month, held in touched.items():
-            at = order.index(month)
-            previous = head["ends"][order[at - 1]][1] if at else None
-            changed = False
-            for d in held:
-                if changed or tuple(d) in fresh[month]:
-                    yield self._word(student, subject, d, previous)
-                changed, previous = tuple(d) in fresh[month], d
-            if changed and at + 1 < len(order):  # the successor lies in a later month
-                first = head["ends"][order[at + 1]][0]
-                if tuple(first) not in fresh.get(order[at + 1], ()):
-                    yield self._word(student, subject, first, previous)
-        if head["rows"] is not None:
-            head["rows"].update(touched)
-            if sum(map(len, head["rows"].values())) > self.inline:
-                touched, head["rows"] = head["rows"], None
-        if head["rows"] is None:
-            for month, held in touched.items():
-                self.months.updateValue((subject, month), (json.dumps(held),))
-
-    def _word(self, student: str, subject: str, d: list, previous: list | None) -> Row:
-        """What holds for decision ``d`` after ``previous``."""
-        flip = previous is not None and previous[-1] != d[-1]
-        return Row(
-            student_id=student, subject=json.loads(subject), status=d[-1], decided_at=_time(d[0]), **dict(zip(self.ties, d[1:-1], strict=True)),
-            previous_status=previous[-1] if flip else None, changed_from=_time(previous[0]) if flip else None, is_change=flip,
-        )
-
-    def close(self) -> None:
-        pass
 
 
 def decision_words(stream: DataFrame, order: list[str] = DECISION_ORDER, inline: int = INLINE) -> DataFrame:
-    """The stream of words on decisions: the decision, ``previous_status``, ``changed_from``
-    and ``is_change``, superseded by a later word on the same decision."""
-    ties = [c for c in order if c != "decided_at"]
-    kinds = {f.name: f.dataType for f in stream.schema}
-    fields = [(c, kinds[c]) for c in (*KEY, "status", "decided_at", *ties)]
-    fields += [("previous_status", T.StringType()), ("changed_from", kinds["decided_at"]), ("is_change", T.BooleanType())]
-    schema = T.StructType([T.StructField(c, k) for c, k in fields])
-    rows = stream.select(*KEY, "status", "decided_at", *ties)
-    return rows.groupBy("student_id").transformWithState(ChangeProcessor(ties, inline), schema, "Update", "None")
+    """The stream of words on months: ``student_id``, ``subject``, ``month``, ``first`` and
+    ``last`` (status and time) and ``flips``, superseded by a later word on the same
+    month. ``inline`` has no effect: all months lie apart."""
+    decision = F.struct(*[F.col(c) for c in order], F.col("status"))
+    months = stream.groupBy(*KEY, F.trunc("decided_at", "month").alias("month")).agg(F.sort_array(F.collect_set(decision)).alias("_d"))
+    pair = F.transform("_d", lambda d: F.struct(d["status"].alias("status"), d["decided_at"].alias("decided_at")))
+    months = months.select(*KEY, "month", pair.alias("_d"))
+    flips = F.filter(
+        F.transform("_d", lambda d, i: F.struct(
+            d["status"].alias("status"), d["decided_at"].alias("decided_at"),
+            F.get("_d", i - 1)["status"].alias("previous_status"), F.get("_d", i - 1)["decided_at"].alias("changed_from"),
+        )), lambda d: d["previous_status"] != d["status"],
+    )
+    return months.select(*KEY, "month", F.get("_d", F.lit(0)).alias("first"), F.get("_d", F.size("_d") - 1).alias("last"), flips.alias("flips"))
+
+
+def joined_months(words: DataFrame) -> DataFrame:
+    """Every flip, from the last word on each month."""
+    before = F.lag("last").over(Window.partitionBy(*KEY).orderBy("month"))
+    rows = words.select(*KEY, "first", "flips", before.alias("_before"))
+    first = F.struct("first.status", "first.decided_at", F.col("_before.status").alias("previous_status"), F.col("_before.decided_at").alias("changed_from"))
+    own = F.when(F.col("_before.status") != F.col("first.status"), F.array(first))
+    return rows.select(*KEY, F.inline(F.concat(F.coalesce(own, F.filter("flips", lambda d: F.lit(False))), "flips")))

@@ -10,7 +10,7 @@ incrementally over arriving files.
   micro-batch's changed keys go to a keyed sink (``keyed_sink``: deltas, compacted
   snapshots, a pointer), so a read costs the state's size. The latest per key
   wins there too, so an older late row can never win.
-* I2 / G5 change history: arbitrary state per key (``changes``); late rows correct
+* I2 / G5 change history: state per key and month (``changes``); late rows correct
   the flips they lie between.
 * I3 alerts: I1 filtered to High Risk and narrowed to the alert columns, append mode.
 * Quarantine (B3r): arriving rows that break a range rule, append mode.
@@ -32,10 +32,10 @@ from ..operators import decisions as D
 from ..operators import interventions as I
 from ..operators import model as M
 from ..operators import quality as Q
-from ..session import scratch_path
+from ..session import compiled_projections, scratch_path
 from ..sources import fixtures as FX
 from ..sources.fixtures import DECISION_ORDER
-from .changes import decision_words
+from .changes import decision_words, joined_months
 from .keyed_sink import KeyedSink
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,6 +99,7 @@ def _file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int |
     pattern, which a single file needs, without matching any sibling). All
     files at hand are one micro-batch unless ``max_files`` says otherwise."""
     base = sf_dir.rstrip("/")
+    compiled_projections(spark)
     reader = spark.readStream.schema(_schema_of(spark, f"{base}/{table}.parquet"))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -163,7 +164,7 @@ def run_current_decisions(spark: SparkSession, stream: DataFrame, sink: str, che
 
 
 def current_sink(sink: str) -> KeyedSink:
-    return KeyedSink(sink, D.KEY, DECISION_ORDER)
+    return KeyedSink(sink, D.KEY, DECISION_ORDER, distinct_batches=True)
 
 
 def read_current_decisions(spark: SparkSession, sink: str) -> DataFrame:
@@ -172,7 +173,7 @@ def read_current_decisions(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def run_decision_changes(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str) -> str:
-    """G5 as a stream: words on decisions (``changes``), the last one on each in a keyed sink."""
+    """G5 as a stream: words on months (``changes``), the last one on each in a keyed sink."""
     _prepare_state_store(spark)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -184,12 +185,12 @@ def run_decision_changes(spark: SparkSession, stream: DataFrame, sink: str, chec
 
 
 def changes_sink(sink: str) -> KeyedSink:
-    return KeyedSink(sink, [*D.KEY, *DECISION_ORDER, "status"], ["batch_no"], dispensable="NOT is_change")
+    return KeyedSink(sink, [*D.KEY, "month"], ["batch_no"], distinct_batches=True)
 
 
 def read_decision_changes(spark: SparkSession, sink: str) -> DataFrame:
     """Every flip known now, as ``operators.decisions.decision_changes`` has them."""
-    return changes_sink(sink).read(spark).select(*D.KEY, "status", "decided_at", "previous_status", "changed_from")
+    return joined_months(changes_sink(sink).read(spark))
 
 
 OUTBOX_KEY = [*D.KEY, *DECISION_ORDER]
@@ -202,8 +203,8 @@ def run_outbox(spark: SparkSession, stream: DataFrame, students: DataFrame, sink
     sink holds one message per event, so one that comes again later, or a batch that is
     replayed, adds none."""
     _prepare_state_store(spark)
-    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
-    events = arrived.dropDuplicatesWithinWatermark([*OUTBOX_KEY, "status"]).drop("_arrived")
+    arrived = stream.withColumns({"_arrived": F.current_timestamp(), "_line": I.event_subject_line(stream)}).withWatermark("_arrived", remember)
+    events = arrived.dropDuplicatesWithinWatermark([*OUTBOX_KEY, "_line"]).drop("_arrived", "_line")
     messages = I.notification_outbox(events, students)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -214,7 +215,7 @@ def run_outbox(spark: SparkSession, stream: DataFrame, students: DataFrame, sink
 
 
 def outbox_sink(sink: str) -> KeyedSink:
-    return KeyedSink(sink, [*OUTBOX_KEY, "subject_line"], ["batch_no"])
+    return KeyedSink(sink, [*OUTBOX_KEY, "subject_line"], ["batch_no"], distinct_batches=True)
 
 
 def read_outbox(spark: SparkSession, sink: str) -> DataFrame:

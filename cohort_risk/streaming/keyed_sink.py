@@ -30,6 +30,8 @@ class KeyedSink:
     compact_after: int = 8
     #: rows that a snapshot needn't keep (nothing older is left for them to hide)
     dispensable: str | None = None
+    #: every batch holds a key once, so a lone delta is read as it is
+    distinct_batches: bool = False
     _fs: object = field(default=None, repr=False)
 
     def _files(self, spark: SparkSession, folder: str) -> list[str]:
@@ -79,6 +81,8 @@ class KeyedSink:
                 continue
         if not frames:
             return None, batches[-1] if batches else last
+        if len(frames) == 1 and (generation and not batches or self.distinct_batches):
+            return frames[0], batches[-1] if batches else last
         rows = frames[0]
         for f in frames[1:]:
             rows = rows.unionByName(f)

@@ -220,3 +220,38 @@ def test_outbox_sends_one_message_per_event(spark):
     assert _rows(got.select(*expected.columns)) == _rows(expected) and got.count() > 0
     ST.run_outbox(spark, stream, students, f"{base}/sink", f"{base}/ckpt-lost")  # all batches again, without the checkpoint
     assert _rows(ST.read_outbox(spark, f"{base}/sink").select(*expected.columns)) == _rows(expected)
+
+
+def test_change_stream_keeps_its_state_without_python(spark):
+    """State per student, subject and month by Spark's own aggregation, no Python call per student."""
+    words = ST.decision_words(ST.stream_decisions(spark, SF_SMALL))
+    plan = words._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [student_id" in plan and "TransformWithState" not in plan and "Python" not in plan
+
+
+def test_a_lone_delta_is_read_as_it_is(spark):
+    from cohort_risk.streaming.keyed_sink import KeyedSink
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    base = tempfile.mkdtemp(prefix="lone-")
+    batch = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "k int, at int, v string")
+    sink, plain = KeyedSink(f"{base}/t", ["k"], ["at"], distinct_batches=True), KeyedSink(f"{base}/p", ["k"], ["at"])
+    sink.upsert(batch, 0), plain.upsert(batch.unionByName(batch), 0)
+    assert exchanges(sink.read(spark)) == 0 and exchanges(plain.read(spark)) > 0
+    assert _rows(sink.read(spark)) == _rows(plain.read(spark)) == [(1, 0, "a"), (2, 0, "b")]
+    sink.upsert(spark.createDataFrame([(2, 1, "c")], "k int, at int, v string"), 1)
+    assert _rows(sink.read(spark)) == [(1, 0, "a"), (2, 1, "c")]
+
+
+def test_wide_projections_are_compiled(spark):
+    """Unless the session says otherwise, a generated method that the JVM would interpret is not used."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    fresh = spark.newSession()
+    fresh.conf.unset(key)
+    V.students(fresh, SF_SMALL)
+    assert fresh.conf.get(key) == "8000"
+    fresh.conf.set(key, "60000")
+    V.students(fresh, SF_SMALL)
+    assert fresh.conf.get(key) == "60000"
