@@ -21,6 +21,8 @@ from ..sources.fixtures import DECISION_ORDER
 
 KEY = ["student_id", "subject"]
 DEFAULT_AS_OF = "2002-01-01 00:00:00"
+#: What the approval report takes from the students.
+DETAIL_COLUMNS = ["student_id", "name", "email", "branch", "year", "section", "semester", "gpa", "risk_category"]
 
 
 def _order_struct(order: list[str]) -> Column:
@@ -135,7 +137,7 @@ def decision_detail(decisions: DataFrame, students: DataFrame, as_of: str = DEFA
     broadcast when one side turns out small at run time, else a sort-merge
     join (with skew splitting)."""
     cur = current_decisions(overall(decisions))
-    cols = ["student_id", "name", "email", "branch", "year", "section", "semester", "gpa", "risk_category"]
+    cols = DETAIL_COLUMNS
     st = latest_students(_narrow(students, cols))
     j = cur.join(st, "student_id", "inner")
     na = F.lit("N/A")

@@ -75,13 +75,20 @@ def scored_path(spark: SparkSession, sf_dir: str) -> str | None:
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The scored students and the decision log as tables bucketed on the student id,
-    written once per session and source version."""
-    from ..sources.bucketed import pair
+    """Students with all columns, and the decision log, as co-bucketed tables."""
+    return bucketed_table(spark, sf_dir, "students"), bucketed_table(spark, sf_dir, "decisions")
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
+
+def bucketed_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """The scored ``students`` (of them ``columns``) or the decision log (``decisions``) as a
+    table bucketed on the student id, written once per session and source version."""
+    from ..sources.bucketed import write_bucketed
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir), name, tuple(columns or ()))
     if key not in _BUCKETED:
-        _BUCKETED[key] = pair(spark, scored(spark, sf_dir, with_ordinal=True), decisions(spark, sf_dir))
+        df = scored(spark, sf_dir, with_ordinal=True) if name == "students" else decisions(spark, sf_dir)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _BUCKETED[key] = spark.table(write_bucketed(df.select(*columns) if columns else df, n, name))
     return _BUCKETED[key]
 
 

@@ -30,3 +30,18 @@ def test_plans_of_bucketed_tables_hold_no_exchange_below_the_join(spark):
         assert len(lines) <= above and not below, lines
     # the same on plain tables moves both sides
     assert len(_exchanges(D.subject_status_summary(V.scored(spark, SF_SMALL, with_ordinal=True), V.decisions(spark, SF_SMALL)))[0]) >= 2
+
+
+def test_bucketed_queries_write_what_they_read(spark, monkeypatch):
+    from cohort_risk.plans import catalog as C
+    from cohort_risk.sources import bucketed as BK
+
+    wrote, write = [], BK.write_bucketed
+    monkeypatch.setattr(V, "_BUCKETED", {})
+    monkeypatch.setattr(BK, "write_bucketed", lambda df, n, name: wrote.append((name, df.columns)) or write(df, n, name))
+    assert C.q_current_decision_bucketed(spark, SF_SMALL).count() == D.current_decisions(V.decisions(spark, SF_SMALL)).count()
+    assert [name for name, _ in wrote] == ["decisions"]  # no students for the log's latest rows
+    got = C.q_decision_detail_bucketed(spark, SF_SMALL)
+    assert wrote[1] == ("students", [*D.DETAIL_COLUMNS, "ordinal"]) and len(wrote) == 2
+    plain = D.decision_detail(V.decisions(spark, SF_SMALL), V.scored(spark, SF_SMALL, with_ordinal=True))
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in plain.collect()]
