@@ -144,3 +144,51 @@ def test_rows_of_one_file_are_dealt_to_all_cores(small, monkeypatch):
     for r in range(2):
         for k in range(3):
             assert same(nested(rounds[r][k]), expected[r][k])
+
+
+def test_only_the_smaller_child_of_a_node_is_added_up(monkeypatch):
+    r = np.random.default_rng(7)
+    bins = r.integers(0, 30, (4, 4000)).astype(np.uint8)
+    g, h = r.normal(size=4000) + (bins[1] > 9) - 0.5 * (bins[2] > 20), np.full(4000, 0.25)
+    added, histogram = [], B.histogram
+    monkeypatch.setattr(B, "histogram", lambda slot, bins, *rest: added.append(bins.shape[1]) or histogram(slot, bins, *rest))
+    tree = B.grow_in_memory(bins, g, h, 5, 30)
+    rows = np.arange(4000)
+    assert (tree.feature >= 0).sum() > 20 and sum(added) <= 4000 + 4 * 2000
+    for node in range(31):  # the sums kept for a node are those of its rows
+        of_node = rows[B.places(tree, bins, (node + 1).bit_length() - 1) == node]
+        if node == 0 or tree.feature[(node - 1) // 2] >= 0:
+            assert np.allclose(tree.sums[node], [g[of_node].sum(), h[of_node].sum(), len(of_node)], rtol=1e-9)
+
+
+def test_a_fit_leaves_no_checkpoint_files(small, monkeypatch):
+    from pathlib import Path
+
+    _, _, df = small
+    monkeypatch.setattr(B, "CUT_LINEAGE", 2)
+    spark = df.sparkSession
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    files = lambda: {x for x in Path(folder).rglob("part-*")}
+    before = files()
+    B.fit(df, FEATURES, "y", rounds=5, depth=2, fold="f", folds=3)
+    assert files() <= before
+
+
+def test_a_model_scores_rows_by_thresholds_counted_once(spark, small):
+    """Trees of bins give what the thresholds say, at a threshold, beyond all and for missing values."""
+    _, _, df = small
+    (rounds,), _ = B.fit(df, FEATURES, "y", rounds=3, depth=3)
+    stage = B.BoostedTrees(B.node_rows(rounds, FEATURES), FEATURES)
+    cuts, trees = stage.trees()
+    assert len(trees) == 9 and all((np.diff(c) > 0).all() for c in cuts)
+    own = [(float(t), 2.0, float(cuts[2][i % len(cuts[2])]), 1.0) for i, t in enumerate(cuts[0])] + [(-1e9, 9.0, None, 1.0), (float("inf"), None, float("nan"), None)]
+    table = spark.createDataFrame(own, "a double, b double, c double, d double")
+
+    def value(tree, row, node=0):
+        if node >= len(tree.feature) or tree.feature[node] < 0:
+            return tree.value[(node + 1) * 2 ** (3 - ((node + 1).bit_length() - 1)) - 8]
+        v = row[tree.feature[node]]
+        return value(tree, row, 2 * node + (1 if v is not None and v < tree.threshold[node] else 2))
+
+    for r in stage.transform(table).select(*FEATURES, vector_to_array("rawPrediction").alias("m")).collect():
+        assert np.allclose(r.m, [sum(value(own[k], r[:4]) for own in rounds) for k in range(3)], atol=1e-12)
