@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -193,6 +194,18 @@ def _merged(chunks: DataFrame, zones: DataFrame, cuts: DataFrame) -> DataFrame:
     return C.written(parts.select(*_KEY, F.col("first").alias("start"), "next", F.array_join(ends, "").alias("piece"), "kept"), "bpe-chunks")
 
 
+def _texts(column: pa.Array):
+    """The texts of a column, one in memory at a time."""
+    return (t.as_py() or "" for t in column)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    """A list column of arrays of 32-bit integers. As Python objects an id takes nine times
+    these four bytes, so only those of one text exist at a time."""
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def _encode(path: str, pattern: str, names: list[str]):
     """The other columns and the ids of the last one, a text."""
 
@@ -201,8 +214,8 @@ def _encode(path: str, pattern: str, names: list[str]):
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                ids = [enc.encode_ordinary(t) if t else [] for t in part.column(b.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=names)
+                ids = [np.array(enc.encode_ordinary(t), np.int32) for t in _texts(part.columns[-1])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(ids)], names=names)
 
     return run
 
@@ -249,7 +262,8 @@ def decode(df: DataFrame, ranks: str, ids_col: str = "ids", keep: list[str] | No
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                raw = [None if ids is None else b"".join(map(token, ids)) for ids in part.column(len(kept)).to_pylist()]
+                lists = part.column(len(kept))
+                raw = [b"".join(map(token, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else None for ids in lists]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(raw, pa.binary())], names=[*kept, "bytes"])
 
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), T.StructField("bytes", T.BinaryType())])

@@ -116,3 +116,24 @@ def test_query(spark):
         expected[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
     got = QUERIES["op13_byte_bpe"](spark, SF_SMALL).collect()
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == expected and len(got) == len(expected)
+
+
+def test_a_part_of_long_texts_is_not_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [f"word {i} " * 3000 for i in range(100, 140)]
+    whole = plain()
+    expected = sum(len(whole.encode_ordinary(t)) for t in texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    coding = BC._encode(RANKS, BC.default_pattern(), ["doc_id", "ids"])
+    next(coding([batch.slice(0, 1)]))  # the encoder is loaded
+    tracemalloc.start()
+    try:
+        (coded,) = coding([batch])
+        encoding_peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, coded.column("ids").to_pylist())) == expected
+    assert encoding_peak < 16 * expected
