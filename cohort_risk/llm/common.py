@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import tokenize as TK
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -65,9 +67,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers, which hold the state of the
+    operator at work only and return what a task has freed."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    owner = function.__module__
+
+    def run(batches):
+        TK.only_state_of(owner)
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later to the system: a worker lives
+    on after its task, beside those of the executor's other cores."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux
+        trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

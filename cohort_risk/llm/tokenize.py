@@ -45,6 +45,16 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
 
 
+def only_state_of(owner: str) -> None:
+    """Drop what another operator's tasks left in the worker: a worker serves all operators
+    of a session one after the other, and would hold the dictionaries of each."""
+    state = worker_state()
+    if state.get("owner") != owner:
+        for name in [x for x in state if not str(x).startswith("__")]:
+            del state[name]
+        state["owner"] = owner
+
+
 class _Known(dict):
     """Chunk -> ids, encoded when first asked for."""
 

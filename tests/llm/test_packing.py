@@ -78,3 +78,35 @@ def test_blocks_carry_over(spark, monkeypatch):
 def test_empty_and_clashing(spark):
     assert PK.pack(docs(spark, []), PATH, 0).count() == 0
     assert PK.pack(clashing(docs(spark, ROWS)), PATH, 0).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_a_worker_holds_the_state_of_one_operator(spark):
+    """Dictionaries of an operator go when another one's tasks begin in the worker."""
+    import pyarrow as pa
+
+    from cohort_risk.llm import minhash_dedup as MD
+    from cohort_risk.llm import tokenize as TK
+
+    df = docs(spark, [(i, f"word{i} and some text of five words {i}") for i in range(40)]).repartition(16)
+    kinds = lambda: sorted(str(k) for k in TK.worker_state() if not str(k).startswith("__"))
+
+    def seen(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array(kinds(), pa.string())], names=["k"])
+
+    PK.pack(df, PATH, 0).collect()
+    MD.near_duplicates(df).collect()
+    seen.__module__ = MD.__name__  # looks into the workers as a task of that operator
+    names = {r.k for r in C.map_arrow(df, seen, "k string").collect()}
+    assert "owner" in names and not any("byte_bpe" in k for k in names)
+    state = TK.worker_state()
+    try:
+        TK.only_state_of("a")
+        state["x"] = 1
+        TK.only_state_of("a")
+        assert state["x"] == 1
+        TK.only_state_of("b")
+        assert "x" not in state and state["owner"] == "b"
+    finally:
+        TK.only_state_of("")
