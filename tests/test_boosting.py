@@ -192,3 +192,52 @@ def test_a_model_scores_rows_by_thresholds_counted_once(spark, small):
 
     for r in stage.transform(table).select(*FEATURES, vector_to_array("rawPrediction").alias("m")).collect():
         assert np.allclose(r.m, [sum(value(own[k], r[:4]) for own in rounds) for k in range(3)], atol=1e-12)
+
+
+@pytest.mark.parametrize("local_rows", [0, 1000])
+def test_margins_are_kept_every_few_rounds_only(small, monkeypatch, local_rows):
+    from pyspark import RDD
+
+    x, y, df = small
+    monkeypatch.setattr(B, "KEEP", 3)
+    kept, persist = [], RDD.persist
+    monkeypatch.setattr(RDD, "persist", lambda self, *a: kept.append(1) or persist(self, *a))
+    (rounds,), _ = B.fit(df, FEATURES, "y", rounds=7, depth=3, local_rows=local_rows)
+    if local_rows:  # a job for each round: the first state, after round 3, after round 6
+        assert len(kept) == 3
+    expected, _ = brute_force(x, y, 7, 3)
+    for r in range(7):
+        for k in range(3):
+            assert same(nested(rounds[r][k]), expected[r][k])
+
+
+def test_a_row_moves_its_bins_and_one_number():
+    r = np.random.default_rng(3)
+    bins, label, fold = r.integers(0, 20, (4, 500)).astype(np.uint8), r.integers(0, 3, 500).astype(np.uint8), np.full(500, 255, np.uint8)
+    margin = r.normal(size=(1, 3, 500))
+    margin[0, 1, :5] = 2000  # probabilities of exactly 0 and 1
+    local = [(0, k, 0, 0) for k in range(3)]
+    moved = list(B._rows_of([[B.Tree.empty(3)] * 3], local, 3, 20, B._advance([], 3))(7, [(bins, label, fold, margin)] * 2))
+    p = B.probabilities(margin[0])
+    for key, (task, block, *own) in moved:
+        g, h = p[key] - (label == key), np.maximum(2 * p[key] * (1 - p[key]), 1e-16)
+        assert task == 7
+        if block < 0:  # the sums of both blocks
+            assert np.allclose(own[0], 2 * B.histogram(np.zeros(500, np.int64), bins, g, h, 1, 20)[:, 0], rtol=1e-12)
+        else:
+            assert sum(a.nbytes for a in own) == 500 * (4 + 8)
+            assert all((a == b).all() for a, b in zip(B._gradients(own[1]), (g, h), strict=True))
+    assert sorted((key, x[1]) for key, x in moved) == [(k, b) for k in range(3) for b in (-1, 0, 1)]
+
+
+def test_scoring_needs_no_package_on_the_executors(small, monkeypatch):
+    import pickle
+
+    from pyspark import SparkContext
+
+    _, _, df = small
+    (rounds,), _ = B.fit(df, FEATURES, "y", rounds=1, depth=2)
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    assert B.BoostedTrees(B.node_rows(rounds, FEATURES), FEATURES).transform(df).count() == 240
+    assert sent and b"cohort_risk" not in pickle.dumps(sent)

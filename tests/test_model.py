@@ -153,3 +153,14 @@ def test_split_is_exact_at_every_bin_size_and_for_repeated_ids(spark):
     with mock.patch.object(M, "READ_ROWS", 10):
         flags = M.split_flag(same).groupBy("risk_score", "is_test").count().collect()
     assert all(r.is_test for r in flags) and len(flags) == 3  # rows of an id fall on one side
+
+
+def test_training_rows_of_one_file_are_dealt_to_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(M, "DEALT_ROWS", 100)
+    one = spark.range(1000).coalesce(1)
+    dealt, wanted = M.dealt_out(one), min(10, spark.sparkContext.defaultParallelism)
+    held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == wanted and max(held) < 2 * 1000 / wanted and dealt.distinct().count() == 1000
+    assert M.dealt_out(dealt) is dealt  # even already
+    few, none = spark.range(150).coalesce(1), spark.range(0)
+    assert M.dealt_out(few) is few and M.dealt_out(none) is none
