@@ -65,7 +65,10 @@ def itq(x: np.ndarray, seed: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
     for _ in range(rounds):
         b = np.where(v @ rotation >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(b.T @ v)
+        m = b.T @ v
+        # directions without variance (fewer vectors than dimensions) stay where the seed put them: what the
+        # decomposition picks there may be alike for all seeds, and part close vectors in every table
+        left, _, right = np.linalg.svd(m + (1e-9 * np.abs(m).max() + 1e-300) * rotation.T)
         rotation = (left @ right).T
     return basis @ rotation
 

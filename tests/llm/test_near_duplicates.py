@@ -308,3 +308,16 @@ def test_pairs_under_the_estimate_are_as_rare_as_stated():
     lost = sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(MD.MIN_MATCHES))
     no_band = (1 - 0.8**MD.ROWS) ** MD.BANDS
     assert lost < 2e-5 and lost + no_band < 0.002
+
+
+def test_fewer_vectors_than_dimensions_share_keys():
+    r = np.random.default_rng(11)
+    met = []
+    for _ in range(60):
+        x = ED.unit(np.eye(8)[0] + 0.02 * r.standard_normal((2, 8)))
+        center, angle = ED.viewpoint(x, 0.93)
+        bits, tables = ED.plan(2, 8, angle)
+        model = [ED.projection(x, 8, seed) for seed in range(-(-tables // (8 // bits)))]
+        a, b = ED.table_keys(x - center, model, bits, tables)
+        met.append((a == b).any())
+    assert np.mean(met) >= 0.97
