@@ -61,16 +61,93 @@ LOCAL_ROWS = 1 << 20
 LOCAL_BYTES, SPARSE = 1 << 28, 8
 #: Rows of a block, and of a partition of blocks at least and at most.
 BLOCK_ROWS, FEW_ROWS, MANY_ROWS = 50_000, 5_000, 500_000
+#: Values of a feature that a summary for the cut points holds at most, and how many summaries meet in one task.
+SUMMARY, MEET = 1 << 17, 16
 NODE_DDL = "model int, round int, class int, node int, depth int, feature string, threshold double, gain double, cover double, n long, left int, right int, value double"
 
 
+def _thinned(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values ascending, rows of each) of several such summaries together; if there are more
+    than ``most`` values, ``most`` of them at equal steps of rank, each with the rows since the one before."""
+    values, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([c for _, c in parts]), len(values)).astype(np.int64)
+    if len(values) <= most:
+        return values, counts
+    upto = np.cumsum(counts)
+    keep = np.unique(np.searchsorted(upto, -(-np.arange(1, most + 1) * int(upto[-1]) // most)))
+    return values[keep], np.diff(upto[keep], prepend=0)
+
+
+def _value_counts(n_features: int, most: int):
+    """Per feature a summary of a task's values. Chunks of equal weight meet, so each row is
+    thinned a logarithmic number of times and the memory doesn't follow the task's rows."""
+
+    def run(batches):
+        held: list[list] = [[] for _ in range(n_features)]  # (level, summary), levels falling
+        waiting: list[list] = [[] for _ in range(n_features)]
+        rows = 0
+
+        def meet():
+            for own, chunk in zip(held, waiting, strict=True):
+                values = np.concatenate(chunk)
+                own.append((0, _thinned([np.unique(values[~np.isnan(values)], return_counts=True)], most)))
+                chunk.clear()
+                while len(own) > 1 and own[-1][0] == own[-2][0]:
+                    (level, a), (_, b) = own[-2:]
+                    own[-2:] = [(level + 1, _thinned([a, b], most))]
+
+        for b in batches:
+            for j, chunk in enumerate(waiting):
+                chunk.append(b.column(j).to_numpy(zero_copy_only=False))
+            rows += b.num_rows
+            if rows >= 2 * most:
+                meet()
+                rows = 0
+        if rows:
+            meet()
+        found = [_thinned([x for _, x in own], most) for own in held if own]
+        names = ["feature", "counted", "vals"]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array([c.tobytes() for _, c in found], pa.binary()), pa.array([v.tobytes() for v, _ in found], pa.binary())], names=names)
+
+    return run
+
+
+def _met(most: int):
+    def run(key_parts):
+        key, parts = key_parts
+        parts = sorted(parts, key=lambda x: x[0])
+        return key[0], (key[1], *_thinned([x[1:] for x in parts], most))
+
+    return run
+
+
 def quantile_cuts(df: DataFrame, features: list[str], max_bins: int = MAX_BINS) -> list[np.ndarray]:
     """Per feature the values at which a bin begins (all but the smallest, at most
-    ``max_bins`` - 1): a row is left of a cut if its value is smaller."""
-    at = [i / (max_bins - 1) for i in range(max_bins)]
-    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in features}
-    row = df.agg(*[F.percentile_approx(v, at, 100_000).alias(c) for c, v in value.items()]).first()
-    return [np.unique(np.array(row[c] or [], float))[1:] for c in features]
+    ``max_bins`` - 1): a row is left of a cut if its value is smaller. The quantiles are
+    exact for features of at most ``SUMMARY`` values; for others every thinning (a few,
+    one more with each ``MEET``-fold number of tasks) leaves a rank off by 1 / ``SUMMARY`` of the rows at most."""
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(features)]
+    rows = df.select(*columns).mapInArrow(_value_counts(len(features), SUMMARY), "feature int, counted binary, vals binary").rdd
+    as_arrays = lambda task, own: ((r[0], (task, np.frombuffer(r[2]), np.frombuffer(r[1], np.int64))) for r in own)
+    parts, tasks = rows.mapPartitionsWithIndex(as_arrays), rows.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    while True:  # a few summaries of a feature meet in a task at a time
+        tasks = max(1, -(-tasks // MEET))
+        grouped = parts.map(lambda x: ((x[0], x[1][0] // MEET), x[1])).groupByKey(max(1, min(len(features) * tasks, 4 * cores)))
+        parts = grouped.map(_met(SUMMARY))
+        if tasks == 1:
+            break
+    found = dict(parts.mapValues(lambda x: _at_ranks(x[1], x[2], max_bins)).collect()) if features else {}
+    return [found.get(j, np.zeros(0)) for j in range(len(features))]
+
+
+def _at_ranks(values: np.ndarray, counts: np.ndarray, max_bins: int) -> np.ndarray:
+    """The values at equal steps of rank, without the smallest."""
+    if not len(values):
+        return values
+    upto = np.cumsum(counts)
+    ranks = np.ceil(np.array([i / (max_bins - 1) for i in range(max_bins)]) * int(upto[-1]))
+    return np.unique(values[np.searchsorted(upto, np.maximum(ranks, 1))])[1:]
 
 
 @dataclass

@@ -147,13 +147,13 @@ def fold_column(df: DataFrame, k: int = S.CV_FOLDS, id_col: str = "student_id",
 
 def standardize_exprs(train: DataFrame, features: list[str], with_medians: bool = False) -> dict[str, str]:
     """Fit (mean, population std) on the training rows in one aggregate and
-    return the SQL expressions (x - mean) / std, std 0 -> 1 (H2, T9)."""
+    return the SQL expressions (x - mean) / std, std 0 -> 1 (H2, T9). Medians are exact
+    (the lower one of an even number of values) and selected in bounded memory."""
     aggs = []
     for c in features:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
-        if with_medians:
-            aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, 1_000_000).alias(f"d_{c}"))
-    stats = train.agg(*aggs).first()  # one row of 3 x #features numbers
+    stats = train.agg(*aggs).first()  # one row of 2 x #features numbers
+    medians = Q.column_medians(train, features, missing_only=False, lower=True) if with_medians else {}
     exprs = {}
     for c in features:
         m = stats[f"m_{c}"] or 0.0
@@ -161,7 +161,7 @@ def standardize_exprs(train: DataFrame, features: list[str], with_medians: bool
         s = s if s > 0 else 1.0
         value = f"CAST({c} AS DOUBLE)"
         if with_medians:  # the training median travels with the saved model (T22)
-            value = f"coalesce(nanvl({value}, NULL), {float(stats[f'd_{c}'] or 0.0)!r})"
+            value = f"coalesce(nanvl({value}, NULL), {float(medians[c] or 0.0)!r})"
         exprs[c] = f"({value} - {m!r}) / {s!r}"
     return exprs
 

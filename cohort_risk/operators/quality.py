@@ -72,7 +72,7 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------- imputation ----
 
 
-def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096) -> dict[tuple, tuple[int, list[float | None]]]:
+def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096, lower: bool = False) -> dict[tuple, tuple[int, list[float | None]]]:
     """Exact quantiles per group (linear interpolation between neighbouring
     order statistics, as ``percentile`` / pandas) in bounded memory, by the
     same passes at every size and for every distribution.
@@ -84,7 +84,8 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     narrows each target to the smallest and largest value of its bin; a pass
     always splits a range, whatever its width. The ranges reach the rows as a
     broadcast table of at most two rows per group and probability, so the
-    values themselves are never shuffled.
+    values themselves are never shuffled. ``lower`` takes the lower neighbour
+    instead of a value between.
     Returns {group: (n, [quantile per prob])}; NaN counts as missing."""
     spark = long.sparkSession
     base = long.select(*keys, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
@@ -104,6 +105,7 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
             pos = p * (n - 1)
             k1 = int(pos)
             k2 = min(k1 + 1, n - 1) if pos > k1 else k1
+            k2 = k1 if lower else k2
             targets.append((k1, k2, pos - k1))
             for k in {k1, k2}:
                 if k < neg or k >= n - pos_inf:
@@ -164,7 +166,7 @@ SKETCH_K, SKETCH_SLACK = 4096, 0.0015
 
 
 def sketched_quantiles(
-    long: DataFrame, keys: list[str], value: str, probs: list[float], missing_only: bool = False, k: int = SKETCH_K, slack: float = SKETCH_SLACK
+    long: DataFrame, keys: list[str], value: str, probs: list[float], missing_only: bool = False, k: int = SKETCH_K, slack: float = SKETCH_SLACK, lower: bool = False
 ) -> dict[tuple, tuple[int, list[float | None]]]:
     """Exact quantiles per group, as ``exact_quantiles``, in two scans of the
     input at every size and for every distribution.
@@ -178,7 +180,8 @@ def sketched_quantiles(
     that partition gives its value. The sketch decides only how much is counted:
     a rank that its bracket misses is selected by ``exact_quantiles``.
 
-    ``missing_only`` leaves out groups that hold no NULL or NaN (no fill needed)."""
+    ``missing_only`` leaves out groups that hold no NULL or NaN (no fill needed);
+    ``lower`` takes the lower of two neighbouring values instead of a value between."""
     spark = long.sparkSession
     x = F.col(value).cast("double")
     rows = long.select(*keys, F.when(x.isNotNull() & ~F.isnan(x), x).alias("_x"))
@@ -204,6 +207,7 @@ def sketched_quantiles(
             pos = p * (n - 1)
             k1 = int(pos)
             k2 = min(k1 + 1, n - 1) if pos > k1 else k1
+            k2 = k1 if lower else k2
             targets.append((k1, k2, pos - k1))
             for rank in {k1, k2}:
                 if h["_lo"] == h["_hi"]:
@@ -223,7 +227,7 @@ def sketched_quantiles(
     if missed:
         groups = spark.createDataFrame(sorted(missed, key=repr), T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keys]))
         again = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in keys]
-        out.update(exact_quantiles(rows.alias("r").join(groups.alias("g"), again, "left_semi"), keys, "_x", probs))
+        out.update(exact_quantiles(rows.alias("r").join(groups.alias("g"), again, "left_semi"), keys, "_x", probs, lower=lower))
     return out
 
 
@@ -296,16 +300,17 @@ def exact_quantile(df: DataFrame, col: str, p: float = 0.5, bins: int = 4096) ->
     return res[(col,)][1][0] if (col,) in res else None
 
 
-def column_medians(df: DataFrame, cols: list[str]) -> dict:
+def column_medians(df: DataFrame, cols: list[str], missing_only: bool = True, lower: bool = False) -> dict:
     """Exact medians (pandas / DuckDB semantics, T8) of the columns of ``cols``
     that hold NULLs (the others need no fill and map to None): fitted constants,
     like model parameters. All columns are selected together, as groups of the
     unpivoted (column, value) rows; which of them hold NULLs is seen in the
-    first of the two scans."""
+    first of the two scans. Without ``missing_only`` every column that holds a value has
+    one; ``lower`` is the lower median."""
     out = {c: None for c in cols}
     if cols:
         long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])))
-        res = sketched_quantiles(long, ["_col"], "_v", [0.5], missing_only=True)
+        res = sketched_quantiles(long, ["_col"], "_v", [0.5], missing_only=missing_only, lower=lower)
         out.update({c: res[(c,)][1][0] for c in cols if (c,) in res})
     return out
 

@@ -241,3 +241,24 @@ def test_scoring_needs_no_package_on_the_executors(small, monkeypatch):
     monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
     assert B.BoostedTrees(B.node_rows(rounds, FEATURES), FEATURES).transform(df).count() == 240
     assert sent and b"cohort_risk" not in pickle.dumps(sent)
+
+
+def test_cut_points_come_from_summaries_of_bounded_size(spark, monkeypatch):
+    df = spark.range(0, 30_000, 1, 7).select(F.rand(3).alias("a"), (F.rand(4) * 30).cast("int").alias("b"), F.when(F.rand(5) < 0.3, None).otherwise(F.randn(6)).alias("c"), F.lit(None).cast("double").alias("d")).cache()
+
+    def exact(c):
+        v = np.sort(np.array([r[0] for r in df.select(F.col(c).cast("double")).dropna().collect()]))
+        return np.unique([v[max(int(np.ceil(i / 255 * len(v))), 1) - 1] for i in range(256)])[1:]
+
+    for c, cuts in zip("abc", B.quantile_cuts(df, ["a", "b", "c", "d"]), strict=False):
+        assert np.array_equal(cuts, exact(c))
+    assert not len(B.quantile_cuts(df, ["d"])[0])
+    monkeypatch.setattr(B, "SUMMARY", 1000)
+    monkeypatch.setattr(B, "MEET", 3)
+    values, counts = B._thinned([(np.arange(5000.0), np.arange(5000))] * 2, 1000)
+    assert len(values) <= 1000 and counts.sum() == 2 * np.arange(5000).sum()
+    a, b = B.quantile_cuts(df, ["a", "b"])
+    assert np.array_equal(b, exact("b"))
+    v = np.sort(np.array([r.a for r in df.select("a").collect()]))
+    assert len(a) == 255 and max(abs(np.searchsorted(v, x) / 30_000 - (i + 1) / 255) for i, x in enumerate(a)) < 0.006
+    df.unpersist()

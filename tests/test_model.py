@@ -164,3 +164,16 @@ def test_training_rows_of_one_file_are_dealt_to_all_cores(spark, monkeypatch):
     assert M.dealt_out(dealt) is dealt  # even already
     few, none = spark.range(150).coalesce(1), spark.range(0)
     assert M.dealt_out(few) is few and M.dealt_out(none) is none
+
+
+def test_scaler_medians_are_exact_and_selected_without_a_list_of_values(spark, monkeypatch):
+    """A quantile summary of a millionth keeps up to a million values a column and task."""
+    def refused(*_):
+        raise AssertionError("percentile_approx")
+
+    monkeypatch.setattr(M.F, "percentile_approx", refused)
+    rows = [(float(i * 37 % 1000), None if i % 3 else float(i), None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    exprs = M.standardize_exprs(df, ["a", "b", "c"], with_medians=True)
+    for c, median in (("a", 499.0), ("b", 498.0), ("c", 0.0)):  # the lower of two in the middle
+        assert f", {median!r})" in exprs[c]
