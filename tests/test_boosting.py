@@ -262,3 +262,10 @@ def test_cut_points_come_from_summaries_of_bounded_size(spark, monkeypatch):
     v = np.sort(np.array([r.a for r in df.select("a").collect()]))
     assert len(a) == 255 and max(abs(np.searchsorted(v, x) / 30_000 - (i + 1) / 255) for i, x in enumerate(a)) < 0.006
     df.unpersist()
+
+
+def test_histograms_that_meet_in_a_task_stay_bounded():
+    node = 90 * 24 * 10 * 256  # of 90 tasks
+    assert B.histogram_reducers(96, node, 6) == 8 and B.histogram_reducers(480, node, 6) == 40
+    assert B.histogram_reducers(3, node, 6) == 3 and B.histogram_reducers(96, 6 * 24 * 10 * 256, 6) == 6
+    assert B.histogram_reducers(4, B.REDUCER_BYTES * 3, 6) == 4

@@ -177,3 +177,13 @@ def test_scaler_medians_are_exact_and_selected_without_a_list_of_values(spark, m
     exprs = M.standardize_exprs(df, ["a", "b", "c"], with_medians=True)
     for c, median in (("a", 499.0), ("b", 498.0), ("c", 0.0)):  # the lower of two in the middle
         assert f", {median!r})" in exprs[c]
+
+
+def test_large_parts_of_training_rows_are_dealt_to_more_than_the_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(M, "DEALT_ROWS", 10)
+    monkeypatch.setattr(M.B, "MANY_ROWS", 50)
+    rows = spark.range(0, 400 * cores, 1, cores)
+    dealt = M.dealt_out(rows)
+    assert dealt.rdd.getNumPartitions() == 8 * cores and dealt.count() == 400 * cores
+    assert M.dealt_out(dealt) is dealt
