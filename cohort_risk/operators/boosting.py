@@ -1,7 +1,7 @@
 """Multi-class gradient boosting with the softmax objective (H4), second order,
 on distributed histograms.
 
-* Features are cut into at most ``MAX_BINS`` bins at quantiles (one aggregate); a row
+* Features are cut into at most ``MAX_BINS`` bins at quantiles (one scan); a row
   becomes a byte per feature. Rows are held in blocks (one record per block: bins,
   labels, folds, margins), which stay in executor memory for all rounds. They are
   dealt out evenly, however few files the table has, so that all cores have work.
